@@ -10,12 +10,14 @@ linked if 100 * |A and B| >= percent * |A or B|; the result is the connected com
    values (s: the larger sketch), but for a chance of 2e-7 at the threshold itself with k = 32 and far less above it.
    So it is enough to list each class under its s - ceil(0.4 * s) + 1 rarest values: a passage that many documents share
    gives frequent values, which are not listed unless a class has little else.
-3. Every list first compares all its members with one of them, the pivot, in each of two rounds with other pivots.
-   Members that are connected by then need no further comparison among themselves. What is left, pairs of a list in
-   different components, is compared in full: members outside the list's largest component with all others. So the
-   components are exact without all pairs of a large group.
-4. The sketch of the union, the k least of both, estimates the likeness: pairs with fewer than 0.4 of it in common are
-   dropped (the same chance as in 2). The rest are verified on the exact sets of the whole texts.
+3. Every list first compares all its members with one of them, the pivot: the one with the fewest values of its own, as
+   the origin of a group of edited copies has. The sketch of the union, the k least of both, estimates the likeness: pairs
+   with fewer than 0.4 of it in common are dropped (the same chance as in 2). The rest are verified on the exact sets of
+   the whole texts. Members that are connected by then need no further comparison among themselves.
+4. What is left are pairs in different components of a list. For the classes of such lists the full sets are joined by an
+   exact prefix filter: a pair that is alike enough shares an element among the rarest few of both, at places that leave
+   room for the overlap it needs. An edited copy with too many words of its own meets nothing that way. So components
+   are exact without all pairs of a large group. Candidates are verified as above.
 5. Components by alternating large-star and small-star steps, joins and minima of (node, node) rows.
 
 Nodes are 64-bit digests of the set. Rows with null text or doc_id get a row like others; a null doc_id is never the
@@ -109,14 +111,14 @@ def sketches(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def listed(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """value, node, n: each class under its rarest values that another class has too."""
+    """value, node, n, own (retained values that no other class has): each class under its rarest values that another has too."""
     values = classes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     often = scratch.save(values.groupBy("value").count().filter("count > 1"))  # a table: both sides of the join are then dealt anew, and a frequent value is split
     common = values.join(often, "value").groupBy("node", "n", "s").agg(F.sort_array(F.collect_list(F.struct("count", "value"))).alias("found"))  # at most k each
     rare = F.col("s") - F.size("found")  # values of its own take the first places
     places = F.col("s") - F.ceil(SHARED * F.col("s")) + 1 - rare
-    out = common.filter(places > 0).select("node", "n", F.explode(F.slice("found", 1, places.cast("int"))).alias("f"))
-    kept = scratch.save(out.select(F.col("f.value").alias("value"), "node", "n"))
+    out = common.filter(places > 0).select("node", "n", rare.alias("own"), F.explode(F.slice("found", 1, places.cast("int"))).alias("f"))
+    kept = scratch.save(out.select(F.col("f.value").alias("value"), "node", "n", "own"))
     scratch.drop(often)
     return kept
 
@@ -181,7 +183,31 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         was = now
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, rounds: int = 2) -> DataFrame:
+def prefixes(parts: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """hash, place, node, n: the rarest hashes of each full set that others share, up to the last place that can be the
+    first in common with a set alike enough. Places count from 1 in order of (how many sets have it, hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = kept("shingler", width, lambda: Shingler(width))
+        for nodes, bodies in rows_of(batches, 64):
+            if nodes:
+                sets = [shingler.hashes(t).view(np.int64) for t in bodies]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    inside = parts.select("node").distinct()
+    sets = scratch.save(texts.join(inside, "node").select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>"))
+    rows = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
+    often = scratch.save(rows.groupBy("hash").count().filter("count > 1"))
+    found = rows.join(often, "hash").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "hash"))).alias("found"))  # a set's own size
+    own = F.col("n") - F.size("found")
+    last = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    out = found.filter(last > own).select("node", "n", own.alias("own"), F.posexplode(F.slice("found", 1, (last - own).cast("int"))).alias("i", "f"))
+    out = scratch.save(out.select(F.col("f.hash").alias("hash"), (F.col("own") + F.col("i") + 1).alias("place"), "node", "n"))
+    scratch.drop(sets, often)
+    return out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the component), kept (doc_id = component_id), n_links (pairs
     verified with its class; further links within a component may exist)."""
     scratch = Scratch(spark, "neardup")
@@ -190,35 +216,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     heads = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n", "sketch")).alias("h"))
     classes = scratch.save(heads.select("node", "h.doc_id", "h.text_hash", "h.n", "h.sketch"))
     lists = listed(classes, scratch)
-    members = scratch.save(lists.select("node").distinct())
+
+    # the pivot of each list
+    order = F.struct("own", F.xxhash64("node").alias("o"), "node", "n")
+    pivots = scratch.save(lists.groupBy("value").agg(F.count("*").alias("members"), F.min(order).alias("p")).filter("members > 1").select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")))
+    met = lists.join(pivots, "value").filter((F.col("node") != F.col("pivot")) & alike_sizes(F.col("n"), F.col("pn"), percent))
+    tested = scratch.save(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+    likely = scratch.save(estimated(tested, classes, k))
+    members = lists.select("node").distinct()
     reps = classes.join(members, "node").select("node", F.coalesce("doc_id", least_id).alias("rep"), "text_hash")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), least_id).alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     scope = scratch.save(texts.join(reps, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("node", "text"))
+    links = scratch.save(verified(likely, scope, width, percent))
+    roots = scratch.save(components(links, scratch))
+
+    # what lists hold of several components
+    placed = scratch.save(lists.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")))
+    mixed = scratch.save(placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("value"))
+    parts = scratch.save(placed.join(mixed, "value"))
+    front = prefixes(parts, scope, width, percent, scratch)
+    known = scratch.save(front.join(parts.select("node", "root").distinct(), "node"))
+    side = lambda c: known.select("hash", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "node", "n", "root")])
+    need = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent))
+    room = (F.col("place_x") <= F.col("n_x") - need + 1) & (F.col("place_y") <= F.col("n_y") - need + 1)
+    met = side("x").join(side("y"), "hash").filter((F.col("node_x") > F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & alike_sizes(F.col("n_x"), F.col("n_y"), percent) & room)
+    rest = met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    links = scratch.save(links.union(verified(scratch.save(rest), scope, width, percent)))
+    roots = scratch.save(components(links, scratch))
+    scratch.drop(scope, lists, placed, parts, front, known)
 
-    links = tried = roots = None
-    for turn in range(rounds + 1):
-        parts = scratch.save(lists.withColumn("root", F.col("node")) if roots is None else lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        order = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "n", "root")
-        pivots = scratch.save(parts.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min(order).alias("p")).filter("r0 != r1").select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot")))
-        if turn < rounds:
-            met = parts.join(pivots, "value").filter((F.col("root") != F.col("proot")) & alike_sizes(F.col("n"), F.col("pn"), percent))
-            pairs = met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        else:
-            mixed = parts.join(pivots.select("value"), "value")
-            largest = mixed.groupBy("value", "root").count().groupBy("value").agg(F.max(F.struct("count", "root")).alias("g"))
-            largest = scratch.save(largest.select("value", F.col("g.root").alias("giant")))
-            x = scratch.save(parts.join(largest, "value").filter("root != giant").select("value", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), "giant"))
-            y = parts.select("value", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-            met = x.join(y, "value").filter("rx != ry and (ry = giant or x < y)").filter(alike_sizes(F.col("nx"), F.col("ny"), percent))
-            pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        tested = scratch.save(pairs)
-        found = scratch.save(verified(scratch.save(estimated(tested, classes, k)), scope, width, percent))
-        links = found if links is None else links.union(found)
-        tried = tested if tried is None else tried.union(tested)
-        roots = scratch.save(components(links, scratch))
-    scratch.drop(scope, members, lists)
     placed = scratch.save(classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
     least = scratch.save(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
