@@ -16,8 +16,9 @@ linked if 100 * |A and B| >= percent * |A or B|; the result is the connected com
    the whole texts. Members that are connected by then need no further comparison among themselves.
 4. What is left are pairs in different components of a list. For the classes of such lists the full sets are joined by an
    exact prefix filter: a pair that is alike enough shares an element among the rarest few of both, at places that leave
-   room for the overlap it needs. An edited copy with too many words of its own meets nothing that way. So components
-   are exact without all pairs of a large group. Candidates are verified as above.
+   room for the overlap it needs. An edited copy with too many words of its own meets nothing that way. These lists, too,
+   are first compared with a pivot each, and pairs are made only of what is in different components after that. So
+   components are exact without all pairs of a large group. Candidates are verified as above.
 5. Components by alternating large-star and small-star steps, joins and minima of (node, node) rows.
 
 Nodes are 64-bit digests of the set. Rows with null text or doc_id get a row like others; a null doc_id is never the
@@ -194,7 +195,7 @@ def prefixes(parts: DataFrame, texts: DataFrame, width: int, percent: int, scrat
                 sets = [shingler.hashes(t).view(np.int64) for t in bodies]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
-    inside = parts.select("node").distinct()
+    inside = parts.distinct()
     sets = scratch.save(texts.join(inside, "node").select("node", "text").mapInArrow(run, "node bigint, hashes array<bigint>"))
     rows = sets.select("node", F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
     often = scratch.save(rows.groupBy("hash").count().filter("count > 1"))
@@ -217,33 +218,48 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     classes = scratch.save(heads.select("node", "h.doc_id", "h.text_hash", "h.n", "h.sketch"))
     lists = listed(classes, scratch)
 
-    # the pivot of each list
+    def pairs_of(met: DataFrame, a: str, b: str) -> DataFrame:
+        return met.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+    # every list's members with its pivot
     order = F.struct("own", F.xxhash64("node").alias("o"), "node", "n")
-    pivots = scratch.save(lists.groupBy("value").agg(F.count("*").alias("members"), F.min(order).alias("p")).filter("members > 1").select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")))
+    pivots = scratch.save(lists.groupBy("value").agg(F.min(order).alias("p"), F.count("*").alias("members")).filter("members > 1").select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")))
     met = lists.join(pivots, "value").filter((F.col("node") != F.col("pivot")) & alike_sizes(F.col("n"), F.col("pn"), percent))
-    tested = scratch.save(met.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
-    likely = scratch.save(estimated(tested, classes, k))
+    tested = scratch.save(pairs_of(met, "node", "pivot"))
     members = lists.select("node").distinct()
     reps = classes.join(members, "node").select("node", F.coalesce("doc_id", least_id).alias("rep"), "text_hash")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), least_id).alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     scope = scratch.save(texts.join(reps, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("node", "text"))
-    links = scratch.save(verified(likely, scope, width, percent))
+    links = scratch.save(verified(scratch.save(estimated(tested, classes, k)), scope, width, percent))
     roots = scratch.save(components(links, scratch))
 
-    # what lists hold of several components
+    # what lists hold of several components: the prefixes of their full sets, first with pivots, then all
     placed = scratch.save(lists.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")))
     mixed = scratch.save(placed.groupBy("value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("value"))
-    parts = scratch.save(placed.join(mixed, "value"))
+    parts = scratch.save(placed.join(mixed, "value").select("node"))
     front = prefixes(parts, scope, width, percent, scratch)
-    known = scratch.save(front.join(parts.select("node", "root").distinct(), "node"))
-    side = lambda c: known.select("hash", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "node", "n", "root")])
-    need = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / (100 + percent))
-    room = (F.col("place_x") <= F.col("n_x") - need + 1) & (F.col("place_y") <= F.col("n_y") - need + 1)
-    met = side("x").join(side("y"), "hash").filter((F.col("node_x") > F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & alike_sizes(F.col("n_x"), F.col("n_y"), percent) & room)
-    rest = met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    links = scratch.save(links.union(verified(scratch.save(rest), scope, width, percent)))
-    roots = scratch.save(components(links, scratch))
-    scratch.drop(scope, lists, placed, parts, front, known)
+    need = lambda n, m: F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+    for turn in range(2):
+        known = scratch.save(front.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        best = F.min(F.struct("place", F.xxhash64("node").alias("o"), "node", "n", "root"))
+        heads = scratch.save(known.groupBy("hash").agg(best.alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("hash", "p"))
+        if turn == 0:
+            p = lambda c: F.col(f"p.{c}")
+            room = (F.col("place") <= F.col("n") - need(F.col("n"), p("n")) + 1) & (p("place") <= p("n") - need(F.col("n"), p("n")) + 1)
+            met = known.join(heads, "hash").filter((F.col("root") != p("root")) & alike_sizes(F.col("n"), p("n"), percent) & room)
+            pairs = pairs_of(met, "node", "p.node")
+        else:
+            left = scratch.save(known.join(heads.select("hash"), "hash"))
+            side = lambda c: left.select("hash", *[F.col(x).alias(f"{x}_{c}") for x in ("place", "node", "n", "root")])  # noqa: B023, E731
+            least_shared = need(F.col("n_x"), F.col("n_y"))
+            room = (F.col("place_x") <= F.col("n_x") - least_shared + 1) & (F.col("place_y") <= F.col("n_y") - least_shared + 1)
+            met = side("x").join(side("y"), "hash").filter((F.col("node_x") > F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & alike_sizes(F.col("n_x"), F.col("n_y"), percent) & room)
+            pairs = pairs_of(met, "node_x", "node_y")
+        fresh = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"))
+        links = scratch.save(links.union(verified(fresh, scope, width, percent)))
+        tested = tested.union(fresh)
+        roots = scratch.save(components(links, scratch))
+    scratch.drop(scope, lists, placed, parts, front)
 
     placed = scratch.save(classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
     least = scratch.save(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
