@@ -42,7 +42,7 @@ def motion_features(df: DataFrame, keys: Sequence[str], dt: float = 1 / FS) -> D
         F.avg(a("jerk")).alias("jerk_mean"), _std("jerk").alias("jerk_std"), F.max(a("jerk")).alias("jerk_max"), F.percentile(a("jerk"), 0.95).alias("jerk_p95"),
         F.avg(a("lat_accel")).alias("lat_accel_mean"), _std("lat_accel").alias("lat_accel_std"), F.max(a("lat_accel")).alias("lat_accel_max"), F.percentile(a("lat_accel"), 0.95).alias("lat_accel_p95"),
         F.sqrt(F.avg(F.col("lat_accel") * F.col("lat_accel"))).alias("lat_accel_rms"),
-        F.avg("curvature").alias("curvature_mean"), F.percentile("curvature", 0.95).alias("curvature_p95"), F.when(flat, 0.0).otherwise(F.corr("curvature", "speed")).alias("curv_speed_corr"),
+        F.avg("curvature").alias("curvature_mean"), F.percentile("curvature", 0.95).alias("curvature_p95"), F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop("curvature", "speed"), _std("curvature") * _std("speed"))).alias("curv_speed_corr"),
         F.avg(a("heading_rate")).alias("heading_rate_mean"), _std("heading_rate").alias("heading_rate_std"), F.max(a("heading_rate")).alias("heading_rate_max"),
         (1 / (1 + _std("heading_rate"))).alias("heading_smoothness"),
         (F.avg("speed") / 6).alias("ttc_stop_mean"), (F.min("speed") / 6).alias("ttc_stop_min"),
