@@ -62,11 +62,12 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[list
             yield [part.column(i).to_pylist() for i in range(part.num_columns)]
 
 
-_KEPT: dict[str, tuple[object, object]] = {}
+_KEPT: dict[str, object] = {}
 
 
 def kept(name: str, key: object, make: Callable[[], T]) -> T:
-    """An object that later tasks of the same Python worker use again; one a name, made anew for another key."""
-    if name not in _KEPT or _KEPT[name][0] != key:
-        _KEPT[name] = (key, make())
-    return _KEPT[name][1]  # type: ignore[return-value]
+    """An object that later tasks of the same Python worker use again. A worker holds one: another name or key drops it."""
+    if _KEPT.get("of") != (name, key):
+        _KEPT.clear()
+        _KEPT.update(of=(name, key), is_=make())
+    return _KEPT["is_"]  # type: ignore[return-value]

@@ -170,7 +170,7 @@ def fit(texts: Iterable[tuple[str, str]], model: bytes, rounds: int = 2, smooth:
 class Judge:
     """Log likelihoods of texts. Those of words are remembered."""
 
-    def __init__(self, model: Model, remembered: int = 600_000):
+    def __init__(self, model: Model, remembered: int = 250_000):
         self.model, self.vocabulary, self.remembered = model, Vocabulary(model.pieces), remembered
         self.forget()
 
@@ -235,7 +235,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = kept("judge", key, lambda: Judge(shared.value))
-        for ids, held, texts in rows_of(batches, 2048):
+        for ids, held, texts in rows_of(batches, 1024):
             if ids:
                 got = judge.judge(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=PREDICTED)
@@ -254,8 +254,8 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model, least: float =
         judge = kept("judge", key, lambda: Judge(shared.value))
         for texts in batches:
             out = []
-            for at in range(0, len(texts), 2048):
-                out += [lang != "und" and score >= least for lang, score in judge.judge([t if isinstance(t, str) else None for t in texts.iloc[at : at + 2048]])]
+            for at in range(0, len(texts), 1024):
+                out += [lang != "und" and score >= least for lang, score in judge.judge([t if isinstance(t, str) else None for t in texts.iloc[at : at + 1024]])]
             yield pd.Series(out, dtype="bool")
 
     return docs.filter(passes("text"))

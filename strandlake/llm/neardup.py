@@ -54,7 +54,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's shingles."""
 
-    def __init__(self, width: int, remembered: int = 300_000):
+    def __init__(self, width: int, remembered: int = 150_000):
         self.width, self.remembered = width, remembered
         self.words: dict[bytes, int] = {}
 

@@ -241,7 +241,7 @@ def default_model() -> Model:
 class Scanner:
     """Spans of whole texts. Whether a white-space token can hold anything but outside tags is remembered by token."""
 
-    def __init__(self, model: Model, remembered: int = 200_000):
+    def __init__(self, model: Model, remembered: int = 100_000):
         self.model, self.remembered = model, remembered
         self.plain: dict[str, bool] = {}
         self.words_safe = all(map(model.is_outside, ("word", "token", ",")))

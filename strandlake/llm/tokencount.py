@@ -33,7 +33,7 @@ StateMap = tuple[str, int | None, str]
 
 
 class Transducer:
-    def __init__(self, model: bytes, remembered: int = 400_000):
+    def __init__(self, model: bytes, remembered: int = 250_000):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size()) if not (self.library.is_control(i) or self.library.is_byte(i) or self.library.is_unknown(i))]
         self.joined = {a + b for p in pieces for a, b in zip(p, p[1:], strict=False)}
