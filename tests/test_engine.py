@@ -32,28 +32,12 @@ def test_window_counts(spark, n, count):
     assert got == {k: (61, 30 * k) for k in range(count)}
 
 
-def bump(a, b, height):
-    return lambda t: height * math.sin(math.pi * (t - a) / (b - a)) if a <= t <= b else 0.0
-
-
-def wave(a, b, height):  # heading of a lateral shift: out and straight again
-    return lambda t: height * math.sin(math.pi * (t - a) / (b - a)) if a <= t <= b else 0.0
-
-
-def moved(spark, heading, speed=10.0):
-    hs = [heading(i / 10) for i in range(61)]
-    x = np.concatenate([[0], np.cumsum(speed * np.cos(hs[:-1]) * 0.1)])
-    y = np.concatenate([[0], np.cumsum(speed * np.sin(hs[:-1]) * 0.1)])
-    rows = [(0, i / 10, float(x[i]), float(y[i]), hs[i], speed, 0.0) for i in range(61)]
-    return spark.createDataFrame(rows, "segment_id bigint, t double, x double, y double, heading double, speed double, yaw_rate double")
-
-
 def test_labels(spark):
     label = lambda d, o=None: labeling.maneuvers(d, ["segment_id"], o).first()["maneuver"]
     assert label(track(spark)) == "lane_keep"
     side = track(spark, y=lambda t: 2.0 * math.exp(-((t - 3) ** 2)))
     assert label(side) == "cut_in" and label(side, {"lateral": {"min_lateral_m": 5}}) == "lane_keep"
-    assert label(track(spark, y=lambda t: 2.0 * math.exp(-((t - 0.5) ** 2)))) == "merge"
+    assert label(track(spark, y=lambda t: 2.0 * math.exp(-((t - 0.9) ** 2) * 9))) == "merge"
     assert label(track(spark, speed=lambda t: abs(10 - t * 20 / 6))) == "stop_and_go"
     assert label(track(spark, heading=lambda t: t / 6 * math.pi / 2, speed=lambda t: 5)) == "unprotected_left"
     assert label(track(spark, 1)) is None
