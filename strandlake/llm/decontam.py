@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Span 11, seven tokens compared under each.
 MASKS = ("11011001011", "10110110101", "11100101101")
-#: Hashes of the benchmark that are broadcast at most (24 bytes and the tokens of an item each); beyond, both sides are shuffled.
+#: Hashes of the benchmark that are broadcast at most (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_HASHES = 200_000
 
 
@@ -33,17 +33,17 @@ def mask_hash(tokens: Column, at: Column, mask: str, m: int) -> Column:
     return F.xxhash64(F.lit(m), *[F.get(tokens, at + i) for i, c in enumerate(mask) if c == "1"])
 
 
-def seeded(df: DataFrame, masks: Sequence[str]) -> DataFrame:
-    """A row for each position and mask that fits there: the columns of df (tokens among them), at, h."""
+def seeded(df: DataFrame, key: str, masks: Sequence[str]) -> DataFrame:
+    """key, at, h: a row for each position and mask that fits there. The tokens are left behind with the first step."""
     least = min(map(len, masks))
     n = F.size("tokens")
-    placed = df.filter(n >= least).withColumn("at", F.explode(F.sequence(F.lit(0), n - least)))
     hashes = F.array(*[
         mask_hash(F.col("tokens"), F.col("at"), x, m) if len(x) == least
         else F.when(F.col("at") + len(x) <= n, mask_hash(F.col("tokens"), F.col("at"), x, m))
         for m, x in enumerate(masks)
     ])
-    return placed.withColumn("h", F.explode(hashes)).filter("h is not null")
+    placed = df.filter(n >= least).select(key, "tokens", F.explode(F.sequence(F.lit(0), n - least)).alias("at"))
+    return placed.select(key, "at", hashes.alias("hs")).select(key, "at", F.explode("hs").alias("h")).filter("h is not null")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, share: float = 0.5) -> DataFrame:
@@ -52,23 +52,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] =
     span = min(map(len, masks))
     short = [r[0] for r in items.filter(F.size("tokens") < span).select(F.size("tokens").alias("n")).distinct().orderBy("n").collect()]
     masks = [*masks, *("1" * n for n in short)]  # at most span - 1 more
-    keyed = seeded(items, masks).select("h", "item_id", F.col("at").alias("item_at"), F.col("tokens").alias("item")).distinct()
-    count = keyed.count()
-    keyed = F.broadcast(keyed) if count <= BROADCAST_HASHES else keyed
+    keyed = seeded(items, "item_id", masks).select("h", "item_id", F.col("at").alias("item_at")).distinct()
+    if keyed.count() <= BROADCAST_HASHES:
+        keyed = F.broadcast(keyed)
     texts = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    sought = seeded(texts, masks)
-    if count > BROADCAST_HASHES:  # the tokens don't travel with each hash; the window that an item can cover does
-        widest = items.agg(F.max(F.size("tokens"))).first()[0] or 1
-        begin = F.greatest(F.lit(0), F.col("at") - widest)
-        sought = sought.select("doc_id", "h", (F.col("at") - begin).alias("at"), F.slice("tokens", begin + 1, 2 * widest).alias("tokens"))
-    hits = sought.join(keyed, "h")
-    shift = F.col("at") - F.col("item_at")
-    same = F.aggregate(
-        F.sequence(F.lit(0), F.size("item") - 1), F.lit(0),
-        lambda n, i: n + F.when((i + shift >= 0) & (F.get("tokens", i + shift) == F.get("item", i)), 1).otherwise(0),
-    )
-    aligned = hits.select("doc_id", "item_id", same.alias("matched"), F.size("item").alias("item_tokens"))
-    best = aligned.filter(F.col("matched") >= F.lit(share) * F.col("item_tokens")).groupBy("doc_id", "item_id").agg(F.max("matched").cast("bigint").alias("matched"), F.max("item_tokens").cast("bigint").alias("item_tokens"))
+    hits = seeded(texts, "doc_id", masks).join(keyed, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    sought = hits.join(items.withColumnRenamed("tokens", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits"))  # the hits of one document
+    both = texts.join(sought.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
+
+    def judged(hit: Column) -> Column:
+        same = F.filter(F.sequence(F.lit(0), F.size(hit["item"]) - 1), lambda i: F.get("tokens", i + hit["shift"]) == F.get(hit["item"], i))
+        return F.struct(hit["item_id"].alias("item_id"), F.size(same).cast("bigint").alias("matched"), F.size(hit["item"]).cast("bigint").alias("item_tokens"))
+
+    rows = both.select("doc_id", F.transform("hits", judged).alias("found")).select("doc_id", F.inline("found"))
+    best = rows.filter(F.col("matched") >= F.lit(share) * F.col("item_tokens")).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))
     return best.withColumn("overlap", F.col("matched") / F.col("item_tokens"))
 
 
