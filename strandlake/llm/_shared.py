@@ -31,10 +31,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.made = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
+        """The table read again; ``files``: at most so many tasks and files, for rows whose number is known."""
         self.made += 1
         path = f"{self.base}/t{self.made:03d}"
-        df.write.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

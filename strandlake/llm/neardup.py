@@ -19,7 +19,8 @@ linked if 100 * |A and B| >= percent * |A or B|; the result is the connected com
    room for the overlap it needs. An edited copy with too many words of its own meets nothing that way. These lists, too,
    are first compared with a pivot each, and pairs are made only of what is in different components after that. So
    components are exact without all pairs of a large group. Candidates are verified as above.
-5. Components by alternating large-star and small-star steps, joins and minima of (node, node) rows.
+5. Components by alternating large-star and small-star steps, joins and minima of (node, node) rows. Links found later
+   are taken between the components known by then.
 
 Nodes are 64-bit digests of the set. Rows with null text or doc_id get a row like others; a null doc_id is never the
 least of a component that has another. Repeated rows are in one class. Nothing of the documents is collected.
@@ -39,6 +40,7 @@ from ._shared import Scratch, kept, rows_of
 
 K = 32
 SHARED = 0.4
+EDGES_A_TASK = 1_000_000  # 16 bytes each: so the tables of a star step have as many files as they need
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))  # multipliers of a public 64-bit finaliser
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,29 +161,43 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the least node that it reaches) for all nodes of ``links`` (a, b)."""
 
-    def stars(edges: DataFrame, large: bool) -> DataFrame:
+    def stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
         both = edges.union(edges.select("v", "u")) if large else edges
-        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), parts)
         near = both.join(low, "u")
         if large:
             out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        turned = scratch.save(out.filter("u != v").distinct())
+        turned = scratch.save(out.filter("u != v").distinct(), parts)
         scratch.drop(low)
         return turned
 
+    def unsettled(edges: DataFrame) -> int:
+        """Nodes that point to two others, or that point to one and are pointed to. Without any, each edge leads to its root."""
+        end = lambda c, out: F.struct(F.col(c).alias("node"), F.lit(out).alias("out"), F.lit(1 - out).alias("in"))
+        ends = edges.select(F.inline(F.array(end("u", 1), end("v", 0))))
+        at = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        return at.filter("out + in > 1 and out > 0").count()
+
     edges = scratch.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first())
-    was = state(edges)
-    while True:
-        wide = stars(edges, True)
-        turned = stars(wide, False)
+    parts = max(scratch.spark.sparkContext.defaultParallelism, edges.count() // EDGES_A_TASK + 1)
+    while unsettled(edges):
+        wide = stars(edges, True, parts)
+        turned = stars(wide, False, parts)
         scratch.drop(edges, wide)
-        edges, now = turned, state(turned)
-        if now == was:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        was = now
+        edges = turned
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+
+
+def joined_up(roots: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``roots`` (node, root) after further ``links`` (a, b): only what these join is gone through again."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).filter("a != b")
+    moved = scratch.save(components(between, scratch))
+    known = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return scratch.save(known.union(moved.join(roots.select("node"), "node", "left_anti").select("node", "root")))
 
 
 def prefixes(parts: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -256,9 +272,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
             met = side("x").join(side("y"), "hash").filter((F.col("node_x") > F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & alike_sizes(F.col("n_x"), F.col("n_y"), percent) & room)
             pairs = pairs_of(met, "node_x", "node_y")
         fresh = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"))
-        links = scratch.save(links.union(verified(fresh, scope, width, percent)))
-        tested = tested.union(fresh)
-        roots = scratch.save(components(links, scratch))
+        further = scratch.save(verified(fresh, scope, width, percent))
+        links, tested = links.union(further), tested.union(fresh)
+        roots = joined_up(roots, further, scratch)
     scratch.drop(scope, lists, placed, parts, front)
 
     placed = scratch.save(classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strandlake.llm import decontam, fingerprint, htmltext, langid, licenses, mixing, neardup, queries, secrets, tokencount, urlfilter
+from strandlake.llm._shared import Scratch
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -299,6 +300,29 @@ def test_components_against_brute_force(spark, docs, texts, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_components_of_chains_stars_and_later_links(spark):
+    rng = random.Random(5)
+    first = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(i, 250 - i) for i in range(201, 225)]
+    first += [tuple(rng.sample(range(300, 340), 2)) for _ in range(25)]
+    later = [(40, 129), (205, 301), (500, 501), (501, 12), (0, 3), (600, 601)]
+    scratch = Scratch(spark, "test")
+
+    def expected(links):
+        root = {x: x for link in links for x in link}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    table = lambda rows: scratch.save(spark.createDataFrame(rows, "a bigint, b bigint"))
+    roots = scratch.save(neardup.components(table(first), scratch))
+    assert {r.node: r.root for r in roots.collect()} == expected(first)
+    roots = neardup.joined_up(roots, table(later), scratch)
+    assert sorted(map(tuple, roots.collect())) == sorted(expected(first + later).items())
+    assert neardup.joined_up(roots, table(later), scratch).count() == roots.count()
+    assert neardup.components(table(later).limit(0), scratch).count() == 0
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (None, "A B C D E F"), (7, "a b c d e f"), (7, "other words of the same document id here"), (7, "a b c d e f"), (8, None)], "doc_id bigint, text string")
     got = neardup.near_duplicates(spark, rows).collect()
