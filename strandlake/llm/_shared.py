@@ -63,6 +63,12 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 512) -> Iterator[list
             yield [part.column(i).to_pylist() for i in range(part.num_columns)]
 
 
+def values_of(array: pa.Array, step: int = 512) -> Iterator[list]:
+    """The same for one column."""
+    for at in range(0, len(array), step):
+        yield array.slice(at, step).to_pylist()
+
+
 _KEPT: dict[str, object] = {}
 
 

@@ -23,17 +23,17 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import kept, rows_of
+from ._shared import kept, rows_of, values_of
 
 SPACE, LONGEST_RUN = "▁", 32
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-9
+TEXTS_AT_ONCE = 256
 
 
 class Vocabulary:
@@ -170,7 +170,7 @@ def fit(texts: Iterable[tuple[str, str]], model: bytes, rounds: int = 2, smooth:
 class Judge:
     """Log likelihoods of texts. Those of words are remembered."""
 
-    def __init__(self, model: Model, remembered: int = 250_000):
+    def __init__(self, model: Model, remembered: int = 100_000):
         self.model, self.vocabulary, self.remembered = model, Vocabulary(model.pieces), remembered
         self.forget()
 
@@ -235,7 +235,7 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = kept("judge", key, lambda: Judge(shared.value))
-        for ids, held, texts in rows_of(batches, 1024):
+        for ids, held, texts in rows_of(batches, TEXTS_AT_ONCE):
             if ids:
                 got = judge.judge(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=PREDICTED)
@@ -249,13 +249,10 @@ def accepted(spark: SparkSession, docs: DataFrame, model: Model, least: float =
     shared = spark.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("boolean")
-    def passes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def passes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = kept("judge", key, lambda: Judge(shared.value))
         for texts in batches:
-            out = []
-            for at in range(0, len(texts), 1024):
-                out += [lang != "und" and score >= least for lang, score in judge.judge([t if isinstance(t, str) else None for t in texts.iloc[at : at + 1024]])]
-            yield pd.Series(out, dtype="bool")
+            yield pa.array([lang != "und" and score >= least for part in values_of(texts, TEXTS_AT_ONCE) for lang, score in judge.judge(part)], pa.bool_())
 
     return docs.filter(passes("text"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import kept, rows_of
+from ._shared import kept, rows_of, values_of
 
 # The base patterns, and the least length of what must be long enough.
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -337,10 +337,11 @@ def redact_documents(spark: SparkSession, docs: DataFrame, model: Model | None =
     shared = spark.sparkContext.broadcast(model or default_model())
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("string")
-    def clean(texts):  # noqa: ANN001, ANN202
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scanner = kept("scanner", key, lambda: Scanner(shared.value))
-        return texts.map(lambda t: None if t is None else redacted(t, scanner.spans(t)[1]))
+        for texts in batches:
+            yield pa.array((None if t is None else redacted(t, scanner.spans(t)[1]) for part in values_of(texts) for t in part), pa.string())
 
     out = docs.withColumn("text", clean("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else out
