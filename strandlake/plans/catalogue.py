@@ -331,13 +331,20 @@ def quat_yaw(spark, sf_dir):
     return rounded(e.select("vec_id", C.yaw_of(*[F.col(n) / F.col("s") for n in "wxyz"]).alias("yaw")))
 
 
-# Labels and features of segments (windows of 61 rows, by user)
+# Labels and features of segments (windows of 61 rows every 30, by user and window)
+
+SEGMENT = ["user_id", "window"]
 
 
 def segments(spark, sf_dir):
-    """user_id, t and channels of every user's first whole window."""
-    cut = windows.cut_windows(tracks(spark, sf_dir).drop("idx"), ["user_id"], ["ts", "event_id"]).filter("`window` = 0")
-    return cut.select("user_id", "idx", "t", "x", "y", "heading", "speed", "yaw_rate")
+    """user_id, window, t and channels of every whole window."""
+    cut = windows.cut_windows(tracks(spark, sf_dir).drop("idx"), ["user_id"], ["ts", "event_id"])
+    return cut.select(*SEGMENT, "idx", "t", "x", "y", "heading", "speed", "yaw_rate")
+
+
+def first_segments(spark, sf_dir):
+    """user_id, t and channels of every user's first whole window, as SEG_SQL has them."""
+    return segments(spark, sf_dir).filter("`window` = 0").drop("window")
 
 
 SEG_SQL = f"{TRACK_SQL}, seg AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS nn FROM track) WHERE nn >= 61 AND idx < 61)"
@@ -346,25 +353,47 @@ un AS (SELECT *, heading + sum(CASE WHEN dd IS NULL OR abs(dd) < pi() THEN 0 ELS
 KIN_SQL = f"""{SEG_UNWRAP}, k1 AS (SELECT *, {grad_sql('speed')} AS accel, {grad_sql('h')} AS hr, speed * yaw_rate AS lat, CASE WHEN speed > 0.5 THEN abs(yaw_rate / speed) ELSE 0 END AS curv FROM un),
 kin AS (SELECT *, {grad_sql('accel')} AS jerk FROM k1)"""
 
+#: The same over all whole windows: a segment's key stands in user_id.
+SEGMENTS_SQL = f"""{TRACK_SQL}, w AS (SELECT user_id, unnest(generate_series(0, (n - 61) // 30)) AS win FROM (SELECT user_id, count(*) AS n FROM track GROUP BY user_id HAVING count(*) >= 61)),
+seg AS (SELECT track.* REPLACE (struct_pack(u := track.user_id, w := w.win) AS user_id) FROM track JOIN w ON w.user_id = track.user_id AND track.idx BETWEEN w.win * 30 AND w.win * 30 + 60)"""
+
+
+def _of_all_windows(sql: str) -> str:
+    return f'SELECT user_id.u AS user_id, user_id.w AS "window", * EXCLUDE (user_id) FROM ({sql.replace(SEG_SQL, SEGMENTS_SQL)})'
+
 
-@query(f"""WITH {SEG_UNWRAP}, f AS (SELECT *, first_value(heading) OVER {W_SQL} AS h0, first_value(x) OVER {W_SQL} AS x0, first_value(y) OVER {W_SQL} AS y0 FROM un),
+MANEUVER_SQL = f"""WITH {SEG_UNWRAP}, f AS (SELECT *, first_value(heading) OVER {W_SQL} AS h0, first_value(x) OVER {W_SQL} AS x0, first_value(y) OVER {W_SQL} AS y0 FROM un),
 l AS (SELECT *, -sin(h0) * (x - x0) + cos(h0) * (y - y0) AS lat FROM f),
 a AS (SELECT user_id, min(speed) AS slow, max(speed) AS fast, avg(speed) AS mean, max_by(h, t) - min_by(h, t) AS turn, min(t) AS t0, max(t) AS t1, max(abs(lat)) AS pk FROM l GROUP BY user_id),
 p AS (SELECT a.*, (SELECT min(t) FROM l WHERE l.user_id = a.user_id AND abs(l.lat) = a.pk) AS tp FROM a)
 SELECT user_id, CASE WHEN slow <= 0.5 AND fast - slow >= 5 THEN 'stop_and_go' WHEN turn >= 1 AND mean >= 1 THEN 'unprotected_left'
-WHEN pk >= 1.6 AND abs(turn) <= 0.6 AND (tp - t0) / (t1 - t0) > 0.25 AND (tp - t0) / (t1 - t0) < 0.75 THEN 'cut_in' WHEN pk >= 1.6 AND abs(turn) <= 0.6 THEN 'merge' ELSE 'lane_keep' END AS maneuver FROM p""")
+WHEN pk >= 1.6 AND abs(turn) <= 0.6 AND (tp - t0) / (t1 - t0) > 0.25 AND (tp - t0) / (t1 - t0) < 0.75 THEN 'cut_in' WHEN pk >= 1.6 AND abs(turn) <= 0.6 THEN 'merge' ELSE 'lane_keep' END AS maneuver FROM p"""
+
+
+@query(MANEUVER_SQL)
 def maneuver_label(spark, sf_dir):
-    return labeling.maneuvers(segments(spark, sf_dir), ["user_id"])
+    return labeling.maneuvers(first_segments(spark, sf_dir), ["user_id"])
+
+
+@query(_of_all_windows(MANEUVER_SQL))
+def maneuver_label_windows(spark, sf_dir):
+    return labeling.maneuvers(segments(spark, sf_dir), SEGMENT)
 
 
 def _feature_query(names: str, sql: dict[str, str], digits: int = 5) -> None:
     columns = names.split()
 
     def run(spark, sf_dir):
-        return rounded(features.motion_features(segments(spark, sf_dir), ["user_id"]).select("user_id", *columns), digits)
+        return rounded(features.motion_features(first_segments(spark, sf_dir), ["user_id"]).select("user_id", *columns), digits)
+
+    def run_windows(spark, sf_dir):
+        return rounded(features.motion_features(segments(spark, sf_dir), SEGMENT).select(*SEGMENT, *columns), digits)
 
     run.__name__ = sql.pop("name")
-    query(f"WITH {KIN_SQL} SELECT user_id, " + ", ".join(f"{q(sql[c], digits)} AS {c}" for c in columns) + " FROM kin GROUP BY user_id")(run)
+    run_windows.__name__ = run.__name__ + "_windows"
+    text = f"WITH {KIN_SQL} SELECT user_id, " + ", ".join(f"{q(sql[c], digits)} AS {c}" for c in columns) + " FROM kin GROUP BY user_id"
+    query(text)(run)
+    query(_of_all_windows(text))(run_windows)
 
 
 _feature_query("speed_mean speed_std speed_max speed_min", {"name": "feat_speed", "speed_mean": "avg(speed)", "speed_std": "stddev_pop(speed)", "speed_max": "max(speed)", "speed_min": "min(speed)"})
@@ -394,12 +423,12 @@ def feat_psd(spark, sf_dir):
 @query()
 def segment_features(spark, sf_dir):
     """All thirty; the groups of them are compared one by one above."""
-    return rounded(features.extract_features(segments(spark, sf_dir), ["user_id"]))
+    return rounded(features.extract_features(segments(spark, sf_dir), SEGMENT))
 
 
 @query()
 def pivot_tensor(spark, sf_dir):
-    return windows.nested(segments(spark, sf_dir), ["user_id"], "t", ["x", "y", "heading", "speed", "yaw_rate"])
+    return windows.nested(segments(spark, sf_dir), SEGMENT, "t", ["x", "y", "heading", "speed", "yaw_rate"])
 
 
 # Metrics
@@ -663,7 +692,7 @@ def synthetic_tracks(spark, sf_dir):
 
 @query()
 def recorder_noise(spark, sf_dir):
-    return rounded(simulate.recorder_noise(segments(spark, sf_dir), ["user_id"], "real"))
+    return rounded(simulate.recorder_noise(segments(spark, sf_dir), SEGMENT, "real"))
 
 
 @query()
@@ -692,8 +721,9 @@ def keyframe_observations(spark, sf_dir):
 
 
 def _examples(spark, sf_dir):
-    rows = features.motion_features(segments(spark, sf_dir), ["user_id"])
-    return rows.select(F.col("user_id").alias("segment_id"), (F.col("user_id") % 2).alias("y"), splits.split_of(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("split"), "speed_mean", "accel_mean", "jerk_p95", "lat_accel_rms", "curvature_mean")
+    """A row for each window; all windows of a user are in one split."""
+    rows = features.motion_features(segments(spark, sf_dir), SEGMENT)
+    return rows.select(F.concat_ws("_", "user_id", "window").alias("segment_id"), (F.col("user_id") % 2).alias("y"), splits.split_of(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("split"), "speed_mean", "accel_mean", "jerk_p95", "lat_accel_rms", "curvature_mean")
 
 
 _MODEL_FEATURES = ["speed_mean", "accel_mean", "jerk_p95", "lat_accel_rms", "curvature_mean"]

@@ -270,3 +270,14 @@ def test_queries_against_sql(spark, sf_dir, name):
     rows = sorted(([r[n] for n in names] for r in got.collect()), key=key)
     assert len(rows) == len(want)
     assert all(same(x, y) for a, b in zip(rows, want, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_all_windows_of_a_long_series_are_segments(spark, tmp_path):
+    rows = [(u * 1000 + i, u, f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", "click", float(i * 37 % 500), json.dumps({"k": i * 13 % 100})) for u, n in ((1, 300), (2, 61), (3, 60)) for i in range(n)]
+    events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    want = {(1, w) for w in range(8)} | {(2, 0)}
+    for name in ("maneuver_label_windows", "feat_speed_windows", "segment_features", "pivot_tensor", "recorder_noise"):
+        got = {(r["user_id"], r["window"]) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).select("user_id", "window").collect()}
+        assert got == want, name
+    assert __spark_entry__.queries()["recorder_noise"](spark, str(tmp_path)).count() == 61 * len(want)
