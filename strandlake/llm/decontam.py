@@ -1,29 +1,73 @@
 """Benchmark decontamination by spaced seeds.
 
-Texts are lower-cased and cut into runs of letters and digits. A mask (such as 11011001011) is laid on every position of
-a document and of a benchmark item; only the tokens under its ones are hashed, so a substituted token under a zero does
-no harm, and several masks cover for one another. Equal hashes are hits. For each hit the item is aligned with the
-document at that offset and all its tokens are compared: the pair is reported if at least ``share`` of the item's
-tokens stand at their places. Any substitution pattern is tolerated that leaves one mask whole somewhere.
-
-Items shorter than the mask are padded on the document's side by nothing: they are looked up whole, by the hash of all
-their tokens at every position (one more mask for each such length). Null or empty texts have no tokens and match
-nothing. Repeated rows are reported once per (doc_id, item_id).
+Texts are lower-cased and cut into runs of letters and digits. A mask (such as 1101) is laid on every position of a document
+and of a benchmark item; only the tokens under its ones are hashed, so a substituted token under a zero does no harm, and
+several masks cover for one another. Equal hashes are hits. For each hit the item is aligned with the document at that
+offset and all its tokens are compared: the pair is reported if at least ``share`` of the item's tokens stand at their
+places.
+
+Masks are chosen by the lengths of the items so that no such pair is lost: a set of masks has all ways to place its weight
+of ones within a span, and is taken for a length only if that many tokens in place can't be spread without that weight of
+them falling within the span. What lies in place is in the document, so short documents lose nothing either. Null or empty
+texts have no tokens and match nothing. Repeated rows are reported once per (doc_id, item_id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Span 11, seven tokens compared under each.
-MASKS = ("11011001011", "10110110101", "11100101101")
+#: Masks of one set at most, while a lower weight needs fewer; and their weight at most.
+MOST_MASKS, MOST_WEIGHT = 10, 7
 #: Hashes of the benchmark that are broadcast at most (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_HASHES = 200_000
 
 
+def masks_within(weight: int, span: int) -> list[str]:
+    """All masks of that weight and at most that span that begin and end with a one."""
+    if weight == 1:
+        return ["1"]
+    ones = [{0, *c} for c in combinations(range(1, span), weight - 1)]
+    return ["".join("1" if i in o else "0" for i in range(max(o) + 1)) for o in ones]
+
+
+def surely_hit(n: int, least: int, weight: int, span: int) -> bool:
+    """Whether any ``least`` of n places have ``weight`` within ``span``: most that avoid it stand weight - 1 in a span."""
+    return least > (weight - 1) * (n // span) + min(weight - 1, n % span)
+
+
+def least_in_place(n: int, share: float) -> int:
+    """How many of n tokens make a leak, one at least; compared as the rows are."""
+    return next((m for m in range(1, n) if m >= share * n), n)
+
+
+def masks_for(n: int, share: float) -> list[str]:
+    """Masks that hit any item of n tokens with ``share`` of them in place: the greatest weight that few masks serve."""
+    least = least_in_place(n, share)
+    for weight in range(min(MOST_WEIGHT, least), 1, -1):
+        for span in range(weight, n + 1):
+            if comb(span - 1, weight - 1) > MOST_MASKS:
+                break
+            if surely_hit(n, least, weight, span):
+                return masks_within(weight, span)
+    if least >= 2:  # weight 2 with as long a span as it takes
+        return masks_within(2, next(s for s in range(2, n + 1) if surely_hit(n, least, 2, s)))
+    return ["1"]
+
+
+def mask_lengths(lengths: Iterable[int], share: float) -> dict[str, list[int]]:
+    """The masks, each with the item lengths it serves."""
+    out: dict[str, list[int]] = {}
+    for n in sorted(lengths):
+        for mask in masks_for(n, share):
+            out.setdefault(mask, []).append(n)
+    return out
+
+
 def token_hashes(text: Column) -> Column:
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -33,36 +77,44 @@ def mask_hash(tokens: Column, at: Column, mask: str, m: int) -> Column:
     return F.xxhash64(F.lit(m), *[F.get(tokens, at + i) for i, c in enumerate(mask) if c == "1"])
 
 
-def seeded(df: DataFrame, key: str, masks: Sequence[str]) -> DataFrame:
-    """key, at, h: a row for each position and mask that fits there. The tokens are left behind with the first step."""
+def seeded(df: DataFrame, key: str, masks: Sequence[str], serves: Sequence[Sequence[int]] | None = None) -> DataFrame:
+    """key, at, h: a row for each position and mask that fits there and, if given, serves texts of that length. The tokens
+    are left behind with the first step."""
+    if not masks:
+        return df.select(key, F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("h")).limit(0)
     least = min(map(len, masks))
     n = F.size("tokens")
-    hashes = F.array(*[
-        mask_hash(F.col("tokens"), F.col("at"), x, m) if len(x) == least
-        else F.when(F.col("at") + len(x) <= n, mask_hash(F.col("tokens"), F.col("at"), x, m))
-        for m, x in enumerate(masks)
-    ])
+    hashes = []
+    for m, x in enumerate(masks):
+        h = mask_hash(F.col("tokens"), F.col("at"), x, m)
+        if len(x) > least:
+            h = F.when(F.col("at") + len(x) <= n, h)
+        hashes.append(h if serves is None else F.when(n.isin(list(serves[m])), h))
     placed = df.filter(n >= least).select(key, "tokens", F.explode(F.sequence(F.lit(0), n - least)).alias("at"))
-    return placed.select(key, "at", hashes.alias("hs")).select(key, "at", F.explode("hs").alias("h")).filter("h is not null")
+    return placed.select(key, "at", F.array(*hashes).alias("hs")).select(key, "at", F.explode("hs").alias("h")).filter("h is not null")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = MASKS, share: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """Leaks: doc_id, item_id, matched (tokens at their places), item_tokens, overlap (matched / item_tokens)."""
     items = benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).distinct()
-    span = min(map(len, masks))
-    short = [r[0] for r in items.filter(F.size("tokens") < span).select(F.size("tokens").alias("n")).distinct().orderBy("n").collect()]
-    masks = [*masks, *("1" * n for n in short)]  # at most span - 1 more
-    keyed = seeded(items, "item_id", masks).select("h", "item_id", F.col("at").alias("item_at")).distinct()
+    lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).distinct().collect()]
+    serves = mask_lengths(lengths, share)
+    masks = list(serves)
+    keyed = seeded(items, "item_id", masks, list(serves.values())).select("h", "item_id", F.col("at").alias("item_at")).distinct()
     if keyed.count() <= BROADCAST_HASHES:
         keyed = F.broadcast(keyed)
     texts = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    hits = seeded(texts, "doc_id", masks).join(keyed, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    sought = hits.join(items.withColumnRenamed("tokens", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits"))  # the hits of one document
+    hits = seeded(texts, "doc_id", masks).join(keyed, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+    hits = hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts"))
+    sought = hits.join(items.withColumnRenamed("tokens", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shifts", "item")).alias("hits"))  # the hits of one document
     both = texts.join(sought.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
 
+    def in_place(hit: Column, shift: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(hit["item"]) - 1), lambda i: F.get("tokens", i + shift) == F.get(hit["item"], i))
+
     def judged(hit: Column) -> Column:
-        same = F.filter(F.sequence(F.lit(0), F.size(hit["item"]) - 1), lambda i: F.get("tokens", i + hit["shift"]) == F.get(hit["item"], i))
-        return F.struct(hit["item_id"].alias("item_id"), F.size(same).cast("bigint").alias("matched"), F.size(hit["item"]).cast("bigint").alias("item_tokens"))
+        matched = F.array_max(F.transform(hit["shifts"], lambda s: F.size(in_place(hit, s))))
+        return F.struct(hit["item_id"].alias("item_id"), matched.cast("bigint").alias("matched"), F.size(hit["item"]).cast("bigint").alias("item_tokens"))
 
     rows = both.select("doc_id", F.transform("hits", judged).alias("found")).select("doc_id", F.inline("found"))
     best = rows.filter(F.col("matched") >= F.lit(share) * F.col("item_tokens")).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))

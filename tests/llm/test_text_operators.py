@@ -120,6 +120,34 @@ def test_leaks_of_short_items_awkward_rows_and_the_shuffled_join(spark, monkeypa
     assert clean.columns == d.columns and clean.count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("share", [0.5, 0.8, 0.3])
+def test_masks_lose_no_leak(share):
+    import itertools
+
+    for n in range(1, 16):
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in decontam.masks_for(n, share)]
+        placed = [sum(1 << (at + i) for i in m) for m in masks for at in range(n - m[-1])]
+        least = decontam.least_in_place(n, share)
+        assert all(any(p & kept == p for p in placed) for kept in (sum(1 << i for i in c) for c in itertools.combinations(range(n), least))), n
+
+
+def test_no_leak_is_lost_at_any_substitution(spark):
+    rng = random.Random(8)
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in (2, 3, 4, 7, 8, 10, 11, 12, 13, 15, 31)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string")
+    texts, want = [], set()
+    for n, words in items.items():
+        for k in range(40):
+            gone = set(rng.sample(range(n), n // 2 if k else 0)) if k < 39 else set(range(1, n, 2))
+            words_left = [f"gone{i}" if i in gone else w for i, w in enumerate(words)]
+            texts.append(" ".join(words_left))
+            want.add((len(texts) - 1, n))
+    texts += [" ".join(items[15][a : a + 8]) for a in range(8)] + [" ".join(items[15][a : a + 7]) for a in range(9)]
+    want |= {(len(texts) - 17 + a, 15) for a in range(8)}
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.decontaminate(documents(spark, texts), bench).collect()}
+    assert got == want
+
+
 # License scan
 
 
