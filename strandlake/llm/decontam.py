@@ -3,10 +3,16 @@
 Texts are lower-cased and cut into runs of letters and digits. A mask (such as 1101) is laid on every position of a document
 and of a benchmark item; only the tokens under its ones are hashed, so a substituted token under a zero does no harm, and
 several masks cover for one another. Equal hashes are hits. For each hit the item is aligned with the document at that
-offset and all its tokens are compared: the pair is reported if at least ``share`` of the item's tokens stand at their
-places.
+offset and all its tokens are compared. A pair is reported if
 
-Masks are chosen by the lengths of the items so that no such pair is lost: a set of masks has all ways to place its weight
+* at least ``share`` of the item's tokens stand at their places at one offset, or
+* of some 13 tokens in a row of the item, at least 11 (80 %) do, however long the item is, or
+* at least ``share`` of them stand in the item's order at offsets up to 8 apart, two of which have hits: words were inserted
+  or left out.
+
+``matched`` counts the tokens at the best single offset, and in the last case those of all offsets joined.
+
+Masks are chosen by the lengths of the items so that no pair of the first two kinds is lost: a set of masks has all ways to place its weight
 of ones within a span, and is taken for a length only if that many tokens in place can't be spread without that weight of
 them falling within the span. What lies in place is in the document, so short documents lose nothing either. Null or empty
 texts have no tokens and match nothing. Repeated rows are reported once per (doc_id, item_id).
@@ -21,6 +27,10 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A stretch of an item: so many tokens in a row, of which at least so many are in place (80 %).
+STRETCH, STRETCH_LEAST = 13, 11
+#: Offsets of one item are joined if they are no further apart.
+JOINED = 8
 #: Masks of one set at most, while a lower weight needs fewer; and their weight at most.
 MOST_MASKS, MOST_WEIGHT = 10, 7
 #: Hashes of the benchmark that are broadcast at most (24 bytes each); beyond, both sides are shuffled.
@@ -46,13 +56,14 @@ def least_in_place(n: int, share: float) -> int:
 
 
 def masks_for(n: int, share: float) -> list[str]:
-    """Masks that hit any item of n tokens with ``share`` of them in place: the greatest weight that few masks serve."""
+    """Masks that hit any item of n tokens with ``share`` of them, or a stretch, in place: the greatest weight that few masks serve."""
     least = least_in_place(n, share)
-    for weight in range(min(MOST_WEIGHT, least), 1, -1):
+    wanted = [(n, least)] + [(STRETCH, STRETCH_LEAST)] * (n >= STRETCH)
+    for weight in range(min(MOST_WEIGHT, *(m for _, m in wanted), n), 1, -1):
         for span in range(weight, n + 1):
             if comb(span - 1, weight - 1) > MOST_MASKS:
                 break
-            if surely_hit(n, least, weight, span):
+            if all(surely_hit(k, m, weight, span) for k, m in wanted):
                 return masks_within(weight, span)
     if least >= 2:  # weight 2 with as long a span as it takes
         return masks_within(2, next(s for s in range(2, n + 1) if surely_hit(n, least, 2, s)))
@@ -109,15 +120,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
     sought = hits.join(items.withColumnRenamed("tokens", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shifts", "item")).alias("hits"))  # the hits of one document
     both = texts.join(sought.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
 
-    def in_place(hit: Column, shift: Column) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size(hit["item"]) - 1), lambda i: F.get("tokens", i + shift) == F.get(hit["item"], i))
+    def at_offset(hit: Column, shift: Column) -> Column:
+        """How many tokens are in place, and whether a stretch of them is."""
+        places = F.filter(F.sequence(F.lit(0), F.size(hit["item"]) - 1), lambda i: F.get("tokens", i + shift) == F.get(hit["item"], i))
 
-    def judged(hit: Column) -> Column:
-        matched = F.array_max(F.transform(hit["shifts"], lambda s: F.size(in_place(hit, s))))
-        return F.struct(hit["item_id"].alias("item_id"), matched.cast("bigint").alias("matched"), F.size(hit["item"]).cast("bigint").alias("item_tokens"))
+        def told(same: Column) -> Column:  # a lambda's variable is computed once
+            close = F.size(F.filter(same, lambda p, j: F.get(same, j + (STRETCH_LEAST - 1)) - p < STRETCH)) > 0
+            return F.struct(F.size(same).alias("n"), (close & (F.size(hit["item"]) >= STRETCH)).alias("stretch"))
+
+        return F.get(F.transform(F.array(places), told), F.lit(0))
 
-    rows = both.select("doc_id", F.transform("hits", judged).alias("found")).select("doc_id", F.inline("found"))
-    best = rows.filter(F.col("matched") >= F.lit(share) * F.col("item_tokens")).groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))
+    def joined(hit: Column, base: Column) -> Column:
+        """Most tokens in the item's order at the offsets base to base + JOINED. A state is the rows of the last steps, the
+        newest first: the most with the last token at each offset. From a higher offset one gets down by leaving out tokens."""
+        width = JOINED + 1
+        offsets = F.sequence(F.lit(0), F.lit(JOINED))
+
+        def step(rows: Column, i: Column) -> Column:
+            reach = lambda o: F.array_max(F.transform(offsets, lambda p: F.get(F.get(rows, F.greatest(F.lit(0), p - o)), p)))
+            same = lambda o: F.coalesce(F.get("tokens", i + base + o) == F.get(hit["item"], i), F.lit(False)).cast("int")
+            return F.concat(F.array(F.transform(offsets, lambda o: reach(o) + same(o))), F.slice(rows, 1, JOINED))
+
+        nothing = F.array_repeat(F.array_repeat(F.lit(0), width), width)
+        return F.aggregate(F.sequence(F.lit(0), F.size(hit["item"]) - 1), nothing, step, lambda rows: F.array_max(F.get(rows, F.lit(0))))
+
+    def judged(hit: Column) -> Column:
+        return F.struct(hit["item_id"].alias("item_id"), hit["item"].alias("item"), hit["shifts"].alias("shifts"), F.transform(hit["shifts"], lambda s: at_offset(hit, s)).alias("at"))
+
+    def told(hit: Column) -> Column:
+        n = F.size(hit["item"])
+        most = F.array_max(F.transform(hit["at"], lambda a: a["n"]))
+        leaks = (most >= F.lit(share) * n) | F.exists(hit["at"], lambda a: a["stretch"])
+        near = F.filter(hit["shifts"], lambda s, j: F.get(hit["shifts"], j + 1) - s <= JOINED)
+        together = F.when(~leaks & (F.size(near) > 0), F.array_max(F.transform(near, lambda s: joined(hit, s))))
+        matched = F.when(leaks, most).when(together >= F.lit(share) * n, together)
+        return F.struct(hit["item_id"].alias("item_id"), matched.cast("bigint").alias("matched"), n.cast("bigint").alias("item_tokens"))
+
+    rows = both.select("doc_id", "tokens", F.transform("hits", judged).alias("hits")).select("doc_id", F.transform("hits", told).alias("found")).select("doc_id", F.inline("found"))
+    best = rows.filter("matched is not null").groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_tokens").alias("item_tokens"))
     return best.withColumn("overlap", F.col("matched") / F.col("item_tokens"))
 
 

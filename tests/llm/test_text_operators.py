@@ -148,6 +148,22 @@ def test_no_leak_is_lost_at_any_substitution(spark):
     assert got == want
 
 
+def test_passages_of_long_items_and_edited_items_are_leaks(spark):
+    words = {1: [f"a{i}" for i in range(59)], 2: [f"b{i}" for i in range(500)], 3: [f"c{i}" for i in range(20)], 4: [f"d{i}" for i in range(12)]}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in words.items()], "item_id bigint, text string")
+    a, b, c, d = words.values()
+    swapped = lambda w, *gone: ["zzz" if i in gone else x for i, x in enumerate(w)]
+    cases = [
+        (a[7:36], 1, 29), (b[100:300], 2, 200), (swapped(b[40:53], 4, 8), 2, 11), (swapped(b[40:53], 4, 6, 8), None, 0), (b[40:50], None, 0),
+        (swapped([*c[:10], "new", *c[10:]], 1, 5, 9, 12, 16, 20), 3, 14),  # seven in place at either offset, ten are asked for
+        (swapped([*c[:9], *c[11:]], 2, 5, 12, 14), 3, 14),  # two left out
+        (swapped([*d[:6], "new", *d[6:]], 1, 11), 4, 10),
+        (c[:4] + ["x"] * 40 + c[8:12], None, 0),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontam.decontaminate(documents(spark, ["before it " + " ".join(w) + " after" for w, _, _ in cases]), bench).collect()}
+    assert got == {(i, k): n for i, (_, k, n) in enumerate(cases) if k}
+
+
 # License scan
 
 
