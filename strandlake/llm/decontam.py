@@ -130,6 +130,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
 
         return F.get(F.transform(F.array(places), told), F.lit(0))
 
+    def anywhere(hit: Column, base: Column) -> Column:
+        """How many of the item's tokens stand at any of the offsets that are joined: no less than joined() finds."""
+        return F.size(F.filter(F.sequence(F.lit(0), F.size(hit["item"]) - 1), lambda i: F.array_contains(F.slice("tokens", F.greatest(F.lit(0), i + base) + 1, F.greatest(F.lit(0), JOINED + 1 + F.least(F.lit(0), i + base))), F.get(hit["item"], i))))
+
     def joined(hit: Column, base: Column) -> Column:
         """Most tokens in the item's order at the offsets base to base + JOINED. A state is the rows of the last steps, the
         newest first: the most with the last token at each offset. From a higher offset one gets down by leaving out tokens."""
@@ -151,9 +155,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
         n = F.size(hit["item"])
         most = F.array_max(F.transform(hit["at"], lambda a: a["n"]))
         leaks = (most >= F.lit(share) * n) | F.exists(hit["at"], lambda a: a["stretch"])
-        near = F.filter(hit["shifts"], lambda s, j: F.get(hit["shifts"], j + 1) - s <= JOINED)
-        together = F.when(~leaks & (F.size(near) > 0), F.array_max(F.transform(near, lambda s: joined(hit, s))))
-        matched = F.when(leaks, most).when(together >= F.lit(share) * n, together)
+        near = F.filter(hit["shifts"], lambda s, j: (F.get(hit["shifts"], j + 1) - s <= JOINED) & (anywhere(hit, s) >= F.lit(share) * n))
+        together = F.array_max(F.filter(F.transform(near, lambda s: joined(hit, s)), lambda m: m >= F.lit(share) * n))
+        matched = F.when(leaks, most).otherwise(together)
         return F.struct(hit["item_id"].alias("item_id"), matched.cast("bigint").alias("matched"), n.cast("bigint").alias("item_tokens"))
 
     rows = both.select("doc_id", "tokens", F.transform("hits", judged).alias("hits")).select("doc_id", F.transform("hits", told).alias("found")).select("doc_id", F.inline("found"))
