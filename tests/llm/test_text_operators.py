@@ -419,8 +419,65 @@ def test_main_text():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p></p>") == ""
 
 
+LONG = "some words that a story of this page could hold, one after the other, "
+TAIL = "<nav><a>menu</a></nav><footer>imprint of the page</footer>"
+
+
+def paragraphs(*sizes):
+    return [(f"{i} " + LONG * (n // len(LONG) + 1))[:n].strip() for i, n in enumerate(sizes)]
+
+
+def test_density_finds_text_without_article_tags():
+    for sizes in ((30, 300, 300, 300, 20000), (20000, 300, 300, 30), (60, 400, 8, 9, 7, 400, 350), (400, 300, 12, 9, 5)):
+        body = paragraphs(*sizes)
+        blocks = [f"<p>{b}</p>" for b in body]
+        page = "<header>Site</header><div id=menu>start</div><div class=story>" + '<div class="ad">buy this now</div>'.join(blocks) + "</div><div class='related-links'><p>another story</p><p>and one more</p></div>" + TAIL
+        assert htmltext.main_text(page) == "\n\n".join(body)
+        wrapped = f"<div class='layout has-sidebar'><form action=x><article>{''.join(blocks)}</article></form></div><p>a line of the page round it</p>" + TAIL
+        assert htmltext.main_text(wrapped) == "\n\n".join(body)
+        framed = f"<form id=aspnetForm><div>{''.join(blocks)}</div></form><form><p>your mail</p></form>" + TAIL
+        assert htmltext.main_text(framed) == "\n\n".join(body)
+    teaser = "<article><h2>Read this, too</h2></article>" + TAIL + "<div>" + "".join(f"<p>{b}</p>" for b in paragraphs(300, 400, 200)) + "</div>"
+    assert htmltext.main_text(teaser) == "\n\n".join(paragraphs(300, 400, 200))
+
+
+def test_windows_decide(monkeypatch):
+    body = paragraphs(300, 400, 20, 380, 350)
+    page = "<div>" + "".join(f"<p>{b}</p>" for b in body[:2]) + f"<section class=tags><p>{body[2]}</p></section>" + "".join(f"<p>{b}</p>" for b in body[3:]) + "</div>"
+    lone = "<section><p>far off</p></section><section><p>and short</p></section><section><p>so no text</p></section>" + page + "<section><p>short, too</p></section><section><p>and after it</p></section>"
+    assert body[2] in htmltext.main_text(page) and "far off" not in htmltext.main_text(lone) and "after it" not in htmltext.main_text(lone)
+    title = "<div><h1>A title</h1></div><div>" + "".join(f"<p>{b}</p>" for b in body) + "</div>"
+    assert htmltext.main_text(title).startswith("A title")
+    monkeypatch.setattr(htmltext, "WINDOW", 1)
+    assert not htmltext.main_text(title).startswith("A title")  # its neighbours lift it over the threshold
+
+
+def test_blocks_of_an_article_stay_whatever_their_class():
+    classes = ["tags", "discussion", "side-effects", "form", "share-price", "foot", "reply", "header", "menu"]
+    page = "<article><header><h1>Head</h1><p>by someone</p></header>" + "".join(f"<p>{LONG * 4}</p><section class='{c}'><p>about {c}</p></section>" for c in classes) + "<div class='comment-list'><p>nice</p></div></article>"
+    got = htmltext.main_text(page)
+    assert all(f"about {c}" in got for c in classes) and got.startswith("Head") and "nice" not in got and "by someone" not in got
+
+
+def test_tokenizer_follows_the_rules_in_linear_time():
+    import time
+
+    cases = {
+        '<p title="x>Text one</p><p class="b">Text two</p>': "Text two", "<p>1 < 2 and a<b></p>": "1 < 2 and a", "<p>a<!-- <p>x --!>b<!-->c<!--->d</p>": "abcd", "a</>b</ x>c<?php y>d<!doctype z>e": "abcde",
+        "<p a=b/ c='>' d>x&ampy &lt;p&gt;</p>": "x&y <p>", "<SCRIPT>if (a</b) '</p>'</Script ><p>t<textarea><p>no</textarea>u": "tu", "<p>one<p>two<div>three<li>four<li>five</div></p>six": "one\n\ntwo\n\nthree\n\nfour\n\nfive\n\nsix",
+        "<table><tr><td>a<td>b<tr><td>c<table><tr><td>d</table>e</table>": "a\n\nb\n\nc\n\nd\n\ne", "ab<wbr>cd<br>e<i>f</i>g&nbsp;h": "abcd efg h", "<p>x</p><p title='": "x", "x<!-- y": "x", "x<script>y": "x",
+    }
+    for page, want in cases.items():
+        assert "\n\n".join(line.text for line in htmltext.lines_of(page)) == want, page
+    for page in ('<a b="' * 170_000, "<div>" * 60_000 + "</x></p>" * 60_000, "<!--x-->" * 100_000, "<" * 500_000, "<td><b-x>" * 50_000 + "</b-x>" * 50_000, "<p " + "a = " * 200_000, "<p>" + "word " * 300_000):
+        began = time.perf_counter()
+        htmltext.main_text(page)
+        assert time.perf_counter() - began < 5
+
+
 def test_pages(spark, sf_dir):
-    source = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    source = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumns({"text": F.lit("x"), "n_chars": F.lit(1)})
+    assert htmltext.extract_text(spark, source.limit(0)).count() == 0
     got = {r["page_id"]: r for r in htmltext.extract_text(spark, source).collect()}
     import html
 
