@@ -378,29 +378,62 @@ def test_near_duplicates_of_awkward_rows(spark):
 # Token counts
 
 
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=queries.VOCABULARY)
+
+
 @pytest.fixture(scope="module")
 def machine():
     with open(queries.VOCABULARY, "rb") as f:
-        return tokencount.Transducer(f.read())
+        return tokencount.Transducer(tokencount.compiled(f.read()))
 
 
-def test_token_counts_are_the_librarys(spark, docs, texts, machine):
-    got = {r["doc_id"]: r for r in tokencount.count_tokens(spark, docs, queries.VOCABULARY).collect()}
-    assert set(got) == set(texts)
-    for i, t in texts.items():
-        n = len(machine.library.encode(t))
-        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len(t.encode()), n > 4096)
-    rows = tokencount.count_tokens(spark, documents(spark, AWKWARD), queries.VOCABULARY).collect()
-    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(machine.library.encode(t or "")) for i, t in enumerate(AWKWARD)}
+@pytest.mark.parametrize("chunk", [7, 1000, tokencount.CHUNK])
+def test_token_counts_are_the_librarys(spark, docs, texts, library, chunk):
+    rows = docs.limit(60) if chunk == 7 else docs.withColumn("text_hash", F.lit(1))
+    got = {r["doc_id"]: r for r in tokencount.count_tokens(spark, rows, queries.VOCABULARY, chunk=chunk).collect()}
+    assert len(got) == rows.count()
+    for i, r in got.items():
+        n = len(library.encode(texts[i]))
+        assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n, len(texts[i].encode()), n > 4096)
+    odd = documents(spark, [*AWKWARD, "日本" * 3000, "a" + " " * 900 + "b", "x" * 50_000]).withColumn("chunk", F.lit(2))
+    rows = tokencount.count_tokens(spark, odd, queries.VOCABULARY, chunk=chunk).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {r["doc_id"]: len(library.encode(r["text"] or "")) for r in odd.collect()}
+    assert tokencount.count_tokens(spark, odd.limit(0), queries.VOCABULARY, chunk=chunk).count() == 0
+    again = spark.createDataFrame([(None, "one two three")] * 3 + [(4, "one two three")] * 2 + [(4, "four")], "doc_id bigint, text string")
+    assert sorted(r["n_tokens"] for r in tokencount.count_tokens(spark, again, queries.VOCABULARY, chunk=chunk).collect()) == [1] + [3] * 5
+
+
+ALPHABET = ["a", "b", " ", "  ", "\n", "▁", "é", "́", "<s>", "</s>", "<unk>", "日本", "\t", "the", "ing", " ", "\x00", "12", "   ", ".", "😀", "<0x0A>", " " * 17, "ss", "==", "tion", "er"]
 
 
-def test_state_maps_compose_at_any_cut(machine):
+def test_state_maps_compose_at_any_cut(machine, library):
     rng = random.Random(4)
-    alphabet = ["a", "b", " ", "  ", "\n", "▁", "é", "́", "<s>", "</s>", "<unk>", "日本", "\t", "the", "ing", " ", "\x00", "12", "   ", ".", "😀", "<0x0A>"]
     for _ in range(1500):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
-        want = len(machine.library.encode(text))
-        assert [machine.scan(text, c) for c in (1, 3, tokencount.CHUNK)] == [want] * 3, text
+        text = "".join(rng.choice(ALPHABET) for _ in range(rng.randrange(1, 30)))
+        want = len(library.encode(text))
+        assert machine.run(tokencount.marked(text, True)) == want, text
+        for c in (1, 3, 8):
+            assert machine.total([machine.state_map(tokencount.marked(text[a : a + c], not a)) for a in range(0, len(text), c)]) == want, text
+
+
+def test_transitions_are_deterministic_and_survive_a_restart(machine, library):
+    rng = random.Random(6)
+    small = tokencount.Transducer(machine.merges, most=50)
+    for _ in range(300):
+        text = tokencount.marked("".join(rng.choice(ALPHABET) for _ in range(rng.randrange(1, 20))), True)
+        assert small.run(text) == machine.run(text) == sum(n for _, n in steps(machine, text))
+        assert [s.ends for s, _ in steps(machine, text)] == [s.ends for s, _ in steps(machine, text)]
+
+
+def steps(machine, text):
+    state = machine.start
+    for c in text:
+        state, n = state[c]
+        yield state, n
 
 
 # HTML extraction
