@@ -30,6 +30,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.made = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.path, conf = spark._jvm.org.apache.hadoop.fs.Path(self.base), spark._jsc.hadoopConfiguration()
+        self.path.getFileSystem(conf).deleteOnExit(self.path)  # what a result still reads goes when the driver ends
 
     def save(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """The table read again; ``files``: at most so many tasks and files, for rows whose number is known."""
@@ -40,6 +42,16 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Saves a result and drops all tables before it."""
+        before, self.base = self.base, f"{self.base}-result"
+        self.path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = self.path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.deleteOnExit(self.path)
+        out = self.save(df)
+        files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(before), True)
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
@@ -51,6 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores after it until no frame has such a column (in any case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,11 +5,12 @@ its segmentations into pieces, by the forward algorithm; a text's is the product
 fitted by expectation-maximisation (forward-backward over the same segmentations), starting from the vocabulary's own
 segmentation. The prediction is the most likely language, the score its posterior under equal priors.
 
-Words are runs of letters, lower-cased, with the space mark in front; runs of over 32 letters are scored in parts of
-32. A letter without a piece has the same small probability in every language. The model is fitted on a sample of
+Words are runs of letters, lower-cased, with the space mark in front, whatever their length: the forward sums of a word are
+scaled up, by language, before they get too small for their format. A letter without a piece has the same small probability in every language. The model is fitted on a sample of
 labelled documents: at most ``sample`` a language, by least hash in that many hash cells, which is bounded and does not
 depend on how rows are dealt. Everything else covers whole texts of all rows.
 
+Texts of any length are scored whole; equal texts of repeated rows get equal rows, and an empty table gives none.
 A null text or one without a letter is ``und`` with score 0, as is every text if nothing can be learned. Equal
 likelihoods: the first language in order of name. Documents whose crc32(doc_id as text) mod 3 is 1 are held out.
 """
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 
 from ._shared import kept, rows_of, values_of
 
-SPACE, LONGEST_RUN = "▁", 32
+SPACE = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = 1e-9
 TEXTS_AT_ONCE = 256
+#: Forward sums below this are scaled up; places of a word that are looked up at once.
+SMALL, PLACES = 1e-120, 4096
 
 
 class Vocabulary:
@@ -94,47 +97,73 @@ def by_length(words: Iterable[str]) -> dict[int, list[str]]:
     return out
 
 
-def forward(lattice: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """alpha[word, end, language]: the sum over all segmentations of the first ``end`` characters."""
-    count, n, most = lattice.shape
-    alpha = np.zeros((count, n + 1, table.shape[1]))
-    alpha[:, 0] = 1
-    for end in range(1, n + 1):
-        for m in range(min(most, end)):
-            ids = lattice[:, end - m - 1, m]
-            alpha[:, end] += alpha[:, end - m - 1] * table[ids]
-    return alpha
+class Sums:
+    """Sums over the segmentations of what comes before a place of each word, by language: values times exp(scales)."""
+
+    def __init__(self, words: int, languages: int, reach: int):
+        self.near = np.zeros((words, reach, languages))  # of the last places, the latest first, all at the present scale
+        self.near[:, 0] = 1
+        self.scale = np.zeros((words, languages))
+
+    def step(self, probabilities: np.ndarray) -> np.ndarray:
+        """To the next place. probabilities: (words, length, languages), of the pieces that end there."""
+        now = np.einsum("wml,wml->wl", self.near[:, : probabilities.shape[1]], probabilities)
+        self.near[:, 1:] = self.near[:, :-1]
+        self.near[:, 0] = now
+        if now.min(initial=1.0) < SMALL:
+            top = self.near.max(1)
+            by = np.where((top > 0) & (top < SMALL), top, 1.0)
+            self.near /= by[:, None]
+            self.scale += np.log(by)
+        return self.near[:, 0]
+
+
+def log_likelihoods(words: Sequence[str], vocabulary: Vocabulary, table: np.ndarray) -> np.ndarray:
+    """For words of one length: log of the sum over all segmentations, by language; a part of a long word at a time."""
+    n, reach = len(words[0]), min(len(words[0]), vocabulary.longest)
+    sums = Sums(len(words), table.shape[1], reach)
+    for at in range(0, n, PLACES):
+        first = max(0, at - reach + 1)
+        lattice = vocabulary.lattice([w[first : at + PLACES] for w in words])
+        for end in range(at + 1, min(n, at + PLACES) + 1):
+            lengths = np.arange(min(lattice.shape[2], end - first))
+            sums.step(table[lattice[:, end - first - 1 - lengths, lengths]])
+    with np.errstate(divide="ignore"):
+        return np.log(sums.near[:, 0]) + sums.scale
 
 
 def expected(words: dict[str, np.ndarray], vocabulary: Vocabulary, table: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language. words: how often each language has it."""
     out = np.zeros_like(table)
     for n, group in by_length(words).items():
-        for at in range(0, len(group), 4096):
-            part = group[at : at + 4096]
+        step = max(1, 100_000 // n)
+        for at in range(0, len(group), step):
+            part = group[at : at + step]
             lattice, often = vocabulary.lattice(part), np.array([words[w] for w in part])
-            alpha, most = forward(lattice, table), lattice.shape[2]
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1
-            for start in range(n - 1, -1, -1):
-                for m in range(min(most, n - start)):
-                    beta[:, start] += table[lattice[:, start, m]] * beta[:, start + m + 1]
-            scale = np.divide(often, alpha[:, n], out=np.zeros_like(often), where=alpha[:, n] > 0)
+            most, shape = lattice.shape[2], (len(part), n + 1, table.shape[1])
+            before, after = (np.zeros(shape), np.zeros(shape)), (np.zeros(shape), np.zeros(shape))  # values, scales
+            for (values, scales), back in ((before, False), (after, True)):
+                sums = Sums(len(part), table.shape[1], most)
+                values[:, n if back else 0] = 1
+                for k in range(1, n + 1):
+                    lengths = np.arange(min(most, k))
+                    ids = lattice[:, n - k, lengths] if back else lattice[:, k - 1 - lengths, lengths]
+                    values[:, n - k if back else k] = sums.step(table[ids])
+                    scales[:, n - k if back else k] = sums.scale
             for start in range(n):
                 for m in range(min(most, n - start)):
                     ids = lattice[:, start, m]
                     used = np.flatnonzero(ids >= 0)
                     if len(used):
-                        i = ids[used]
-                        np.add.at(out, i, alpha[used, start] * table[i] * beta[used, start + m + 1] * scale[used])
+                        i, end = ids[used], start + m + 1
+                        total, shift = before[0][used, n], before[1][used, start] + after[1][used, end] - before[1][used, n]
+                        share = before[0][used, start] * table[i] * after[0][used, end] * np.exp(np.minimum(shift, 700))
+                        np.add.at(out, i, np.divide(share * often[used], total, out=np.zeros_like(total), where=total > 0))
     return out
 
 
 def words_of(text: str) -> list[str]:
-    runs = LETTERS.findall(text.lower())
-    if max(map(len, runs), default=0) > LONGEST_RUN:
-        runs = [run[i : i + LONGEST_RUN] for run in runs for i in range(0, len(run), LONGEST_RUN)]
-    return [SPACE + run for run in runs]
+    return [SPACE + run for run in LETTERS.findall(text.lower())]
 
 
 def fit(texts: Iterable[tuple[str, str]], model: bytes, rounds: int = 2, smooth: float = 0.1) -> Model:
@@ -182,11 +211,11 @@ class Judge:
         new = [w for w in words if w not in self.known]
         while len(self.rows) < len(self.known) + len(new):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for group in by_length(new).values():
-            for at in range(0, len(group), 8192):
-                part, first = group[at : at + 8192], len(self.known)
-                total = forward(self.vocabulary.lattice(part), self.model.table)[:, -1]
-                self.rows[first : first + len(part)] = np.log(np.maximum(total, 1e-300))
+        for n, group in by_length(new).items():
+            step = max(1, min(8192, 400_000 // n))
+            for at in range(0, len(group), step):
+                part, first = group[at : at + step], len(self.known)
+                self.rows[first : first + len(part)] = log_likelihoods(part, self.vocabulary, self.model.table)
                 self.known |= zip(part, range(first, first + len(part)), strict=True)
 
     def judge(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:

@@ -1,6 +1,7 @@
 """Every text operator against a brute-force version or the library itself, and on awkward inputs."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -577,11 +578,60 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum(table[i][0] * slow(w[len(p) :]) for i, p in enumerate(vocabulary.pieces) if w.startswith(p)) or (langid.UNKNOWN * slow(w[1:]))
 
     words = ["▁abab", "▁baba", "▁aaaa"]
-    assert np.allclose(langid.forward(vocabulary.lattice(words), table)[:, -1, 0], [slow(w) for w in words], rtol=1e-12)
+    assert np.allclose(langid.log_likelihoods(words, vocabulary, table)[:, 0], [math.log(slow(w)) for w in words], rtol=1e-12)
     uses = langid.expected({"▁ab": np.array([2.0])}, vocabulary, table)
     assert np.isclose(sum(uses[i][0] * len(p) for i, p in enumerate(vocabulary.pieces)), 2 * 3)
 
 
+@pytest.mark.parametrize("size", [33, 64, 500, 2000])
+def test_long_runs_are_scored_whole(size, monkeypatch):
+    from decimal import Decimal
+
+    import numpy as np
+
+    vocabulary = langid.Vocabulary(["▁", "a", "b", "ab", "bba", "aaaa"])
+    table = np.array([[0.1, 1e-5], [2e-7, 0.2], [1e-6, 0.3], [3e-7, 1e-7], [4e-7, 2e-7], [5e-7, 1e-9], [0.0, 0.0], [langid.UNKNOWN] * 2])
+    rng = random.Random(size)
+    word = "▁" + "".join(rng.choice("abq") for _ in range(size))
+    want = []
+    for k in range(2):
+        sums = [Decimal(1)]
+        for end in range(1, len(word) + 1):
+            known = [(p, table[i][k]) for i, p in enumerate(vocabulary.pieces)] + [("q", langid.UNKNOWN)]
+            sums.append(sum((sums[end - len(p)] * Decimal(float(v)) for p, v in known if word[:end].endswith(p)), Decimal(0)))
+        want.append(float(sums[-1].ln()))
+    for places in (langid.PLACES, 7):
+        monkeypatch.setattr(langid, "PLACES", places)
+        got = langid.log_likelihoods([word, word], vocabulary, table)
+        assert np.allclose(got, [want, want], rtol=1e-9)
+    uses = langid.expected({word: np.array([1.0, 0.0])}, vocabulary, table)
+    assert np.isclose(sum(uses[i][0] * len(p) for i, p in enumerate(vocabulary.pieces)), len(word) - word.count("q"))
+
+
+def test_posterior_of_a_text_against_brute_force(docs, texts):
+    import numpy as np
+
+    model = langid.train(docs, queries.VOCABULARY)
+    judge, place = langid.Judge(model), {p: i for i, p in enumerate(model.pieces)}
+    for text in [*[t[:300] for t in list(texts.values())[:6]], "Das ist ein Haus", "ab", "日本語のテキスト the end"]:
+        logs = np.zeros(len(model.languages))
+        for run in re.findall(r"[^\W\d_]+", text.lower()):
+            word = "▁" + run
+            sums = [np.ones(len(model.languages))]
+            for end in range(1, len(word) + 1):
+                total = np.zeros(len(model.languages))
+                for start in range(max(0, end - 16), end):
+                    piece = word[start:end]
+                    if piece in place and (len(piece) == 1 or langid.LETTERS.fullmatch(piece.lstrip("▁"))):
+                        total += sums[start] * model.table[place[piece]]
+                    elif len(piece) == 1:
+                        total += sums[start] * langid.UNKNOWN
+                sums.append(total)
+            logs += np.log(sums[-1])
+        best = int(np.argmax(logs))
+        assert judge.judge([text])[0] == (model.languages[best], pytest.approx(1 / np.exp(logs - logs[best]).sum(), rel=1e-9))
+
+
 def test_held_out_accuracy(spark, docs):
     model = langid.train(docs, queries.VOCABULARY)
     rows = langid.identify(spark, docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
