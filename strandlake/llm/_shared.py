@@ -52,6 +52,9 @@ class Scratch:
         files.delete(self.spark._jvm.org.apache.hadoop.fs.Path(before), True)
         return out
 
+    def clear(self) -> None:
+        self.path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(self.path, True)
+
     def drop(self, *frames: DataFrame) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:

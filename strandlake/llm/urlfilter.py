@@ -2,11 +2,14 @@
 
 The cascade covers the complete universe of keys (all host suffixes of the corpus). Level 1 encodes the listed keys of
 the universe; level 2 the unlisted keys that pass level 1; level 3 the listed keys that pass level 2; and so on until no
-key is misjudged. A key is listed if the first level that it fails is an even one. Judging a row needs no join: the
-levels are literals in the expression. They hold about 1.44 * |listed| * (log2(|universe| / |listed|) + 3) bits. Beyond
-``max_bits`` the levels are not shipped, and the same keys are judged by an equi join.
-
-Null or malformed urls have an empty host and path, fit no rule and are allowed. Repeated rows are judged alike.
+key is misjudged. A key is listed if the first level that it fails is an even one. Judging a row needs no join: each level is
+one array of words in the plan, which is sent to an executor once. The levels hold about
+1.44 * |listed| * (log2(|universe| / |listed|) + 3) bits, so the bound of 2^27 bits (16 MB) is enough for eight million listed
+hosts among a thousand million. Beyond it the levels are not sent, and the same keys are judged by an equi join.
+
+A host is judged by those of its suffixes that have no more parts than the longest listed key; longer ones can't be listed.
+Null or malformed urls have an empty host and path, fit no rule and are allowed. Urls may be of any length. Repeated rows are
+judged alike, and an empty table or list gives no error. Further columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +61,9 @@ def first_fit(rules: Sequence[Rule], host: Column, path: Column, value) -> Colum
     return F.lit(None).cast("string") if out is None else out
 
 
-def suffixes(host: Column) -> Column:
-    """The host and its parent domains: a.b.c, b.c, c."""
-    parts = F.split(host, r"\.")
+def suffixes(host: Column, most: int) -> Column:
+    """The host and its parent domains (a.b.c, b.c, c), those of at most so many parts."""
+    parts = F.split(F.substring_index(host, ".", -most), r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
 
 
@@ -73,12 +78,9 @@ class Level:
         return F.pmod(F.xxhash64(F.lit(self.seed * 64 + j), key), F.lit(self.bits))
 
     def passes(self, key: Column) -> Column:
-        words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
-        out = F.lit(True)
-        for j in range(self.hashes):
-            at = self.position(key, j)
-            out = out & (F.getbit(F.get(words, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1)
-        return out
+        words = F.from_json(F.lit(json.dumps([self.words], separators=(",", ":"))), "array<array<bigint>>")  # folded to one constant
+        bit = lambda w, at: F.getbit(F.get(w, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+        return F.exists(words, lambda w: reduce(and_, [bit(w, self.position(key, j)) for j in range(self.hashes)]))
 
 
 def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
@@ -94,8 +96,13 @@ def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     return level
 
 
-def build_cascade(keys: DataFrame, max_bits: int = 1 << 23, max_levels: int = 64) -> list[Level] | None:
-    """Levels for ``keys`` (key string, listed boolean; the complete universe, distinct). None: over max_bits."""
+#: Bits of all levels at most, 16 MB.
+MAX_BITS = 1 << 27
+
+
+def build_cascade(keys: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, max_levels: int = 64) -> list[Level] | None:
+    """Levels for ``keys`` (key string, listed boolean; the complete universe, distinct). None: over max_bits. The keys that
+    pass a level, about half of those before, are written, so that no level is gone through again for the next."""
     total, listed = keys.agg(F.count("*"), F.count(F.when(F.col("listed"), 1))).first()
     levels: list[Level] = []
     inside, outside = keys.filter("listed"), keys.filter("not listed")
@@ -107,7 +114,7 @@ def build_cascade(keys: DataFrame, max_bits: int = 1 << 23, max_levels: int = 64
             return None
         level = build_level(inside, count, rate, len(levels) + 1)
         levels.append(level)
-        inside, outside = outside.filter(level.passes(F.col("key"))), inside
+        inside, outside = scratch.save(outside.filter(level.passes(F.col("key")))), inside
         count, rate = inside.count(), 0.5
     return levels
 
@@ -119,23 +126,25 @@ def is_member(levels: list[Level], key: Column) -> Column:
     return out
 
 
-def url_filter(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, max_bits: int = 1 << 23) -> DataFrame:
+def url_filter(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict, method (``rule`` or ``list``). ``listed`` has a column key: blocked domains."""
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     host, path = F.col("host"), F.col("path")
-    seen = pages.select(host_of(url).alias("host")).distinct().select(F.explode(suffixes(host)).alias("key")).distinct()
     marked = listed.select(F.translate("key", UPPER, LOWER).alias("key")).distinct().withColumn("hit", F.lit(True))
+    parts = marked.agg(F.max(F.regexp_count("key", F.lit(r"\.")))).first()[0]
+    most = 1 if parts is None else parts + 1
+    seen = pages.select(host_of(url).alias("host")).distinct().select(F.explode(suffixes(host, most)).alias("key")).distinct()
     scratch = Scratch(spark, "urlfilter")
     keys = scratch.save(seen.join(marked, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed")))
-    levels = build_cascade(keys, max_bits)
+    levels = build_cascade(keys, scratch, max_bits)
     if levels is None:
-        blocked = rows.select("host").distinct().withColumn("key", F.explode(suffixes(host))).join(keys.filter("listed"), "key", "left_semi").select("host").distinct()
+        blocked = rows.select("host").distinct().withColumn("key", F.explode(suffixes(host, most))).join(keys.filter("listed"), "key", "left_semi").select("host").distinct()
         rows = rows.join(blocked.withColumn("bad", F.lit(True)), "host", "left")
         bad = F.coalesce("bad", F.lit(False))
     else:
-        scratch.drop(keys)
-        bad = F.exists(suffixes(host), lambda k: is_member(levels, k))
+        scratch.clear()
+        bad = F.exists(suffixes(host, most), lambda k: is_member(levels, k))
     return rows.select(
         "page_id", "host", "path",
         first_fit(rules, host, path, lambda r: r.text).alias("rule"),

@@ -64,7 +64,7 @@ def test_url_rules_and_cascade_against_brute_force(spark):
 
 def test_cascade_is_exact_and_join_beyond_the_bound_agrees(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 37 == 0).alias("listed"))
-    levels = urlfilter.build_cascade(keys)
+    levels = urlfilter.build_cascade(keys, Scratch(spark, "test"))
     assert len(levels) > 1 and len(levels) < 30
     wrong = keys.filter(urlfilter.is_member(levels, F.col("key")) != F.col("listed"))
     assert wrong.count() == 0
@@ -72,7 +72,19 @@ def test_cascade_is_exact_and_join_beyond_the_bound_agrees(spark):
     listed = spark.createDataFrame([("h3.a.net",), ("h7.a.net",)], "key string")
     a, b = (urlfilter.url_filter(spark, urls, queries.RULES, listed, max_bits=m).select("page_id", "verdict") for m in (1 << 23, 1))
     assert sorted(a.collect()) == sorted(b.collect())
+    assert "Join" not in a._jdf.queryExecution().toString() and "Join" in b._jdf.queryExecution().toString()
     assert urlfilter.url_filter(spark, urls.limit(0), queries.RULES, listed).count() == 0
+    assert {r["verdict"] for r in urlfilter.url_filter(spark, urls, queries.RULES, listed.limit(0)).collect()} == {"allow"}
+    clash = urls.withColumns({"host": F.lit("x"), "listed": F.lit(1)}).union(spark.createDataFrame([(77, "http://" + "a." * 20_000 + "h3.a.net/" + "p" * 100_000, "x", "x", 1), (77, None, "x", "x", 1)], "a long, b string, c string, d string, e int"))
+    got = urlfilter.url_filter(spark, clash, queries.RULES, listed).filter("page_id = 77 or page_id = 3").collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in got) == [(3, "block"), (77, "allow"), (77, "block")]
+
+
+def test_a_cascade_of_over_a_megabyte_needs_no_join(spark):
+    keys = spark.range(4_500_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 3 == 0).alias("listed"))
+    levels = urlfilter.build_cascade(keys, Scratch(spark, "test"))
+    assert sum(x.bits for x in levels) > 1 << 23
+    assert keys.filter(urlfilter.is_member(levels, F.col("key")) != F.col("listed")).count() == 0
 
 
 # Benchmark decontamination
