@@ -10,25 +10,33 @@ The prefix is found without sorting a leaf: token sums over 256 ranges of the ha
 ends, sums over 256 parts of it the part, and only that part (a 65,536th of the leaf) is put in order. The result is one
 cut (hash, doc_id) a leaf, so choosing documents is a filter and their texts are not shuffled.
 
-Per leaf figures (one row a leaf, at most ``max_leaves``, checked) are held on the driver. Null domains, languages and
-sources are leaves of their own. Null and empty texts have no tokens; they are chosen with the prefix they fall in, not
-in a leaf without tokens. Rows that tie in hash and doc_id are chosen together, so repeated rows of one doc_id at the
-cut may exceed the budget by their tokens.
+Leaves, their parents and cuts are tables, however many there are; nothing of them is held on the driver. A table of leaves
+is broadcast if it has at most ``BROADCAST_LEAVES`` rows (counted first). Beyond, documents are joined with it by leaf and one
+of ``SALTS`` salts, so that a leaf with most of the rows is dealt to many tasks. Budgets are divided by a window over the
+children of a node: a row for each child, sorted and streamed, never the documents.
+
+Null domains, languages and sources are leaves of their own. Null and empty texts have no tokens; they are chosen with the
+prefix they fall in, not in a leaf without tokens. Rows that tie in hash and doc_id are chosen together, so repeated rows of
+one doc_id at the cut may exceed the budget by their tokens. Texts of any length are counted whole. An empty table gives none.
+A column of the input named as an added one (mix_domain, copies) is replaced by it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Scratch
 
-Leaf = tuple[str | None, str | None, str | None]
 LEVELS = ("domain", "lang", "source")
-LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+LOWEST = -(1 << 63)
+#: Leaves that are broadcast at most (about 100 bytes each), and salts beyond.
+BROADCAST_LEAVES, SALTS = 100_000, 32
 
 
 @dataclass(frozen=True)
@@ -40,44 +48,18 @@ class Target:
     sources: Mapping[str | None, float]
     default: float = 1.0
 
-    def weight(self, level: int, name: str | None) -> float:
-        return (self.domains, self.languages, self.sources)[level].get(name, self.default)
-
-
-def poured(budget: float, weights: Sequence[float], room: Sequence[float]) -> list[float]:
-    """Shares of the budget by weight, none beyond its room; what is over goes to the others by weight."""
-    out = [0.0] * len(room)
-    left = [i for i in range(len(room)) if weights[i] > 0 and room[i] > 0]
-    while left and budget > 0:
-        total = sum(weights[i] for i in left)
-        full = [i for i in left if budget * weights[i] / total >= room[i]]
-        if not full:
-            for i in left:
-                out[i] = budget * weights[i] / total
-            break
-        for i in full:
-            out[i] = room[i]
-        budget -= sum(room[i] for i in full)
-        left = [i for i in left if i not in full]
-    return out
-
-
-def budgets(supply: Mapping[Leaf, int], total: float, target: Target, max_epochs: float) -> dict[Leaf, int]:
-    """Whole tokens for each leaf."""
-    def flow(leaves: list[Leaf], level: int, budget: float) -> dict[Leaf, float]:
-        if level == len(LEVELS):
-            return {leaves[0]: budget}
-        parts: dict[str | None, list[Leaf]] = {}
-        for leaf in leaves:
-            parts.setdefault(leaf[level], []).append(leaf)
-        names = sorted(parts, key=lambda x: (x is None, x or ""))
-        room = [max_epochs * sum(supply[x] for x in parts[n]) for n in names]
-        out: dict[Leaf, float] = {}
-        for n, share in zip(names, poured(budget, [target.weight(level, n) for n in names], room), strict=True):
-            out |= flow(parts[n], level + 1, share)
-        return out
 
-    return {k: int(v + 1e-6) for k, v in flow(list(supply), 0, total).items()} if supply else {}
+def poured(children: DataFrame, parent: Sequence[str], name: str) -> DataFrame:
+    """Children (parent columns, name, weight, room, budget of the parent) with their own budget: shares by weight, none beyond
+    its room; what is over goes to the others by weight. In order of room by weight, each child that its share fills leaves
+    the rest to those after it, so the level that the others share is the greatest that any child is offered."""
+    some = children.filter("weight > 0 and room > 0")
+    of_parent = Window.partitionBy(*parent)
+    later = of_parent.orderBy(F.col("room") / F.col("weight"), name).rowsBetween(0, Window.unboundedFollowing)
+    before = of_parent.orderBy(F.col("room") / F.col("weight"), name).rowsBetween(Window.unboundedPreceding, -1)
+    offered = (F.col("budget") - F.coalesce(F.sum("room").over(before), F.lit(0.0))) / F.sum("weight").over(later)
+    level = F.max("offered").over(of_parent)
+    return some.withColumn("offered", offered).withColumn("budget", F.least("room", F.greatest(F.lit(0.0), level) * F.col("weight"))).drop("offered")
 
 
 def ordered(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -90,75 +72,88 @@ def part_of(place: Column, level: int) -> Column:
     return F.shiftrightunsigned(place.bitwiseXOR(F.lit(LOWEST).cast("bigint")), 56 - 8 * level).bitwiseAND(255)
 
 
-@dataclass
-class Cut:
-    epochs: int
-    place: int
-    doc_id: int
+def same_leaf(a: DataFrame, b: DataFrame) -> Column:
+    return a["domain"].eqNullSafe(b["domain"]) & a["lang"].eqNullSafe(b["lang"]) & a["source"].eqNullSafe(b["source"])
 
 
 class Mixer:
-    def __init__(self, spark: SparkSession, domain: Column, target: Target, share: float = 0.6, max_epochs: float = 2.0, seed: int = 1, max_leaves: int = 200_000):
+    def __init__(self, spark: SparkSession, domain: Column, target: Target, share: float = 0.6, max_epochs: float = 2.0, seed: int = 1):
         self.spark, self.domain, self.target, self.share = spark, domain, target, share
-        self.max_epochs, self.seed, self.max_leaves = max_epochs, seed, max_leaves
+        self.max_epochs, self.seed = max_epochs, seed
 
     def labelled(self, docs: DataFrame) -> DataFrame:
         id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST + 1).cast("bigint"))
         return docs.select(id_.alias("id"), self.domain.alias("domain"), "lang", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("bigint").alias("tokens"))
 
-    def with_leaf(self, rows: DataFrame, figures: Mapping[Leaf, Sequence[int]], names: Sequence[str]) -> DataFrame:
-        """Columns of figures by leaf; rows of other leaves go. The table has a row a leaf."""
-        table = self.spark.createDataFrame([(*k, *v) for k, v in figures.items()], ", ".join(["d string", "l string", "s string", *(f"{n} bigint" for n in names)]))
-        return rows.join(F.broadcast(table), F.col("domain").eqNullSafe(F.col("d")) & F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("d", "l", "s")
+    def with_leaf(self, rows: DataFrame, leaves: DataFrame) -> DataFrame:
+        """Rows (id and leaf columns) with the other columns of their leaf's row; rows of other leaves go. ``leaves`` is saved."""
+        if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES:
+            right, met = F.broadcast(leaves), same_leaf(rows, leaves)
+        else:
+            rows = rows.withColumn("salt_of_row", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+            right = leaves.withColumn("salt_of_leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = same_leaf(rows, right) & (rows["salt_of_row"] == right["salt_of_leaf"])
+        return rows.join(right, met).drop(*[leaves[c] for c in LEVELS]).drop("salt_of_row", "salt_of_leaf")
+
+    def weight(self, level: int) -> Column:
+        """The weight of a child by its name."""
+        weights = (self.target.domains, self.target.languages, self.target.sources)[level]
+        name, out = F.col(LEVELS[level]), F.lit(float(self.target.default))
+        for k, v in weights.items():
+            out = F.when(name.eqNullSafe(F.lit(k)), float(v)).otherwise(out)
+        return out
 
-    def cuts(self, docs: DataFrame) -> dict[Leaf, Cut]:
-        scratch = Scratch(self.spark, "mixing")
+    def budgets(self, supply: DataFrame) -> DataFrame:
+        """Leaves (domain, lang, source, supply) with their budget in whole tokens, from the root down."""
+        total = supply.agg(F.coalesce(F.sum("supply"), F.lit(0)).cast("double").alias("all"))
+        above = total.select((F.col("all") * self.share).alias("budget"))
+        for level in range(len(LEVELS)):
+            parent, names = list(LEVELS[:level]), list(LEVELS[: level + 1])
+            children = supply.groupBy(*names).agg(F.sum("supply").alias("supply")).withColumn("room", F.col("supply") * float(self.max_epochs)).withColumn("weight", self.weight(level))
+            if level:
+                met = reduce(and_, [children[c].eqNullSafe(above[c]) for c in parent])
+                children = children.join(above, met).drop(*[above[c] for c in parent])
+            else:
+                children = children.join(F.broadcast(above))  # one row
+            parted = poured(children, parent, names[-1])
+            above = parted.select(*names, "budget")
+        return parted.select(*LEVELS, "supply", F.floor(F.col("budget") + 1e-6).cast("bigint").alias("budget"))
+
+    def cuts(self, docs: DataFrame, scratch: Scratch) -> DataFrame:
+        """A row for each leaf that is used: domain, lang, source, epochs, cut, cut_id."""
         rows = scratch.save(self.labelled(docs))
-        got = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).limit(self.max_leaves + 1).collect()
-        if len(got) > self.max_leaves:
-            raise ValueError(f"over {self.max_leaves} leaves: raise max_leaves or merge sources")
-        supply = {(r[0], r[1], r[2]): r[3] for r in got if r[3]}
-        plan = budgets(supply, self.share * sum(supply.values()), self.target, self.max_epochs)
-        state = {k: [*divmod(plan[k], supply[k]), 0, 0] for k in supply}  # passes, rest, tokens before, prefix of the place
-        cuts = {k: Cut(v[0], LOWEST, LOWEST) for k, v in state.items()}
-        seeking = {k: v for k, v in state.items() if v[1] > 0}
+        supply = scratch.save(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")).filter("supply > 0"))
+        plan = self.budgets(supply).withColumn("epochs", F.floor(F.col("budget") / F.col("supply"))).withColumn("rest", F.col("budget") % F.col("supply"))
+        plan = scratch.save(plan.select(*LEVELS, "epochs", "rest"))
+        seeking = scratch.save(plan.filter("rest > 0").select("*", F.lit(0).cast("bigint").alias("before"), F.lit(0).cast("bigint").alias("prefix")))
         for level in range(3):
-            if not seeking:
-                break
-            near = self.with_leaf(rows, seeking, ("epochs", "rest", "before", "prefix")).withColumn("place", ordered(self.seed, F.col("epochs"), F.col("id")))
+            near = self.with_leaf(rows, seeking).withColumn("place", ordered(self.seed, F.col("epochs"), F.col("id")))
             for above in range(level):
                 near = near.filter(part_of(F.col("place"), above) == F.shiftright("prefix", 8 * (level - 1 - above)).bitwiseAND(255))
+            state = [*LEVELS, "epochs", "rest", "before", "prefix"]
             if level < 2:
-                sums: dict[Leaf, list[tuple[int, int]]] = {}
-                for d, l, s, part, tokens in near.groupBy(*LEVELS, part_of(F.col("place"), level).alias("part")).agg(F.sum("tokens")).toLocalIterator():  # at most 256 a leaf
-                    sums.setdefault((d, l, s), []).append((part, tokens))
-                for k, parts in sums.items():
-                    v = seeking[k]
-                    for part, tokens in sorted(parts):
-                        if v[2] + tokens > v[1]:
-                            v[3] = v[3] * 256 + part
-                            break
-                        v[2] += tokens
-                    else:
-                        raise AssertionError("the rest of a budget is under the leaf's tokens")
+                sums = near.groupBy(*state, part_of(F.col("place"), level).alias("part")).agg(F.sum("tokens").alias("tokens"))
+                run = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("part")) + F.col("before")  # at most 256 a leaf
+                reached = sums.withColumn("run", run).filter("run > rest").groupBy(*LEVELS).agg(F.min_by(F.struct("epochs", "rest", (F.col("run") - F.col("tokens")).alias("before"), (F.col("prefix") * 256 + F.col("part")).alias("prefix")), "part").alias("s"))
+                seeking = scratch.save(reached.select(*LEVELS, "s.*"))
             else:
-                from pyspark.sql import Window
-
                 run = F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("place", "id")) + F.col("before")  # ties together
                 taken = near.withColumn("run", run).filter("run <= rest").groupBy(*LEVELS).agg(F.max(F.struct("place", "id")).alias("m"))
-                found = {(r[0], r[1], r[2]): (r[3]["place"], r[3]["id"]) for r in taken.collect()}  # a row a leaf
-                for k, v in seeking.items():
-                    first = (v[3] << 48) - (1 << 63)
-                    cuts[k].place, cuts[k].doc_id = found.get(k, (first, LOWEST))
-        scratch.drop(rows)
-        return cuts
+                first = F.shiftleft("prefix", 48).bitwiseXOR(F.lit(LOWEST).cast("bigint"))
+                ends = seeking.join(taken, same_leaf(seeking, taken), "left").select(*[seeking[c] for c in LEVELS], F.coalesce("m.place", first).alias("cut"), F.coalesce("m.id", F.lit(LOWEST).cast("bigint")).alias("cut_id"))
+        none = F.lit(LOWEST).cast("bigint")
+        found = plan.join(ends, same_leaf(plan, ends), "left").filter("epochs > 0 or rest > 0")
+        return scratch.save(found.select(*[plan[c] for c in LEVELS], "epochs", F.coalesce("cut", none).alias("cut"), F.coalesce("cut_id", none).alias("cut_id")))
 
     def mixed(self, docs: DataFrame) -> DataFrame:
-        """The chosen rows, all columns as they were, and copies (how often the mix has the row)."""
-        cuts = {k: (c.epochs, c.place, c.doc_id) for k, c in self.cuts(docs).items()}
+        """The chosen rows, all columns as they were, mix_domain, and copies (how often the mix has the row)."""
+        scratch = Scratch(self.spark, "mixing")
+        saved = self.cuts(docs, scratch)
+        cuts = scratch.finish(saved)
         id_ = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST + 1).cast("bigint"))
-        rows = docs.select(F.struct(*docs.columns).alias("row"), id_.alias("id"), self.domain.alias("domain"), "lang", "source") if docs.columns else docs
-        rows = self.with_leaf(rows, cuts, ("epochs", "cut", "cut_id")).withColumn("place", ordered(self.seed, F.col("epochs"), F.col("id")))
+        own = [c for c in docs.columns if c.lower() not in ("mix_domain", "copies")]
+        rows = docs.select(F.struct(*own).alias("row"), id_.alias("id"), self.domain.alias("domain"), "lang", "source")
+        rows = self.with_leaf(rows, cuts).withColumn("place", ordered(self.seed, F.col("epochs"), F.col("id")))
         inside = (F.col("place") < F.col("cut")) | (F.col("place") == F.col("cut")) & (F.col("id") <= F.col("cut_id"))
         rows = rows.withColumn("copies", F.col("epochs") + inside.cast("bigint")).filter("copies > 0")
         return rows.select("row.*", F.col("domain").alias("mix_domain"), F.col("copies"))

@@ -539,25 +539,68 @@ def test_pages(spark, sf_dir):
 # Mixing
 
 
-def test_budgets_go_to_siblings_before_ancestors():
+def slow_budgets(supply, total, target, max_epochs):
+    """Whole tokens for each leaf, by pouring out a node's budget again and again until no child overflows."""
+
+    def pour(budget, weights, room):
+        out, left = [0.0] * len(room), [i for i in range(len(room)) if weights[i] > 0 and room[i] > 0]
+        while left and budget > 0:
+            share = budget / sum(weights[i] for i in left)
+            full = [i for i in left if share * weights[i] >= room[i]]
+            for i in full or left:
+                out[i] = room[i] if full else share * weights[i]
+            if not full:
+                break
+            budget -= sum(room[i] for i in full)
+            left = [i for i in left if i not in full]
+        return out
+
+    def flow(leaves, level, budget):
+        if level == 3:
+            return {leaves[0]: budget}
+        names = sorted({x[level] for x in leaves}, key=lambda x: (x is None, x or ""))
+        parts = [[x for x in leaves if x[level] == n] for n in names]
+        weights = [(target.domains, target.languages, target.sources)[level].get(n, target.default) for n in names]
+        out = {}
+        for part, share in zip(parts, pour(budget, weights, [max_epochs * sum(supply[x] for x in p) for p in parts]), strict=True):
+            out |= flow(part, level + 1, share)
+        return out
+
+    return {k: int(v + 1e-6) for k, v in flow(list(supply), 0, total).items()}
+
+
+def budgets_of(spark, supply, target, share, max_epochs):
+    mixer = mixing.Mixer(spark, F.lit("x"), target, share, max_epochs)
+    table = spark.createDataFrame([(*k, v) for k, v in supply.items()], "domain string, lang string, source string, supply bigint")
+    return {tuple(r[:3]): r["budget"] for r in mixer.budgets(table).collect()}
+
+
+def test_budgets_go_to_siblings_before_ancestors(spark):
     target = mixing.Target({"a": 1, "b": 1}, {}, {})
     supply = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "3"): 5, ("b", "x", "4"): 1000}
-    got = mixing.budgets(supply, 200, target, 1.0)
-    assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 85, ("a", "y", "3"): 5, ("b", "x", "4"): 100}
-    assert mixing.budgets(supply, 300, target, 1.0) == {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "3"): 5, ("b", "x", "4"): 185}
-    assert mixing.budgets({}, 10, target, 1.0) == {}
+    assert budgets_of(spark, supply, target, 200 / 1115, 1.0) == {("a", "x", "1"): 10, ("a", "x", "2"): 85, ("a", "y", "3"): 5, ("b", "x", "4"): 100}
+    assert budgets_of(spark, supply, target, 300 / 1115, 1.0) == {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "3"): 5, ("b", "x", "4"): 185}
+    assert budgets_of(spark, supply, target, 5.0, 1.0) == supply and budgets_of(spark, {}, target, 0.5, 1.0) == {}
+    rng = random.Random(3)
+    for _ in range(3):
+        target = mixing.Target({"a": 3, "b": 0.5, None: 0}, {"x": 2, None: 1}, {"1": 7, "2": 0})
+        supply = {(rng.choice(["a", "b", "c", None]), rng.choice(["x", "y", None]), rng.choice([*"12345", None])): rng.randrange(1, 2000) for _ in range(40)}
+        for share in (0.1, 0.7, 1.5):
+            got, want = budgets_of(spark, supply, target, share, 1.3), slow_budgets(supply, share * sum(supply.values()), target, 1.3)
+            assert all(abs(got.get(k, 0) - v) <= 1 for k, v in want.items()) and set(got) <= set(want)
 
 
-@pytest.mark.parametrize("share", [0.6, 1.7, 0.01])
-def test_mix_against_brute_force(spark, docs, share):
+@pytest.mark.parametrize(("share", "broadcast"), [(0.6, mixing.BROADCAST_LEAVES), (1.7, 3), (0.01, 3)])
+def test_mix_against_brute_force(spark, docs, share, broadcast, monkeypatch):
     mixer = queries.mixer(spark)
     mixer.share = share
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", broadcast)
     chosen = {r["doc_id"]: r["copies"] for r in mixer.mixed(docs).collect()}
     rows = mixer.labelled(docs).select("id", "domain", "lang", "source", "tokens", *[mixing.ordered(mixer.seed, F.lit(e), F.col("id")).alias(f"p{e}") for e in range(3)]).collect()
     supply = {}
     for r in rows:
         supply[tuple(r[1:4])] = supply.get(tuple(r[1:4]), 0) + r["tokens"]
-    plan = mixing.budgets(supply, share * sum(supply.values()), mixer.target, mixer.max_epochs)
+    plan = slow_budgets({k: v for k, v in supply.items() if v}, share * sum(supply.values()), mixer.target, mixer.max_epochs)
     want = {}
     for leaf, budget in plan.items():
         passes, rest = divmod(budget, supply[leaf])
@@ -575,6 +618,11 @@ def test_mix_of_awkward_rows(spark):
     out = queries.mixer(spark).mixed(rows)
     assert out.columns == [*rows.columns, "mix_domain", "copies"] and 0 < out.count() <= len(AWKWARD)
     assert queries.mixer(spark).mixed(rows.limit(0)).count() == 0
+    clash = rows.withColumns({c: F.lit(-1) for c in ("copies", "mix_domain", "id", "epochs", "salt_of_row", "cut", "row")})
+    again = queries.mixer(spark).mixed(clash)
+    assert sorted(again.columns) == sorted(clash.columns) and again.filter("copies < 1").count() == 0 and again.count() == out.count()
+    twice = queries.mixer(spark).mixed(rows.union(rows))
+    assert twice.groupBy("doc_id", "text").count().filter("count % 2 = 1").count() == 0
 
 
 # Language ID
