@@ -27,6 +27,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import Scratch, unused
+
 #: A stretch of an item: so many tokens in a row, of which at least so many are in place (80 %).
 STRETCH, STRETCH_LEAST = 13, 11
 #: Offsets of one item are joined if they are no further apart.
@@ -35,6 +37,8 @@ JOINED = 8
 MOST_MASKS, MOST_WEIGHT = 10, 7
 #: Hashes of the benchmark that are broadcast at most (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_HASHES = 200_000
+#: Ids of documents with hits that are broadcast at most (8 bytes each), and salts of a larger benchmark's hashes.
+BROADCAST_IDS, SALTS = 1_000_000, 16
 
 
 def masks_within(weight: int, span: int) -> list[str]:
@@ -107,18 +111,27 @@ def seeded(df: DataFrame, key: str, masks: Sequence[str], serves: Sequence[Seque
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
     """Leaks: doc_id, item_id, matched (tokens at their places), item_tokens, overlap (matched / item_tokens)."""
-    items = benchmark.select("item_id", token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).distinct()
+    items = benchmark.select("item_id", "text").select("item_id", token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).distinct()
     lengths = [r[0] for r in items.select(F.size("tokens").alias("n")).distinct().collect()]
     serves = mask_lengths(lengths, share)
     masks = list(serves)
     keyed = seeded(items, "item_id", masks, list(serves.values())).select("h", "item_id", F.col("at").alias("item_at")).distinct()
+    texts = docs.select("doc_id", "text").select("doc_id", token_hashes(F.col("text")).alias("tokens"))
+    looked_up = seeded(texts, "doc_id", masks)
     if keyed.count() <= BROADCAST_HASHES:
-        keyed = F.broadcast(keyed)
-    texts = docs.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    hits = seeded(texts, "doc_id", masks).join(keyed, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-    hits = hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts"))
+        met = looked_up.join(F.broadcast(keyed), "h")
+    else:
+        salted = looked_up.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int"))
+        met = salted.join(keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
+    hits = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+    scratch = Scratch(docs.sparkSession, "decontam")
+    hits = scratch.save(hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")))
+    ids = hits.select(F.col("doc_id").alias("of")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    found = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    found = found.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
     sought = hits.join(items.withColumnRenamed("tokens", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shifts", "item")).alias("hits"))  # the hits of one document
-    both = texts.join(sought.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
+    both = found.join(sought.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")))
 
     def at_offset(hit: Column, shift: Column) -> Column:
         """How many tokens are in place, and whether a stretch of them is."""
@@ -167,5 +180,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a leak, all columns as they were."""
-    leaks = decontaminate(docs, benchmark, **options).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("leaked")), "left_anti")
+    leaked = unused("leaked", docs)
+    leaks = decontaminate(docs, benchmark, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leaked)), "left_anti")

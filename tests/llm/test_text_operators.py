@@ -129,8 +129,20 @@ def test_leaks_of_short_items_awkward_rows_and_the_shuffled_join(spark, monkeypa
     monkeypatch.setattr(decontam, "BROADCAST_HASHES", 0)
     assert sorted((r["doc_id"], r["item_id"]) for r in decontam.decontaminate(d, bench).collect()) == got
     assert decontam.decontaminate(d.limit(0), bench).count() == 0 and decontam.decontaminate(d, bench.limit(0)).count() == 0
-    clean = decontam.clean_documents(d, bench)
-    assert clean.columns == d.columns and clean.count() == len(AWKWARD)
+    monkeypatch.setattr(decontam, "BROADCAST_IDS", 0)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontam.decontaminate(d.union(d), bench).collect()) == got
+    clash = d.withColumns({c: F.lit("one two") for c in ("leaked", "of", "h", "tokens", "item_id")})
+    clean = decontam.clean_documents(clash, bench.withColumn("doc_id", F.lit(1)))
+    assert clean.columns == clash.columns and clean.count() == len(AWKWARD)
+    assert decontam.clean_documents(d.limit(0), bench).count() == 0 and decontam.clean_documents(d, bench.limit(0)).count() == d.count()
+
+
+def test_leaks_in_a_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    bench = spark.createDataFrame([(1, " ".join(words[199_000:199_030])), (2, " ".join(f"z{i}" for i in range(30)))], "item_id bigint, text string")
+    got = decontam.decontaminate(documents(spark, [" ".join(words), "short"]), bench).collect()
+    assert [(r["doc_id"], r["item_id"], r["matched"]) for r in got] == [(0, 1, 30)]
 
 
 @pytest.mark.parametrize("share", [0.5, 0.8, 0.3])
@@ -385,7 +397,18 @@ def test_near_duplicates_of_awkward_rows(spark):
     got = neardup.near_duplicates(spark, rows).collect()
     assert len(got) == 6 and {r["component_id"] for r in got if r["doc_id"] is None} == {7}
     assert neardup.near_duplicates(spark, rows.limit(0)).count() == 0
-    assert neardup.keep_one(spark, rows.withColumn("node", F.lit(1))).columns == ["doc_id", "text", "node"]
+    clash = rows.withColumns({c: F.lit(1) for c in ("node", "gone", "n", "kept", "rep")})
+    once = neardup.keep_one(spark, clash)
+    assert once.columns == clash.columns and sorted(str(r["doc_id"]) for r in once.collect()) == sorted(str(r["doc_id"]) for r in neardup.keep_one(spark, rows).collect())
+
+
+def test_names_of_a_hot_key_are_joined_apart(spark, monkeypatch):
+    rows = spark.range(2000).select(F.when(F.col("id") < 900, 7).otherwise(F.col("id") % 300).alias("node"), "id")
+    names = spark.range(300).select(F.col("id").alias("node"), (F.col("id") * 3).alias("name"))
+    for large in (4, 100, 10_000):
+        monkeypatch.setattr(neardup, "LARGE", large)
+        got = neardup.with_names(rows, names, "node", Scratch(spark, "test"))
+        assert got.count() == 2000 and got.filter("name != 3 * node").count() == 0
 
 
 # Token counts
