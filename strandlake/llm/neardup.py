@@ -22,8 +22,12 @@ linked if 100 * |A and B| >= percent * |A or B|; the result is the connected com
 5. Components by alternating large-star and small-star steps, joins and minima of (node, node) rows. Links found later
    are taken between the components known by then.
 
+6. Names go back to the rows by node. A node, or root, with over a ``LARGE``-th of the rows is looked up by a broadcast of such
+   nodes, of which there are ``LARGE`` at most, and the others by a join, so that no group of copies lands in one task.
+
 Nodes are 64-bit digests of the set. Rows with null text or doc_id get a row like others; a null doc_id is never the
-least of a component that has another. Repeated rows are in one class. Nothing of the documents is collected.
+least of a component that has another. Repeated rows are in one class. Texts of any length are taken whole. An empty table gives
+none. Nothing of the documents is collected. Further columns of the input are not looked at, and ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
@@ -36,10 +40,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Scratch, kept, rows_of
+from ._shared import Scratch, kept, rows_of, unused
 
 K = 32
 SHARED = 0.4
+#: A key with more than this share of the rows is joined apart from the others.
+LARGE = 10_000
 EDGES_A_TASK = 1_000_000  # 16 bytes each: so the tables of a star step have as many files as they need
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))  # multipliers of a public 64-bit finaliser
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -224,6 +230,15 @@ def prefixes(parts: DataFrame, texts: DataFrame, width: int, percent: int, scrat
     return out
 
 
+def with_names(rows: DataFrame, names: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Rows joined with names, one for each key. Keys of many rows are broadcast with their names: at most ``LARGE``."""
+    most = rows.count() // LARGE
+    large = scratch.save(rows.groupBy(key).count().filter(F.col("count") > most).select(key))
+    keyed = names.join(F.broadcast(large), key, "left_semi")
+    hot = rows.join(F.broadcast(keyed), key)
+    return hot.unionByName(rows.join(F.broadcast(large), key, "left_anti").join(names, key))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the component), kept (doc_id = component_id), n_links (pairs
     verified with its class; further links within a component may exist)."""
@@ -241,12 +256,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     order = F.struct("own", F.xxhash64("node").alias("o"), "node", "n")
     pivots = scratch.save(lists.groupBy("value").agg(F.min(order).alias("p"), F.count("*").alias("members")).filter("members > 1").select("value", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")))
     met = lists.join(pivots, "value").filter((F.col("node") != F.col("pivot")) & alike_sizes(F.col("n"), F.col("pn"), percent))
-    tested = scratch.save(pairs_of(met, "node", "pivot"))
+    candidates = scratch.save(pairs_of(met, "node", "pivot"))
     members = lists.select("node").distinct()
     reps = classes.join(members, "node").select("node", F.coalesce("doc_id", least_id).alias("rep"), "text_hash")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), least_id).alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     scope = scratch.save(texts.join(reps, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("node", "text"))
-    links = scratch.save(verified(scratch.save(estimated(tested, classes, k)), scope, width, percent))
+    tested = scratch.save(estimated(candidates, classes, k))  # what is dropped here may still come up below
+    links = scratch.save(verified(tested, scope, width, percent))
     roots = scratch.save(components(links, scratch))
 
     # what lists hold of several components: the prefixes of their full sets, first with pivots, then all
@@ -275,18 +291,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         further = scratch.save(verified(fresh, scope, width, percent))
         links, tested = links.union(further), tested.union(fresh)
         roots = joined_up(roots, further, scratch)
-    scratch.drop(scope, lists, placed, parts, front)
-
     placed = scratch.save(classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))
     least = scratch.save(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = scratch.save(placed.join(least, "root").join(degrees, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = rows.filter("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "node").join(named, "node").select("doc_id", "n_shingles", "component_id", "n_links")
+    named = with_names(placed.select("node", "root"), least, "root", scratch)
+    named = scratch.save(named.join(degrees, "node", "left").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    out = with_names(rows.filter("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "node"), named, "node", scratch).select("doc_id", "n_shingles", "component_id", "n_links")
     alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return out.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links")
+    return scratch.finish(out.union(alone).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The documents that are kept, all columns as they were; of rows that share a kept doc_id, all stay."""
-    gone = near_duplicates(spark, docs, **options).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = unused("gone", docs)
+    dropped = near_duplicates(spark, docs, **options).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
