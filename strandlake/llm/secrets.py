@@ -1,22 +1,26 @@
 r"""Secret scan by a linear-chain conditional random field.
 
 Three patterns give the base spans (assignments, access keys, long hexadecimal runs). A CRF over tokens adds spans of
-kind ``crf``: each token is tagged begin, inside or outside from its shape, its neighbours' words and features of the
-whole text; Viterbi decodes the tags. Weights are fitted here, on labelled sequences that a seeded generator writes
-(``training_set``), or on any given ones (``fit``).
+kind ``crf``: each token is tagged begin, inside or outside from its shape, the words next to it and features of the
+whole file; Viterbi decodes the tags. Weights are fitted here, on files that a seeded generator writes (``written_files``: prose,
+settings, code and logs with secrets and with what looks like them; tokens, tags and features are read off the files), or on
+any given ones (``sequence``, ``fit``).
 
 Decoding covers every token of whole texts, yet most need no work: a token whose outside score leads by more than any
 neighbours, features of the text and transitions can make up for is outside in the best path (swapping it to outside
 raises the score of any path), so the chain falls apart into short runs around the other tokens, each decoded exactly.
 
-Null texts count as empty. A text without spans has the digest of the empty string. A CRF span that overlaps a base span
-is dropped; base spans stay. Repeated rows are scanned alike.
+Null texts count as empty. A text without spans has the digest of the empty string. A CRF span within one base span is left
+out; one that reaches beyond is added, so that no rest of a longer secret remains; base spans stay. Texts of any length are
+scanned whole. Repeated rows are scanned alike, and an empty table gives none. Further columns are not looked at by the scan and
+kept by ``redact_documents``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import uuid
 from collections.abc import Iterator, Sequence
@@ -36,7 +40,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex", "crf")
 # Words that stand near secrets.
-CUES = frozenset("password passwd passphrase pwd secret token key apikey api_key auth authorization bearer credential credentials private access login".split())
+CUES = frozenset(
+    "password passwd passphrase pass pwd secret token key apikey api_key auth authorization bearer basic credential credentials private access_key secret_key access_token auth_token private_key "
+    "secret_access_key aws_secret_access_key client_secret signing_key webhook login".split()
+)
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=\-]+|[^\sA-Za-z0-9+/_.=\-]")
 TAGS = ("O", "B", "I")
@@ -59,6 +66,12 @@ def entropy(word: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in (word.count(x) for x in set(word)))
 
 
+UUID = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}")
+DATED = re.compile(r"(?:19|20)\d\d[-_/.]?[01]\d[-_/.]?[0-3]\d|\d\d?[.:]\d\d")
+WORDY = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{3,}(?![a-z0-9])")
+LEAD = re.compile(r"([A-Za-z]{2,6})(?:[-_][A-Za-z0-9]{2,6})?[-_](?=[A-Za-z0-9]{12})")
+
+
 def shape(word: str) -> tuple[str, ...]:
     """Features of a token alone. A plain word has one."""
     core = word.strip(".=-_/+")
@@ -69,40 +82,67 @@ def shape(word: str) -> tuple[str, ...]:
     if core.isalpha() and (core.islower() or core.istitle() or core.isupper()) or not core.isascii():
         return ("word",)
     digits = sum(c.isdigit() for c in core)
-    upper, lower = any(c.isupper() for c in core), any(c.islower() for c in core)
-    kinds = (digits > 0) + upper + lower
-    if digits == len(core.replace(".", "").replace("-", "")):
+    upper, lower = sum(c.isupper() for c in core), sum(c.islower() for c in core)
+    if digits == len(core.replace(".", "").replace("-", "").replace("/", "")):
         return ("number", "long number" if len(core) >= 12 else "short number")
-    return (
+    n = len(core)
+    words = sum(len(m.group()) for m in WORDY.finditer(core))
+    turns = sum((a.isdigit(), a.isupper(), a.islower()) != (b.isdigit(), b.isupper(), b.islower()) for a, b in zip(core, core[1:], strict=False))
+    out = [
         "other",
-        f"length {min(5, len(core) // 8)}",
-        f"kinds {kinds}",
-        f"entropy {min(4, int(entropy(core)))}",
-        "few digits" if digits * 8 < len(core) else "many digits",
-        "dotted" if "." in core.strip(".") or "/" in core else "solid",
+        f"length {min(8, n // 6)}",
+        f"kinds {(digits > 0) + (upper > 0) + (lower > 0)}",
+        f"entropy {min(9, int(2 * entropy(core)))}",
+        f"digits {min(4, 8 * digits // n)}",
+        f"turns {min(5, 8 * turns // n)}",
+        f"words {min(5, 6 * words // n)}",
+        f"length and words {min(4, n // 8)} {min(3, 4 * words // n)}",
+        "dotted" if "." in core else "solid",
+        f"slashes {min(2, core.count('/'))}",
         "joined" if "-" in core or "_" in core else "single",
-    )
+    ]
+    if UUID.fullmatch(core):
+        out.append("uuid")
+    if DATED.search(core):
+        out.append("dated")
+    if word.startswith("//") or core.startswith("www."):
+        out.append("address")
+    if m := LEAD.match(core):
+        out += ["led", "lead " + m[1].lower()]
+    if not lower and all(c in "0123456789ABCDEF" for c in core):
+        out.append("upper hex")
+    if word.endswith("="):
+        out.append("padded")
+    return tuple(out)
 
 
 def group(word: str) -> str:
-    """What neighbours see of a token."""
+    """What neighbours see of a token besides the word itself."""
     first = shape(word)[0]
-    return word if word in ("=", ":") else first
+    return word if word in ("=", ":", "@", "/", "#", '"') else first
 
 
 def features_of_text(text: str) -> tuple[str, ...]:
-    return ("code" if "{" in text or ";" in text or "=" in text else "prose", "lines" if "\n" in text else "one line")
+    """Of the whole file: what kind it is, and whether it speaks of secrets."""
+    lines = text.count("\n") + 1
+    settings = text.count("=") + text.count(": ")
+    kind = "code" if text.count("{") + text.count(";") >= max(2, lines / 4) else "settings" if settings >= max(1, lines / 2) else "prose"
+    low = text.lower()
+    return (kind, "short" if len(text) < 400 else "long", "speaks of secrets" if any(w in low for w in ("secret", "credential", "password", "token", "private", "api_key", "apikey")) else "silent")
 
 
 def names_of(words: Sequence[str], text: tuple[str, ...]) -> list[list[str]]:
     """Features of each token. Neighbours and the whole text bear on tokens that aren't plain words or marks."""
     shapes = [shape(w) for w in words]
-    groups = ["edge", "edge", *map(group, words), "edge", "edge"]
+    groups = ["edge", "edge", "edge", *map(group, words), "edge", "edge"]
+    lows = ["", "", "", *(w.lower() if len(w) <= 24 else "" for w in words), "", ""]
     out = []
     for k, own in enumerate(shapes):
         row = ["own " + f for f in own]
         if own[0] in ("other", "number"):
-            row += [f"{own[0]} before {groups[k + 1]}", f"{own[0]} before that {groups[k]}", f"{own[0]} after {groups[k + 3]}", *(f"{own[0]} text {x}" for x in text)]
+            row += [f"{own[0]} {at} {groups[k + 3 + by]}" for at, by in (("before", -1), ("before that", -2), ("before all", -3), ("after", 1))]
+            row += [f"{own[0]} word {by} {lows[k + 3 + by]}" for by in (-3, -2, -1, 1)]
+            row += [f"{own[0]} text {x}" for x in text] + [f"{own[1]} text {text[0]}"]
         out.append(row)
     return out
 
@@ -154,48 +194,131 @@ class Model:
         return path[::-1]
 
 
-def training_set(count: int = 400, seed: int = 7) -> list[tuple[list[str], tuple[str, ...], list[int]]]:
-    """(words, features of the text, tags): prose and code lines, with and without secrets, from a seeded generator."""
-    rng = np.random.default_rng(seed)
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    draw = lambda alphabet, n: "".join(pick(alphabet) for _ in range(n))
-    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-
-    def word() -> str:
-        w = draw(low, int(rng.integers(2, 15)))
-        return pick([w, w, w, w.title(), w.upper()]) + pick(["", "", "", "."])
-
-    def plain() -> str:
-        return pick([word, word, word, lambda: draw(num, int(rng.integers(1, 17))), lambda: f"{draw(num, 3)}-{draw(num, 4)}", lambda: ".".join(draw(num, 2) for _ in range(4)),
-                     lambda: f"{draw(low, 5)}.{draw(num, 2)}", lambda: f"{draw(low, 6)}_{draw(low, 4)}", lambda: f"v{draw(num, 1)}.{draw(num, 1)}", lambda: f"{draw(low, 6)}/{draw(low, 5)}/{draw(num, 3)}", lambda: pick("|,!#%*$&\"=:()")])()
-
-    def secret() -> str:
-        n = int(rng.integers(16, 45))
-        return pick([lambda: draw(low + num, n), lambda: draw(low + up + num, n), lambda: draw("abcdef" + num, n), lambda: draw("ABCDEF" + num, n), lambda: "ghp_" + draw(low + up + num, 36), lambda: "sk-" + draw(low + up + num, n), lambda: draw(low + up + num + "+/", n) + "="])()
-
-    out = []
-    for _ in range(count):
-        words: list[str] = []
-        tags: list[int] = []
-        for _ in range(int(rng.integers(4, 12))):
-            words.append(plain())
-            tags.append(0)
-        for _ in range(int(rng.integers(0, 3))):
-            at = int(rng.integers(0, len(words) + 1))
-            lead = pick([[pick(sorted(CUES)), pick([":", "="])], [pick(sorted(CUES))], [pick(sorted(CUES)), "=", '"'], []])
-            if rng.random() < 0.25 and lead:  # a cue before something harmless
-                words[at:at], tags[at:at] = lead + [plain()], [0] * (len(lead) + 1)
-            else:
-                parts = [secret()] + ([draw(low + num, 16)] if rng.random() < 0.1 else [])
-                words[at:at], tags[at:at] = lead + parts, [0] * len(lead) + [1] + [2] * (len(parts) - 1)
-        out.append((words, (pick(["code", "prose"]), pick(["lines", "one line"])), tags))
-    return out
-
-
-def fit(data: list[tuple[list[str], tuple[str, ...], list[int]]], rounds: int = 160, rate: float = 0.3, decay: float = 1e-5) -> Model:
-    """Maximum likelihood by gradient steps, one adaptive rate a weight; gradients by the forward-backward recursion over all sequences at once."""
+Labelled = tuple[str, list[tuple[int, int]]]
+LOW, UP, NUM = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Words that name things in files; what stands before secrets there that the base patterns don't know; and leads of issued keys.
+THINGS = "user order item page file data model index value count config server client build test release node host image table event report status session request query cache batch worker color title label".split()
+NAMED_SECRETS = "aws_secret_access_key secret_access_key private_key signing_key encryption_key access_key master_key DB_PASS db_pass pwd passphrase auth_key ENCRYPTION_KEY SIGNING_KEY PRIVATE_KEY webhook_key credentials".split()
+OPENERS, CLOSERS = ("we use", "use", "with", "push with", "commit", "see", "of the", "and", "set", "my"), ("here", "and", "for", "as a", "in the", "now", "to")
+LEADS = "ghp_ gho_ sk- sk_live_ rk_live_ pk_live_ xoxb- glpat- npm_ hf_ SG. key- pat_ dop_v1_ shpat_".split()
+
+
+class Writer:
+    """A seeded generator of files with and without secrets."""
+
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
+
+    def upto(self, n: int) -> int:
+        return int(self.rng.random() * n)
+
+    def pick(self, xs):  # noqa: ANN001, ANN201
+        return xs[self.upto(len(xs))]
+
+    def draw(self, alphabet: str, least: int, most: int | None = None) -> str:
+        n = least if most is None else least + self.upto(most - least + 1)
+        return "".join(self.rng.choices(alphabet, k=n))
+
+    def word(self) -> str:
+        w = "".join(self.pick("b c d f g l m n p r s t th st ch".split()) + self.pick("aeiou") for _ in range(1 + self.upto(4))) + self.pick(["", "n", "r", "s", "t"])
+        return self.pick([w, w, w, w.title(), w.upper()])
+
+    def name(self) -> str:
+        a, b = self.pick(THINGS), self.pick(THINGS)
+        return self.pick([f"{a}_{b}", f"{a}{b.title()}", f"{a.title()}{b.title()}", f"{a}-{b}", f"{a.upper()}_{b.upper()}", f"{a}.{b}", a])
+
+    def harmless(self) -> str:
+        """What looks like a secret and isn't."""
+        h = "0123456789abcdef"
+        d = f"20{self.draw('012', 1)}{self.draw(NUM, 1)}"
+        uuid_ = "-".join(self.draw(h, n) for n in (8, 4, 4, 4, 12))
+        path = "/".join(self.pick(THINGS) for _ in range(1 + self.upto(4)))
+        host = f"{self.pick(['www', 'api', 'cdn', 'docs'])}.{self.word().lower()}.{self.pick(['com', 'org', 'io'])}"
+        slug = "-".join(self.word().lower() for _ in range(2 + self.upto(5)))
+        model = "".join(self.pick([self.word().title(), self.word().upper(), self.draw(NUM, 1, 4)]) for _ in range(2 + self.upto(4)))
+        release = self.pick([self.word().title(), self.word().upper(), self.pick("aeiox") + self.word().title()]) + self.draw(NUM, 1, 4) + self.word().title() + self.pick(["", d, self.word().title(), d + self.word().title()])
+        return self.pick([
+            lambda: release, lambda: release, lambda: release, lambda: model, lambda: f"{release}-{self.draw(NUM, 1, 3)}",
+            lambda: uuid_, lambda: uuid_.upper(), lambda: f"https://{host}/{path}/{self.pick([slug, self.draw(NUM, 2, 10), self.draw(LOW + UP + NUM, 4, 11), uuid_, model])}", lambda: f"https://{host}/{slug}.html?id={self.draw(NUM, 3, 9)}",
+            lambda: f"{self.word().lower()}.{self.word().lower()}{self.draw(NUM, 0, 2)}@{host}", lambda: f"/usr/{path}/{self.name()}.py", lambda: f"{path}/{self.name()}_{self.draw(NUM, 1, 4)}.txt", lambda: f"{d}-{self.pick(['01', '09', '12'])}-{self.draw('012', 1)}{self.draw(NUM, 1)}T{self.draw('01', 1)}{self.draw(NUM, 1)}:30:15Z",
+            lambda: f"{d}_{self.pick(['01', '11'])}_{self.draw('012', 1)}7_{self.name()}", lambda: model, lambda: model + d, lambda: f"{self.name()}{self.draw(NUM, 1, 3)}", lambda: f"v{self.draw(NUM, 1, 2)}.{self.draw(NUM, 1, 2)}.{self.draw(NUM, 1, 2)}-rc{self.draw(NUM, 1)}", lambda: self.draw(NUM, 1, 18),
+            lambda: f"{self.draw(UP, 2, 4)}-{self.draw(NUM, 3, 8)}-{self.draw(UP, 1, 2)}", lambda: f"{self.draw(UP, 2)}{self.draw(NUM, 18, 20)}", lambda: f"+{self.draw(NUM, 1, 3)}-{self.draw(NUM, 3)}-{self.draw(NUM, 4)}", lambda: ".".join(self.draw(NUM, 1, 3) for _ in range(4)),
+            lambda: f"{self.word()}.{self.draw(NUM, 2)}", lambda: f"#{self.draw(h, 6)}", lambda: self.draw(h, 7, 10), lambda: f"{self.name()}_{self.name()}_{self.draw(NUM, 1, 2)}", lambda: f"{self.word().lower()}{self.word().title()}", lambda: f"arn/{path}/{self.name()}-{self.draw(h, 4, 8)}", lambda: f"{self.word()}-{self.word()}", lambda: f"sha{self.draw(h, 5, 10)}",
+            lambda: f"{self.word().title()}{d}{self.word().title()}", lambda: f"ISBN-{self.draw(NUM, 3)}-{self.draw(NUM, 10)}", lambda: f"{self.draw(NUM, 1, 2)}px", lambda: f"{self.draw(NUM, 4)}x{self.draw(NUM, 4)}", lambda: f"SS{self.word().lower()}", lambda: f"{self.name()}({self.name()})", lambda: f"{slug}-{self.draw(NUM, 1, 4)}",
+        ])()
+
+    def issued(self) -> str:
+        """A secret that is known by its own form."""
+        mixed = LOW + UP + NUM
+        return self.pick([
+            lambda: self.pick(LEADS) + self.draw(mixed, 20, 40), lambda: f"xoxb-{self.draw(NUM, 10, 12)}-{self.draw(NUM, 10, 12)}-{self.draw(mixed, 24)}", lambda: f"eyJ{self.draw(mixed, 17, 40)}.eyJ{self.draw(mixed, 30, 60)}.{self.draw(mixed + '-_', 43)}",
+            lambda: f"AIza{self.draw(mixed + '_-', 35)}", lambda: self.draw(mixed + "+/", 40), lambda: self.draw(mixed + "+/", 30, 60) + "=", lambda: self.draw(mixed, 24, 48), lambda: self.draw("ABCDEF" + NUM, 32, 40), lambda: self.draw(UP + "234567", 24, 32),
+        ])()
+
+    def chosen(self) -> str:
+        """One that only what stands next to it tells."""
+        mixed = LOW + UP + NUM
+        return self.pick([lambda: self.draw(mixed, 8, 20), lambda: self.word().title() + self.draw(NUM, 2, 5) + self.word().title(), lambda: self.word().lower() + self.draw(NUM, 2, 4) + self.draw(mixed, 3, 8), lambda: self.draw(LOW + NUM, 10, 24), self.issued])()
+
+    def line(self, kind: str, secret: bool) -> list[tuple[str, bool]]:
+        """Parts of a line, each with whether it is a secret."""
+        words = lambda n: " ".join(self.word() for _ in range(1 + self.upto(n)))
+        if not secret:
+            thing = self.pick([self.harmless, self.harmless, self.word, self.name])()
+            near = self.pick(sorted(CUES))
+            by_kind = {
+                "prose": [f"{words(9)} {thing} {words(6)}.", f"{words(12)}.", f"{words(4)}, {thing}; {words(3)}: {self.harmless()}", f"The {near} {words(3)} {thing}.", f"{words(5)} {self.word().lower()}.{self.draw(NUM, 2)}@mail{self.draw(NUM, 1)}.{self.word().lower()}.com {words(4)}", f"See {self.harmless()} for the {near}.", f"{words(3)} ({self.harmless()})", f"{self.pick(OPENERS)} {thing} {self.pick(CLOSERS)} {words(3)}"],
+                "settings": [f"{self.name()}: {thing}", f"{self.name()} = {thing}", f'{self.name()}="{thing}"', f"{near}_{self.pick(['path', 'file', 'name', 'id', 'url', 'length'])} = {self.pick([self.name(), self.harmless()])}", f"# {words(6)}", f"{near}: {self.pick(['true', 'none', 'required', '${' + self.name() + '}', '<' + self.word() + '>'])}"],
+                "code": [f"{self.name()} = {self.name()}({self.name()}, {thing});", f'if ({self.name()} == "{thing}") {{', f"import {self.name()}", f"def {self.name()}({near}, {self.name()}): # {thing}", f'  return "{thing}";', f'{{"{self.name()}": "{thing}"}}', f"}} // {words(4)}", f"{near} = {self.name()}.get({self.name()});"],
+                "logs": [f"2024-05-0{self.draw('123456789', 1)}T10:{self.draw('12345', 1)}0:00Z INFO {self.name()} {thing} {words(3)}", f"[{self.name()}] {thing} took {self.draw(NUM, 1, 4)}ms", f"GET /{self.name()}/{thing} 200", f"request {self.harmless()} {words(3)}"],
+            }
+            return [(self.pick(by_kind[kind]), False)]
+        key = self.pick(NAMED_SECRETS)
+        issued, chosen = self.issued(), self.chosen()
+        by_kind = {
+            "prose": [[(f"{words(5)} ", False), (issued, True), (f" {words(4)}.", False)], [(f"The {self.pick(['password is', 'key is', 'passphrase is', 'login is', 'pwd is'])} ", False), (chosen, True), (f" {words(3)}", False)], [(f"{words(3)}: ", False), (issued, True)], [(f"{self.pick(OPENERS)} ", False), (issued, True), (f" {self.pick(CLOSERS)} {words(3)}", False)]],
+            "settings": [[(f"{key}{self.pick([' = ', '=', ': '])}{self.pick(['', chr(34)])}", False), (chosen, True)], [(f"{self.name()}_url: {self.pick(['postgres', 'https', 'redis', 'amqp'])}://{self.word().lower()}:", False), (chosen, True), (f"@{self.word().lower()}.internal:5432/{self.name()}", False)], [(f"{self.name()} = ", False), (issued, True)], [(f"-----BEGIN {self.pick(['RSA ', '', 'EC '])}PRIVATE KEY-----\n", False), (self.draw(LOW + UP + NUM + "+/", 64), True), ("\n", None), (self.draw(LOW + UP + NUM + "+/", 64), True), ("\n-----END", False)]],
+            "code": [[(f'{key} = "', False), (chosen, True), ('";', False)], [(f'{self.name()}.{self.pick(["auth", "login", "connect", "setKey"])}("', False), (issued, True), ('");', False)], [(f'{{"{key}": "', False), (chosen, True), ('"}', False)], [("headers = {'Authorization': 'Bearer ", False), (issued, True), ("'};", False)]],
+            "logs": [[(f"INFO {self.name()} Authorization: {self.pick(['Bearer', 'Basic'])} ", False), (issued, True)], [(f"GET /{self.name()}?{self.pick(['key', 'sig', 'auth', 'access_key'])}=", False), (issued, True), (" 200", False)], [(f"{words(2)} {key}=", False), (chosen, True)], [(f"[{self.name()}] credentials ", False), (issued, True), (f" {words(2)}", False)]],
+        }
+        return self.pick(by_kind[kind])
+
+    def file(self) -> Labelled:
+        kind, text, spans = self.pick(["prose", "settings", "code", "logs"]), "", []
+        for _ in range(1 + self.upto(4)):
+            for part, secret in self.line(kind if self.upto(8) else "prose", self.upto(4) == 0):
+                if secret:
+                    spans.append((len(text), len(text) + len(part)))
+                text += part
+            text += "\n"
+        return text, spans
+
+
+def written_files(count: int = 1800, seed: int = 7) -> list[Labelled]:
+    writer = Writer(seed)
+    return [writer.file() for _ in range(count)]
+
+
+def sequence(file: Labelled) -> tuple[list[str], tuple[str, ...], list[int]]:
+    """(words, features of the text, tags) of a file whose secrets are known. Neighbouring tokens of touching spans, but for
+    white space, are one secret."""
+    text, spans = file
+    tokens = list(TOKEN.finditer(text))
+    tags = [0] * len(tokens)
+    for a, b in spans:
+        inside = [k for k, m in enumerate(tokens) if m.start() < b and a < m.end()]
+        for k in inside:
+            tags[k] = 2 if k and tags[k - 1] and not text[tokens[k - 1].end() : tokens[k].start()].strip() else 1
+    return [m.group() for m in tokens], features_of_text(text), tags
+
+
+def fit(data: list[tuple[list[str], tuple[str, ...], list[int]]], rounds: int = 100, rate: float = 0.3, ridge: float = 0.3) -> Model:
+    """Most likely weights, less a penalty on their squares, by gradient steps, one adaptive rate a weight; gradients by the
+    forward-backward recursion over all sequences at once, the longest first, so that a step takes those that reach it."""
+    data = sorted((d for d in data if d[0]), key=lambda d: -len(d[0]))
     index: dict[str, int] = {}
-    size, longest = len(data), max(len(tags) for _, _, tags in data)
+    size, longest = len(data), len(data[0][0])
+    reach = [sum(len(d[0]) > k for d in data) for k in range(longest + 1)]
     rows, cells, inside, gold = [], [], np.zeros((size, longest), bool), np.zeros((size, longest), int)
     for s, (words, text, tags) in enumerate(data):
         for k, fs in enumerate(names_of(words, text)):
@@ -203,25 +326,31 @@ def fit(data: list[tuple[list[str], tuple[str, ...], list[int]]], rounds: int =
             cells += [s * longest + k] * len(fs)
         inside[s, : len(tags)], gold[s, : len(tags)] = True, tags
     rows, cells = np.array(rows), np.array(cells)
+    used, firsts = np.unique(cells, return_index=True)  # cells ascend
     w, t = np.zeros((len(index), 3)), np.zeros((3, 3))
     sw, st = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     truth = np.eye(3)[gold] * inside[..., None]
     moves = np.einsum("skp,skx->px", truth[:, :-1], truth[:, 1:])
+    last = np.array([len(d[0]) - 1 for d in data])
+    sums = lambda x, axis: np.log(np.exp(x - (top := x.max(axis, keepdims=True))).sum(axis)) + top.squeeze(axis)
     for _ in range(rounds):
         e = np.zeros((size * longest, 3))
-        np.add.at(e, cells, w[rows])
+        e[used] = np.add.reduceat(w[rows], firsts)
         e = e.reshape(size, longest, 3)
         a, b = e.copy(), np.zeros_like(e)
         for k in range(1, longest):
-            a[:, k] = np.where(inside[:, k, None], np.logaddexp.reduce(a[:, k - 1, :, None] + t, 1) + e[:, k], a[:, k - 1])
+            n = reach[k]
+            a[:n, k] = sums(a[:n, k - 1, :, None] + t, 1) + e[:n, k]
         for k in range(longest - 2, -1, -1):
-            b[:, k] = np.where(inside[:, k + 1, None], np.logaddexp.reduce(t + (e[:, k + 1] + b[:, k + 1])[:, None, :], 2), 0)
-        z = np.logaddexp.reduce(a[:, -1], 1)
+            n = reach[k + 1]
+            b[:n, k] = sums(t + (e[:n, k + 1] + b[:n, k + 1])[:, None, :], 2)
+        z = sums(a[np.arange(size), last], 1)
         p = np.exp(a + b - z[:, None, None]) * inside[..., None]
-        gw, gt = -decay * w * size, moves - decay * t * size
-        np.add.at(gw, rows, (truth - p).reshape(-1, 3)[cells])
+        missed, gt = (truth - p).reshape(-1, 3)[cells], moves - ridge * t
+        gw = np.stack([np.bincount(rows, missed[:, x], len(index)) for x in range(3)], 1) - ridge * w
         for k in range(1, longest):
-            gt -= (np.exp(a[:, k - 1, :, None] + t + (e[:, k] + b[:, k])[:, None, :] - z[:, None, None]) * inside[:, k, None, None]).sum(0)
+            n = reach[k]
+            gt -= np.exp(a[:n, k - 1, :, None] + t + (e[:n, k] + b[:n, k])[:, None, :] - z[:n, None, None]).sum(0)
         sw += gw**2
         st += gt**2
         w += rate * gw / np.sqrt(sw)
@@ -234,7 +363,7 @@ _FITTED: dict[str, Model] = {}
 
 def default_model() -> Model:
     if "default" not in _FITTED:
-        _FITTED["default"] = fit(training_set())
+        _FITTED["default"] = fit([sequence(f) for f in written_files()])
     return _FITTED["default"]
 
 
@@ -292,7 +421,7 @@ class Scanner:
         order = lambda s: (s[1], KINDS.index(s[0]), s[2])
         base = sorted(base_spans(text), key=order)
         taken = [(a, b) for _, a, b in base]
-        more = [s for s in self.crf_spans(text) if not any(a < s[2] and s[1] < b for a, b in taken)]
+        more = [s for s in self.crf_spans(text) if not any(a <= s[1] and s[2] <= b for a, b in taken)]
         return base, sorted([*base, *more], key=order)
 
 
