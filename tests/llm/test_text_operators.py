@@ -204,6 +204,38 @@ def test_licenses(spark):
     assert licenses.license_scan(spark, d.limit(0)).count() == 0
 
 
+def wrapped(text, width=70, mark=""):
+    """As files have it: lines of a certain width, with a comment mark."""
+    import textwrap
+
+    return "\n\n".join("\n".join(mark + line for line in textwrap.wrap(part, width)) for part in text.split("\n\n"))
+
+
+def test_whole_licences_are_found_alone_and_within_other_text(spark):
+    names = list(licenses.TEXTS)
+    titled = [f"{(licenses.TEXTS[n][1] or [''])[0]}\n\nCopyright (c) 2020 Some One. All rights reserved.\n\n{wrapped(licenses.TEXTS[n][0])}\n" for n in names]
+    marked = [wrapped(licenses.TEXTS[n][0], 60, "# ").replace("license", "licence").replace("\n", "\r\n") for n in names]
+    inside = [f"# Project\n\nSome words about it.\n\n{wrapped(licenses.TEXTS[n][0])}\n\nAnd more words." for n in names]
+    d = documents(spark, titled + marked + inside).withColumns({"digest": F.lit("x"), "found": F.lit(1), "license": F.lit("y")})
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark, d).collect()}
+    k = len(names)
+    assert k >= 8 and [got[i]["text_license"] for i in range(2 * k)] == names * 2
+    shared = {"BSD-2-Clause", "0BSD", "GPL-2.0"}  # each paragraph is in another licence as well, or may be too short
+    assert all(got[2 * k + i]["licenses"] == n and got[2 * k + i]["n_blocks"] + got[2 * k + i]["n_notices"] > 0 for i, n in enumerate(names) if n not in shared)
+    assert all(got[2 * k + i]["text_license"] is None for i in range(k))
+
+
+def test_license_scan_against_sql(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    extra = [*AWKWARD, "a\rLicensed under MIT\rb", "x\u2028(c) y\u2028 Licensed under MIT", licenses.MIT_TEXT, "Intro\n \n" + wrapped(licenses.ZLIB_TEXT) + "\n\n\nend", "MIT License\n\n(c) me\n\n" + licenses.MIT_TEXT]
+    docs.unionByName(documents(spark, extra, 70_000)).select("doc_id", "text").repartition(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/d/*.parquet')")
+    want = con.execute(licenses.oracle()).fetchall()
+    got = [tuple(r) for r in licenses.license_scan(spark, spark.read.parquet(str(tmp_path / "d"))).select("doc_id", "text_digest", "text_license", "n_notices", "n_blocks", "licenses").collect()]
+    assert sorted(got) == sorted(want) and sum(r[4] for r in got) > 0
+
+
 # Fingerprints
 
 
