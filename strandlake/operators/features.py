@@ -6,7 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
@@ -16,23 +16,27 @@ FS = 10.0
 LEAST_ROWS = 4
 
 
-def kinematics(df: DataFrame, keys: Sequence[str], dt: float = 1 / FS) -> DataFrame:
-    """Rows with accel, jerk, lat_accel, curvature, heading_rate and the arc so far. ``dt``: the grid's step."""
-    w = ordered(keys, "t")
-    df = with_unwrapped(df, "heading", "_h", w)
+def kinematics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with accel, jerk, lat_accel, curvature, heading_rate, the arc so far and the time to the path's end at this
+    speed. Rates are taken by each segment's median step."""
+    w, whole = ordered(keys, "t"), Window.partitionBy(*keys)
+    df = with_unwrapped(df, "heading", "_h", w).withColumn("_gap", F.col("t") - F.lag("t").over(w)).withColumn("_dt", F.median("_gap").over(whole))
+    dt = F.col("_dt")
     df = df.withColumn("accel", gradient(F.col("speed"), dt, w)).withColumn("heading_rate", gradient(F.col("_h"), dt, w))
     df = df.withColumn("jerk", gradient(F.col("accel"), dt, w)).withColumn("_step", arc_step(F.col("x"), F.col("y"), w))
     df = df.withColumn("arc", running_sum(F.col("_step"), w))
-    return df.withColumn("lat_accel", F.col("speed") * F.col("yaw_rate")).withColumn("curvature", F.when(F.col("speed") > 0.5, F.abs(F.try_divide("yaw_rate", "speed"))).otherwise(0.0)).drop("_h", "_step")
+    left = (F.max("arc").over(whole) - F.col("arc")) / F.greatest(F.col("speed"), F.lit(0.1))
+    df = df.withColumn("path_end", F.least(F.lit(10.0), F.greatest(F.lit(0.0), left)))
+    return df.withColumn("lat_accel", F.col("speed") * F.col("yaw_rate")).withColumn("curvature", F.when(F.col("speed") > 0.5, F.abs(F.try_divide("yaw_rate", "speed"))).otherwise(0.0)).drop("_h", "_step", "_gap", "_dt")
 
 
 def _std(c: str) -> Column:
     return F.stddev_pop(c)
 
 
-def motion_features(df: DataFrame, keys: Sequence[str], dt: float = 1 / FS) -> DataFrame:
-    """All but the spectral features. Segments of under four rows are dropped."""
-    k = kinematics(df, keys, dt)
+def motion_features(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All but the spectral features. A segment of under four rows is an error."""
+    k = kinematics(df, keys)
     a = lambda c: F.abs(F.col(c))
     flat = (F.stddev_pop("curvature") <= 1e-12) | (F.stddev_pop("speed") <= 1e-12)
     out = k.groupBy(*keys).agg(
@@ -46,11 +50,9 @@ def motion_features(df: DataFrame, keys: Sequence[str], dt: float = 1 / FS) -> D
         F.avg(a("heading_rate")).alias("heading_rate_mean"), _std("heading_rate").alias("heading_rate_std"), F.max(a("heading_rate")).alias("heading_rate_max"),
         (1 / (1 + _std("heading_rate"))).alias("heading_smoothness"),
         (F.avg("speed") / 6).alias("ttc_stop_mean"), (F.min("speed") / 6).alias("ttc_stop_min"),
-        F.max("arc").alias("_end"), F.max_by("arc", "t").alias("_last"), F.max_by("speed", "t").alias("_v"),
+        F.min("path_end").alias("ttc_path_end_min"),
     )
-    # the arc left at the last row is nil, and no row has less
-    end = F.least(F.lit(10.0), F.greatest(F.lit(0.0), (F.col("_end") - F.col("_last")) / F.greatest(F.col("_v"), F.lit(0.1))))
-    out = out.filter(F.col("_n") >= LEAST_ROWS).withColumn("ttc_path_end_min", end)
+    out = out.filter(F.when(F.col("_n") >= LEAST_ROWS, True).otherwise(F.raise_error(F.lit(f"a segment has under {LEAST_ROWS} rows")).cast("boolean")))
     names = [c for c in out.columns if c not in keys and not c.startswith("_")]
     return out.select(*keys, *[finite(F.col(c)).alias(c) for c in names])
 
@@ -92,9 +94,9 @@ def spectral_features(df: DataFrame, keys: Sequence[str], signal: str, fs: float
     return got.withColumn("yaw_psd_ratio", ratio)
 
 
-def extract_features(df: DataFrame, keys: Sequence[str], dt: float = 1 / FS) -> DataFrame:
+def extract_features(df: DataFrame, keys: Sequence[str], fs: float = FS) -> DataFrame:
     """All thirty."""
     from .windows import nested
 
-    spectrum = spectral_features(nested(df, keys, "t", ["yaw_rate"], "double"), keys, "yaw_rate", 1 / dt)
-    return motion_features(df, keys, dt).join(spectrum, list(keys))
+    spectrum = spectral_features(nested(df, keys, "t", ["yaw_rate"], "double"), keys, "yaw_rate", fs)
+    return motion_features(df, keys).join(spectrum, list(keys))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,20 @@ def power_curve(spark: SparkSession, aucs: Sequence[float], n_max: int, alpha: f
     return with_power(grid, alpha)
 
 
-def required_samples(spark: SparkSession, auc: float, target: float = 0.8, alpha: float = 0.05, n_max: int = 20_000) -> DataFrame:
-    """One row, n: the least even number of rows with enough power; null if none is."""
-    return power_curve(spark, [auc], n_max, alpha).filter(F.col("power") >= target).agg(F.min("n").alias("n"))
+def power_of(auc: float, n: int, alpha: float = 0.05) -> float:
+    """As ``with_power``, for one case."""
+    n1 = n // 2
+    n0, q1, q2 = n - n1, auc / (2 - auc), 2 * auc * auc / (1 + auc)
+    se = math.sqrt(max(0.0, (auc * (1 - auc) + (n1 - 1) * (q1 - auc * auc) + (n0 - 1) * (q2 - auc * auc)) / (n1 * n0)))
+    return NormalDist().cdf((auc - 0.5) / se - normal_quantile(1 - alpha)) if se > 0 else float(auc > 0.5)
+
+
+def required_samples(spark: SparkSession, auc: float, target: float = 0.8, alpha: float = 0.05, n_max: int = 10_000_000) -> DataFrame:
+    """One row, n: the least even number of rows with enough power, by bisection, as power grows with n; null if none is."""
+    low, high = 2, n_max // 2
+    if not 0.5 < auc <= 1 or power_of(auc, 2 * high, alpha) < target:
+        return spark.createDataFrame([(None,)], "n bigint")
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if power_of(auc, 2 * mid, alpha) >= target else (mid + 1, high)
+    return spark.createDataFrame([(2 * low,)], "n bigint")

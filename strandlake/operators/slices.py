@@ -16,21 +16,23 @@ SCHEMA_TAG = "strandlake.baseline.v1"
 
 def sliced(df: DataFrame, configs: DataFrame | None = None, config_type: str = "pos_noise_std double, latency_steps bigint") -> DataFrame:
     """A row for each (row, slice) that it is in: its maneuver; and, with configs (segment_id, config_json), the halves of
-    the knobs. Real rows are in all knob slices; simulated ones by noise against the simulated median, and by latency."""
+    the knobs. Real rows are in all knob slices; simulated ones by noise against the simulated median, and by latency. A knob
+    that no simulated row has a number for makes no slices."""
     base = df.select("*", F.concat(F.lit("maneuver:"), "maneuver").alias("slice"))
     if configs is None:
         return base
     parsed = configs.select("segment_id", F.from_json("config_json", config_type).alias("cfg"))
-    joined = df.join(parsed, "segment_id", "left")
-    noise, latency = F.col("cfg.pos_noise_std").cast("double"), F.col("cfg.latency_steps")
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")), F.col(c).cast("double"))
+    joined = df.join(parsed, "segment_id", "left").withColumns({"_noise": number("cfg.pos_noise_std"), "_latency": number("cfg.latency_steps")})
     sim = F.col("source") == "sim"
-    mid = joined.filter(sim).agg(F.median(noise).alias("mid"))
-    joined = joined.crossJoin(F.broadcast(mid))  # one row
+    known = joined.filter(sim).agg(F.median("_noise").alias("_mid"), F.count("_latency").alias("_late"))
+    joined = joined.crossJoin(F.broadcast(known))  # one row
+    noise, latency, mid, late = F.col("_noise"), F.col("_latency"), F.col("_mid"), F.col("_late") > 0
     marks = {
-        "noise:low": ~sim | (noise <= F.col("mid")),
-        "noise:high": ~sim | (noise > F.col("mid")),
-        "latency:zero": ~sim | (latency == 0),
-        "latency:some": ~sim | (latency > 0),
+        "knob:noise_low": mid.isNotNull() & (~sim | (noise <= mid)),
+        "knob:noise_high": mid.isNotNull() & (~sim | (noise > mid)),
+        "knob:latency_0": late & (~sim | (latency == 0)),
+        "knob:latency_gt0": late & (~sim | (latency > 0)),
     }
     names = F.filter(F.array(*[F.when(m, F.lit(n)) for n, m in marks.items()]), lambda x: x.isNotNull())
     return base.unionByName(joined.withColumn("slice", F.explode(names)).select(*base.columns))

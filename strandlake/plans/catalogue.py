@@ -336,30 +336,28 @@ def quat_yaw(spark, sf_dir):
 SEGMENT = ["user_id", "window"]
 
 
-def segments(spark, sf_dir):
+def segments(spark, sf_dir, size=61, step=30):
     """user_id, window, t and channels of every whole window."""
-    cut = windows.cut_windows(tracks(spark, sf_dir).drop("idx"), ["user_id"], ["ts", "event_id"])
+    cut = windows.cut_windows(tracks(spark, sf_dir).drop("idx"), ["user_id"], ["ts", "event_id"], size, step)
     return cut.select(*SEGMENT, "idx", "t", "x", "y", "heading", "speed", "yaw_rate")
 
 
-def first_segments(spark, sf_dir):
-    """user_id, t and channels of every user's first whole window, as SEG_SQL has them."""
-    return segments(spark, sf_dir).filter("`window` = 0").drop("window")
+def segments_sql(size: int, step: int) -> str:
+    """All whole windows; a segment's key stands in user_id."""
+    return f"""{TRACK_SQL}, w AS (SELECT user_id, unnest(generate_series(0, (n - {size}) // {step})) AS win FROM (SELECT user_id, count(*) AS n FROM track GROUP BY user_id HAVING count(*) >= {size})),
+seg AS (SELECT track.* REPLACE (struct_pack(u := track.user_id, w := w.win) AS user_id) FROM track JOIN w ON w.user_id = track.user_id AND track.idx BETWEEN w.win * {step} AND w.win * {step} + {size - 1})"""
 
 
-SEG_SQL = f"{TRACK_SQL}, seg AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS nn FROM track) WHERE nn >= 61 AND idx < 61)"
+SEG_SQL = segments_sql(61, 30)
 SEG_UNWRAP = f"""{SEG_SQL}, dj AS (SELECT *, heading - lag(heading) OVER {W_SQL} AS dd FROM seg),
 un AS (SELECT *, heading + sum(CASE WHEN dd IS NULL OR abs(dd) < pi() THEN 0 ELSE (dd + pi()) - floor((dd + pi()) / (2 * pi())) * 2 * pi() - pi() - dd END) OVER {W_SQL} AS h FROM dj)"""
-KIN_SQL = f"""{SEG_UNWRAP}, k1 AS (SELECT *, {grad_sql('speed')} AS accel, {grad_sql('h')} AS hr, speed * yaw_rate AS lat, CASE WHEN speed > 0.5 THEN abs(yaw_rate / speed) ELSE 0 END AS curv FROM un),
-kin AS (SELECT *, {grad_sql('accel')} AS jerk FROM k1)"""
-
-#: The same over all whole windows: a segment's key stands in user_id.
-SEGMENTS_SQL = f"""{TRACK_SQL}, w AS (SELECT user_id, unnest(generate_series(0, (n - 61) // 30)) AS win FROM (SELECT user_id, count(*) AS n FROM track GROUP BY user_id HAVING count(*) >= 61)),
-seg AS (SELECT track.* REPLACE (struct_pack(u := track.user_id, w := w.win) AS user_id) FROM track JOIN w ON w.user_id = track.user_id AND track.idx BETWEEN w.win * 30 AND w.win * 30 + 60)"""
+KIN_SQL = f"""{SEG_UNWRAP}, k1 AS (SELECT *, {grad_sql('speed')} AS accel, {grad_sql('h')} AS hr, speed * yaw_rate AS lat, CASE WHEN speed > 0.5 THEN abs(yaw_rate / speed) ELSE 0 END AS curv,
+coalesce(sqrt((x - lag(x) OVER {W_SQL}) ** 2 + (y - lag(y) OVER {W_SQL}) ** 2), 0) AS st FROM un),
+k2 AS (SELECT *, {grad_sql('accel')} AS jerk, sum(st) OVER {W_SQL} AS arc FROM k1), kin AS (SELECT *, max(arc) OVER (PARTITION BY user_id) AS whole_arc FROM k2)"""
 
 
-def _of_all_windows(sql: str) -> str:
-    return f'SELECT user_id.u AS user_id, user_id.w AS "window", * EXCLUDE (user_id) FROM ({sql.replace(SEG_SQL, SEGMENTS_SQL)})'
+def _keyed(sql: str) -> str:
+    return f'SELECT user_id.u AS user_id, user_id.w AS "window", * EXCLUDE (user_id) FROM ({sql})'
 
 
 MANEUVER_SQL = f"""WITH {SEG_UNWRAP}, f AS (SELECT *, first_value(heading) OVER {W_SQL} AS h0, first_value(x) OVER {W_SQL} AS x0, first_value(y) OVER {W_SQL} AS y0 FROM un),
@@ -370,30 +368,32 @@ SELECT user_id, CASE WHEN slow <= 0.5 AND fast - slow >= 5 THEN 'stop_and_go' WH
 WHEN pk >= 1.6 AND abs(turn) <= 0.6 AND (tp - t0) / (t1 - t0) > 0.25 AND (tp - t0) / (t1 - t0) < 0.75 THEN 'cut_in' WHEN pk >= 1.6 AND abs(turn) <= 0.6 THEN 'merge' ELSE 'lane_keep' END AS maneuver FROM p"""
 
 
-@query(MANEUVER_SQL)
+@query(_keyed(MANEUVER_SQL))
 def maneuver_label(spark, sf_dir):
-    return labeling.maneuvers(first_segments(spark, sf_dir), ["user_id"])
+    return labeling.maneuvers(segments(spark, sf_dir), SEGMENT)
 
 
-@query(_of_all_windows(MANEUVER_SQL))
+@query(_keyed(MANEUVER_SQL.replace(SEG_SQL, segments_sql(21, 10))))
 def maneuver_label_windows(spark, sf_dir):
-    return labeling.maneuvers(segments(spark, sf_dir), SEGMENT)
+    """Of shorter windows: 21 rows, every 10."""
+    return labeling.maneuvers(segments(spark, sf_dir, 21, 10), SEGMENT)
 
 
 def _feature_query(names: str, sql: dict[str, str], digits: int = 5) -> None:
+    """Over segments of 61 rows every 30; with ``_windows`` after its name, of 21 rows every 10."""
     columns = names.split()
 
     def run(spark, sf_dir):
-        return rounded(features.motion_features(first_segments(spark, sf_dir), ["user_id"]).select("user_id", *columns), digits)
+        return rounded(features.motion_features(segments(spark, sf_dir), SEGMENT).select(*SEGMENT, *columns), digits)
 
     def run_windows(spark, sf_dir):
-        return rounded(features.motion_features(segments(spark, sf_dir), SEGMENT).select(*SEGMENT, *columns), digits)
+        return rounded(features.motion_features(segments(spark, sf_dir, 21, 10), SEGMENT).select(*SEGMENT, *columns), digits)
 
     run.__name__ = sql.pop("name")
     run_windows.__name__ = run.__name__ + "_windows"
     text = f"WITH {KIN_SQL} SELECT user_id, " + ", ".join(f"{q(sql[c], digits)} AS {c}" for c in columns) + " FROM kin GROUP BY user_id"
-    query(text)(run)
-    query(_of_all_windows(text))(run_windows)
+    query(_keyed(text))(run)
+    query(_keyed(text.replace(SEG_SQL, segments_sql(21, 10))))(run_windows)
 
 
 _feature_query("speed_mean speed_std speed_max speed_min", {"name": "feat_speed", "speed_mean": "avg(speed)", "speed_std": "stddev_pop(speed)", "speed_max": "max(speed)", "speed_min": "min(speed)"})
@@ -402,7 +402,7 @@ _feature_query("jerk_mean jerk_std jerk_max jerk_p95", {"name": "feat_jerk", "je
 _feature_query("lat_accel_mean lat_accel_std lat_accel_max lat_accel_p95 lat_accel_rms", {"name": "feat_lat_accel", "lat_accel_mean": "avg(abs(lat))", "lat_accel_std": "stddev_pop(lat)", "lat_accel_max": "max(abs(lat))", "lat_accel_p95": "quantile_cont(abs(lat), 0.95)", "lat_accel_rms": "sqrt(avg(lat * lat))"})
 _feature_query("curvature_mean curvature_p95 curv_speed_corr", {"name": "feat_curvature", "curvature_mean": "avg(curv)", "curvature_p95": "quantile_cont(curv, 0.95)", "curv_speed_corr": "CASE WHEN stddev_pop(curv) <= 1e-12 OR stddev_pop(speed) <= 1e-12 THEN 0 ELSE corr(curv, speed) END"})
 _feature_query("heading_rate_mean heading_rate_std heading_rate_max heading_smoothness", {"name": "feat_heading", "heading_rate_mean": "avg(abs(hr))", "heading_rate_std": "stddev_pop(hr)", "heading_rate_max": "max(abs(hr))", "heading_smoothness": "1 / (1 + stddev_pop(hr))"})
-_feature_query("ttc_stop_mean ttc_stop_min ttc_path_end_min", {"name": "feat_ttc", "ttc_stop_mean": "avg(speed) / 6", "ttc_stop_min": "min(speed) / 6", "ttc_path_end_min": "0.0::DOUBLE * min(speed)"})
+_feature_query("ttc_stop_mean ttc_stop_min ttc_path_end_min", {"name": "feat_ttc", "ttc_stop_mean": "avg(speed) / 6", "ttc_stop_min": "min(speed) / 6", "ttc_path_end_min": "min(least(10, greatest(0, (whole_arc - arc) / greatest(speed, 0.1))))"})
 
 FREQ = "CAST(10 AS DOUBLE) / 64"
 
@@ -501,8 +501,8 @@ def slice_auc(spark, sf_dir):
 
 @query(f"""WITH {TRACK_SQL}, m AS (SELECT median(k) FILTER (source = 'sim') AS mid FROM track),
 e AS (SELECT event_id, 'maneuver:' || event_type AS slice FROM track
-UNION ALL SELECT event_id, 'noise:low' FROM track, m WHERE source = 'real' OR k <= mid UNION ALL SELECT event_id, 'noise:high' FROM track, m WHERE source = 'real' OR k > mid
-UNION ALL SELECT event_id, 'latency:zero' FROM track WHERE source = 'real' OR k % 5 = 0 UNION ALL SELECT event_id, 'latency:some' FROM track WHERE source = 'real' OR k % 5 > 0)
+UNION ALL SELECT event_id, 'knob:noise_low' FROM track, m WHERE source = 'real' OR k <= mid UNION ALL SELECT event_id, 'knob:noise_high' FROM track, m WHERE source = 'real' OR k > mid
+UNION ALL SELECT event_id, 'knob:latency_0' FROM track WHERE source = 'real' OR k % 5 = 0 UNION ALL SELECT event_id, 'knob:latency_gt0' FROM track WHERE source = 'real' OR k % 5 > 0)
 SELECT slice, count(*) AS n, sum(event_id)::BIGINT AS ids FROM e GROUP BY slice""")
 def knob_slices(spark, sf_dir):
     rows = tracks(spark, sf_dir).select(F.col("event_id").alias("segment_id"), "source", F.col("event_type").alias("maneuver"), "k")
@@ -621,7 +621,10 @@ def hanley_mcneil(spark, sf_dir):
     return rounded(rows.select("s_suppkey", power.auc_error(F.col("auc"), F.col("n1"), F.lit(30.0)).alias("se")))
 
 
-@query()
+@query(f"""WITH g AS (SELECT n, a, sqrt((a * (1 - a) + (n / 2 - 1) * (a / (2 - a) - a * a) + (n / 2 - 1) * (2 * a * a / (1 + a) - a * a)) / (n / 2 * n / 2)) AS se
+FROM (SELECT unnest(generate_series(4, 1000, 2)) AS n), (SELECT unnest([0.55::DOUBLE, 0.6, 0.65, 0.7]) AS a)), z AS (SELECT n, a, (a - 0.5) / se - 1.6448536269514722 AS z FROM g),
+i AS (SELECT n, a, z, sum(exp(-0.5 * pow(z * k / 400, 2)) * CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * z / 1200 / sqrt(2 * pi()) AS area FROM z, (SELECT unnest(generate_series(0, 400)) AS k) GROUP BY n, a, z)
+SELECT n::BIGINT AS n, a AS auc, {q('0.5 + area')} AS power FROM i""")
 def power_curve(spark, sf_dir):
     return rounded(power.power_curve(spark, [0.55, 0.6, 0.65, 0.7], 1000))
 
@@ -663,7 +666,7 @@ def latency_fifo(spark, sf_dir):
     return _by_user(tracks(spark, sf_dir).withColumn("steer", F.lag(F.col("yaw_rate") * 1.2, 2, 0.0).over(w)), "steer")
 
 
-@query("""SELECT concat(n, '_lat', l, '_bias', b) AS config_id, n AS knob_noise, l::BIGINT AS knob_latency, b AS knob_bias
+@query("""SELECT printf('noise_%s_lat_%d_bias_%g', n, l, b) AS config_id, n AS knob_noise, l::BIGINT AS knob_latency, b AS knob_bias
 FROM (SELECT unnest(['low', 'mid', 'high']) AS n), (SELECT unnest([0, 2, 4]) AS l), (SELECT unnest([0.0::DOUBLE, 0.2::DOUBLE]) AS b)""")
 def knob_grid(spark, sf_dir):
     return simulate.knob_grid(spark)

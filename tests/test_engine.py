@@ -67,7 +67,12 @@ def test_features_are_finite_and_right(spark):
     p = abs(np.fft.rfft((y - y.mean()) * h)) ** 2 / (10 * (h * h).sum())
     p[1:] *= 2
     assert np.isclose(row["yaw_psd_total"], np.trapezoid(p, dx=10 / 61)) and np.isclose(row["yaw_psd_0_2hz"], np.trapezoid(p[:13], dx=10 / 61))
-    assert features.motion_features(track(spark, 3), ["segment_id"]).count() == 0
+    with pytest.raises(Exception, match="under 4 rows"):
+        features.motion_features(track(spark, 3), ["segment_id"]).collect()
+    slow = track(spark, speed=lambda t: t * t).withColumn("t", F.col("t") * 2)  # a grid of another step
+    assert np.isclose(features.motion_features(slow, ["segment_id"]).first()["accel_max"], np.gradient(np.arange(61) ** 2 / 100, 0.2).max())
+    ends = features.kinematics(track(spark, speed=lambda t: 2.0), ["segment_id"]).orderBy("t").collect()
+    assert np.allclose([r["path_end"] for r in ends], [min(10, (6 - i / 10) * 10 / 2) for i in range(61)])
 
 
 def test_long_signals_are_averaged_over_parts(spark):
@@ -171,12 +176,30 @@ def test_resampling(spark):
 
 
 def test_power(spark):
-    assert power.required_samples(spark, 0.55).first()[0] == 816
+    assert [power.required_samples(spark, a).first()[0] for a in (0.55, 0.51, 0.5)] == [816, 20_600, None]
+    grid = [x / 7 for x in range(-80, 81)]
+    got = spark.createDataFrame([(x,) for x in grid], "x double").select(columns.normal_cdf(F.col("x")).alias("c"), columns.normal_quantile_of(columns.normal_cdf(F.col("x"))).alias("x")).collect()
+    assert all(math.isclose(r["c"], math.erfc(-x / math.sqrt(2)) / 2, rel_tol=1e-9, abs_tol=1e-15) for r, x in zip(got, grid, strict=True))
+    assert all(math.isclose(r["x"], x, abs_tol=1e-6) for r, x in zip(got, grid, strict=True) if abs(x) < 5)
     row = spark.range(1).select(power.auc_error(F.lit(0.7), F.lit(100.0), F.lit(100.0)).alias("se"), power.auc_error(F.lit(1.5), F.lit(9.0), F.lit(9.0)).alias("bad")).first()
     q1, q2 = 0.7 / 1.3, 2 * 0.49 / 1.7
     assert np.isclose(row["se"], math.sqrt((0.21 + 99 * (q1 - 0.49) + 99 * (q2 - 0.49)) / 1e4)) and row["bad"] is None
 
 
+def test_slices_of_knobs(spark):
+    rows = spark.createDataFrame([(1, "real", "a"), (2, "sim", "a"), (3, "sim", "b")], "segment_id bigint, source string, maneuver string")
+    names = lambda c: sorted((r["slice"], r["segment_id"]) for r in slices.sliced(rows, spark.createDataFrame(c, "segment_id bigint, config_json string")).collect())
+    plain = [("maneuver:a", 1), ("maneuver:a", 2), ("maneuver:b", 3)]
+    assert names([(2, None)]) == plain
+    both = [(2, '{"pos_noise_std": 0.1, "latency_steps": 0}'), (3, '{"pos_noise_std": 0.3, "latency_steps": 2}')]
+    knobs = [("knob:latency_0", 1), ("knob:latency_0", 2), ("knob:latency_gt0", 1), ("knob:latency_gt0", 3), ("knob:noise_high", 1), ("knob:noise_high", 3), ("knob:noise_low", 1), ("knob:noise_low", 2)]
+    assert names(both) == knobs + plain
+    assert names([(2, '{"latency_steps": 0}')]) == [("knob:latency_0", 1), ("knob:latency_0", 2), ("knob:latency_gt0", 1), *plain]
+    ranges, fixed = simulate.sweep_cell("high", 4, 0.2)
+    assert fixed["accel"] == 0 and fixed["wheelbase"] == 2.7 and fixed["latency_steps"] == 4 and ranges["pos_noise_std"] == (1e-2, 0.5)
+    assert {"noise_low_lat_0_bias_0", "noise_mid_lat_2_bias_0.2"} <= {r[0] for r in simulate.knob_grid(spark).collect()}
+
+
 def test_gate_and_diff(spark):
     side = lambda rows: spark.createDataFrame(rows, "slice string, auc double, ci_low double, ci_high double, n bigint")
     base = side([(s, 0.9, 0.85, 0.95, n) for s, n in (("worse", 50), ("gone", 50), ("meets", 50), ("few", 6), ("near", 50))])
@@ -277,7 +300,7 @@ def test_all_windows_of_a_long_series_are_segments(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts string, event_type string, value double, props string").withColumn("ts", F.to_timestamp("ts"))
     events.write.parquet(str(tmp_path / "events.parquet"))
     want = {(1, w) for w in range(8)} | {(2, 0)}
-    for name in ("maneuver_label_windows", "feat_speed_windows", "segment_features", "pivot_tensor", "recorder_noise"):
+    for name in ("maneuver_label", "feat_speed", "feat_ttc", "segment_features", "pivot_tensor", "recorder_noise"):
         got = {(r["user_id"], r["window"]) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).select("user_id", "window").collect()}
         assert got == want, name
     assert __spark_entry__.queries()["recorder_noise"](spark, str(tmp_path)).count() == 61 * len(want)
