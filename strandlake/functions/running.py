@@ -4,36 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges over all numbers; those of scores in [0, 1] fall into a quarter of them.
+RANGES = 2048
 
-def running_totals(df: DataFrame, key: str, order: Sequence[Column | str], sums: Mapping[str, str], groups: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+
+def range_of(key: Column, ranges: int = RANGES) -> Column:
+    """The range of a number, in its order: x / (1 + |x|) cut evenly."""
+    return F.floor((1 + key / (1 + F.abs(key))) * (ranges / 2)).cast("int")
+
+
+def running_totals(df: DataFrame, key: str, order: Sequence[Column | str], sums: Mapping[str, str], groups: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
     """Adds for each (name: column) the sum over all rows before this one in order of (key, order). ``key`` is numeric.
 
-    With groups: a window per group. Without: the key's quantiles part the rows into ranges; their totals, a row each, are
-    summed up on the driver, and windows run within ranges only. Rows of one key stay in one range."""
+    With groups: a window per group. Without: rows fall into fixed ranges of the key, whose totals (a row a range) are
+    summed up and broadcast, and windows run within ranges only. Rows of one key stay in one range. All of it is one plan: no
+    job runs until its result is asked for."""
     if groups:
         w = Window.partitionBy(*groups).orderBy(key, *order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
-    spark = df.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.approxQuantile(key, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    placed = df.withColumn("_key", F.col(key).cast("double"))
-    if cuts:
-        placed = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_key", outputCol="_range", handleInvalid="keep").transform(placed)
-    else:
-        placed = placed.withColumn("_range", F.lit(0.0))
-    totals = sorted(placed.groupBy("_range").agg(*[F.sum(c).alias(n_) for n_, c in sums.items()]).collect(), key=lambda r: r[0])
-    rows, so_far = [], [0] * len(sums)
-    for r in totals:
-        rows.append((r[0], *so_far))
-        so_far = [a + (b or 0) for a, b in zip(so_far, r[1:], strict=True)]
-    if not rows:
-        return placed.drop("_key", "_range").withColumns({n_: F.lit(0) for n_ in sums})
-    kinds = dict(placed.agg(*[F.sum(c).alias(n_) for n_, c in sums.items()]).dtypes)
-    before = F.broadcast(spark.createDataFrame(rows, "_range double, " + ", ".join(f"_b_{n_} {kinds[n_]}" for n_ in sums)))
+    placed = df.withColumn("_range", range_of(F.col(key).cast("double"), ranges))
+    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most ``ranges`` rows
+    before = totals.select(F.col("_range").alias("_of"), *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_b_{n}") for n in sums])
     w = Window.partitionBy("_range").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.withColumns({n_: F.coalesce(F.sum(c).over(w), F.lit(0)) for n_, c in sums.items()}).join(before, "_range")
-    return out.withColumns({n_: F.col(n_) + F.col(f"_b_{n_}") for n_ in sums}).drop("_key", "_range", *[f"_b_{n_}" for n_ in sums])
+    out = placed.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
+    out = out.join(F.broadcast(before), F.col("_range").eqNullSafe(F.col("_of")))
+    return out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums}).drop("_range", "_of", *[f"_b_{n}" for n in sums])

@@ -8,79 +8,154 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import draw, normal_quantile
-from .metrics import auc_or_half, auc_roc
+from ..functions.columns import draw, normal_cdf, normal_quantile, normal_quantile_of
+from ..functions.running import running_totals
+from .metrics import _total, auc_or_half, auc_roc
 
 
-def cluster_counts(df: DataFrame, cluster: str) -> DataFrame:
-    return df.groupBy(F.col(cluster).alias("cluster"), "p", "y").agg(F.count("*").alias("c"))
+def beside(df: DataFrame, figures: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Rows with the figures of their group (a row a group, broadcast), or with those of one row, as a scalar subquery."""
+    if groups:
+        return df.join(F.broadcast(figures), list(groups))
+    one = figures.select(F.struct(*figures.columns).alias("s")).scalar()
+    return df.withColumn("_one", one).select("*", *[F.col(f"_one.{c}").alias(c) for c in figures.columns]).drop("_one")
 
 
-def numbered(df: DataFrame, cluster: str) -> DataFrame:
-    """cluster, number from 0 in order of name; one row a cluster."""
-    return df.select(F.col(cluster).alias("cluster")).distinct().withColumn("number", F.row_number().over(Window.orderBy("cluster")).cast("bigint") - 1)
+def cluster_counts(df: DataFrame, cluster: str, groups: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*groups, F.col(cluster).alias("cluster"), "p").agg(F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.sum((F.col("y") != 1).cast("bigint")).alias("neg"))
 
 
-def resampled_clusters(spark: SparkSession, df: DataFrame, cluster: str, replicates: int, seed: int = 0) -> DataFrame:
-    """b, cluster, times: as many clusters as there are, drawn with replacement, for each replicate."""
-    names = numbered(df, cluster)
-    count = names.count()
-    if count < 2:
-        raise ValueError("a clustered bootstrap needs two clusters")
-    slots = spark.range(replicates).select(F.col("id").alias("b")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    drawn = slots.withColumn("number", F.floor(draw(F.lit(seed), F.col("b"), F.col("slot")) * count))
-    return drawn.groupBy("b", "number").agg(F.count("*").alias("times")).join(names, "number").select("b", "cluster", "times")
-
-
-def bootstrap_auc(spark: SparkSession, df: DataFrame, cluster: str, replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """b, stat."""
-    drawn = resampled_clusters(spark, df, cluster, replicates, seed)
-    rows = drawn.join(cluster_counts(df, cluster), "cluster").groupBy("b", "p", "y").agg(F.sum(F.col("times") * F.col("c")).alias("w"))
-    return auc_roc(rows, ["b"], weight="w").select("b", auc_or_half(F.col("auc")).alias("stat"))
-
-
-def jackknife_auc(df: DataFrame, cluster: str) -> DataFrame:
-    """cluster, stat without it: totals of each score less the cluster's own, so no replicate repeats the rows."""
-    counts = cluster_counts(df, cluster).groupBy("cluster", "p").agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("c"))).alias("neg"))
-    totals = counts.groupBy("p").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))
-    grid = totals.crossJoin(F.broadcast(counts.select("cluster").distinct()))  # scores times clusters is the result's own size
-    left = grid.join(counts, ["cluster", "p"], "left").select("cluster", "p", (F.col("tp") - F.coalesce("pos", F.lit(0))).alias("pos"), (F.col("tn") - F.coalesce("neg", F.lit(0))).alias("neg"))
-    rows = left.select("cluster", "p", F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("w")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("w")))).alias("s")).select("cluster", "p", "s.y", "s.w")
-    return auc_roc(rows, ["cluster"], weight="w").select("cluster", auc_or_half(F.col("auc")).alias("stat"))
-
-
-def acceleration(jack: DataFrame) -> DataFrame:
-    """One row: the skewness of the jackknife statistic, by a sixth; 0 if it doesn't vary."""
-    got = jack.crossJoin(F.broadcast(jack.agg(F.avg("stat").alias("m")))).withColumn("c", F.col("m") - F.col("stat"))  # one row
-    got = got.agg(F.sum(F.pow("c", 3)).alias("s3"), F.sum(F.pow("c", 2)).alias("s2"))
-    return got.select(F.when(F.col("s2") <= 1e-30, 0.0).otherwise(F.try_divide(F.col("s3"), 6 * F.pow("s2", 1.5))).alias("acceleration"))
-
-
-def bca_interval(boot: DataFrame, jack: DataFrame, estimate: float, alpha: float = 0.05) -> tuple[float, float]:
-    """Bias-corrected and accelerated end points: linear quantiles of ``boot`` at the adjusted levels."""
-    from statistics import NormalDist
-
-    n, below = boot.agg(F.count("*"), F.avg((F.col("stat") < estimate).cast("double"))).first()
-    z0 = normal_quantile(min(1 - 1 / (2 * n), max(1 / (2 * n), below)))
-    a = acceleration(jack).first()[0]
-    ends = []
-    for z in (normal_quantile(alpha / 2), normal_quantile(1 - alpha / 2)):
-        ends.append(NormalDist().cdf(z0 + (z0 + z) / (1 - a * (z0 + z))))
-    got = boot.agg(F.percentile("stat", ends)).first()[0]
-    return got[0], got[1]
-
-
-def permutation_auc(spark: SparkSession, df: DataFrame, row_id: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """b, stat under shuffled labels: in each replicate the rows with the least draws take the positives. The draws of a
-    replicate are ranked within it, so tasks are as many as replicates."""
-    n_pos = df.agg(F.sum("y")).first()[0] or 0
-    rows = df.select(F.col(row_id).alias("id"), "p").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    order = Window.partitionBy("b").orderBy(draw(F.lit(seed), F.col("b"), F.col("id")), "id")
-    shuffled = rows.withColumn("y", (F.row_number().over(order) <= n_pos).cast("bigint"))
-    return auc_roc(shuffled, ["b"]).select(F.col("b").cast("bigint").alias("b"), auc_or_half(F.col("auc")).alias("stat"))
+def numbered(df: DataFrame, cluster: str, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, cluster, number from 0 in order of name, clusters (how many); one row a cluster."""
+    by = Window.partitionBy(*groups)
+    names = df.select(*groups, F.col(cluster).alias("cluster")).distinct()
+    return names.withColumn("number", F.row_number().over(by.orderBy("cluster")).cast("bigint") - 1).withColumn("clusters", F.count("*").over(by))
+
+
+def resampled_clusters(df: DataFrame, cluster: str, replicates: int, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, b, cluster, times: as many clusters as there are, drawn with replacement, for each replicate. Each cluster's row
+    makes the draw of the slot with its number, so no task holds all slots of a replicate. A group needs two clusters."""
+    names = numbered(df, cluster, groups)
+    enough = F.when(F.col("clusters") >= 2, True).otherwise(F.raise_error(F.lit("a clustered bootstrap needs two clusters")).cast("boolean"))
+    slots = names.filter(enough).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    drawn = slots.select(*groups, "b", F.floor(draw(F.lit(seed), F.col("b"), F.col("number")) * F.col("clusters")).alias("number"))
+    times = drawn.groupBy(*groups, "b", "number").agg(F.count("*").alias("times"))
+    return times.join(names, [*groups, "number"]).select(*groups, "b", "cluster", "times")
+
+
+def _resampled(df: DataFrame, cluster: str, replicates: int, seed: int, groups: Sequence[str]) -> DataFrame:
+    """groups, b, p, y, w: the weighted score counts of each replicate."""
+    drawn = resampled_clusters(df, cluster, replicates, seed, groups)
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("c")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("c")))).alias("s")
+    rows = drawn.join(cluster_counts(df, cluster, groups), [*groups, "cluster"]).select(*groups, "b", "p", "times", sides)
+    return rows.filter("s.c > 0").groupBy(*groups, "b", "p", F.col("s.y").alias("y")).agg(F.sum(F.col("times") * F.col("s.c")).alias("w"))
+
+
+def bootstrap_auc(df: DataFrame, cluster: str, replicates: int = 2000, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, b, stat."""
+    rows = _resampled(df, cluster, replicates, seed, groups)
+    return auc_roc(rows, [*groups, "b"], weight="w").select(*groups, "b", auc_or_half(F.col("auc")).alias("stat"))
+
+
+def bootstrap_ece(df: DataFrame, cluster: str, bins: int = 15, replicates: int = 2000, seed: int = 0) -> DataFrame:
+    """b, stat: the calibration error of each replicate; 0 with fewer rows than bins. Equal scores are cut between bins by
+    their mean outcome, as rows of one score have no order in a replicate."""
+    scores = _resampled(df, cluster, replicates, seed, ()).groupBy("b", "p").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"))
+    by = Window.partitionBy("b")
+    scores = scores.withColumn("all", F.sum("w").over(by)).withColumn("to", F.sum("w").over(by.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
+    first = lambda k: F.floor(F.col("all") / bins) * k + F.least(k, F.col("all") % bins)
+    parts = scores.select("b", "p", "w", "pos", "all", "to", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("k"))
+    inside = F.least("to", first(F.col("k") + 1)) - F.greatest(F.col("to") - F.col("w"), first(F.col("k")))
+    parts = parts.withColumn("n", inside).filter("n > 0")
+    gaps = parts.groupBy("b", "k").agg(F.sum("n").alias("n"), F.abs(F.sum(F.col("n") * F.col("p")) - F.sum(F.col("n") * F.col("pos") / F.col("w"))).alias("gap"), F.max("all").alias("all"))
+    return gaps.groupBy("b").agg(F.when(F.max("all") >= bins, F.sum("gap") / F.sum("n")).otherwise(0.0).alias("stat"))
+
+
+def jackknife_auc(df: DataFrame, cluster: str, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, cluster, stat without it, in closed form: all wins of positives over negatives, less those that the cluster's
+    rows have a part in, which are its positives' over all negatives and all positives' over its negatives, less the wins
+    within it, counted twice. So no replicate repeats the rows."""
+    counts = cluster_counts(df, cluster, groups)
+    scores = counts.groupBy(*groups, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    scores = running_totals(scores, "p", [], {"below": "neg", "under": "pos"}, groups)
+    whole = _total(scores, groups, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    at = scores.select(*groups, "p", (F.col("below") + F.col("neg") / 2).alias("beaten"), (F.col("under") + F.col("pos") / 2).alias("not_above"))
+    w = Window.partitionBy(*groups, "cluster").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    rows = counts.withColumn("own", F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("neg") / 2).join(at, [*groups, "p"])
+    own = rows.groupBy(*groups, "cluster").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * F.col("beaten")).alias("won"),
+        F.sum("neg").alias("_n"), F.sum(F.col("neg") * F.col("not_above")).alias("at_or_under"), F.sum(F.col("pos") * F.col("own")).alias("within"),
+    )
+    own = beside(own, whole, groups)
+    lost = F.col("neg") * F.col("n_pos") - F.col("at_or_under")  # all positives over its negatives
+    left = (F.col("n_pos") - F.col("pos")) * (F.col("n_neg") - F.col("neg"))
+    stat = F.when(left > 0, (F.col("wins") - F.col("won") - lost + F.col("within")) / left).otherwise(0.5)
+    return own.select(*groups, "cluster", stat.alias("stat"))
+
+
+def acceleration(jack: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """The skewness of the jackknife statistic, by a sixth; 0 if it doesn't vary. A row, or a row a group."""
+    means = _total(jack, groups, F.avg("stat").alias("m"))
+    got = beside(jack, means, groups).withColumn("c", F.col("m") - F.col("stat"))
+    got = _total(got, groups, F.sum(F.pow("c", 3)).alias("s3"), F.sum(F.pow("c", 2)).alias("s2"))
+    return got.select(*groups, F.when(F.col("s2") <= 1e-30, 0.0).otherwise(F.try_divide(F.col("s3"), 6 * F.pow("s2", 1.5))).alias("acceleration"))
+
+
+def bca_intervals(boot: DataFrame, jack: DataFrame, estimates: DataFrame, groups: Sequence[str] = (), alpha: float = 0.05, estimate: str = "auc") -> DataFrame:
+    """groups, estimate, ci_low, ci_high: bias-corrected and accelerated end points, linear quantiles of ``boot`` at the
+    adjusted levels. ``estimates`` has a row a group, or one. Replicates of a group, a bounded number, are sorted in one array."""
+    seen = beside(boot, estimates.select(*groups, F.col(estimate).alias("estimate")), groups)
+    got = _total(seen, groups, F.first("estimate").alias(estimate), F.count("*").alias("n"), F.avg((F.col("stat") < F.col("estimate")).cast("double")).alias("below"), F.sort_array(F.collect_list("stat")).alias("stats"))
+    got = beside(got, acceleration(jack, groups), groups)
+    edge = 1 / (2 * F.col("n"))
+    z0 = normal_quantile_of(F.least(1 - edge, F.greatest(edge, F.col("below"))))
+
+    def end(level: float) -> Column:
+        z = F.col("z0") + normal_quantile(level)
+        at = normal_cdf(F.col("z0") + z / (1 - F.col("acceleration") * z)) * (F.col("n") - 1)
+        low = F.floor(at).cast("int")
+        below, above = F.get("stats", low), F.coalesce(F.get("stats", low + 1), F.get("stats", low))
+        return below + (at - low) * (above - below)
+
+    return got.withColumn("z0", z0).select(*groups, estimate, end(alpha / 2).alias("ci_low"), end(1 - alpha / 2).alias("ci_high"))
+
+
+#: Cells of [0, 1) that draws are counted in, to find where the positives of a replicate end.
+CELLS = 1024
+
+
+def shuffled_labels(df: DataFrame, row_id: str, replicates: int, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, b, p, y, w: score counts under shuffled labels. In each replicate the rows with the least draws take the
+    positives. Draws are counted by cell; rows below the cell in which the positives end take one each, rows above it none,
+    and only the rows in it, a ``CELLS``-th, are ranked. So no task sorts all rows of a replicate."""
+    drawn = df.select(*groups, F.col(row_id).alias("id"), "p", "y").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    drawn = drawn.withColumn("d", draw(F.lit(seed), F.col("b"), F.col("id"))).withColumn("cell", F.floor(F.col("d") * CELLS))
+    cells = drawn.groupBy(*groups, "b", "cell").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    by = Window.partitionBy(*groups, "b")
+    cells = cells.withColumn("all_pos", F.sum("pos").over(by)).withColumn("to", F.sum("n").over(by.orderBy("cell")))  # at most CELLS a replicate
+    ends = cells.filter("to >= all_pos and to - n < all_pos or all_pos = 0 and to = n").select(*groups, "b", F.col("cell").alias("end"), (F.col("all_pos") - F.col("to") + F.col("n")).alias("rest"))
+    placed = drawn.join(F.broadcast(ends), [*groups, "b"])  # a row a replicate and group
+    side = F.signum(F.col("cell") - F.col("end")).cast("int")
+    at_end = lambda c: F.when(side == 0, F.col(c))
+    kinds = placed.groupBy(*groups, "b", "rest", side.alias("side"), "p", at_end("d").alias("d"), at_end("id").alias("id")).agg(F.count("*").alias("w"))
+    rank = F.sum("w").over(Window.partitionBy(*groups, "b", "side").orderBy("d", "id", "p").rowsBetween(Window.unboundedPreceding, 0))
+    y = F.when(F.col("side") < 0, 1).when(F.col("side") > 0, 0).otherwise((rank <= F.col("rest")).cast("int"))
+    return kinds.select(*groups, "b", "p", y.alias("y"), "w")
+
+
+def permutation_auc(df: DataFrame, row_id: str, replicates: int = 1000, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, b, stat under shuffled labels."""
+    got = auc_roc(shuffled_labels(df, row_id, replicates, seed, groups), [*groups, "b"], weight="w")
+    return got.select(*groups, "b", auc_or_half(F.col("auc")).alias("stat"))
+
+
+def p_values(null: DataFrame, observed: DataFrame, groups: Sequence[str], stat: str = "auc") -> DataFrame:
+    """groups, p_perm: as ``p_value``, for each group's observed statistic."""
+    both = null.join(F.broadcast(observed.select(*groups, F.col(stat).alias("_seen"))), list(groups))  # a row a group
+    return both.groupBy(*groups).agg(((1 + F.sum((F.col("stat") >= F.col("_seen")).cast("bigint"))) / (1 + F.count("*"))).alias("p_perm"))
 
 
 def p_value(null: DataFrame, observed: float, alternative: str = "greater") -> DataFrame:
@@ -91,9 +166,9 @@ def p_value(null: DataFrame, observed: float, alternative: str = "greater") -> D
     return null.agg(((1 + F.sum((stat >= seen).cast("bigint"))) / (1 + F.count("*"))).alias("p_value"))
 
 
-def paired_permutation_auc(spark: SparkSession, df: DataFrame, row_id: str, a: str, b: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
+def paired_permutation_auc(df: DataFrame, row_id: str, a: str, b: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
     """b, stat: the difference of the two scores' AUC, each row's scores swapped or not by a draw."""
-    rows = df.select(F.col(row_id).alias("id"), "y", F.col(a).alias("a"), F.col(b).alias("c")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = df.select(F.col(row_id).alias("id"), "y", F.col(a).alias("a"), F.col(b).alias("c")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
     swap = draw(F.lit(seed), F.col("b"), F.col("id")) < 0.5
     rows = rows.select("b", "y", F.when(swap, F.col("c")).otherwise(F.col("a")).alias("pa"), F.when(swap, F.col("a")).otherwise(F.col("c")).alias("pb"))
     left, right = auc_roc(rows, ["b"], p="pa"), auc_roc(rows, ["b"], p="pb")

@@ -547,6 +547,8 @@ def metric_diff(spark, sf_dir):
 
 # Resampling
 
+REPLICATES, PERMUTATIONS = 300, 100
+
 JACK_SQL = f"""{SCORED_SQL}, cl AS (SELECT DISTINCT cluster AS out FROM scored), jr AS (SELECT out, y, rank() OVER (PARTITION BY out ORDER BY p) + (count(*) OVER (PARTITION BY out, p) - 1) / 2.0 AS r FROM cl JOIN scored ON cluster != out),
 jack AS (SELECT out AS cluster, {AUC_OF} AS stat FROM jr GROUP BY out)"""
 
@@ -566,7 +568,7 @@ def _draw_sql(*keys: str) -> str:
 
 
 BOOT_SQL = f"""{SCORED_SQL}, names AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS number FROM (SELECT DISTINCT cluster FROM scored)), cnt AS (SELECT count(*) AS s FROM names),
-slots AS (SELECT b, unnest(generate_series(0, s - 1)) AS slot, s FROM cnt, (SELECT unnest(generate_series(0, 99)) AS b)),
+slots AS (SELECT b, unnest(generate_series(0, s - 1)) AS slot, s FROM cnt, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b)),
 drawn AS (SELECT b, CAST(floor({_draw_sql('0', 'b', 'slot')} * s) AS BIGINT) AS number, count(*) AS times FROM slots GROUP BY 1, 2),
 wt AS (SELECT b, p, y, sum(times) AS w FROM drawn JOIN names USING (number) JOIN scored USING (cluster) GROUP BY b, p, y),
 ps AS (SELECT b, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END)::DOUBLE AS neg FROM wt GROUP BY b, p),
@@ -576,18 +578,22 @@ boot AS (SELECT b, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS stat
 
 @query(f"WITH {BOOT_SQL} SELECT b, {q('stat')} AS stat FROM boot")
 def cluster_bootstrap(spark, sf_dir):
-    return rounded(inference.bootstrap_auc(spark, scored(spark, sf_dir), "cluster", 100))
+    return rounded(inference.bootstrap_auc(scored(spark, sf_dir), "cluster", REPLICATES))
 
 
 @query()
 def bca_interval(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    estimate = metrics.auc_roc(rows).first()["auc"]
-    low, high = inference.bca_interval(inference.bootstrap_auc(spark, rows, "cluster", 200), inference.jackknife_auc(rows, "cluster"), estimate)
-    return spark.createDataFrame([(estimate, low, high)], "auc double, ci_low double, ci_high double")
+    return inference.bca_intervals(inference.bootstrap_auc(rows, "cluster", REPLICATES), inference.jackknife_auc(rows, "cluster"), metrics.auc_roc(rows))
+
+
+@query()
+def ece_interval(spark, sf_dir):
+    boot = inference.bootstrap_ece(scored(spark, sf_dir), "cluster", 15, REPLICATES)
+    return rounded(boot.agg(F.count("*").alias("n"), F.percentile("stat", 0.025).alias("ci_low"), F.percentile("stat", 0.975).alias("ci_high")))
 
 
-PERM_SQL = f"""{SCORED_SQL}, k AS (SELECT sum(y) AS np FROM scored), sh AS (SELECT b, p, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY {_draw_sql('0', 'b', 'row_id')}, row_id) <= np THEN 1 ELSE 0 END AS y FROM scored, k, (SELECT unnest(generate_series(0, 49)) AS b)),
+PERM_SQL = f"""{SCORED_SQL}, k AS (SELECT sum(y) AS np FROM scored), sh AS (SELECT b, p, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY {_draw_sql('0', 'b', 'row_id')}, row_id) <= np THEN 1 ELSE 0 END AS y FROM scored, k, (SELECT unnest(generate_series(0, {PERMUTATIONS - 1})) AS b)),
 pr AS (SELECT b, y, {AUC_RANKS.format('PARTITION BY b', 'b,')} AS r FROM sh), perm AS (SELECT b, {AUC_OF} AS stat FROM pr GROUP BY b),
 ob AS (SELECT {AUC_OF} AS auc FROM (SELECT y, {AUC_RANKS.format('', '')} AS r FROM scored))"""
 
@@ -595,7 +601,7 @@ ob AS (SELECT {AUC_OF} AS auc FROM (SELECT y, {AUC_RANKS.format('', '')} AS r FR
 @query(f"WITH {PERM_SQL} SELECT {q('(1 + count(*) FILTER (stat >= auc)) / (1.0 + count(*))')} AS p_value FROM perm, ob")
 def permutation_p(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    null = inference.permutation_auc(spark, rows, "row_id", 50)
+    null = inference.permutation_auc(rows, "row_id", PERMUTATIONS)
     return rounded(inference.p_value(null, metrics.auc_roc(rows).first()["auc"]))
 
 
@@ -603,11 +609,11 @@ PAIR_SIDE = f"SELECT b, {AUC_OF} AS auc FROM (SELECT b, y, rank() OVER (PARTITIO
 
 
 @query(f"""WITH {SCORED_SQL}, two AS (SELECT row_id, y, p AS a, (row_id % 10) / 10.0::DOUBLE AS c FROM scored),
-sw AS (SELECT b, y, CASE WHEN d < 0.5 THEN c ELSE a END AS pa, CASE WHEN d < 0.5 THEN a ELSE c END AS pb FROM (SELECT *, {_draw_sql('0', 'b', 'row_id')} AS d FROM two, (SELECT unnest(generate_series(0, 49)) AS b))),
+sw AS (SELECT b, y, CASE WHEN d < 0.5 THEN c ELSE a END AS pa, CASE WHEN d < 0.5 THEN a ELSE c END AS pb FROM (SELECT *, {_draw_sql('0', 'b', 'row_id')} AS d FROM two, (SELECT unnest(generate_series(0, {PERMUTATIONS - 1})) AS b))),
 x AS ({PAIR_SIDE.format('pa')}), z AS ({PAIR_SIDE.format('pb')}) SELECT b, {q('x.auc - z.auc')} AS stat FROM x JOIN z USING (b)""")
 def paired_permutation(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumn("c", (F.col("row_id") % 10) / F.lit(10.0))
-    return rounded(inference.paired_permutation_auc(spark, rows, "row_id", "p", "c", 50))
+    return rounded(inference.paired_permutation_auc(rows, "row_id", "p", "c", PERMUTATIONS))
 
 
 # Power and calibration

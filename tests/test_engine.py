@@ -1,5 +1,6 @@
 """The segment engine on small inputs whose results are known."""
 
+import hashlib
 import json
 import math
 
@@ -100,8 +101,6 @@ def test_series(spark):
 def test_splits(spark):
     scenes = spark.createDataFrame([(f"scene_{i:03d}",) for i in range(60)], "s string")
     got = {r[0]: r[1] for r in scenes.select("s", splits.split_of(F.col("s"))).collect()}
-    import hashlib
-
     for k, v in got.items():
         b = int(hashlib.md5(k.encode()).hexdigest(), 16) % 100
         assert v == ("train" if b < 70 else "val" if b < 85 else "test")
@@ -160,15 +159,30 @@ def test_resampling(spark):
 
     jack = {r[0]: r[1] for r in inference.jackknife_auc(d, "cluster").collect()}
     assert all(np.isclose(jack[c], auc(rows[rows.cluster != c])) for c in jack) and len(jack) == 7
-    boot = inference.bootstrap_auc(spark, d, "cluster", 200)
-    low, high = inference.bca_interval(boot, inference.jackknife_auc(d, "cluster"), auc(rows))
-    assert low < auc(rows) < high
-    assert sorted(boot.collect()) == sorted(inference.bootstrap_auc(spark, d.repartition(5), "cluster", 200).collect())
-    with pytest.raises(ValueError):
-        inference.bootstrap_auc(spark, d.filter("cluster = 'c1'"), "cluster", 10)
-    null = inference.permutation_auc(spark, d, "row_id", 60)
+    assert not any(x in inference.jackknife_auc(d, "cluster")._jdf.queryExecution().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+    boot = inference.bootstrap_auc(d, "cluster", 200)
+    stats = sorted(r["stat"] for r in boot.collect())
+    from statistics import NormalDist
+
+    n, values = NormalDist(), np.array(list(jack.values()))
+    c = values.mean() - values
+    z0, a = n.inv_cdf(np.mean(np.array(stats) < auc(rows))), (c**3).sum() / (6 * (c**2).sum() ** 1.5)
+    want = [np.percentile(stats, 100 * n.cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))) for z in (n.inv_cdf(0.025), n.inv_cdf(0.975))]
+    got = inference.bca_intervals(boot, inference.jackknife_auc(d, "cluster"), metrics.auc_roc(d)).first()
+    assert np.allclose([got["ci_low"], got["ci_high"]], want) and got["ci_low"] < auc(rows) < got["ci_high"]
+    assert sorted(boot.collect()) == sorted(inference.bootstrap_auc(d.repartition(5), "cluster", 200).collect())
+    with pytest.raises(Exception, match="two clusters"):
+        inference.bootstrap_auc(d.filter("cluster = 'c1'"), "cluster", 10).collect()
+    ece = inference.bootstrap_ece(d.withColumn("p", 1 / (1 + F.exp(-F.col("p")))), "cluster", 10, 40)
+    assert ece.count() == 40 and ece.filter("stat <= 0 or stat > 1").count() == 0
+    null = inference.permutation_auc(d, "row_id", 60)
+    wanted = {}
+    for b in range(60):
+        order = sorted(rows.row_id, key=lambda i: (int(hashlib.md5(f"0|{b}|{i}".encode()).hexdigest()[:8], 16), i))
+        wanted[b] = auc(rows.assign(y=rows.row_id.isin(order[: int(rows.y.sum())]).astype(int)))
+    assert all(np.isclose(r["stat"], wanted[r["b"]]) for r in null.collect())
     assert inference.p_value(null, auc(rows)).first()[0] < 0.05
-    same = inference.paired_permutation_auc(spark, d.withColumn("q", F.col("p")), "row_id", "p", "q", 20)
+    same = inference.paired_permutation_auc(d.withColumn("q", F.col("p")), "row_id", "p", "q", 20)
     assert {r["stat"] for r in same.collect()} == {0.0} and inference.p_value(same, 0.0, "two-sided").first()[0] == 1.0
     tests = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.9)], "name string, p double")
     got = {r["name"]: round(r["p_adj"], 9) for r in inference.adjusted(tests, "p").collect()}
@@ -256,8 +270,6 @@ def test_models_and_files(spark, tmp_path):
 
 
 def test_seeds_and_angles(spark):
-    import hashlib
-
     row = spark.range(1).select(columns.md5_seed(F.lit("k")).alias("s"), columns.yaw_of(F.lit(math.cos(0.3)), F.lit(0.0), F.lit(0.0), F.lit(math.sin(0.3))).alias("y")).first()
     assert row["s"] == int(hashlib.md5(b"k").hexdigest()[:16], 16) % 2**32 and np.isclose(row["y"], 0.6)
 
