@@ -7,11 +7,13 @@ counter-based generator keyed by (scenario seed, purpose), so results depend nei
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,33 +97,60 @@ def bicycle_states(steer: Column, accel: Column, speed: Column, steps: int, conf
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
 
 
-def pursuit_steer(px: np.ndarray, py: np.ndarray, x: np.ndarray, y: np.ndarray, h: np.ndarray, v: np.ndarray, gain: np.ndarray, least: np.ndarray, wheelbase: np.ndarray) -> np.ndarray:
-    """Steering of each scenario (a row) towards the point of its path (columns) at the look-ahead distance: the first
-    crossing from the nearest leg on, else the nearest point. Paths are padded by repeating their last point."""
-    reach = np.maximum(gain * v, least)
-    ax, ay = px[:, :-1] - x[:, None], py[:, :-1] - y[:, None]
-    dx, dy = np.diff(px, axis=1), np.diff(py, axis=1)
-    size = dx * dx + dy * dy
-    real = size > 1e-12
-    safe = np.where(real, size, 1.0)
-    along = np.clip(-(ax * dx + ay * dy) / safe, 0.0, 1.0)
-    nx, ny = ax + along * dx, ay + along * dy
-    gap = np.where(real, nx * nx + ny * ny, np.inf)
-    near = gap.argmin(1)
-    rows = np.arange(len(x))
-    b, c = ax * dx + ay * dy, ax * ax + ay * ay - (reach * reach)[:, None]
-    disc = b * b - safe * c
-    root = np.sqrt(np.maximum(disc, 0.0))
-    can = real & (disc >= 0) & (np.arange(size.shape[1])[None, :] >= near[:, None])
-    t1, t2 = (-b - root) / safe, (-b + root) / safe
-    ok1, ok2 = can & (t1 >= 0) & (t1 <= 1), can & (t2 >= 0) & (t2 <= 1)
-    hit = (ok1 | ok2).argmax(1)
-    found = (ok1 | ok2).any(1)
-    t = np.where(ok1[rows, hit], t1[rows, hit], t2[rows, hit])
-    gx = np.where(found, ax[rows, hit] + t * dx[rows, hit], nx[rows, near])
-    gy = np.where(found, ay[rows, hit] + t * dy[rows, hit], ny[rows, near])
-    alpha = np.arctan2(gy, gx) - h
-    return np.where(real.any(1), np.arctan2(2 * wheelbase * np.sin(alpha), reach), 0.0)
+class Paths:
+    """Paths side by side (a row each, padded by repeating the last point), with what doesn't change from step to step."""
+
+    def __init__(self, paths: Sequence[np.ndarray]):
+        n, most = len(paths), max([2, *map(len, paths)])
+        pad = np.zeros((2, n, most))
+        for i, p in enumerate(paths):
+            p = np.asarray(p, float).reshape(-1, 2)
+            if len(p):
+                pad[:, i, : len(p)], pad[:, i, len(p) :] = p.T, p[-1][:, None]
+        self.x, self.y = pad
+        self.dx, self.dy = np.diff(pad, axis=2)
+        size = self.dx * self.dx + self.dy * self.dy
+        self.none = size <= 1e-12
+        self.size = np.where(self.none, 1.0, size)
+        self.rows, self.legs = np.arange(n), np.arange(most - 1)
+        self.led = ~self.none.all(1)
+
+    def steer(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, v: np.ndarray, gain: np.ndarray, least: np.ndarray, wheelbase: np.ndarray) -> np.ndarray:
+        """Steering of each row towards the point of its path at the look-ahead distance: the first crossing of that circle from
+        the nearest leg on, else the nearest point. A leg crosses if its ends lie on both sides or its nearest point lies within."""
+        reach = np.maximum(gain * v, least)
+        px, py = self.x - x[:, None], self.y - y[:, None]
+        ax, ay, dx, dy = px[:, :-1], py[:, :-1], self.dx, self.dy
+        dot = ax * dx
+        dot += ay * dy
+        along = np.clip(dot / -self.size, 0.0, 1.0)
+        nx, ny = along * dx, along * dy
+        nx += ax
+        ny += ay
+        gap = nx * nx
+        gap += ny * ny
+        gap[self.none] = np.inf
+        near, rows = gap.argmin(1), self.rows
+        px *= px
+        py *= py
+        px += py
+        limit = (reach * reach)[:, None]
+        inside = px <= limit
+        cross = inside[:, 1:] != inside[:, :-1]
+        cross |= ~inside[:, 1:] & ~inside[:, :-1] & (gap <= limit)
+        cross |= (px[:, 1:] == limit) | (px[:, :-1] == limit)
+        cross &= ~self.none & (self.legs >= near[:, None])
+        hit = cross.argmax(1)
+        found = cross[rows, hit]
+        b, size = dot[rows, hit], self.size[rows, hit]
+        hx, hy = self.x[rows, hit] - x, self.y[rows, hit] - y
+        root = np.sqrt(np.maximum(b * b - size * (hx * hx + hy * hy - reach * reach), 0.0))
+        first = (-b - root) / size
+        t = np.clip(np.where((first >= -1e-12) & (first <= 1), first, (-b + root) / size), 0.0, 1.0)
+        gx = np.where(found, hx + t * dx[rows, hit], nx[rows, near])
+        gy = np.where(found, hy + t * dy[rows, hit], ny[rows, near])
+        alpha = np.arctan2(gy, gx) - h
+        return np.where(self.led, np.arctan2(2 * wheelbase * np.sin(alpha), reach), 0.0)
 
 
 def rollouts(paths: Sequence[np.ndarray], start: np.ndarray, horizon: int, config: Mapping[str, np.ndarray], seeds: Sequence[int]) -> np.ndarray:
@@ -130,18 +159,22 @@ def rollouts(paths: Sequence[np.ndarray], start: np.ndarray, horizon: int, confi
         raise ValueError("a horizon can't be negative")
     if not len(paths) == len(start) == len(seeds):
         raise ValueError("paths, states and seeds differ in number")
-    n, most = len(paths), max([2, *map(len, paths)])
-    pad = np.zeros((n, most, 2))
-    for i, p in enumerate(paths):
-        p = np.asarray(p, float).reshape(-1, 2)
-        if len(p):
-            pad[i, : len(p)], pad[i, len(p) :] = p, p[-1]
+    n = len(paths)
+    if not n:
+        return np.zeros((0, horizon + 1, 6))
+    ahead = Paths(paths)
     c = {k: np.broadcast_to(np.asarray(config.get(k, v), float), (n,)) for k, v in DEFAULTS.items()}
-    noise = np.stack([generator(s, 2).standard_normal(horizon) for s in seeds]) if n else np.zeros((0, horizon))
-    seen = np.stack([generator(s, 3).standard_normal((horizon + 1, 3)) for s in seeds]) if n else np.zeros((0, horizon + 1, 3))
+    noise = np.zeros((n, horizon))
+    seen = np.zeros((n, horizon + 1, 3))
+    for i, s in enumerate(seeds):  # deviations of zero need no draws
+        if c["steer_noise_std"][i]:
+            noise[i] = generator(s, 2).standard_normal(horizon)
+        if c["pos_noise_std"][i] or c["heading_noise_std"][i]:
+            seen[i] = generator(s, 3).standard_normal((horizon + 1, 3))
     x, y, h, v = np.asarray(start, float).T.copy()
     applied = np.zeros(n)
     late = c["latency_steps"].astype(int)
+    push = np.clip(c["accel"], -c["max_decel"], c["max_accel"])
     wanted = np.zeros((n, horizon + 1))
     out = np.zeros((n, horizon + 1, 6))
     rows = np.arange(n)
@@ -151,33 +184,53 @@ def rollouts(paths: Sequence[np.ndarray], start: np.ndarray, horizon: int, confi
         out[:, k, 3], out[:, k, 4], out[:, k, 5] = h + c["heading_noise_std"] * seen[:, k, 2], v, v / c["wheelbase"] * np.tan(applied)
         if k == horizon:
             break
-        steer = pursuit_steer(pad[:, :, 0], pad[:, :, 1], x, y, h, v, c["lookahead_gain"], c["min_lookahead"], c["wheelbase"])
+        steer = ahead.steer(x, y, h, v, c["lookahead_gain"], c["min_lookahead"], c["wheelbase"])
         wanted[:, k] = steer * (1 + c["steer_bias"]) + c["steer_noise_std"] * noise[:, k]
         steer = np.where(late <= k, wanted[rows, np.maximum(0, k - late)], 0.0)
         applied = np.clip(steer, -c["max_steer"], c["max_steer"])
-        push = np.clip(c["accel"], -c["max_decel"], c["max_accel"])
         x, y = x + v * np.cos(h) * c["dt"], y + v * np.sin(h) * c["dt"]
         h = h + v / c["wheelbase"] * np.tan(applied) * c["dt"]
         v = np.maximum(0.0, v + push * c["dt"])
     return out
 
 
+STATES = ("t", "x", "y", "heading", "speed", "yaw_rate")
 ROLLOUT_DDL = "scenario_id bigint, step bigint, t double, x double, y double, heading double, speed double, yaw_rate double"
 
 
-def batch_rollout(df: DataFrame, horizon: int = 60, base: int = 42, knobs: Sequence[str] = (), block: int = 512) -> DataFrame:
-    """Long rows for scenarios (scenario_id, path_x, path_y, x, y, heading, speed and any knobs as columns)."""
+def lists_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow column as arrays that share its memory."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), block):
-                part = batch.iloc[at : at + block]
-                got = rollouts([np.column_stack(p) for p in zip(part["path_x"], part["path_y"], strict=True)], part[["x", "y", "heading", "speed"]].to_numpy(float), horizon, {k: part[k].to_numpy() for k in knobs}, [scenario_seed(base, int(s)) for s in part["scenario_id"]])
-                flat = got.reshape(-1, 6)
-                out = {"scenario_id": np.repeat(part["scenario_id"].to_numpy(), horizon + 1), "step": np.tile(np.arange(horizon + 1), len(part))}
-                yield pd.DataFrame(out | {n: flat[:, i] for i, n in enumerate(("t", "x", "y", "heading", "speed", "yaw_rate"))})
 
-    return df.select("scenario_id", "path_x", "path_y", "x", "y", "heading", "speed", *knobs).mapInPandas(run, ROLLOUT_DDL)
+def batch_rollout(df: DataFrame, horizon: int = 60, base: int = 42, knobs: Sequence[str] = (), block: int = 128) -> DataFrame:
+    """Long rows for scenarios (scenario_id, path_x, path_y, x, y, heading, speed and any knobs as columns), dealt to as many
+    tasks as the cluster runs at once; results don't depend on how."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                column = lambda n: part.column(n).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                paths = [np.column_stack(p) for p in zip(lists_of(part.column("path_x")), lists_of(part.column("path_y")), strict=True)]
+                ids = column("scenario_id")
+                got = rollouts(paths, np.column_stack([column(n) for n in STATES[1:5]]), horizon, {k: column(k).astype(float) for k in knobs}, [scenario_seed(base, int(s)) for s in ids]).reshape(-1, 6)
+                steps = np.tile(np.arange(horizon + 1), len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.repeat(ids, horizon + 1), steps, *got.T.copy())], names=["scenario_id", "step", *STATES])
+
+    number = [F.col(n).cast("double").alias(n) for n in (*STATES[1:5], *knobs)]
+    path = [F.col(n).cast("array<double>").alias(n) for n in ("path_x", "path_y")]
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.select(F.col("scenario_id").cast("bigint").alias("scenario_id"), *path, *number).repartition(tasks, "scenario_id").mapInArrow(run, ROLLOUT_DDL)
+
+
+@lru_cache(maxsize=8)
+def second_differences(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared weights and vectors of the penalty on second differences of n points."""
+    d = np.diff(np.eye(n), 2, axis=0)
+    weights, vectors = np.linalg.eigh(d.T @ d)
+    return np.maximum(weights, 0.0), vectors
 
 
 def reference_path(x: np.ndarray, y: np.ndarray, points: int = 400, tail: float = 10.0, rms: float = 0.05) -> np.ndarray:
@@ -190,14 +243,13 @@ def reference_path(x: np.ndarray, y: np.ndarray, points: int = 400, tail: float
     px, py = np.asarray(x, float)[keep], np.asarray(y, float)[keep]
     if len(px) < 4:
         return np.repeat([[float(x[0]), float(y[0])]], points, 0)
-    n = len(px)
-    d = np.diff(np.eye(n), 2, axis=0)
-    best = np.column_stack([px, py])
-    for strength in np.logspace(-3, 4, 29):
-        fit = np.linalg.solve(np.eye(n) + strength * d.T @ d, np.column_stack([px, py]))
-        if np.sqrt(((fit - np.column_stack([px, py])) ** 2).sum(1).mean()) > rms:
-            break
-        best = fit
+    weights, vectors = second_differences(len(px))
+    parts = vectors.T @ np.column_stack([px, py])
+    strength = np.logspace(-3, 4, 29)[:, None]
+    kept = 1 / (1 + strength * weights)  # (strengths, parts)
+    residual = np.sqrt((((1 - kept) ** 2) @ (parts**2).sum(1)) / len(px))
+    strong = int(np.argmax(residual > rms)) if (residual > rms).any() else len(residual)
+    best = vectors @ (kept[strong - 1][:, None] * parts) if strong else np.column_stack([px, py])
     s = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(best, axis=0).T))])
     grid = np.linspace(0, s[-1], points)
     path = np.column_stack([np.interp(grid, s, best[:, 0]), np.interp(grid, s, best[:, 1])])
@@ -208,76 +260,149 @@ def reference_path(x: np.ndarray, y: np.ndarray, points: int = 400, tail: float
 
 TRACK_DDL = "segment_id bigint, scene_id string, agent_token string, template string, t double, x double, y double, heading double, speed double, yaw_rate double"
 TEMPLATES = ("cruise", "cut_in", "merge", "turn_left")
+# Ranges of speed (m/s), of where a turn or shift begins (share of the way), of its length (share of the way, or m), and of a straight way's heading.
+SPEEDS = {"cruise": (8.0, 12.0), "cut_in": (5.0, 9.0), "merge": (5.0, 9.0), "turn_left": (4.0, 7.0)}
+TURN_AT, TURN_LENGTH = (0.25, 0.3), (0.35, 0.45)
+SHIFT_AT, SHIFT_LENGTH, MERGE_LENGTH, SHIFT = (0.3, 0.5), (18.0, 26.0), (9.0, 12.0), 2.0
+STRAIGHT = (-0.03, 0.03)
+
+
+def heading_along(template: str, rng: np.random.Generator, way: float) -> Callable[[np.ndarray], np.ndarray]:
+    """Heading by the distance driven, of ``way`` in all. A turn rises to a quarter circle by half a cosine wave; a shift to
+    the side is a whole wave, whose height times half its length is the shift."""
+    half_wave = lambda share: (1 - np.cos(np.pi * np.clip(share, 0, 1))) / 2
+    if template == "turn_left":
+        at = rng.uniform(*TURN_AT) * way
+        length = rng.uniform(*TURN_LENGTH) * way
+        return lambda s: np.pi / 2 * half_wave((s - at) / length)
+    if template == "cruise":
+        heading = rng.uniform(*STRAIGHT)
+        return lambda s: np.full(np.shape(s), heading)
+    if template == "merge":
+        at, length = 0.0, rng.uniform(*MERGE_LENGTH)
+    else:
+        length = rng.uniform(*SHIFT_LENGTH)
+        at = min(rng.uniform(*SHIFT_AT) * way, max(way - length - 1, 0.0))
+    return lambda s: 2 * SHIFT / length * half_wave(2 * np.clip((s - at) / length, 0, 1) - 2 * np.maximum(0, 2 * np.clip((s - at) / length, 0, 1) - 1))
 
 
 def synthetic_track(template: str, seed: int, duration: float, fs: float = 10.0) -> np.ndarray:
-    """(rows, 6) at constant speed: t, x, y, heading, speed, yaw_rate. Heading follows smooth bumps or a quarter turn."""
+    """(rows, 6) at constant speed: t, x, y, heading, speed, yaw_rate, from the heading along the way, summed up finely."""
     rng = generator(seed, 4)
     t = np.arange(int(round(duration * fs)) + 1) / fs
-    low, high = {"turn_left": (4.0, 7.0), "cut_in": (5.0, 9.0), "merge": (5.0, 9.0)}.get(template, (8.0, 12.0))
-    v = rng.uniform(low, high)
-    share = t / max(t[-1], 1e-9)
-    if template == "turn_left":
-        h = np.pi / 2 / (1 + np.exp(-(share - rng.uniform(0.4, 0.6)) * 14))
-    elif template in ("cut_in", "merge"):
-        at, wide = (rng.uniform(0.4, 0.6), 0.15) if template == "cut_in" else (rng.uniform(0.1, 0.2), 0.1)
-        h = rng.uniform(0.15, 0.3) * np.exp(-(((share - at) / wide) ** 2)) * np.sign(rng.random() - 0.5)
-    else:
-        h = 0.01 * np.sin(2 * np.pi * share * rng.uniform(0.5, 1.5))
-    x = np.concatenate([[0.0], np.cumsum(v * np.cos((h[1:] + h[:-1]) / 2) / fs)])
-    y = np.concatenate([[0.0], np.cumsum(v * np.sin((h[1:] + h[:-1]) / 2) / fs)])
-    return np.column_stack([t, x, y, h, np.full(len(t), v), np.gradient(h, 1 / fs)])
+    v = rng.uniform(*SPEEDS[template])
+    s = v * t
+    heading = heading_along(template, rng, s[-1])
+    fine = np.linspace(0, s[-1], 20 * len(t))
+    mid = heading((fine[1:] + fine[:-1]) / 2)
+    sums = [np.concatenate([[0.0], np.cumsum(f(mid) * np.diff(fine))]) for f in (np.cos, np.sin)]
+    x, y = (np.interp(s, fine, c) for c in sums)
+    rate = (heading(s + 1e-4) - heading(s - 1e-4)) / 2e-4
+    return np.column_stack([t, x, y, heading(s), np.full(len(t), v), v * rate])
 
 
 def synthetic_tracks(spark: SparkSession, scenes: int = 10, agents: int = 8, duration: float = 24.0, seed: int = 0) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in batch["id"]:
-                scene, agent = divmod(int(i), agents)
-                template = TEMPLATES[mixed_seed(seed * 7919 + int(i)) % len(TEMPLATES)]
-                got = synthetic_track(template, scenario_seed(seed, int(i)), duration)
-                head = {"segment_id": int(i), "scene_id": f"syn_{scene:03d}", "agent_token": f"syn_{scene:03d}_agent_{agent:02d}", "template": template}
-                yield pd.DataFrame(head | {n: got[:, k] for k, n in enumerate(("t", "x", "y", "heading", "speed", "yaw_rate"))})
+            for i in batch.column("id").to_pylist():
+                scene, agent = divmod(i, agents)
+                template = TEMPLATES[mixed_seed(seed * 7919 + i) % len(TEMPLATES)]
+                got = synthetic_track(template, scenario_seed(seed, i), duration)
+                head = {"segment_id": i, "scene_id": f"syn_{scene:03d}", "agent_token": f"syn_{scene:03d}_agent_{agent:02d}", "template": template}
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(got)) for v in head.values()), *map(pa.array, got.T.copy())], names=[*head, *STATES])
+
+    return spark.range(scenes * agents).mapInArrow(run, TRACK_DDL)
+
+
+def _nested(df: DataFrame, keys: Sequence[str], seed: Column) -> DataFrame:
+    """keys, seed, and each channel as one array a segment, in order of t."""
+    rows = F.sort_array(F.collect_list(F.struct(*STATES)))
+    channel = lambda c: F.transform("r", lambda r: r[c].cast("double")).alias(c)
+    return df.groupBy(*keys).agg(rows.alias("r")).select(*keys, seed.alias("seed"), *map(channel, STATES))
 
-    return spark.range(scenes * agents).mapInPandas(run, TRACK_DDL)
+
+def _long(df: DataFrame, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """A row for each place of the channels' arrays."""
+    return df.select(*keys, *more, F.inline(F.arrays_zip(*STATES)))
+
+
+def _arrays(keys: Sequence[str], df: DataFrame, more: str = "") -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *([more] if more else []), *(f"{c} array<double>" for c in STATES)])
 
 
 def recorder_noise(df: DataFrame, keys: Sequence[str], tag: str) -> DataFrame:
     """Segments (keys, t, channels) as a recorder would log them: noise by the segment's key, speeds not below 0, then a
-    three-tap mean of heading, speed and yaw rate."""
+    three-tap mean of heading, speed and yaw rate. Many segments pass through a Python worker at once."""
+    from ..functions.columns import md5_seed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            channels = {c: lists_of(batch.column(c)) for c in STATES}
+            for i, seed in enumerate(batch.column("seed").to_pylist()):
+                rng = generator(seed, 5)
+                for c, deviation in RECORDER.items():
+                    noisy = channels[c][i] + deviation * rng.standard_normal(len(channels[c][i]))
+                    if c == "speed":
+                        noisy = np.maximum(noisy, 0.0)
+                    if c in ("heading", "speed", "yaw_rate") and len(noisy):
+                        wide = np.concatenate([noisy[:1], noisy, noisy[-1:]])
+                        noisy = (wide[:-2] + wide[1:-1] + wide[2:]) / 3
+                    channels[c][i] = noisy
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(channels[c], pa.list_(pa.float64())) for c in STATES)], names=[*keys, *STATES])
+
+    seed = md5_seed(F.concat_ws("|", F.lit(tag), *[F.col(k).cast("string") for k in keys]))
+    nested = _nested(df.select(*keys, *STATES), keys, seed)
+    return _long(nested.mapInArrow(run, _arrays(keys, df)), keys)
+
+
+def _driven(df: DataFrame, keys: Sequence[str], seed: Column, horizon: int, config_of: Callable[[int, np.ndarray], dict[str, float]]) -> DataFrame:
+    """A rollout of each segment from its first row along the path fitted to it, with config_json."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                channels = {c: lists_of(part.column(c)) for c in STATES}
+                seeds = part.column("seed").to_pylist()
+                configs = [config_of(s, v) for s, v in zip(seeds, channels["speed"], strict=True)]
+                paths = [reference_path(x, y) for x, y in zip(channels["x"], channels["y"], strict=True)]
+                start = np.array([[channels[c][i][0] for c in STATES[1:5]] for i in range(len(seeds))])
+                got = rollouts(paths, start, horizon, {k: np.array([c[k] for c in configs]) for k in DEFAULTS}, [mixed_seed(s) for s in seeds])
+                texts = [json.dumps(c | {"config_seed": s}, sort_keys=True) for c, s in zip(configs, seeds, strict=True)]
+                flat = [pa.array(list(got[:, :, k]), pa.list_(pa.float64())) for k in range(6)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(texts), *flat], names=[*keys, "config_json", *STATES])
+
+    nested = _nested(df.select(*keys, *STATES), keys, seed).repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return _long(nested.mapInArrow(run, _arrays(keys, df, "config_json string")), keys, ["config_json"])
+
+
+def matched_rollouts(segments: DataFrame, horizon: int = 60, base: int = 42, fixed: Mapping[str, float] | None = None, ranges: Mapping[str, tuple[float, float]] | None = None, keys: Sequence[str] = ("segment_id",)) -> DataFrame:
+    """A simulated counterpart of each segment (keys, t and channels), from its first row along its path. Parked segments (no
+    speed of 0.5) don't accelerate. Adds config_json."""
     from ..functions.columns import md5_seed
-    from ..functions.series import moving_average, ordered
-
-    names = list(RECORDER)
-    schema = ", ".join(f"{n} {k}" for n, k in df.select(*keys, "t", *names).dtypes)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rng = generator(int(group["_seed"].iloc[0]), 5)
-        group = group.sort_values("t").drop(columns="_seed")
-        for n, s in RECORDER.items():
-            group[n] = group[n] + s * rng.standard_normal(len(group))
-        group["speed"] = group["speed"].clip(lower=0)
-        return group
-
-    seeded = df.select(*keys, "t", *names).withColumn("_seed", md5_seed(F.concat_ws("|", F.lit(tag), *[F.col(k).cast("string") for k in keys])))
-    noisy = seeded.groupBy(*keys).applyInPandas(run, schema)
-    w = ordered(keys, "t")
-    return noisy.withColumns({n: moving_average(F.col(n), 3, w) for n in ("heading", "speed", "yaw_rate")})
-
-
-def matched_rollouts(segments: DataFrame, horizon: int = 60, base: int = 42, fixed: Mapping[str, float] | None = None, ranges: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
-    """A simulated counterpart of each segment (segment_id, t, x, y, heading, speed), from its first row along its path.
-    Parked segments (no speed of 0.5) don't accelerate. Adds config_json."""
-    import json
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("t")
-        sid = int(group["segment_id"].iloc[0])
-        config = sampled_config(scenario_seed(base, sid), ranges, fixed)
-        if group["speed"].max() < 0.5:
+
+    def config_of(seed: int, speed: np.ndarray) -> dict[str, float]:
+        config = sampled_config(seed, ranges, fixed)
+        if speed.max() < 0.5:
             config["accel"] = min(0.0, config["accel"])
-        path = reference_path(group["x"].to_numpy(), group["y"].to_numpy())
-        got = rollouts([path], group[["x", "y", "heading", "speed"]].to_numpy(float)[:1], horizon, {k: np.array([v]) for k, v in config.items()}, [scenario_seed(base + 1, sid)])[0]
-        return pd.DataFrame({"segment_id": sid, "config_json": json.dumps(config | {"config_seed": sid}, sort_keys=True)} | {n: got[:, k] for k, n in enumerate(("t", "x", "y", "heading", "speed", "yaw_rate"))})
+        return config
+
+    seed = md5_seed(F.concat_ws("|", F.lit(str(base)), *[F.col(k).cast("string") for k in keys]))
+    return _driven(segments, keys, seed, horizon, config_of)
+
+
+# The controller that stands for reality.
+REFERENCE = {**DEFAULTS, **PINNED, "pos_noise_std": 0.002, "heading_noise_std": 0.0003, "steer_noise_std": 0.0003}
+
+
+def reference_rollouts(tracks: DataFrame, size: int = 61, step: int = 30) -> DataFrame:
+    """Tracks (scene_id, agent_token, t and channels) as the reference controller drives them, a window at a time: scene_id,
+    agent_token, window, t and channels. A track shorter than a window gives none."""
+    from ..functions.columns import md5_seed
+    from .windows import cut_windows
 
-    return segments.select("segment_id", "t", "x", "y", "heading", "speed").groupBy("segment_id").applyInPandas(run, "segment_id bigint, config_json string, t double, x double, y double, heading double, speed double, yaw_rate double")
+    keys = ["scene_id", "agent_token", "window"]
+    cut = cut_windows(tracks.select("scene_id", "agent_token", *STATES), keys[:2], ["t"], size, step)
+    seed = md5_seed(F.concat_ws(":", "scene_id", "agent_token", (F.col("window") * step).cast("string")))
+    return _driven(cut, keys, seed, size - 1, lambda _, __: dict(REFERENCE)).drop("config_json")

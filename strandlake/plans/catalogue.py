@@ -688,6 +688,17 @@ def _scenarios(spark, sf_dir):
     )
 
 
+@query(f"""WITH s AS (SELECT c_custkey, unnest(generate_series(0, 60)) AS k FROM customer) SELECT c_custkey AS scenario_id, k::BIGINT AS step, {q('k / 10.0::DOUBLE')} AS t, {q('(5 + c_custkey % 6) * k / 10.0::DOUBLE * cos(c_custkey % 7)')} AS x,
+{q('(5 + c_custkey % 6) * k / 10.0::DOUBLE * sin(c_custkey % 7)')} AS y, {q('(c_custkey % 7)::DOUBLE')} AS heading, {q('(5 + c_custkey % 6)::DOUBLE')} AS speed, {q('0.0::DOUBLE')} AS yaw_rate FROM s""")
+def straight_rollout(spark, sf_dir):
+    """Without noise along a straight path, where the closed form is known."""
+    k = F.col("c_custkey")
+    way = lambda f: F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i * f((k % 7).cast("double")))
+    zero = F.lit(0.0)
+    rows = table(spark, sf_dir, "customer").select(k.alias("scenario_id"), way(F.cos).alias("path_x"), way(F.sin).alias("path_y"), zero.alias("x"), zero.alias("y"), (k % 7).cast("double").alias("heading"), (5 + k % 6).cast("double").alias("speed"))
+    return rounded(simulate.batch_rollout(rows, 60).withColumn("yaw_rate", F.round("yaw_rate", 9) + 0.0))
+
+
 @query()
 def batch_rollout(spark, sf_dir):
     """61 rows for each customer as a scenario."""
@@ -706,7 +717,13 @@ def recorder_noise(spark, sf_dir):
 
 @query()
 def matched_rollouts(spark, sf_dir):
-    return rounded(simulate.matched_rollouts(simulate.synthetic_tracks(spark, 4, 3, 6.0)))
+    """A counterpart of every whole window of the driver's tracks."""
+    return rounded(simulate.matched_rollouts(segments(spark, sf_dir), keys=SEGMENT))
+
+
+@query()
+def reference_rollouts(spark, sf_dir):
+    return rounded(simulate.reference_rollouts(tracks(spark, sf_dir).withColumn("agent_token", F.col("user_id").cast("string"))))
 
 
 @query(f"""WITH {TRACK_SQL}, o AS (SELECT user_id, min_by(x, idx) AS ox, min_by(y, idx) AS oy FROM track GROUP BY user_id)

@@ -249,9 +249,56 @@ def test_simulator(spark):
     x = np.linspace(0, 60, 61)
     fit = simulate.reference_path(x + rng.normal(0, 0.02, 61), np.sin(x / 10) + rng.normal(0, 0.02, 61))
     assert len(fit) == 420 and np.abs(np.interp(x[5:55], fit[:, 0], fit[:, 1]) - np.sin(x[5:55] / 10)).max() < 0.15
+    d = np.diff(np.eye(61), 2, axis=0)  # the smoothing against its own equations
+    y = np.sin(x / 10) + rng.normal(0, 0.05, 61)
+    weights, vectors = simulate.second_differences(61)
+    assert np.allclose(vectors @ ((vectors.T @ y) / (1 + 3.0 * weights)), np.linalg.solve(np.eye(61) + 3.0 * d.T @ d, y))
     tracks = simulate.synthetic_tracks(spark, 2, 2, 6.0)
     sim = simulate.matched_rollouts(tracks)
     assert sim.groupBy("segment_id").count().filter("count = 61").count() == 4 and sorted(sim.collect()) == sorted(simulate.matched_rollouts(tracks.repartition(7)).collect())
+    driven = simulate.reference_rollouts(simulate.synthetic_tracks(spark, 2, 2, 12.0))
+    assert {(r["window"], r["count"]) for r in driven.groupBy("scene_id", "agent_token", "window").count().collect()} == {(0, 61), (1, 61), (2, 61)}
+    noisy = simulate.recorder_noise(tracks, ["segment_id"], "real")
+    assert sorted(noisy.collect()) == sorted(simulate.recorder_noise(tracks.repartition(5), ["segment_id"], "real").collect()) and noisy.filter("speed < 0").count() == 0
+
+
+def test_templates_have_their_labels(spark):
+    want = {"cruise": "lane_keep", "cut_in": "cut_in", "merge": "merge", "turn_left": "unprotected_left"}
+    tracks = simulate.synthetic_tracks(spark, 12, 4, 15.0)
+    got = tracks.select("segment_id", "template").distinct().join(labeling.maneuvers(tracks, ["segment_id"]), "segment_id").collect()
+    right = [want[r["template"]] == r["maneuver"] for r in got]
+    assert sum(right) / len(right) > 0.9 and {r["template"] for r in got} == set(want)
+
+
+def slow_steer(path, x, y, h, v, gain, least, wheelbase):
+    """Leg by leg."""
+    reach, best, near, goal = max(gain * v, least), math.inf, None, None
+    for k in range(len(path) - 1):
+        (ax, ay), (bx, by) = path[k] - (x, y), path[k + 1] - (x, y)
+        dx, dy = bx - ax, by - ay
+        if dx * dx + dy * dy <= 1e-12:
+            continue
+        t = min(1, max(0, -(ax * dx + ay * dy) / (dx * dx + dy * dy)))
+        nx, ny = ax + t * dx, ay + t * dy
+        if nx * nx + ny * ny < best:
+            best, near, goal = nx * nx + ny * ny, k, (nx, ny)
+    for k in range(near, len(path) - 1):
+        (ax, ay), (bx, by) = path[k] - (x, y), path[k + 1] - (x, y)
+        roots = [t for t in np.roots([(bx - ax) ** 2 + (by - ay) ** 2, 2 * (ax * (bx - ax) + ay * (by - ay)), ax * ax + ay * ay - reach * reach]) if np.isreal(t) and 0 <= t.real <= 1]
+        if roots:
+            t = min(roots).real
+            goal = ax + t * (bx - ax), ay + t * (by - ay)
+            break
+    return math.atan2(2 * wheelbase * math.sin(math.atan2(goal[1], goal[0]) - h), reach)
+
+
+def test_steering_against_legs_one_by_one():
+    rng = np.random.default_rng(3)
+    paths = [np.cumsum(rng.normal(0.5, 1, (n, 2)), 0) for n in rng.integers(2, 40, 300)]
+    state = [rng.normal(0, 5, 300), rng.normal(0, 5, 300), rng.uniform(-3, 3, 300), rng.uniform(0, 8, 300)]
+    knobs = [rng.uniform(0.5, 2, 300), rng.uniform(0.1, 1, 300), np.full(300, 2.7)]
+    got = simulate.Paths(paths).steer(*state, *knobs)
+    assert np.allclose(got, [slow_steer(p, *(a[i] for a in (*state, *knobs))) for i, p in enumerate(paths)], atol=1e-7)
 
 
 def test_models_and_files(spark, tmp_path):
