@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import series as S
-from ..operators import calibration, features, inference, labeling, metrics, models, power, rollups, simulate, slices, splits, windows
+from ..operators import calibration, evaluation, features, inference, labeling, metrics, models, power, rollups, simulate, slices, splits, windows
 from ..session import table
 from ..sources import files, keyframes
+from . import dataset
 from .mappings import SCORED_SQL, SWEEP_SQL, TIED_SQL, TRACK_SQL, scored, sweep, tied, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -616,6 +617,56 @@ def paired_permutation(spark, sf_dir):
     return rounded(inference.paired_permutation_auc(rows, "row_id", "p", "c", PERMUTATIONS))
 
 
+# Evaluation
+
+
+def _predictions(spark, sf_dir):
+    """Quality labels as predictions: low quality stands for simulated."""
+    rows = scored(spark, sf_dir).filter("slice is not null")
+    return rows.select(F.col("row_id").alias("segment_id"), F.col("cluster").alias("scene_id"), F.when(F.col("y") == 1, "sim").otherwise("real").alias("source"), F.col("slice").alias("maneuver"), splits.split_of(F.col("cluster")).alias("split"), F.col("p").alias("prob_sim"))
+
+
+def _configs(spark, sf_dir):
+    return _predictions(spark, sf_dir).filter("source = 'sim'").select("segment_id", F.to_json(F.struct(F.col("prob_sim").alias("pos_noise_std"), (F.col("segment_id") % 3).alias("latency_steps"))).alias("config_json"))
+
+
+def _evaluation(spark, sf_dir):
+    return evaluation.evaluate(_predictions(spark, sf_dir), _configs(spark, sf_dir), replicates=REPLICATES, permutations=PERMUTATIONS)
+
+
+SLICE_P_SQL = f"""{SCORED_SQL}, sl AS (SELECT * FROM scored WHERE slice IS NOT NULL), {SLICED_AUC.format('sl')},
+ok AS (SELECT slice, auc, n_pos AS np FROM a WHERE NOT (n_pos < 2 OR n_neg < 2 OR n < 4)),
+sh AS (SELECT slice, b, p, CASE WHEN row_number() OVER (PARTITION BY slice, b ORDER BY {_draw_sql('0', 'b', 'row_id')}, row_id) <= np THEN 1 ELSE 0 END AS y FROM sl JOIN ok USING (slice), (SELECT unnest(generate_series(0, {PERMUTATIONS - 1})) AS b)),
+pr AS (SELECT slice, b, y, {AUC_RANKS.format('PARTITION BY slice, b', 'slice, b,')} AS r FROM sh), perm AS (SELECT slice, b, {AUC_OF} AS stat FROM pr GROUP BY slice, b),
+t AS (SELECT slice, any_value(auc) AS auc, (1 + count(*) FILTER (stat >= auc)) / (1.0 + count(*)) AS pv FROM perm JOIN ok USING (slice) GROUP BY slice),
+k AS (SELECT *, row_number() OVER (ORDER BY pv, slice) AS k, count(*) OVER () AS m FROM t)"""
+
+
+@query(f"WITH {SLICE_P_SQL} SELECT slice, {q('auc')} AS auc, {q('pv')} AS p_perm, {q('least(1, min(pv * m / k) OVER (ORDER BY k DESC))')} AS p_adj FROM k")
+def slice_p_values(spark, sf_dir):
+    rows = scored(spark, sf_dir).filter("slice is not null")
+    return rounded(evaluation.slice_report(rows, "cluster", "row_id", REPLICATES, PERMUTATIONS).filter("not skipped").select("slice", "auc", "p_perm", "p_adj"))
+
+
+@query()
+def evaluation_slices(spark, sf_dir):
+    """Maneuvers and knobs of the evaluated split, with intervals and adjusted p-values."""
+    return rounded(_evaluation(spark, sf_dir).slices)
+
+
+@query()
+def evaluation_overall(spark, sf_dir):
+    return rounded(_evaluation(spark, sf_dir).overall.drop("threshold"))
+
+
+@query()
+def evaluation_gate(spark, sf_dir):
+    """The run against a baseline of its own train split."""
+    rows = _predictions(spark, sf_dir)
+    base = evaluation.slice_report(slices.sliced(rows.filter("split = 'train'").withColumn("y", (F.col("source") == "sim").cast("int")).withColumnRenamed("prob_sim", "p")), replicates=REPLICATES, permutations=PERMUTATIONS)
+    return evaluation.evaluate(rows, baseline=base.filter("not skipped"), replicates=REPLICATES, permutations=PERMUTATIONS).gate
+
+
 # Power and calibration
 
 
@@ -743,6 +794,27 @@ def keyframe_observations(spark, sf_dir):
     return got.select("scene_id", "agent_token", C.quantised(F.col("t"), 3).alias("t"), C.quantised(F.col("x")).alias("x"), C.quantised(F.col("y")).alias("y"), C.quantised(F.col("heading"), 4).alias("heading"))
 
 
+# Dataset
+
+
+def _dataset(spark, sf_dir):
+    real = segments(spark, sf_dir).select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("scene_id"), F.col("user_id").cast("string").alias("agent_token"), "window", "t", "x", "y", "heading", "speed", "yaw_rate")
+    return dataset.build(real)
+
+
+@query()
+def dataset_aligned(spark, sf_dir):
+    """Labels, features and channels of every real and simulated segment."""
+    return _dataset(spark, sf_dir).aligned()
+
+
+@query(f"""WITH {TRACK_SQL}, w AS (SELECT user_id, (count(*) - 61) // 30 + 1 AS n FROM track GROUP BY user_id HAVING count(*) >= 61), s AS (SELECT concat('user_', user_id) AS scene_id, n FROM w),
+x AS (SELECT {SPLIT} AS split, n FROM s) SELECT source, split, sum(n)::BIGINT AS n, count(*) AS n_scenes FROM x, (SELECT unnest(['real', 'sim']) AS source) GROUP BY source, split""")
+def dataset_manifest(spark, sf_dir):
+    labels = _dataset(spark, sf_dir).labels
+    return labels.groupBy("source", "split").agg(F.count("*").alias("n"), F.countDistinct("scene_id").alias("n_scenes"))
+
+
 # Models
 
 

@@ -12,7 +12,8 @@ import __spark_entry__
 from strandlake import schemas
 from strandlake.functions import columns, series
 from strandlake.functions.running import running_totals
-from strandlake.operators import features, inference, labeling, metrics, models, power, simulate, slices, splits, windows
+from strandlake.operators import evaluation, features, inference, labeling, metrics, models, power, simulate, slices, splits, windows
+from strandlake.plans import dataset
 from strandlake.sources import files
 
 
@@ -317,6 +318,41 @@ def test_models_and_files(spark, tmp_path):
     assert json.loads(json.dumps(files.read_record(spark, str(tmp_path / "m")))) == {"a": [2], "b": 1}
 
 
+def test_evaluation(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(400):
+        sim = i % 2
+        rows.append((i, f"s{i % 20}", "sim" if sim else "real", ["cut_in", "merge", "rare"][0 if i < 200 else 1 if i < 397 else 2], "test" if i % 20 < 12 else "val", float(1 / (1 + math.exp(-rng.normal(1.2 * sim * (i < 200), 1))))))
+    d = spark.createDataFrame(rows, "segment_id bigint, scene_id string, source string, maneuver string, split string, prob_sim double")
+    configs = d.filter("source = 'sim'").select("segment_id", F.to_json(F.struct((F.col("segment_id") / 400).alias("pos_noise_std"), (F.col("segment_id") % 3).alias("latency_steps"))).alias("config_json"))
+    baseline = spark.createDataFrame([("maneuver:cut_in", 0.99, 0.98, 1.0, 100), ("maneuver:gone", 0.8, 0.7, 0.9, 50), ("maneuver:merge", 0.5, 0.4, 0.6, 50)], "slice string, auc double, ci_low double, ci_high double, n bigint")
+    run = evaluation.evaluate(d, configs, baseline, replicates=60, permutations=40)
+    got = {r["slice"]: r for r in run.slices.collect()}
+    assert set(got) == {"maneuver:cut_in", "maneuver:merge", "maneuver:rare", "knob:noise_low", "knob:noise_high", "knob:latency_0", "knob:latency_gt0"} - ({"maneuver:rare"} - set(got))
+    assert all(r["skipped"] or r["ci_low"] <= r["auc"] <= r["ci_high"] and r["p_perm"] <= r["p_adj"] <= 1 for r in got.values())
+    assert got["maneuver:cut_in"]["p_perm"] < 0.05 < got["maneuver:merge"]["p_perm"] and got["maneuver:cut_in"]["n"] == 120
+    assert {r["slice"]: r["status"] for r in run.gate.collect()} == {"maneuver:cut_in": "worse", "maneuver:gone": "missing", "maneuver:merge": "kept"} and run.exit_state() == 1
+    whole = run.overall.first()
+    assert whole["n"] == 240 and whole["ci_low"] < whole["auc"] < whole["ci_high"] and 0 < whole["ece_ci_low"] <= whole["ece_ci_high"] and {r["method"] for r in run.calibration.collect()} == {"none", "platt", "isotonic"}
+    sweep = evaluation.sweep_row(run, "noise_mid_lat_2_bias_0", "mid", 2, 0.0, "gbt")
+    assert sweep.filter("scope = 'overall' and slice_name is null and auc_pr is not null").count() == 1 and sweep.filter("scope = 'slice' and brier is null").count() >= 6
+
+
+def test_dataset_from_start_to_end(spark):
+    tracks = simulate.synthetic_tracks(spark, 6, 2, 9.0)
+    built = dataset.build(simulate.reference_rollouts(tracks)).checked()
+    n = 6 * 2 * 2
+    labels = {r["segment_id"]: r for r in built.labels.collect()}
+    assert set(labels) == set(range(2 * n)) and all((r["source"] == "sim") == (i >= n) == (r["config_json"] is not None) for i, r in labels.items())
+    assert all(labels[i]["scene_id"] == labels[i + n]["scene_id"] and labels[i]["split"] == labels[i + n]["split"] for i in range(n))
+    assert built.segments.columns == [f.name for f in schemas.fields(schemas.SEGMENTS_DDL)] and built.features.columns == [f.name for f in schemas.fields(schemas.FEATURES_DDL)]
+    rows = built.aligned().collect()
+    assert len(rows) == 2 * n and all(len(r["speed"]) == 61 and math.isfinite(r["yaw_psd_ratio"]) for r in rows)
+    with pytest.raises(ValueError):
+        dataset.Dataset(built.segments.limit(100), built.labels, built.features).checked()
+
+
 def test_seeds_and_angles(spark):
     row = spark.range(1).select(columns.md5_seed(F.lit("k")).alias("s"), columns.yaw_of(F.lit(math.cos(0.3)), F.lit(0.0), F.lit(0.0), F.lit(math.sin(0.3))).alias("y")).first()
     assert row["s"] == int(hashlib.md5(b"k").hexdigest()[:16], 16) % 2**32 and np.isclose(row["y"], 0.6)
