@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import columns as C
 from ..functions import series as S
 from ..operators import calibration, evaluation, features, inference, labeling, metrics, models, power, rollups, simulate, slices, splits, windows
@@ -84,6 +85,14 @@ def split_join_train(spark, sf_dir):
     return facts.join(labels, "l_orderkey").select("l_orderkey", "split", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity")
 
 
+@query("SELECT l_orderkey, o_orderstatus AS split, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def split_join_all(spark, sf_dir):
+    """The tables of all splits."""
+    facts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_quantity")
+    labels = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("split"))
+    return facts.join(labels, "l_orderkey").select("l_orderkey", "split", "l_linenumber", "l_quantity")
+
+
 @query("SELECT o_orderstatus, c.* EXCLUDE (c_custkey, c_name, c_nationkey) FROM orders JOIN customer c ON o_custkey = c_custkey")
 def star_except_features(spark, sf_dir):
     rest = table(spark, sf_dir, "customer").drop("c_name", "c_nationkey")
@@ -820,21 +829,18 @@ def dataset_manifest(spark, sf_dir):
 
 def _examples(spark, sf_dir):
     """A row for each window; all windows of a user are in one split."""
-    rows = features.motion_features(segments(spark, sf_dir), SEGMENT)
-    return rows.select(F.concat_ws("_", "user_id", "window").alias("segment_id"), (F.col("user_id") % 2).alias("y"), splits.split_of(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("split"), "speed_mean", "accel_mean", "jerk_p95", "lat_accel_rms", "curvature_mean")
-
-
-_MODEL_FEATURES = ["speed_mean", "accel_mean", "jerk_p95", "lat_accel_rms", "curvature_mean"]
+    rows = features.extract_features(segments(spark, sf_dir), SEGMENT)
+    return rows.select(F.concat_ws("_", "user_id", "window").alias("segment_id"), (F.col("user_id") % 2).alias("y"), splits.split_of(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("split"), *schemas.FEATURES)
 
 
 @query()
 def gbt_scores(spark, sf_dir):
-    return models.create("gbt")(_examples(spark, sf_dir), _MODEL_FEATURES, trees=5, depth=3).select("segment_id", F.col("y").cast("bigint").alias("y"), "split", "p")
+    return models.create("gbt")(_examples(spark, sf_dir), schemas.FEATURES).select("segment_id", F.col("y").cast("bigint").alias("y"), "split", "p")
 
 
 @query()
 def top_importances(spark, sf_dir):
-    return models.importances(_examples(spark, sf_dir), _MODEL_FEATURES, trees=5, depth=3)
+    return models.importances(_examples(spark, sf_dir), schemas.FEATURES)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
