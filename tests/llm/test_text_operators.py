@@ -876,3 +876,51 @@ def test_pipeline_stages_against_the_operators(spark, sf_dir, docs):
     assert ids[2] == ids[1] - leaks
     assert all(not secrets.base_spans(r["text"]) for r in seen[3][1].collect())
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(ids[4])
+
+
+def test_pipeline_of_an_empty_table_and_of_further_columns(spark, tmp_path, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = documents(spark, [*AWKWARD, *near_copies(6, 3), "the quick brown fox and the dog of the house are on the way to the town"])
+    clash = rows.withColumns({c: F.lit("x") for c in ("leaked", "gone", "copies", "mix_domain", "node", "text_hash", "spans", "held")})
+    for k, source in enumerate((rows.limit(0), clash)):
+        folder = f"{tmp_path}/t{k}"
+        source.write.parquet(f"{folder}/documents.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = Scratch(spark, "test").save(stage(spark, docs, folder))
+            assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == source.columns, name
+        assert docs.count() <= source.count() and set(source.columns) <= set(docs.columns)
+
+
+def test_language_and_fingerprints_of_further_columns_ties_and_empty_tables(spark, docs):
+    model = langid.train(docs, queries.VOCABULARY)
+    rows = documents(spark, ["the house", "the house", "ab", "a " * 60_000]).withColumns({c: F.lit("x") for c in ("held", "held_out", "score", "lang_pred", "bucket", "at", "goes", "head")})
+    got = langid.identify(spark, rows, model).collect()
+    assert len(got) == 4 and got[0]["lang_pred"] == got[1]["lang_pred"] and langid.identify(spark, rows.limit(0), model).count() == 0
+    tied = langid.Model(model.pieces, ["b", "c"], model.table[:, :1].repeat(2, 1))
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(spark, rows, tied).collect()} == {("b", 0.5)}
+    check_edits(fingerprint.fingerprint_edits(spark, rows).collect(), [(r["doc_id"], r["text"]) for r in rows.collect()])
+
+
+def slow_containment(a, b):
+    """By chunks cut one by one."""
+    def chunks(text):
+        data, start, out = (text or "").encode(), 0, {}
+        for end in slow_boundaries(data):
+            out[data[start:end]] = end - start
+            start = end
+        return out
+
+    one, two = chunks(a), chunks(b)
+    return (sum(n for c, n in one.items() if c in two) / sum(one.values())) if one else float(not two)
+
+
+def test_likeness_against_brute_force(spark):
+    base = " ".join(f"w{i * 7919 % 1000}" for i in range(300))
+    texts = [base, base[:700] + " changed " + base[700:], "", base, "short", None]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_edits(spark, documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        following = texts[i - 1] if i else texts[-1]
+        new = fingerprint.edited(text or "", following or "")
+        assert (got[i]["near_next"], got[i]["near_edited"]) == (pytest.approx(slow_containment(text, following)), pytest.approx(slow_containment(text, new)))
