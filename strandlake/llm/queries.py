@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprint, htmltext, langid, licenses, mixing, neardup, secrets, tokencount, urlfilter
+from . import collocations, decontam, divergence, fingerprint, htmltext, langid, licenses, mixing, neardup, secrets, simhash, tokencount, urlfilter
 from ._shared import table
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -78,10 +78,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, docs, langid.train(docs, VOCABULARY))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_decontamination, op3_license_scan, op4_fingerprints, op5_secret_scan, op6_near_duplicates, op7_token_counts, op8_html_text, op9_mixing, op10_language_id)
+        for f in (
+            op1_url_filter, op2_decontamination, op3_license_scan, op4_fingerprints, op5_secret_scan, op6_near_duplicates, op7_token_counts, op8_html_text, op9_mixing,
+            op10_language_id, op11_collocations, op12_source_divergence, op13_simhash_duplicates,
+        )
     }
 
 
@@ -100,4 +115,4 @@ def url_filter_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter_sql(), "op3_license_scan": licenses.oracle()}
+    return {"op1_url_filter": url_filter_sql(), "op3_license_scan": licenses.oracle(), "op11_collocations": collocations.oracle(), "op12_source_divergence": divergence.oracle()}
