@@ -22,6 +22,7 @@ pieces. Ties of score and f are ranked by the phrase's UTF-8 bytes. An empty tab
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from operator import itemgetter
@@ -140,18 +141,20 @@ def sketch(docs: DataFrame, least: int, longest: int, cells: int) -> bytes:
             part = counters[block * BLOCK : (block + 1) * BLOCK]
             at = np.flatnonzero(part)
             if len(at):
-                yield pa.RecordBatch.from_pylist([{"block": block, "places": at.astype(np.uint16).tobytes(), "counts": part[at].tobytes()}])
+                gaps = np.diff(at, prepend=0).astype(np.uint16)
+                yield pa.RecordBatch.from_pylist([{"block": block, "gaps": zlib.compress(gaps.tobytes(), 1), "counts": zlib.compress(part[at].tobytes(), 1)}])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for blocks, places, counts in rows_of(batches, 64):
-            for block, p, n in zip(blocks, places, counts, strict=True):
-                at, total = np.frombuffer(p, np.uint16), sums.setdefault(block, np.zeros(min(BLOCK, 1 << cells), np.uint8))
-                total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(n, np.uint8), 255)
+        for blocks, gaps, counts in rows_of(batches, 64):
+            for block, g, n in zip(blocks, gaps, counts, strict=True):
+                at = np.cumsum(np.frombuffer(zlib.decompress(g), np.uint16), dtype=np.int64)
+                total = sums.setdefault(block, np.zeros(min(BLOCK, 1 << cells), np.uint8))
+                total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(zlib.decompress(n), np.uint8), 255)
         if sums:
             yield pa.RecordBatch.from_pylist([{"block": b, "bits": np.packbits(x >= least, bitorder="little").tobytes()} for b, x in sums.items()])
 
-    parts = _source(docs).mapInArrow(run, "block bigint, places binary, counts binary").repartition(partitions(docs.sparkSession), "block")
+    parts = _source(docs).mapInArrow(run, "block bigint, gaps binary, counts binary").repartition(partitions(docs.sparkSession), "block")
     size = min(BLOCK, 1 << cells) // 8
     out = bytearray((1 << cells) // 8)
     for block, bits in parts.mapInArrow(add, "block bigint, bits binary").collect():  # 2 ** cells bits in all
