@@ -209,10 +209,10 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 10, longest:
     found = scratch.save(counts(docs, least, longest, cells))
     kept = scored(found).join(outnumbered(found, inside), ["lang", "phrase"], "left_anti")
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("bigint"))
-    ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(order))
+    ranked = ranked if top is None else ranked.filter(F.col("rank") <= top)  # Spark drops what is beyond before it deals by lang
     n = found.filter("phrase is null").select("lang", F.col("f").alias("n"))
-    return scratch.finish(ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    return scratch.finish(ranked.join(n, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
 
 
 def oracle(least: int = 10, inside: int = 50, top: int = 2000) -> str:
