@@ -6,26 +6,30 @@ Draws come from hashes of (seed, replicate, key): they don't depend on how rows
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw, normal_cdf, normal_quantile, normal_quantile_of
-from ..functions.running import running_totals
-from .metrics import _total, auc_or_half, auc_roc
+from ..functions.running import RANGE, running_totals, with_ranges
+from .metrics import _total, auc_or_half, auc_roc, by_score
 
 
 def beside(df: DataFrame, figures: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Rows with the figures of their group (a row a group, broadcast), or with those of one row, as a scalar subquery."""
+    """Rows with the figures of their group (a row a group), or with those of one row, as a scalar subquery."""
     if groups:
-        return df.join(F.broadcast(figures), list(groups))
+        return df.join(figures, list(groups))
     one = figures.select(F.struct(*figures.columns).alias("s")).scalar()
     return df.withColumn("_one", one).select("*", *[F.col(f"_one.{c}").alias(c) for c in figures.columns]).drop("_one")
 
 
 def cluster_counts(df: DataFrame, cluster: str, groups: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*groups, F.col(cluster).alias("cluster"), "p").agg(F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.sum((F.col("y") != 1).cast("bigint")).alias("neg"))
+    ranges = [RANGE] if RANGE in df.columns else []
+    return df.groupBy(*groups, F.col(cluster).alias("cluster"), "p", *ranges).agg(F.sum((F.col("y") == 1).cast("bigint")).alias("pos"), F.sum((F.col("y") != 1).cast("bigint")).alias("neg"))
 
 
 def numbered(df: DataFrame, cluster: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -47,11 +51,12 @@ def resampled_clusters(df: DataFrame, cluster: str, replicates: int, seed: int =
 
 
 def _resampled(df: DataFrame, cluster: str, replicates: int, seed: int, groups: Sequence[str]) -> DataFrame:
-    """groups, b, p, y, w: the weighted score counts of each replicate."""
+    """groups, b, p, y, w: the weighted score counts of each replicate, and the ranges of scores, made once for all replicates."""
     drawn = resampled_clusters(df, cluster, replicates, seed, groups)
     sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("c")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("c")))).alias("s")
-    rows = drawn.join(cluster_counts(df, cluster, groups), [*groups, "cluster"]).select(*groups, "b", "p", "times", sides)
-    return rows.filter("s.c > 0").groupBy(*groups, "b", "p", F.col("s.y").alias("y")).agg(F.sum(F.col("times") * F.col("s.c")).alias("w"))
+    counts = with_ranges(cluster_counts(df, cluster, groups), "p")
+    rows = drawn.join(counts, [*groups, "cluster"]).select(*groups, "b", "p", RANGE, "times", sides)
+    return rows.filter("s.c > 0").groupBy(*groups, "b", "p", RANGE, F.col("s.y").alias("y")).agg(F.sum(F.col("times") * F.col("s.c")).alias("w"))
 
 
 def bootstrap_auc(df: DataFrame, cluster: str, replicates: int = 2000, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
@@ -60,31 +65,34 @@ def bootstrap_auc(df: DataFrame, cluster: str, replicates: int = 2000, seed: int
     return auc_roc(rows, [*groups, "b"], weight="w").select(*groups, "b", auc_or_half(F.col("auc")).alias("stat"))
 
 
-def bootstrap_ece(df: DataFrame, cluster: str, bins: int = 15, replicates: int = 2000, seed: int = 0) -> DataFrame:
-    """b, stat: the calibration error of each replicate; 0 with fewer rows than bins. Equal scores are cut between bins by
+def bootstrap_ece(df: DataFrame, cluster: str, bins: int = 15, replicates: int = 2000, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, b, stat: the calibration error of each replicate; 0 with fewer rows than bins. Equal scores are cut between bins by
     their mean outcome, as rows of one score have no order in a replicate."""
-    scores = _resampled(df, cluster, replicates, seed, ()).groupBy("b", "p").agg(F.sum("w").alias("w"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"))
-    by = Window.partitionBy("b")
-    scores = scores.withColumn("all", F.sum("w").over(by)).withColumn("to", F.sum("w").over(by.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)))
-    first = lambda k: F.floor(F.col("all") / bins) * k + F.least(k, F.col("all") % bins)
-    parts = scores.select("b", "p", "w", "pos", "all", "to", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("k"))
-    inside = F.least("to", first(F.col("k") + 1)) - F.greatest(F.col("to") - F.col("w"), first(F.col("k")))
+    by = [*groups, "b"]
+    scores = _resampled(df, cluster, replicates, seed, groups).groupBy(*by, "p", RANGE).agg(F.sum("w").alias("w"), F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"))
+    totals = scores.groupBy(*by).agg(F.sum("w").alias("all"))
+    scores = running_totals(scores, "p", [], {"from": "w"}, by).join(totals, by)
+    size, extra = F.floor(F.col("all") / bins), F.col("all") % bins
+    bin_of = lambda place: F.least(F.when(place < (size + 1) * extra, F.floor(place / (size + 1))).otherwise(extra + F.coalesce(F.floor(F.try_divide(place - (size + 1) * extra, size)), F.lit(0))), F.lit(bins - 1))
+    first = lambda k: size * k + F.least(k, extra)
+    parts = scores.select(*by, "p", "w", "pos", "all", "from", F.explode(F.sequence(bin_of(F.col("from")), bin_of(F.col("from") + F.col("w") - 1))).alias("k"))
+    inside = F.least(F.col("from") + F.col("w"), first(F.col("k") + 1)) - F.greatest("from", first(F.col("k")))
     parts = parts.withColumn("n", inside).filter("n > 0")
-    gaps = parts.groupBy("b", "k").agg(F.sum("n").alias("n"), F.abs(F.sum(F.col("n") * F.col("p")) - F.sum(F.col("n") * F.col("pos") / F.col("w"))).alias("gap"), F.max("all").alias("all"))
-    return gaps.groupBy("b").agg(F.when(F.max("all") >= bins, F.sum("gap") / F.sum("n")).otherwise(0.0).alias("stat"))
+    gaps = parts.groupBy(*by, "k").agg(F.sum("n").alias("n"), F.abs(F.sum(F.col("n") * F.col("p")) - F.sum(F.col("n") * F.col("pos") / F.col("w"))).alias("gap"), F.max("all").alias("all"))
+    return gaps.groupBy(*by).agg(F.when(F.max("all") >= bins, F.sum("gap") / F.sum("n")).otherwise(0.0).alias("stat"))
 
 
 def jackknife_auc(df: DataFrame, cluster: str, groups: Sequence[str] = ()) -> DataFrame:
     """groups, cluster, stat without it, in closed form: all wins of positives over negatives, less those that the cluster's
     rows have a part in, which are its positives' over all negatives and all positives' over its negatives, less the wins
     within it, counted twice. So no replicate repeats the rows."""
-    counts = cluster_counts(df, cluster, groups)
-    scores = counts.groupBy(*groups, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = with_ranges(cluster_counts(df, cluster, groups), "p")
+    scores = counts.groupBy(*groups, "p", RANGE).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     scores = running_totals(scores, "p", [], {"below": "neg", "under": "pos"}, groups)
     whole = _total(scores, groups, F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("wins"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     at = scores.select(*groups, "p", (F.col("below") + F.col("neg") / 2).alias("beaten"), (F.col("under") + F.col("pos") / 2).alias("not_above"))
-    w = Window.partitionBy(*groups, "cluster").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("own", F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("neg") / 2).join(at, [*groups, "p"])
+    within = running_totals(counts, "p", [], {"own": "neg"}, [*groups, "cluster"]).withColumn("own", F.col("own") + F.col("neg") / 2)
+    rows = within.drop(RANGE).join(at, [*groups, "p"])
     own = rows.groupBy(*groups, "cluster").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * F.col("beaten")).alias("won"),
         F.sum("neg").alias("_n"), F.sum(F.col("neg") * F.col("not_above")).alias("at_or_under"), F.sum(F.col("pos") * F.col("own")).alias("within"),
@@ -131,19 +139,75 @@ def shuffled_labels(df: DataFrame, row_id: str, replicates: int, seed: int = 0,
     """groups, b, p, y, w: score counts under shuffled labels. In each replicate the rows with the least draws take the
     positives. Draws are counted by cell; rows below the cell in which the positives end take one each, rows above it none,
     and only the rows in it, a ``CELLS``-th, are ranked. So no task sorts all rows of a replicate."""
-    drawn = df.select(*groups, F.col(row_id).alias("id"), "p", "y").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    drawn = with_ranges(df.select(*groups, F.col(row_id).alias("id"), "p", "y"), "p").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
     drawn = drawn.withColumn("d", draw(F.lit(seed), F.col("b"), F.col("id"))).withColumn("cell", F.floor(F.col("d") * CELLS))
     cells = drawn.groupBy(*groups, "b", "cell").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
     by = Window.partitionBy(*groups, "b")
     cells = cells.withColumn("all_pos", F.sum("pos").over(by)).withColumn("to", F.sum("n").over(by.orderBy("cell")))  # at most CELLS a replicate
     ends = cells.filter("to >= all_pos and to - n < all_pos or all_pos = 0 and to = n").select(*groups, "b", F.col("cell").alias("end"), (F.col("all_pos") - F.col("to") + F.col("n")).alias("rest"))
-    placed = drawn.join(F.broadcast(ends), [*groups, "b"])  # a row a replicate and group
+    placed = drawn.join(ends, [*groups, "b"])
     side = F.signum(F.col("cell") - F.col("end")).cast("int")
     at_end = lambda c: F.when(side == 0, F.col(c))
-    kinds = placed.groupBy(*groups, "b", "rest", side.alias("side"), "p", at_end("d").alias("d"), at_end("id").alias("id")).agg(F.count("*").alias("w"))
+    kinds = placed.groupBy(*groups, "b", "rest", side.alias("side"), "p", RANGE, at_end("d").alias("d"), at_end("id").alias("id")).agg(F.count("*").alias("w"))
     rank = F.sum("w").over(Window.partitionBy(*groups, "b", "side").orderBy("d", "id", "p").rowsBetween(Window.unboundedPreceding, 0))
     y = F.when(F.col("side") < 0, 1).when(F.col("side") > 0, 0).otherwise((rank <= F.col("rest")).cast("int"))
-    return kinds.select(*groups, "b", "p", y.alias("y"), "w")
+    return kinds.select(*groups, "b", "p", RANGE, y.alias("y"), "w")
+
+
+#: numpy's hypergeometric draws are exact up to here.
+MOST_ROWS = 1_000_000_000
+
+
+def _generator(seed: int, *key: object) -> np.random.Generator:
+    return np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
+
+
+def counted_permutation_auc(df: DataFrame, replicates: int = 1000, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, b, stat under shuffled labels, as ``permutation_auc``, by counted draws: how many positives each score gets is
+    multivariate hypergeometric. Each replicate first splits a group's positives over the ranges of scores, and each range's over
+    its scores, so a replicate costs scores and not rows, and no row is repeated. A task has one range's scores for all replicates;
+    what goes between the two steps is a row a range with two numbers a replicate. Draws are seeded by group, range and replicate, so results
+    don't depend on how rows are dealt. Groups of up to a thousand million rows."""
+    scores = by_score(df, groups)
+    scores = scores if RANGE in scores.columns else with_ranges(scores, "p")
+    keys = [*groups, RANGE]
+    scores = scores.select(*keys, "p", (F.col("pos") + F.col("neg")).alias("n"), "pos").withColumn("_g", F.lit(0))
+    kinds = dict(scores.dtypes)
+    ddl = "".join(f"`{g}` {kinds[g]}, " for g in groups)
+    named = list(groups)
+
+    def dealt(table: pa.Table) -> pa.Table:
+        table = table.sort_by(RANGE)
+        n, positives = table.column("n").to_numpy(), int(table.column("pos").to_numpy().sum())
+        if n.sum() > MOST_ROWS:
+            raise ValueError("a group of over a thousand million rows: take permutation_auc")
+        rng = _generator(seed, *[table.column(g)[0].as_py() for g in named])
+        got = rng.multivariate_hypergeometric(n, positives, size=replicates, method="marginals").T  # a row a range
+        lower = np.cumsum(n) - n
+        negatives = lower[:, None] - (np.cumsum(got, axis=0) - got)
+        out = {g: table.column(g) for g in named} | {RANGE: table.column(RANGE), "took": pa.array(list(got), pa.list_(pa.int64())), "below": pa.array(list(negatives), pa.list_(pa.int64()))}
+        return pa.table(out)
+
+    def won(table: pa.Table, heads: pa.Table) -> pa.Table:
+        table = table.sort_by("p")
+        n, about = table.column("n").to_numpy(), [table.column(g)[0].as_py() for g in named]
+        took, below = heads.column("took")[0].values.to_numpy(), heads.column("below")[0].values.to_numpy()
+        rng = _generator(seed, *about, table.column(RANGE)[0].as_py())
+        twice = np.empty(replicates, np.int64)
+        for b in range(replicates):
+            pos = rng.multivariate_hypergeometric(n, took[b], method="marginals") if len(n) > 1 else took[b : b + 1]
+            neg = n - pos
+            twice[b] = (pos * (2 * (np.cumsum(neg) - neg) + neg)).sum() + 2 * took[b] * below[b]
+        out = {g: pa.array([v] * replicates, table.schema.field(g).type) for g, v in zip(named, about, strict=True)}
+        return pa.table(out | {"b": pa.array(np.arange(replicates)), "twice": pa.array(twice)})
+
+    totals = scores.groupBy("_g", *keys).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    heads = totals.groupBy("_g", *groups).applyInArrow(dealt, f"{ddl}{RANGE} int, took array<bigint>, below array<bigint>")
+    parts = scores.groupBy(*keys).cogroup(heads.groupBy(*keys)).applyInArrow(won, f"{ddl}b bigint, twice bigint")
+    sizes = _total(scores, groups, F.sum("pos").alias("n1"), (F.sum("n") - F.sum("pos")).alias("n0"))
+    got = beside(parts.groupBy(*groups, "b").agg(F.sum("twice").alias("twice")), sizes, groups)
+    stat = F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("twice") / 2 / F.col("n1") / F.col("n0")).otherwise(0.5)
+    return got.select(*groups, "b", stat.alias("stat"))
 
 
 def permutation_auc(df: DataFrame, row_id: str, replicates: int = 1000, seed: int = 0, groups: Sequence[str] = ()) -> DataFrame:
@@ -154,8 +218,8 @@ def permutation_auc(df: DataFrame, row_id: str, replicates: int = 1000, seed: in
 
 def p_values(null: DataFrame, observed: DataFrame, groups: Sequence[str], stat: str = "auc") -> DataFrame:
     """groups, p_perm: as ``p_value``, for each group's observed statistic."""
-    both = null.join(F.broadcast(observed.select(*groups, F.col(stat).alias("_seen"))), list(groups))  # a row a group
-    return both.groupBy(*groups).agg(((1 + F.sum((F.col("stat") >= F.col("_seen")).cast("bigint"))) / (1 + F.count("*"))).alias("p_perm"))
+    both = beside(null, observed.select(*groups, F.col(stat).alias("_seen")), groups)
+    return _total(both, groups, ((1 + F.sum((F.col("stat") >= F.col("_seen")).cast("bigint"))) / (1 + F.count("*"))).alias("p_perm"))
 
 
 def p_value(null: DataFrame, observed: float, alternative: str = "greater") -> DataFrame:
@@ -168,12 +232,14 @@ def p_value(null: DataFrame, observed: float, alternative: str = "greater") -> D
 
 def paired_permutation_auc(df: DataFrame, row_id: str, a: str, b: str, replicates: int = 1000, seed: int = 0) -> DataFrame:
     """b, stat: the difference of the two scores' AUC, each row's scores swapped or not by a draw."""
-    rows = df.select(F.col(row_id).alias("id"), "y", F.col(a).alias("a"), F.col(b).alias("c")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    two = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("p")) for side, c in enumerate((a, b))])).alias("s")
+    rows = with_ranges(df.select(F.col(row_id).alias("id"), "y", two).select("id", "y", "s.*"), "p")
+    rows = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
     swap = draw(F.lit(seed), F.col("b"), F.col("id")) < 0.5
-    rows = rows.select("b", "y", F.when(swap, F.col("c")).otherwise(F.col("a")).alias("pa"), F.when(swap, F.col("a")).otherwise(F.col("c")).alias("pb"))
-    left, right = auc_roc(rows, ["b"], p="pa"), auc_roc(rows, ["b"], p="pb")
-    got = left.select("b", F.col("auc").alias("x")).join(right.select("b", F.col("auc").alias("z")), "b")
-    return got.select(F.col("b").cast("bigint").alias("b"), (auc_or_half(F.col("x")) - auc_or_half(F.col("z"))).alias("stat"))
+    side = F.when(swap, 1 - F.col("side")).otherwise(F.col("side"))
+    got = auc_roc(rows.select("b", side.alias("side"), "y", "p", RANGE), ["b", "side"]).groupBy("b")
+    of = lambda k: F.max(F.when(F.col("side") == k, auc_or_half(F.col("auc"))))
+    return got.agg((of(0) - of(1)).alias("stat"))
 
 
 def adjusted(df: DataFrame, p: str, groups: Sequence[str] = (), row_id: str = "name") -> DataFrame:

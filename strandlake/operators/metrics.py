@@ -6,20 +6,21 @@ Bootstrap, jackknife, permutation and slices are the same aggregations with othe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clipped
-from ..functions.running import running_totals
+from ..functions.running import RANGE, running_totals
 
 NAN = float("nan")
 
 
 def by_score(df: DataFrame, groups: Sequence[str] = (), y: str = "y", p: str = "p", weight: str | None = None) -> DataFrame:
     w = F.col(weight) if weight else F.lit(1).cast("bigint")
-    return df.groupBy(*groups, F.col(p).alias("p")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(w)).alias("neg"))
+    ranges = [RANGE] if RANGE in df.columns else []  # which the score decides
+    return df.groupBy(*groups, *ranges, F.col(p).alias("p")).agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(w)).alias("neg"))
 
 
 def _total(df: DataFrame, groups: Sequence[str], *aggs: Column) -> DataFrame:
@@ -42,9 +43,11 @@ def auc_or_half(c: Column) -> Column:
 def curve(df: DataFrame, groups: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     """A row for each threshold (a distinct score): tp, fp (rows at or above it), n_pos, n_neg, pos, neg (at it)."""
     scores = by_score(df, groups, y, p).withColumn("minus", -F.col("p"))
+    if RANGE in scores.columns:
+        scores = scores.withColumn(RANGE, -F.col(RANGE))
     got = running_totals(scores, "minus", [], {"tp": "pos", "fp": "neg"}, groups)
     totals = _total(scores, groups, F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    got = got.withColumn("tp", F.col("tp") + F.col("pos")).withColumn("fp", F.col("fp") + F.col("neg")).drop("minus")
+    got = got.withColumn("tp", F.col("tp") + F.col("pos")).withColumn("fp", F.col("fp") + F.col("neg")).drop("minus", RANGE)
     return got.join(totals, list(groups)) if groups else got.crossJoin(F.broadcast(totals))  # one row
 
 
@@ -77,24 +80,44 @@ def log_loss(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return _total(df, groups, (-F.avg(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q))).alias("bce"))
 
 
-def equal_mass_bins(df: DataFrame, bins: int = 15, groups: Sequence[str] = (), row_id: str = "row_id") -> DataFrame:
-    """Adds bin (1 to bins): rows in order of (p, row_id), sizes differing by one at most, larger ones first."""
-    by = [F.col(g) for g in groups]
-    ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    placed = running_totals(ones, "p", [row_id], {"_place": "_one"}, groups)
-    if groups:
-        placed = placed.withColumn("_all", F.count("*").over(Window.partitionBy(*by)))
-    else:
-        placed = placed.crossJoin(F.broadcast(df.agg(F.count("*").alias("_all"))))  # one row
+def _binned_scores(df: DataFrame, bins: int, groups: Sequence[str]) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Scores with pos, neg, their first place in order, all rows of the group, and whether they lie in two bins or more; and the bin of a place."""
+    scores = by_score(df, groups).withColumn("_n", F.col("pos") + F.col("neg"))
+    placed = running_totals(scores, "p", [], {"_first": "_n"}, groups)
+    totals = _total(df, groups, F.count("*").alias("_all"))
+    placed = placed.join(totals, list(groups)) if groups else placed.crossJoin(F.broadcast(totals))  # one row
     size, extra = F.floor(F.col("_all") / bins), F.col("_all") % bins
-    place, large = F.col("_place"), (F.floor(F.col("_all") / bins) + 1) * (F.col("_all") % bins)
-    number = F.when(place < large, F.floor(place / (size + 1))).otherwise(extra + F.floor(F.try_divide(place - large, size)))
-    return placed.withColumn("bin", (number + 1).cast("bigint")).drop("_one", "_place", "_all")
+    large = (size + 1) * extra
+    number = lambda place: (F.when(place < large, F.floor(place / (size + 1))).otherwise(extra + F.floor(F.try_divide(place - large, size))) + 1).cast("bigint")
+    return placed.withColumn("_cut", number(F.col("_first")) != number(F.col("_first") + F.col("_n") - 1)), number
+
+
+def _cut_rows(df: DataFrame, scores: DataFrame, groups: Sequence[str], row_id: str) -> DataFrame:
+    """Rows of the scores that lie in several bins, with their place in order of row_id within the score."""
+    rows = df.drop(RANGE).join(scores.filter("_cut").select(*groups, "p", "_first", "_all"), [*groups, "p"])
+    return running_totals(rows.withColumn("_one", F.lit(1).cast("bigint")), row_id, [], {"_within": "_one"}, [*groups, "p"]).drop("_one")
+
+
+def equal_mass_bins(df: DataFrame, bins: int = 15, groups: Sequence[str] = (), row_id: str = "row_id") -> DataFrame:
+    """Adds bin (1 to bins): rows in order of (p, row_id), sizes differing by one at most, larger ones first. ``row_id`` is numeric.
+
+    A score's first place is the running sum over scores. Only rows of scores that lie in two bins or more, of which there are
+    ``bins`` - 1 at most in a group, are put in order, and that by ranges of row_id; so neither many rows nor one score with
+    most of them meet in a task."""
+    scores, number = _binned_scores(df, bins, groups)
+    whole = df.drop(RANGE).join(scores.filter("not _cut").select(*groups, "p", "_first", "_all"), [*groups, "p"]).withColumn("_within", F.lit(0).cast("bigint"))
+    both = whole.unionByName(_cut_rows(df, scores, groups, row_id))
+    return both.withColumn("bin", number(F.col("_first") + F.col("_within"))).drop("_first", "_all", "_within")
 
 
 def reliability(df: DataFrame, bins: int = 15, groups: Sequence[str] = (), row_id: str = "row_id") -> DataFrame:
-    got = equal_mass_bins(df, bins, groups, row_id).groupBy(*groups, "bin")
-    return got.agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("frac_pos"))
+    """groups, bin, n, mean_p, frac_pos. Scores within a bin are taken as they are summed up; rows only of those in several."""
+    scores, number = _binned_scores(df, bins, groups)
+    whole = scores.filter("not _cut").select(*groups, number(F.col("_first")).alias("bin"), F.col("_n").alias("n"), (F.col("_n") * F.col("p")).alias("sum_p"), F.col("pos"))
+    cut = _cut_rows(df, scores, groups, row_id)
+    cut = cut.select(*groups, number(F.col("_first") + F.col("_within")).alias("bin"), F.lit(1).cast("bigint").alias("n"), F.col("p").alias("sum_p"), (F.col("y") == 1).cast("bigint").alias("pos"))
+    got = whole.unionByName(cut).groupBy(*groups, "bin").agg(F.sum("n").alias("n"), F.sum("sum_p").alias("sum_p"), F.sum("pos").alias("pos"))
+    return got.select(*groups, "bin", "n", (F.col("sum_p") / F.col("n")).alias("mean_p"), (F.col("pos") / F.col("n")).alias("frac_pos"))
 
 
 def calibration_error(df: DataFrame, bins: int = 15, groups: Sequence[str] = (), row_id: str = "row_id") -> DataFrame:

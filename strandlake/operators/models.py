@@ -1,19 +1,28 @@
-"""Discriminators: a registry of trainers, boosted trees on features, and scores made elsewhere.
+"""Discriminators: a registry of trainers, boosted trees on features, folds by groups, saved models, and scores made elsewhere.
 
-A trainer takes (features with y, split and the group column) and returns a scored frame (segment_id, p). Scores of
+A trainer takes (features with y, split and the group column) and returns a scored frame (segment_id, y, split, p). Scores of
 networks trained elsewhere come in as a table; ``external`` checks and joins them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import heapq
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import md5_seed
+from ..functions.running import running_totals
+from ..session import shared_path
+from ..sources import files
+from . import metrics, trees
+
 Trainer = Callable[..., DataFrame]
 _TRAINERS: dict[str, Trainer] = {}
 
@@ -46,19 +55,164 @@ def _scored(model, rows: DataFrame) -> DataFrame:  # noqa: ANN001
     return model.transform(rows).select("segment_id", "y", "split", vector_to_array("probability")[1].alias("p"))
 
 
+@dataclass
+class Boosted:
+    """Boosted trees: the fitted model, its trees as arrays, how many of them are used, and the AUC on val by their number."""
+
+    model: GBTClassificationModel
+    ensemble: trees.Ensemble
+    used: int
+    stages: DataFrame | None
+    parameters: dict[str, Any]
+
+    @property
+    def best(self) -> trees.Ensemble:
+        return self.ensemble.first(self.used)
+
+    def score(self, rows: DataFrame, keep: Sequence[str] = ("segment_id", "y", "split")) -> DataFrame:
+        return trees.scored(rows, self.best, list(keep))
+
+
+#: As the reference fits them: trees, depth of about 31 leaves, rate, rows a leaf, shares of rows and features, patience, seed.
+DEFAULTS = {"trees": 400, "depth": 5, "rate": 0.05, "least": 20, "rows": 0.9, "columns": 0.9, "patience": 50, "seed": 0}
+
+
+def _fitted(rows: DataFrame, features: Sequence[str], n: int, c: Mapping[str, Any]) -> tuple[GBTClassificationModel, trees.Ensemble]:
+    learner = GBTClassifier(
+        featuresCol="_f", labelCol="_y", maxIter=n, maxDepth=c["depth"], stepSize=c["rate"], minInstancesPerNode=c["least"],
+        subsamplingRate=c["rows"], featureSubsetStrategy=str(c["columns"]) if c["columns"] < 1 else "all", seed=c["seed"],
+    )
+    model = learner.fit(_vectors(rows, features))
+    path = shared_path(rows.sparkSession, "trees")
+    model.write().save(path)
+    return model, trees.read_ensemble(rows.sparkSession, path, features)
+
+
+def stage_aucs(rows: DataFrame, ensemble: trees.Ensemble) -> DataFrame:
+    """stage, auc: of the scores by the first trees, for every number of them in one plan."""
+    return metrics.auc_roc(trees.staged(rows, ensemble, ["y"]), ["stage"]).select("stage", "auc")
+
+
+def fit_boosted(df: DataFrame, features: Sequence[str], train: str = "split = 'train'", val: str | None = "split = 'val'", **parameters: Any) -> Boosted:
+    """Fitted on ``train``. If val has both classes, the number of trees is the first with the greatest AUC there, once ``patience``
+    further trees haven't bettered it. Fits grow by blocks until then: with one seed, fewer trees are the first of more."""
+    c = DEFAULTS | parameters
+    if set(c) != set(DEFAULTS):
+        raise ValueError(f"no parameter {', '.join(set(c) - set(DEFAULTS))}")
+    rows, held = df.filter(train), df.filter(val) if val else None
+    if held is None or held.select("y").distinct().count() < 2:
+        model, ensemble = _fitted(rows, features, c["trees"], c)
+        return Boosted(model, ensemble, c["trees"], None, c)
+    n = min(c["trees"], c["patience"] + 10)
+    while True:
+        model, ensemble = _fitted(rows, features, n, c)
+        stages = stage_aucs(held, ensemble)
+        found = {r["stage"]: r["auc"] for r in stages.collect()}  # a row a tree
+        used = stopped(found, c["patience"])
+        if used + c["patience"] <= n or n == c["trees"]:
+            return Boosted(model, ensemble, used, df.sparkSession.createDataFrame(sorted(found.items()), "stage bigint, auc double"), c)
+        n = min(c["trees"], 2 * n)
+
+
+def stopped(aucs: Mapping[int, float], patience: int) -> int:
+    """The first stage that none of the next ``patience`` ones betters."""
+    best = 1
+    for stage in sorted(aucs):
+        if aucs[stage] > aucs[best]:
+            best = stage
+        if stage - best >= patience:
+            break
+    return best
+
+
 @register("gbt")
-def boosted_trees(df: DataFrame, features: Sequence[str], trees: int = 20, depth: int = 4, seed: int = 1) -> DataFrame:
-    """Fitted on train, stopped early on val, scored everywhere."""
-    rows = _vectors(df, features).withColumn("_val", F.col("split") == "val")
-    model = GBTClassifier(featuresCol="_f", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed, validationIndicatorCol="_val").fit(rows.filter("split != 'test'"))
-    return _scored(model, rows)
+def boosted_trees(df: DataFrame, features: Sequence[str], **parameters: Any) -> DataFrame:
+    """Fitted on train, stopped early by AUC on val, scored everywhere."""
+    return fit_boosted(df, features, **parameters).score(df)
+
+
+def importances(df: DataFrame, boosted: Boosted, top: int = 10) -> DataFrame:
+    """feature, importance: mean absolute attributions of the trees in use over all rows of ``df``, the largest first."""
+    return trees.mean_attributions(df, boosted.best, top)
+
+
+# Folds by groups
+
+
+def fold_assignment(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """group, n, fold (0 to folds - 1): groups by falling size, each to the fold that is lightest then; ties by the group's digest and
+    name, and of folds by number.
+
+    Groups of one size only differ in order, so it is enough to deal sizes: the driver gets how many groups have each size (with N
+    rows under sqrt(2 N) sizes) and finds who is dealt to whom as stretches of turns that repeat, at most one a fold and size."""
+    sizes = df.groupBy(F.col(group).alias(group)).agg(F.count("*").alias("n"))
+    loads, stretches = [0] * folds, []
+    for n, groups in sorted(((r["n"], r["groups"]) for r in sizes.groupBy("n").agg(F.count("*").alias("groups")).collect()), reverse=True):
+        stretches += [(n, *s) for s in turns(loads, n, groups)]
+    dealt = df.sparkSession.createDataFrame(stretches, "n bigint, first bigint, last bigint, turn array<int>")
+    ranked = running_totals(sizes.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_key", md5_seed(F.col(group).cast("string"))), "_key", [F.col(group).cast("string")], {"_rank": "_one"}, ["n"])
+    inside = (ranked.n == dealt.n) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") <= F.col("last"))
+    fold = F.element_at("turn", ((F.col("_rank") - F.col("first")) % F.size("turn") + 1).cast("int"))
+    return ranked.join(dealt, inside).select(group, ranked.n, fold.cast("bigint").alias("fold"))
+
+
+def turns(loads: list[int], n: int, groups: int) -> list[tuple[int, int, list[int]]]:
+    """(first, last, folds in turn) of ``groups`` groups of n rows each dealt to the lightest fold; ``loads`` is brought up to date."""
+    out, at = [], 0
+    while at < groups:
+        order = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+        low = loads[order[0]]
+        turn = [f for f in order if loads[f] < low + n]  # who gets one before any gets two
+        rest = [loads[f] for f in order if loads[f] >= low + n]
+        level = [(loads[f], f) for f in turn]
+        rounds = (groups - at) // len(turn)
+        if rest:  # until the next fold has its turn
+            rounds = min(rounds, max(1, (min(rest) - max(x for x, _ in level)) // n))
+        took = rounds * len(turn) if rounds else groups - at
+        if not rounds:
+            turn = turn[:took]
+            rounds = 1
+        heapq.heapify(level)
+        out.append((at, at + took - 1, turn))
+        for f in turn:
+            loads[f] += rounds * n
+        at += took
+    return out
+
+
+def cross_fitted(df: DataFrame, features: Sequence[str], group: str, folds: int = 5, **parameters: Any) -> DataFrame:
+    """segment_id, y, fold, p: each row scored by trees fitted without its fold. No group is in two folds."""
+    dealt = df.join(fold_assignment(df, group, folds).select(group, "fold"), group)
+    out = None
+    for k in range(folds):
+        fitted = fit_boosted(dealt, features, train=f"fold != {k}", val=None, **parameters)
+        part = fitted.score(dealt.filter(F.col("fold") == k), ["segment_id", "y", "fold"])
+        out = part if out is None else out.union(part)
+    return out
+
+
+def fold_aucs(scores: DataFrame) -> DataFrame:
+    """fold, n, auc; a fold with one class has none."""
+    got = metrics.auc_roc(scores, ["fold"])
+    return got.select("fold", "n", F.when(~F.isnan("auc"), F.col("auc")).alias("auc"))
+
+
+# Saved models
+
+
+def save(boosted: Boosted, path: str) -> None:
+    """The trees by Spark's writer, and beside them a record of parameters, trees in use and features in order."""
+    boosted.model.write().overwrite().save(f"{path}/model")
+    record = {"features": boosted.ensemble.features, "used": boosted.used, "parameters": boosted.parameters}
+    files.write_record(SparkSession.active(), record, f"{path}/record")
 
 
-def importances(df: DataFrame, features: Sequence[str], trees: int = 20, depth: int = 4, seed: int = 1, top: int = 10) -> DataFrame:
-    """feature, importance: the trees' own impurity figures, the largest first."""
-    model = GBTClassifier(featuresCol="_f", labelCol="_y", maxIter=trees, maxDepth=depth, seed=seed).fit(_vectors(df, features).filter("split != 'test'"))
-    rows = [(n, float(v)) for n, v in zip(features, model.featureImportances.toArray(), strict=True)]
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(top)
+def load(spark: SparkSession, path: str, features: Sequence[str]) -> Boosted:
+    """Refused if ``features`` aren't those of the record, in its order."""
+    record = files.read_record(spark, f"{path}/record")
+    if list(features) != record["features"]:
+        raise ValueError(f"the model was fitted on {', '.join(record['features'])}, in this order")
+    return Boosted(GBTClassificationModel.load(f"{path}/model"), trees.read_ensemble(spark, f"{path}/model", features), record["used"], None, record["parameters"])
 
 
 @register("mlp")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +17,9 @@ SCHEMA_TAG = "strandlake.baseline.v1"
 def sliced(df: DataFrame, configs: DataFrame | None = None, config_type: str = "pos_noise_std double, latency_steps bigint") -> DataFrame:
     """A row for each (row, slice) that it is in: its maneuver; and, with configs (segment_id, config_json), the halves of
     the knobs. Real rows are in all knob slices; simulated ones by noise against the simulated median, and by latency. A knob
-    that no simulated row has a number for makes no slices."""
-    base = df.select("*", F.concat(F.lit("maneuver:"), "maneuver").alias("slice"))
+    that no simulated row has a number for makes no slices. A row without a maneuver is in no slice of one."""
+    named = df.select("*", F.concat(F.lit("maneuver:"), "maneuver").alias("slice"))
+    base = named.filter("slice is not null")
     if configs is None:
         return base
     parsed = configs.select("segment_id", F.from_json("config_json", config_type).alias("cfg"))
@@ -38,9 +39,9 @@ def sliced(df: DataFrame, configs: DataFrame | None = None, config_type: str = "
     return base.unionByName(joined.withColumn("slice", F.explode(names)).select(*base.columns))
 
 
-def slice_aucs(rows: DataFrame) -> DataFrame:
-    """slice, n, n_pos, n_neg, auc, skipped: with under two of a class or four rows, no AUC."""
-    got = auc_roc(rows, ["slice"])
+def slice_aucs(rows: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """groups, slice, n, n_pos, n_neg, auc, skipped: with under two of a class or four rows, no AUC."""
+    got = auc_roc(rows, [*groups, "slice"])
     few = (F.col("n_pos") < 2) | (F.col("n_neg") < 2) | (F.col("n") < 4)
     return got.withColumn("skipped", few).withColumn("auc", F.when(~few, F.col("auc")))
 

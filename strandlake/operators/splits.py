@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,10 @@ def split_assignment(df: DataFrame, group: str, split: str = "split") -> DataFra
     return df.groupBy(group).agg(F.min(split).alias("split"), F.count("*").alias("n_segments"))
 
 
-def evaluated_split(df: DataFrame, split: str = "split") -> DataFrame:
-    """Rows of the first split that has any: test, val, train."""
+def evaluated_split(df: DataFrame, split: str = "split", groups: Sequence[str] = ()) -> DataFrame:
+    """Rows of the first split that has any, by group: test, val, train."""
     rank = F.when(F.col(split) == "test", 0).when(F.col(split) == "val", 1).otherwise(2)
+    if groups:
+        return df.withColumn("_rank", rank).join(df.groupBy(*groups).agg(F.min(rank).alias("_rank")), [*groups, "_rank"]).select(*df.columns)
     first = df.agg(F.min(rank).alias("_first"))
     return df.withColumn("_rank", rank).join(F.broadcast(first), F.col("_rank") == F.col("_first")).drop("_rank", "_first")  # one row

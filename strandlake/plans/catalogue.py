@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import columns as C
 from ..functions import series as S
-from ..operators import calibration, evaluation, features, inference, labeling, metrics, models, power, rollups, simulate, slices, splits, windows
-from ..session import table
+from ..operators import calibration, evaluation, features, inference, labeling, metrics, models, power, replay, rollups, sampling, simulate, slices, splits, trees, windows
+from ..session import saved, table
 from ..sources import files, keyframes
 from . import dataset
-from .mappings import SCORED_SQL, SWEEP_SQL, TIED_SQL, TRACK_SQL, scored, sweep, tied, tracks
+from .mappings import DRIVE_SQL, SCORED_SQL, SWEEP_SQL, TIED_SQL, TRACK_SQL, scored, sweep, tied, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -346,9 +346,9 @@ def quat_yaw(spark, sf_dir):
 SEGMENT = ["user_id", "window"]
 
 
-def segments(spark, sf_dir, size=61, step=30):
+def segments(spark, sf_dir, size=61, step=30, driven=False):
     """user_id, window, t and channels of every whole window."""
-    cut = windows.cut_windows(tracks(spark, sf_dir).drop("idx"), ["user_id"], ["ts", "event_id"], size, step)
+    cut = windows.cut_windows(tracks(spark, sf_dir, driven).drop("idx"), ["user_id"], ["ts", "event_id"], size, step)
     return cut.select(*SEGMENT, "idx", "t", "x", "y", "heading", "speed", "yaw_rate")
 
 
@@ -371,24 +371,40 @@ def _keyed(sql: str) -> str:
 
 
 MANEUVER_SQL = f"""WITH {SEG_UNWRAP}, f AS (SELECT *, first_value(heading) OVER {W_SQL} AS h0, first_value(x) OVER {W_SQL} AS x0, first_value(y) OVER {W_SQL} AS y0 FROM un),
-l AS (SELECT *, -sin(h0) * (x - x0) + cos(h0) * (y - y0) AS lat FROM f),
-a AS (SELECT user_id, min(speed) AS slow, max(speed) AS fast, avg(speed) AS mean, max_by(h, t) - min_by(h, t) AS turn, min(t) AS t0, max(t) AS t1, max(abs(lat)) AS pk FROM l GROUP BY user_id),
-p AS (SELECT a.*, (SELECT min(t) FROM l WHERE l.user_id = a.user_id AND abs(l.lat) = a.pk) AS tp FROM a)
-SELECT user_id, CASE WHEN slow <= 0.5 AND fast - slow >= 5 THEN 'stop_and_go' WHEN turn >= 1 AND mean >= 1 THEN 'unprotected_left'
-WHEN pk >= 1.6 AND abs(turn) <= 0.6 AND (tp - t0) / (t1 - t0) > 0.25 AND (tp - t0) / (t1 - t0) < 0.75 THEN 'cut_in' WHEN pk >= 1.6 AND abs(turn) <= 0.6 THEN 'merge' ELSE 'lane_keep' END AS maneuver FROM p"""
+l AS (SELECT *, {q('abs(-sin(h0) * (x - x0) + cos(h0) * (y - y0))')} AS lat FROM f),
+a AS (SELECT user_id, {q('min(speed)')} AS slow, {q('max(speed)')} AS fast, {q('avg(speed)')} AS mean, {q('max_by(h, t) - min_by(h, t)')} AS turn, min(t) AS t0, max(t) AS t1, max(lat) AS pk FROM l GROUP BY user_id),
+p AS (SELECT a.*, {q('((SELECT min(t) FROM l WHERE l.user_id = a.user_id AND l.lat = a.pk) - t0) / (t1 - t0)')} AS part FROM a)
+SELECT user_id, CASE WHEN slow <= 0.5 AND {q('fast - slow')} >= 5 THEN 'stop_and_go' WHEN turn >= 1 AND mean >= 1 THEN 'unprotected_left'
+WHEN pk >= 1.6 AND abs(turn) <= 0.6 AND part > 0.25 AND part < 0.75 THEN 'cut_in' WHEN pk >= 1.6 AND abs(turn) <= 0.6 THEN 'merge' ELSE 'lane_keep' END AS maneuver FROM p"""
 
 
-@query(_keyed(MANEUVER_SQL))
+@query(_keyed(MANEUVER_SQL.replace(TRACK_SQL, DRIVE_SQL)))
 def maneuver_label(spark, sf_dir):
-    return labeling.maneuvers(segments(spark, sf_dir), SEGMENT)
+    return labeling.maneuvers(segments(spark, sf_dir, driven=True), SEGMENT)
 
 
-@query(_keyed(MANEUVER_SQL.replace(SEG_SQL, segments_sql(21, 10))))
+@query(_keyed(MANEUVER_SQL.replace(SEG_SQL, segments_sql(21, 10)).replace(TRACK_SQL, DRIVE_SQL)))
 def maneuver_label_windows(spark, sf_dir):
     """Of shorter windows: 21 rows, every 10."""
+    return labeling.maneuvers(segments(spark, sf_dir, 21, 10, driven=True), SEGMENT)
+
+
+@query(_keyed(MANEUVER_SQL.replace(SEG_SQL, segments_sql(21, 10))))
+def maneuver_label_abrupt(spark, sf_dir):
+    """Of the tracks as all other queries have them, whose speeds jump."""
     return labeling.maneuvers(segments(spark, sf_dir, 21, 10), SEGMENT)
 
 
+@query(f"""WITH {SEG_SQL.replace(TRACK_SQL, DRIVE_SQL)}, lab AS (SELECT user_id, maneuver FROM ({MANEUVER_SQL.replace(TRACK_SQL, DRIVE_SQL)})), j AS (SELECT seg.*, maneuver, {SPLIT.replace('scene_id', "concat('user_', seg.user_id.u)")} AS split FROM seg JOIN lab USING (user_id))
+SELECT split, maneuver, count(DISTINCT user_id) AS n_segments, count(*) AS n, {q('avg(speed)')} AS speed_mean, {q('stddev_samp(speed)')} AS speed_std FROM j GROUP BY split, maneuver""")
+def split_summary_joined(spark, sf_dir):
+    """Rows of segments joined with their labels, by split and maneuver."""
+    rows = segments(spark, sf_dir, driven=True)
+    labels = labeling.maneuvers(rows, SEGMENT).withColumn("split", splits.split_of(F.concat(F.lit("user_"), F.col("user_id").cast("string"))))
+    got = rows.join(labels, SEGMENT).groupBy("split", "maneuver")
+    return rounded(got.agg(F.countDistinct("user_id", "window").alias("n_segments"), F.count("*").alias("n"), F.avg("speed").alias("speed_mean"), F.stddev_samp("speed").alias("speed_std")))
+
+
 def _feature_query(names: str, sql: dict[str, str], digits: int = 5) -> None:
     """Over segments of 61 rows every 30; with ``_windows`` after its name, of 21 rows every 10."""
     columns = names.split()
@@ -631,7 +647,7 @@ def paired_permutation(spark, sf_dir):
 
 def _predictions(spark, sf_dir):
     """Quality labels as predictions: low quality stands for simulated."""
-    rows = scored(spark, sf_dir).filter("slice is not null")
+    rows = scored(spark, sf_dir)
     return rows.select(F.col("row_id").alias("segment_id"), F.col("cluster").alias("scene_id"), F.when(F.col("y") == 1, "sim").otherwise("real").alias("source"), F.col("slice").alias("maneuver"), splits.split_of(F.col("cluster")).alias("split"), F.col("p").alias("prob_sim"))
 
 
@@ -654,7 +670,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY pv, slice) AS k, count(*) OVER () AS
 @query(f"WITH {SLICE_P_SQL} SELECT slice, {q('auc')} AS auc, {q('pv')} AS p_perm, {q('least(1, min(pv * m / k) OVER (ORDER BY k DESC))')} AS p_adj FROM k")
 def slice_p_values(spark, sf_dir):
     rows = scored(spark, sf_dir).filter("slice is not null")
-    return rounded(evaluation.slice_report(rows, "cluster", "row_id", REPLICATES, PERMUTATIONS).filter("not skipped").select("slice", "auc", "p_perm", "p_adj"))
+    return rounded(evaluation.slice_report(rows, "cluster", "row_id", REPLICATES, PERMUTATIONS, counted=False).filter("not skipped").select("slice", "auc", "p_perm", "p_adj"))
 
 
 @query()
@@ -676,6 +692,46 @@ def evaluation_gate(spark, sf_dir):
     return evaluation.evaluate(rows, baseline=base.filter("not skipped"), replicates=REPLICATES, permutations=PERMUTATIONS).gate
 
 
+RUNS_SQL = f"""runs AS (SELECT l.doc_id AS row_id, 'quality' AS config_id, m.model, l.quality AS y, CASE WHEN m.model = 'digit' THEN l.doc_id % 10 / 10.0::DOUBLE ELSE CAST(d.n_chars AS DOUBLE) / (d.n_chars + 2000) END AS p, 'maneuver:' || d.lang AS slice
+ FROM labels l JOIN documents d USING (doc_id), (SELECT unnest(['digit', 'length']) AS model) m WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL
+ UNION ALL SELECT l.doc_id, 'toxic', m.model, l.toxic, CASE WHEN m.model = 'digit' THEN l.doc_id % 10 / 10.0::DOUBLE ELSE CAST(d.n_chars AS DOUBLE) / (d.n_chars + 2000) END, 'maneuver:' || d.lang
+ FROM labels l JOIN documents d USING (doc_id), (SELECT unnest(['digit', 'length']) AS model) m WHERE l.toxic IS NOT NULL AND d.n_chars IS NOT NULL)"""
+
+
+def _runs(spark, sf_dir):
+    """Predictions of four runs: two labels as configurations, two scores as models."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", "lang").filter("n_chars is not null")
+    both = table(spark, sf_dir, "labels").join(d, "doc_id")
+    both = both.withColumn("config_id", F.explode(F.array(F.lit("quality"), F.lit("toxic")))).withColumn("model", F.explode(F.array(F.lit("digit"), F.lit("length"))))
+    both = both.withColumn("y", F.when(F.col("config_id") == "quality", F.col("quality")).otherwise(F.col("toxic"))).filter("y is not null")
+    p = F.when(F.col("model") == "digit", F.col("doc_id") % 10 / F.lit(10.0)).otherwise(F.col("n_chars").cast("double") / (F.col("n_chars") + 2000))
+    return both.select(
+        "config_id", F.lit("mid").alias("knob_noise"), F.lit(2).cast("bigint").alias("knob_latency"), F.lit(0.0).alias("knob_bias"), "model", F.col("doc_id").alias("segment_id"),
+        F.col("source").alias("scene_id"), F.when(F.col("y") == 1, "sim").otherwise("real").alias("source"), F.col("lang").alias("maneuver"), F.lit("test").alias("split"), p.alias("prob_sim"),
+    )
+
+
+@query(f"""WITH {RUNS_SQL}, r AS (SELECT config_id, model, y, p, {AUC_RANKS.format('PARTITION BY config_id, model', 'config_id, model,')} AS r FROM runs),
+o AS (SELECT config_id, model, NULL::VARCHAR AS slice_name, count(*) AS n, count(*) FILTER (y = 1) AS n_pos, {AUC_OF} AS auc, avg((p - y) ** 2) AS brier FROM r GROUP BY ALL),
+b AS (SELECT config_id, model, y, p, ntile(15) OVER (PARTITION BY config_id, model ORDER BY p, row_id) AS bin FROM runs), m AS (SELECT config_id, model, bin, count(*) AS n, avg(p) AS mp, avg(y) AS fr FROM b GROUP BY ALL),
+e AS (SELECT config_id, model, sum(n * abs(mp - fr)) / sum(n) AS ece, max(abs(mp - fr)) AS mce FROM m GROUP BY ALL),
+t AS (SELECT config_id, model, slice, y, {AUC_RANKS.format('PARTITION BY config_id, model, slice', 'config_id, model, slice,')} AS r FROM runs WHERE slice IS NOT NULL),
+s AS (SELECT config_id, model, slice AS slice_name, count(*) AS n, count(*) FILTER (y = 1) AS n_pos, {AUC_OF.replace('count(*) FILTER (y = 0))', 'nullif(count(*) FILTER (y = 0), 0))').replace('(count(*) FILTER (y = 1) *', '(nullif(count(*) FILTER (y = 1), 0) *')} AS auc FROM t GROUP BY ALL)
+SELECT 'overall' AS scope, config_id, model, slice_name, n, n_pos, {q('auc')} AS auc, {q('brier')} AS brier, {q('ece')} AS ece, {q('mce')} AS mce FROM o JOIN e USING (config_id, model)
+UNION ALL SELECT 'slice', config_id, model, slice_name, n, n_pos, {q('auc')}, NULL, NULL, NULL FROM s WHERE n_pos >= 2 AND n - n_pos >= 2 AND n >= 4""")
+def sweep_runs(spark, sf_dir):
+    """The table of a sweep over four runs in one plan; what SQL can express of it."""
+    got = evaluation.sweep_rows(_runs(spark, sf_dir), replicates=60, permutations=40)
+    return rounded(got.select("scope", "config_id", "model", "slice_name", "n", "n_pos", "auc", "brier", "ece", "mce"))
+
+
+@query()
+def permutation_counted(spark, sf_dir):
+    """p by counted draws; its replicates are compared with brute force in a test."""
+    rows = scored(spark, sf_dir)
+    return inference.p_value(inference.counted_permutation_auc(rows, 1000), metrics.auc_roc(rows).first()["auc"])
+
+
 # Power and calibration
 
 
@@ -687,19 +743,25 @@ def hanley_mcneil(spark, sf_dir):
     return rounded(rows.select("s_suppkey", power.auc_error(F.col("auc"), F.col("n1"), F.lit(30.0)).alias("se")))
 
 
-@query(f"""WITH g AS (SELECT n, a, sqrt((a * (1 - a) + (n / 2 - 1) * (a / (2 - a) - a * a) + (n / 2 - 1) * (2 * a * a / (1 + a) - a * a)) / (n / 2 * n / 2)) AS se
-FROM (SELECT unnest(generate_series(4, 1000, 2)) AS n), (SELECT unnest([0.55::DOUBLE, 0.6, 0.65, 0.7]) AS a)), z AS (SELECT n, a, (a - 0.5) / se - 1.6448536269514722 AS z FROM g),
-i AS (SELECT n, a, z, sum(exp(-0.5 * pow(z * k / 400, 2)) * CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * z / 1200 / sqrt(2 * pi()) AS area FROM z, (SELECT unnest(generate_series(0, 400)) AS k) GROUP BY n, a, z)
-SELECT n::BIGINT AS n, a AS auc, {q('0.5 + area')} AS power FROM i""")
+POWER_SQL = "sqrt((a * (1 - a) + (n1 - 1) * (a / (2 - a) - a * a) + (n0 - 1) * (2 * a * a / (1 + a) - a * a)) / (n1 * n0))"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, 0.51::DOUBLE + s_suppkey % 45 / 100.0 AS a, 4 + s_suppkey % 997 AS n FROM supplier), p AS (SELECT *, floor(n / 2)::DOUBLE AS n1, n - floor(n / 2)::DOUBLE AS n0 FROM s),
+z AS (SELECT s_suppkey, (a - 0.5) / {POWER_SQL} - 1.6448536269514722 AS z FROM p),
+i AS (SELECT s_suppkey, z, sum(exp(-0.5 * pow(z * k / 400, 2)) * CASE WHEN k IN (0, 400) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * z / 1200 / sqrt(2 * pi()) AS area FROM z, (SELECT unnest(generate_series(0, 400)) AS k) GROUP BY s_suppkey, z)
+SELECT s_suppkey, {q('0.5 + area')} AS power FROM i""")
 def power_curve(spark, sf_dir):
-    return rounded(power.power_curve(spark, [0.55, 0.6, 0.65, 0.7], 1000))
+    """The power of each supplier's AUC at its number of rows."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.lit(0.51) + k % 45 / 100.0).alias("auc"), (4 + k % 997).alias("n"))
+    return rounded(power.with_power(rows).select("s_suppkey", "power"))
 
 
-@query("""WITH g AS (SELECT unnest(generate_series(4, 20000, 2)) AS n, CAST(0.55 AS DOUBLE) AS a),
-s AS (SELECT n, a, sqrt((a * (1 - a) + (n / 2 - 1) * (a / (2 - a) - a * a) + (n / 2 - 1) * (2 * a * a / (1 + a) - a * a)) / (n / 2 * n / 2)) AS se FROM g)
-SELECT CAST(min(n) AS BIGINT) AS n FROM s WHERE (a - 0.5) / se - 1.6448536269514722 >= 0.8416212335729143""")
+@query(f"""WITH s AS (SELECT s_suppkey, 0.55::DOUBLE + s_suppkey % 40 / 100.0 AS a FROM supplier), g AS (SELECT DISTINCT a FROM s), t AS (SELECT a, n, n / 2.0::DOUBLE AS n1, n / 2.0::DOUBLE AS n0 FROM g, (SELECT unnest(generate_series(4, 2000, 2)) AS n)),
+m AS (SELECT a, min(n) AS n FROM t WHERE (a - 0.5) / {POWER_SQL} - 1.6448536269514722 >= 0.8416212335729143 GROUP BY a) SELECT s_suppkey, n::BIGINT AS n FROM s JOIN m USING (a)""")
 def required_samples(spark, sf_dir):
-    return power.required_samples(spark, 0.55)
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (F.lit(0.55) + F.col("s_suppkey") % 40 / 100.0).alias("auc"))
+    return power.with_required(rows).select("s_suppkey", "n")
 
 
 def _halves(spark, sf_dir):
@@ -732,12 +794,6 @@ def latency_fifo(spark, sf_dir):
     return _by_user(tracks(spark, sf_dir).withColumn("steer", F.lag(F.col("yaw_rate") * 1.2, 2, 0.0).over(w)), "steer")
 
 
-@query("""SELECT printf('noise_%s_lat_%d_bias_%g', n, l, b) AS config_id, n AS knob_noise, l::BIGINT AS knob_latency, b AS knob_bias
-FROM (SELECT unnest(['low', 'mid', 'high']) AS n), (SELECT unnest([0, 2, 4]) AS l), (SELECT unnest([0.0::DOUBLE, 0.2::DOUBLE]) AS b)""")
-def knob_grid(spark, sf_dir):
-    return simulate.knob_grid(spark)
-
-
 def _scenarios(spark, sf_dir):
     k = F.col("c_custkey")
     steps = F.sequence(F.lit(0), F.lit(80))
@@ -765,11 +821,6 @@ def batch_rollout(spark, sf_dir):
     return rounded(simulate.batch_rollout(_scenarios(spark, sf_dir), 60, knobs=("latency_steps", "steer_bias", "steer_noise_std", "lookahead_gain")))
 
 
-@query()
-def synthetic_tracks(spark, sf_dir):
-    return rounded(simulate.synthetic_tracks(spark, 6, 4, 12.0))
-
-
 @query()
 def recorder_noise(spark, sf_dir):
     return rounded(simulate.recorder_noise(segments(spark, sf_dir), SEGMENT, "real"))
@@ -803,6 +854,27 @@ def keyframe_observations(spark, sf_dir):
     return got.select("scene_id", "agent_token", C.quantised(F.col("t"), 3).alias("t"), C.quantised(F.col("x")).alias("x"), C.quantised(F.col("y")).alias("y"), C.quantised(F.col("heading"), 4).alias("heading"))
 
 
+TRACKS_SQL = f"""WITH {TRACK_SQL}, e AS (SELECT user_id, CAST(epoch_us(ts) AS DOUBLE) / 1e6 / 3600 AS h, idx, x, y, heading FROM track),
+r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY h, idx) AS run FROM (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY user_id ORDER BY h, idx) > 24 THEN 1 ELSE 0 END AS b FROM e)),
+o AS (SELECT user_id, run, min(h) AS h0, max(h) AS h1 FROM r GROUP BY ALL HAVING max(h) - min(h) >= 36 - 1e-9 AND count(*) >= 2),
+p AS (SELECT r.user_id, r.run, h AS a, lead(h) OVER v AS b, x, lead(x) OVER v AS x1, y, lead(y) OVER v AS y1, heading AS d, lead(heading) OVER v AS d1 FROM r JOIN o USING (user_id, run) WINDOW v AS (PARTITION BY r.user_id, r.run ORDER BY h, idx)),
+g AS (SELECT user_id, run, h0, unnest(generate_series(0, CAST(floor((h1 - h0) / 6 + 1e-9) AS BIGINT))) AS k FROM o),
+j AS (SELECT g.user_id, g.run, g.k, g.h0 + g.k * 6 AS t, p.* EXCLUDE (user_id, run) FROM g ASOF JOIN p ON g.user_id = p.user_id AND g.run = p.run AND g.h0 + g.k * 6 + 6e-9 >= p.a),
+i AS (SELECT user_id, run, k, t, x + f * (x1 - x) AS x, y + f * (y1 - y) AS y, d + f * (d1 - d) AS d FROM (SELECT * REPLACE (coalesce(x1, x) AS x1, coalesce(y1, y) AS y1, coalesce(d1, d) AS d1), CASE WHEN b IS NULL OR b = a THEN 0 ELSE (t - a) / (b - a) END AS f FROM j)),
+m AS (SELECT user_id, run, k, t, (x + coalesce(lag(x, 1) OVER w, first_value(x) OVER w) + coalesce(lead(x, 1) OVER w, last_value(x) OVER (PARTITION BY user_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) + coalesce(lag(x, 2) OVER w, first_value(x) OVER w) + coalesce(lead(x, 2) OVER w, last_value(x) OVER (PARTITION BY user_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) / 5 AS x, (y + coalesce(lag(y, 1) OVER w, first_value(y) OVER w) + coalesce(lead(y, 1) OVER w, last_value(y) OVER (PARTITION BY user_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) + coalesce(lag(y, 2) OVER w, first_value(y) OVER w) + coalesce(lead(y, 2) OVER w, last_value(y) OVER (PARTITION BY user_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) / 5 AS y, (d + coalesce(lag(d, 1) OVER w, first_value(d) OVER w) + coalesce(lead(d, 1) OVER w, last_value(d) OVER (PARTITION BY user_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) + coalesce(lag(d, 2) OVER w, first_value(d) OVER w) + coalesce(lead(d, 2) OVER w, last_value(d) OVER (PARTITION BY user_id, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))) / 5 AS d FROM i WINDOW w AS (PARTITION BY user_id, run ORDER BY k))
+SELECT user_id, run::BIGINT AS run, k::BIGINT AS k, {q('t', 3)} AS t, {q('x', 4)} AS x, {q('y', 4)} AS y, {q('d', 4)} AS heading, {q('sqrt(dx * dx + dy * dy)', 4)} AS speed, {q('dd', 4)} AS yaw_rate
+FROM (SELECT *, coalesce((lead(x) OVER w - lag(x) OVER w) / 12.0::DOUBLE, (lead(x) OVER w - x) / 6.0::DOUBLE, (x - lag(x) OVER w) / 6.0::DOUBLE) AS dx, coalesce((lead(y) OVER w - lag(y) OVER w) / 12.0::DOUBLE, (lead(y) OVER w - y) / 6.0::DOUBLE, (y - lag(y) OVER w) / 6.0::DOUBLE) AS dy, coalesce((lead(d) OVER w - lag(d) OVER w) / 12.0::DOUBLE, (lead(d) OVER w - d) / 6.0::DOUBLE, (d - lag(d) OVER w) / 6.0::DOUBLE) AS dd FROM m WINDOW w AS (PARTITION BY user_id, run ORDER BY k))"""
+
+
+@query(TRACKS_SQL)
+def keyframe_tracks(spark, sf_dir):
+    """Each user's events as keyframes, hours for seconds: cut at gaps of a day, short runs left out, put on a grid of six hours, smoothed, derived."""
+    e = tracks(spark, sf_dir)
+    seen = e.select(F.col("user_id").alias("scene_id"), F.lit("a").alias("agent_token"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600).alias("t"), "x", "y", "heading")
+    got = keyframes.tracks(seen, step=6.0, gap=24.0, least=36.0)
+    return got.select(F.col("scene_id").alias("user_id"), F.col("run").cast("bigint").alias("run"), F.col("k").cast("bigint").alias("k"), C.quantised(F.col("t"), 3).alias("t"), *[C.quantised(F.col(c), 4).alias(c) for c in ("x", "y", "heading", "speed", "yaw_rate")])
+
+
 # Dataset
 
 
@@ -828,19 +900,110 @@ def dataset_manifest(spark, sf_dir):
 
 
 def _examples(spark, sf_dir):
-    """A row for each window; all windows of a user are in one split."""
-    rows = features.extract_features(segments(spark, sf_dir), SEGMENT)
-    return rows.select(F.concat_ws("_", "user_id", "window").alias("segment_id"), (F.col("user_id") % 2).alias("y"), splits.split_of(F.concat(F.lit("user_"), F.col("user_id").cast("string"))).alias("split"), *schemas.FEATURES)
+    """A row for each window of the driven tracks; all windows of a user are in one split. The label is the way of driving, the other way
+    round for a fifth of the users."""
+    rows = features.extract_features(segments(spark, sf_dir, driven=True), SEGMENT)
+    scene = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    y = (F.col("user_id") % 5 >= 3).cast("int").bitwiseXOR((C.md5_bucket(scene, 5) == 0).cast("int"))
+    return saved(rows.select(F.concat_ws("_", "user_id", "window").alias("segment_id"), scene.alias("scene_id"), y.alias("y"), splits.split_of(scene).alias("split"), *schemas.FEATURES), "examples")
+
+
+_FITTED: dict[tuple[str, str], tuple[DataFrame, models.Boosted]] = {}
+
+
+def _boosted(spark, sf_dir):
+    """The examples and the trees fitted on them, which the queries of a session share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        _FITTED.clear()
+        rows = _examples(spark, sf_dir)
+        _FITTED[key] = rows, models.fit_boosted(rows, schemas.FEATURES)
+    return _FITTED[key]
 
 
 @query()
 def gbt_scores(spark, sf_dir):
-    return models.create("gbt")(_examples(spark, sf_dir), schemas.FEATURES).select("segment_id", F.col("y").cast("bigint").alias("y"), "split", "p")
+    rows, fitted = _boosted(spark, sf_dir)
+    return fitted.score(rows).select("segment_id", F.col("y").cast("bigint").alias("y"), "split", "p")
+
+
+@query()
+def gbt_stages(spark, sf_dir):
+    """The AUC on val by the number of trees, in one pass over the rows."""
+    rows, fitted = _boosted(spark, sf_dir)
+    return models.stage_aucs(rows.filter("split = 'val'"), fitted.ensemble)
 
 
 @query()
 def top_importances(spark, sf_dir):
-    return models.importances(_examples(spark, sf_dir), schemas.FEATURES)
+    """Mean absolute attributions of the same trees, over the rows they were fitted on."""
+    rows, fitted = _boosted(spark, sf_dir)
+    return models.importances(rows.filter("split = 'train'"), fitted)
+
+
+@query()
+def gbt_attributions(spark, sf_dir):
+    """What each feature adds to each row's score."""
+    rows, fitted = _boosted(spark, sf_dir)
+    return trees.attributed(rows, fitted.best, ["segment_id"])
+
+
+@query()
+def fold_scores(spark, sf_dir):
+    """The AUC of each of five folds, by trees fitted on the other four; 30 trees here, 400 by default."""
+    rows, _ = _boosted(spark, sf_dir)
+    return models.fold_aucs(models.cross_fitted(rows, schemas.FEATURES, "scene_id", 5, trees=30))
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+k AS (SELECT *, row_number() OVER (ORDER BY n DESC, ('0x' || substr(md5(user_id::VARCHAR), 1, 16))::UBIGINT % 4294967296, user_id::VARCHAR) AS k FROM s),
+r AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS loads, NULL::BIGINT AS user_id, NULL::BIGINT AS n, NULL::BIGINT AS fold
+UNION ALL SELECT k.k, list_transform(r.loads, lambda x, i: CASE WHEN i = list_position(r.loads, list_min(r.loads)) THEN x + k.n ELSE x END), k.user_id, k.n, list_position(r.loads, list_min(r.loads)) - 1 FROM r JOIN k ON k.k = r.k + 1)
+SELECT user_id, n, fold FROM r WHERE k > 0""")
+def grouped_folds(spark, sf_dir):
+    """Users in five folds of nearly equal numbers of events."""
+    return models.fold_assignment(table(spark, sf_dir, "events"), "user_id", 5)
+
+
+# Samples and digests
+
+
+@query(f"WITH d AS (SELECT o_orderpriority, o_orderkey, {_draw_sql('7', 'o_orderkey')} AS d FROM orders) SELECT o_orderpriority, o_orderkey FROM d QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY d, o_orderkey) <= 50")
+def sample_of_k(spark, sf_dir):
+    """Fifty orders of each priority."""
+    return sampling.bottom_k(table(spark, sf_dir, "orders"), 50, "o_orderkey", ["o_orderpriority"], 7).select("o_orderpriority", "o_orderkey")
+
+
+def _digest_sql(name: str, columns: dict[str, str]) -> str:
+    shown = {"text": "{0}", "whole": "CAST({0} AS VARCHAR)", "number": "CAST(CAST(floor({0} * 1000000 + 0.5) AS DECIMAL(38, 0)) AS VARCHAR)"}
+    parts = ", ".join(f"coalesce('=' || {shown[kind].format(c)}, '-')" for c, kind in sorted(columns.items()))
+    return f"SELECT '{name}' AS name, count(*) AS n, CAST(coalesce(sum(('0x' || substr(md5(concat_ws('|', {parts})), 1, 15))::BIGINT::HUGEINT), 0) AS VARCHAR) AS digest FROM {name}"
+
+
+DIGESTED = {
+    "events": {"event_id": "whole", "user_id": "whole", "event_type": "text", "value": "number", "props": "text"},
+    "customer": {"c_custkey": "whole", "c_name": "text", "c_nationkey": "whole", "c_acctbal": "number", "c_mktsegment": "text"},
+    "documents": {"doc_id": "whole", "text": "text", "lang": "text", "source": "text", "n_chars": "whole"},
+}
+
+
+@query(" UNION ALL ".join(_digest_sql(n, c) for n, c in DIGESTED.items()))
+def table_digests(spark, sf_dir):
+    """Digests that don't depend on the order of rows."""
+    out = None
+    for name, columns in DIGESTED.items():
+        part = replay.table_digest(table(spark, sf_dir, name), sorted(columns)).select(F.lit(name).alias("name"), "n", "digest")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 11 != 0), a AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 13 != 0)
+SELECT * FROM (SELECT coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'gone' WHEN b.o_orderkey IS NULL THEN 'new' WHEN a.o_totalprice != b.o_totalprice THEN 'changed' END AS status FROM b FULL JOIN a ON a.o_orderkey = b.o_orderkey) WHERE status IS NOT NULL""")
+def changed_orders(spark, sf_dir):
+    """What differs between two states of a table, by key."""
+    rows, key = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), F.col("o_orderkey")
+    after = rows.filter(key % 13 != 0).withColumn("o_totalprice", F.when(key % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return replay.changed_rows(rows.filter(key % 11 != 0), after, ["o_orderkey"])
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..session import table
 
-TRACK_SQL = """
-ev AS (SELECT user_id, event_id, ts, event_type, value / 25.0 AS speed, (CAST(json_extract_string(props, '$.k') AS BIGINT) - 50) / 100.0 AS yaw_rate,
+
+def track_sql(speed: str, yaw_rate: str) -> str:
+    return f"""
+ev AS (SELECT user_id, event_id, ts, event_type, {speed} AS speed, {yaw_rate} AS yaw_rate,
               CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
               CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) - 1 AS idx FROM events),
 hd AS (SELECT *, CAST(idx AS DOUBLE) / 10 AS t, sum(yaw_rate) OVER (PARTITION BY user_id ORDER BY idx) AS heading FROM ev),
@@ -16,6 +18,14 @@ track AS (SELECT *, concat('user_', user_id) AS scene_id, CASE WHEN event_type I
                  sum(speed * cos(heading) * CAST(0.1 AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY idx) AS x,
                  sum(speed * sin(heading) * CAST(0.1 AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY idx) AS y FROM hd)"""
 
+
+TRACK_SQL = track_sql("value / 25.0", "(CAST(json_extract_string(props, '$.k') AS BIGINT) - 50) / 100.0")
+#: The same events driven in five ways, by user, so that every label occurs.
+DRIVE_SQL = track_sql(
+    "CASE WHEN user_id % 5 = 0 THEN value / 25.0 ELSE 4 + value / 125.0 END",
+    "(CAST(json_extract_string(props, '$.k') AS BIGINT) - 50) / 100.0 * [1.0::DOUBLE, 0.001, 0.4, 0.04, 0.08][user_id % 5 + 1]",
+)
+
 SCORED_SQL = """
 scored AS (SELECT l.doc_id AS row_id, l.quality AS y, CAST(d.n_chars AS DOUBLE) / (d.n_chars + 2000) AS p, d.source AS cluster, d.lang AS slice
            FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL AND d.n_chars IS NOT NULL)"""
@@ -29,11 +39,15 @@ sweep AS (SELECT o_orderpriority AS knob_noise, CAST(o_orderkey % 3 AS BIGINT) *
           FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
-def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, idx, t, x, y, heading, speed, yaw_rate, k, source, scene_id, ts: one series a user."""
+def tracks(spark: SparkSession, sf_dir: str, driven: bool = False) -> DataFrame:
+    """user_id, idx, t, x, y, heading, speed, yaw_rate, k, source, scene_id, ts: one series a user. ``driven``: as in DRIVE_SQL."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", (F.col("value") / 25.0).alias("speed"), ((k - 50) / 100.0).alias("yaw_rate"), k.alias("k"), (F.row_number().over(w).cast("bigint") - 1).alias("idx"))
+    speed, yaw_rate, way = F.col("value") / 25.0, (k - 50) / 100.0, F.col("user_id") % 5
+    if driven:
+        speed = F.when(way == 0, speed).otherwise(4 + F.col("value") / 125.0)
+        yaw_rate = yaw_rate * F.element_at(F.array(*map(F.lit, (1.0, 0.001, 0.4, 0.04, 0.08))), (way + 1).cast("int"))
+    ev = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", speed.alias("speed"), yaw_rate.alias("yaw_rate"), k.alias("k"), (F.row_number().over(w).cast("bigint") - 1).alias("idx"))
     run = Window.partitionBy("user_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     ev = ev.withColumn("t", F.col("idx").cast("double") / 10).withColumn("heading", F.sum("yaw_rate").over(run))
     ev = ev.withColumns({"x": F.sum(F.col("speed") * F.cos("heading") * 0.1).over(run), "y": F.sum(F.col("speed") * F.sin("heading") * 0.1).over(run)})

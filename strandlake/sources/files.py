@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +25,28 @@ def write(df: DataFrame, path: str, ddl: str | None = None, by: str | None = Non
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def write_cells(df: DataFrame, path: str, by: Sequence[str] = ("config_id", "model"), ddl: str = schemas.SWEEP_DDL) -> None:
+    """Replaces only the cells (values of ``by``) that ``df`` has; others stay. A cell is there whole or not at all: its files are moved
+    in when the job commits. So a sweep that broke goes on with ``cells_left``. A frame that reads the same cells must be saved first."""
+    df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.fields(ddl)])
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
+def read_cells(spark: SparkSession, path: str, ddl: str = schemas.SWEEP_DDL) -> DataFrame:
+    """The table with its columns in order; filters on cells prune folders."""
+    kinds = schemas.fields(ddl)
+    return spark.read.schema(kinds).parquet(path).select(*kinds.names)
+
+
+def cells_left(wanted: DataFrame, path: str, by: Sequence[str] = ("config_id", "model"), ddl: str = schemas.SWEEP_DDL) -> DataFrame:
+    """Of the wanted cells, those that the table doesn't have; all, if there is no table."""
+    spark = wanted.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return wanted
+    return wanted.join(read_cells(spark, path, ddl).select(*by).distinct(), list(by), "left_anti")
+
+
 def write_record(spark: SparkSession, record: Mapping[str, Any], path: str) -> None:
     """One JSON record with sorted keys, by Spark's writer, so any file system will do."""
     spark.createDataFrame([(json.dumps(record, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
