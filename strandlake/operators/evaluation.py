@@ -99,14 +99,13 @@ def evaluate(predictions: DataFrame, configs: DataFrame | None = None, baseline:
     return Evaluation(saved(_judged(predictions), "predictions"), configs, baseline, bins, resampling)
 
 
-SWEEP = schemas.fields(schemas.SWEEP_DDL)
 KNOBS = ("knob_noise", "knob_latency", "knob_bias")
 RUN = ("config_id", "model")
 
 
 def _as_sweep(df: DataFrame) -> DataFrame:
     """The sweep's columns in order, null where ``df`` has none."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in SWEEP])
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.fields(schemas.SWEEP_DDL)])
 
 
 def _scopes(overall: DataFrame, report: DataFrame) -> DataFrame:

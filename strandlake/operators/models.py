@@ -152,7 +152,7 @@ def fold_assignment(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     dealt = df.sparkSession.createDataFrame(stretches, "n bigint, first bigint, last bigint, turn array<int>")
     ranked = running_totals(sizes.withColumn("_one", F.lit(1).cast("bigint")).withColumn("_key", md5_seed(F.col(group).cast("string"))), "_key", [F.col(group).cast("string")], {"_rank": "_one"}, ["n"])
     inside = (ranked.n == dealt.n) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") <= F.col("last"))
-    fold = F.element_at("turn", ((F.col("_rank") - F.col("first")) % F.size("turn") + 1).cast("int"))
+    fold = F.get("turn", F.pmod(F.col("_rank") - F.col("first"), F.size("turn")).cast("int"))
     return ranked.join(dealt, inside).select(group, ranked.n, fold.cast("bigint").alias("fold"))
 
 

@@ -267,53 +267,6 @@ SHIFT_AT, SHIFT_LENGTH, MERGE_LENGTH, SHIFT = (0.3, 0.5), (18.0, 26.0), (9.0, 12
 STRAIGHT = (-0.03, 0.03)
 
 
-def heading_along(template: str, rng: np.random.Generator, way: float) -> Callable[[np.ndarray], np.ndarray]:
-    """Heading by the distance driven, of ``way`` in all. A turn rises to a quarter circle by half a cosine wave; a shift to
-    the side is a whole wave, whose height times half its length is the shift."""
-    half_wave = lambda share: (1 - np.cos(np.pi * np.clip(share, 0, 1))) / 2
-    if template == "turn_left":
-        at = rng.uniform(*TURN_AT) * way
-        length = rng.uniform(*TURN_LENGTH) * way
-        return lambda s: np.pi / 2 * half_wave((s - at) / length)
-    if template == "cruise":
-        heading = rng.uniform(*STRAIGHT)
-        return lambda s: np.full(np.shape(s), heading)
-    if template == "merge":
-        at, length = 0.0, rng.uniform(*MERGE_LENGTH)
-    else:
-        length = rng.uniform(*SHIFT_LENGTH)
-        at = min(rng.uniform(*SHIFT_AT) * way, max(way - length - 1, 0.0))
-    return lambda s: 2 * SHIFT / length * half_wave(2 * np.clip((s - at) / length, 0, 1) - 2 * np.maximum(0, 2 * np.clip((s - at) / length, 0, 1) - 1))
-
-
-def synthetic_track(template: str, seed: int, duration: float, fs: float = 10.0) -> np.ndarray:
-    """(rows, 6) at constant speed: t, x, y, heading, speed, yaw_rate, from the heading along the way, summed up finely."""
-    rng = generator(seed, 4)
-    t = np.arange(int(round(duration * fs)) + 1) / fs
-    v = rng.uniform(*SPEEDS[template])
-    s = v * t
-    heading = heading_along(template, rng, s[-1])
-    fine = np.linspace(0, s[-1], 20 * len(t))
-    mid = heading((fine[1:] + fine[:-1]) / 2)
-    sums = [np.concatenate([[0.0], np.cumsum(f(mid) * np.diff(fine))]) for f in (np.cos, np.sin)]
-    x, y = (np.interp(s, fine, c) for c in sums)
-    rate = (heading(s + 1e-4) - heading(s - 1e-4)) / 2e-4
-    return np.column_stack([t, x, y, heading(s), np.full(len(t), v), v * rate])
-
-
-def synthetic_tracks(spark: SparkSession, scenes: int = 10, agents: int = 8, duration: float = 24.0, seed: int = 0) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in batch.column("id").to_pylist():
-                scene, agent = divmod(i, agents)
-                template = TEMPLATES[mixed_seed(seed * 7919 + i) % len(TEMPLATES)]
-                got = synthetic_track(template, scenario_seed(seed, i), duration)
-                head = {"segment_id": i, "scene_id": f"syn_{scene:03d}", "agent_token": f"syn_{scene:03d}_agent_{agent:02d}", "template": template}
-                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(got)) for v in head.values()), *map(pa.array, got.T.copy())], names=[*head, *STATES])
-
-    return spark.range(scenes * agents).mapInArrow(run, TRACK_DDL)
-
-
 def _nested(df: DataFrame, keys: Sequence[str], seed: Column) -> DataFrame:
     """keys, seed, and each channel as one array a segment, in order of t."""
     rows = F.sort_array(F.collect_list(F.struct(*STATES)))

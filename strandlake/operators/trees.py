@@ -148,6 +148,10 @@ def _with_features(df: DataFrame, keep: Sequence[str], features: Sequence[str])
     return df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features])
 
 
+def _kinds(source: DataFrame, keep: Sequence[str]) -> str:
+    return "".join(f"`{n}` {t}, " for n, t in source.dtypes if n in keep)
+
+
 def scored(df: DataFrame, ensemble: Ensemble, keep: Sequence[str]) -> DataFrame:
     """keep, p."""
     source = _with_features(df, keep, ensemble.features)
@@ -159,8 +163,7 @@ def scored(df: DataFrame, ensemble: Ensemble, keep: Sequence[str]) -> DataFrame:
             margin = sum((t.weight * t.predicted(x) for t in box.value.trees), np.zeros(len(x)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(1 / (1 + np.exp(-2 * margin)))], names=[*keep, "p"])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n in keep)
-    return source.mapInArrow(run, f"{kinds}, p double")
+    return source.mapInArrow(run, _kinds(source, keep) + "p double")
 
 
 def staged(df: DataFrame, ensemble: Ensemble, keep: Sequence[str]) -> DataFrame:
@@ -177,8 +180,7 @@ def staged(df: DataFrame, ensemble: Ensemble, keep: Sequence[str]) -> DataFrame:
                 rows = pa.array(np.repeat(np.arange(batch.num_rows), n))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in keep], pa.array(np.tile(np.arange(1, n + 1), batch.num_rows)), pa.array(p.ravel())], names=[*keep, "stage", "p"])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n in keep)
-    return source.mapInArrow(run, f"{kinds}, stage bigint, p double")
+    return source.mapInArrow(run, _kinds(source, keep) + "stage bigint, p double")
 
 
 def attributed(df: DataFrame, ensemble: Ensemble, keep: Sequence[str]) -> DataFrame:
@@ -194,8 +196,7 @@ def attributed(df: DataFrame, ensemble: Ensemble, keep: Sequence[str]) -> DataFr
             margin = box.value.margins(x)[:, -1] if box.value.trees else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.full(len(x), base)), pa.array(margin), *[pa.array(parts[:, i]) for i in range(len(names))]], names=[*keep, "base", "margin", *names])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in source.dtypes if n in keep)
-    return source.mapInArrow(run, f"{kinds}, base double, margin double, " + ", ".join(f"`{n}` double" for n in ensemble.features))
+    return source.mapInArrow(run, _kinds(source, keep) + "base double, margin double, " + ", ".join(f"`{n}` double" for n in ensemble.features))
 
 
 def mean_attributions(df: DataFrame, ensemble: Ensemble, top: int = 10) -> DataFrame:
