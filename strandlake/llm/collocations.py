@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._shared import Scratch, partitions, rows_of
 from .neardup import _STEP, _mixed
 
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 BLOCK = 1 << 16
 _TABLE = bytes(0x21 if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WALL = b"!"
