@@ -1,12 +1,15 @@
-"""Thirty features of segments. Time-domain ones are window expressions and one aggregation; the power spectrum is an
-expression over the segment's array. Standard deviations are of populations; what isn't finite becomes 0."""
+"""Thirty features of segments. Time-domain ones are window expressions and one aggregation; the power spectrum is a
+transform of the segment's array in Arrow batches. Standard deviations are of populations; what isn't finite becomes 0."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
@@ -57,41 +60,70 @@ def motion_features(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.select(*keys, *[finite(F.col(c)).alias(c) for c in names])
 
 
+def densities(x: np.ndarray, fs: float, most: int) -> np.ndarray:
+    """Of signals of one length, a row each: one-sided densities by Welch's method."""
+    size = x.shape[1]
+    n = min(size, most)
+    step = max(1, n - n // 2)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    total, parts = 0.0, range(0, size - n + 1, step)
+    for at in parts:
+        part = x[:, at : at + n]
+        total = total + np.abs(np.fft.rfft((part - part.mean(axis=1, keepdims=True)) * taper, axis=1)) ** 2
+    sides = np.full(n // 2 + 1, 2.0)
+    sides[0] = 1.0
+    if n % 2 == 0:
+        sides[-1] = 1.0
+    return total / len(parts) * sides / (fs * (0.375 * n if n > 2 else 1.0))
+
+
+def _by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, signals as a matrix) of rows whose last column has arrays of one length."""
+    for batch in batches:
+        lengths = np.array(pc.list_value_length(batch.column(batch.num_columns - 1)))
+        for n in np.unique(lengths):
+            rows = batch.take(pa.array(np.flatnonzero(lengths == n)))
+            flat = rows.column(rows.num_columns - 1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield rows, flat.reshape(rows.num_rows, n)
+
+
+def _signals(df: DataFrame, keys: Sequence[str], signal: str) -> tuple[DataFrame, str]:
+    rows = df.filter(F.size(signal) > 0).select(*keys, F.col(signal).cast("array<double>").alias("_signal"))
+    return rows, "".join(f"`{n}` {t}, " for n, t in rows.dtypes if n in keys)
+
+
 def power_density(df: DataFrame, keys: Sequence[str], signal: str, fs: float = FS, most: int = 64) -> DataFrame:
     """keys, k, density, n_bins, width: one-sided density by Welch's method at the frequencies k * width. Parts of
-    min(n, most) samples overlap by half; their mean is removed; the window is a periodic Hann window."""
-    x = F.col(signal).cast("array<double>")
-    n = F.least(F.size(x), F.lit(most))
-    step = F.greatest(F.lit(1), n - F.floor(n / 2).cast("int"))
-    parts = df.filter(F.size(signal) > 0).select(*keys, x.alias("_x"), n.alias("_n"), F.explode(F.sequence(F.lit(0), F.size(x) - n, step)).alias("_start"))
-    part = F.slice("_x", F.col("_start") + 1, F.col("_n"))
-    parts = parts.select(*keys, "_n", part.alias("_p"), (F.aggregate(part, F.lit(0.0), lambda s, v: s + v) / F.col("_n")).alias("_m"))
-    # the generator keeps the part and its mean from being computed anew for each sample below
-    bins = parts.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))))
-    turn = 2 * math.pi / F.col("_n")
-    tapered = lambda v, j: (v - F.col("_m")) * (0.5 - 0.5 * F.cos(turn * j))
-    wave = lambda f: F.aggregate(F.transform("_p", lambda v, j: tapered(v, j) * f(turn * F.col("k") * j)), F.lit(0.0), lambda s, v: s + v)
-    sides = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("_n")), 1.0).otherwise(2.0)
-    taper = F.when(F.col("_n") == 1, 1.0).when(F.col("_n") == 2, 1.0).otherwise(F.col("_n") * 0.375)  # the sum of squares of the window
-    one = bins.select(*keys, "k", "_n", ((F.pow(wave(F.cos), 2) + F.pow(wave(F.sin), 2)) / (fs * taper) * sides).alias("_d"))
-    got = one.groupBy(*keys, "k").agg(F.avg("_d").alias("density"), F.max("_n").alias("_n"))
-    return got.select(*keys, "k", "density", (F.floor(F.col("_n") / 2) + 1).alias("n_bins"), (F.lit(fs) / F.col("_n")).alias("width"))
-
-
-def spectral_features(df: DataFrame, keys: Sequence[str], signal: str, fs: float = FS) -> DataFrame:
+    min(n, most) samples overlap by half; their mean is removed; the window is a periodic Hann window. A transform of each
+    segment's array, in Arrow batches: nothing is dealt anew."""
+    rows, ddl = _signals(df, keys, signal)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _by_length(batches):
+            d = densities(x, fs, most)
+            at, bins = pa.array(np.repeat(np.arange(len(d)), d.shape[1])), d.shape[1]
+            columns = [part.column(i).take(at) for i in range(len(keys))]
+            more = [np.tile(np.arange(bins, dtype=np.int32), len(d)), d.ravel(), np.full(d.size, bins, np.int64), np.full(d.size, fs / min(x.shape[1], most))]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, more)], names=[*keys, "k", "density", "n_bins", "width"])
+
+    return rows.mapInArrow(run, ddl + "k int, density double, n_bins bigint, width double")
+
+
+def spectral_features(df: DataFrame, keys: Sequence[str], signal: str, fs: float = FS, most: int = 64) -> DataFrame:
     """Power in [0, 2] and (2, 5] Hz and in all, by trapezoids, and the bands' ratio (at most 100)."""
-    got = power_density(df, keys, signal, fs)
-    k, width = F.col("k"), F.col("width")
-    two, top = F.floor(2.0 / width + 1e-9), F.least(F.floor(5.0 / width + 1e-9), F.col("n_bins") - 1)
-
-    def area(a: Column, b: Column) -> Column:  # the end points of a band count half
-        share = F.when((k > a) & (k < b), 1.0).when((a < b) & ((k == a) | (k == b)), 0.5).otherwise(0.0)
-        return F.sum(F.col("density") * share * width)
-
-    got = got.groupBy(*keys).agg(area(F.lit(0), two).alias("yaw_psd_0_2hz"), area(two + 1, top).alias("yaw_psd_2_5hz"), area(F.lit(0), F.col("n_bins") - 1).alias("yaw_psd_total"))
-    low, high = F.col("yaw_psd_0_2hz"), F.col("yaw_psd_2_5hz")
-    ratio = F.when(high > 1e-12, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.try_divide(low, high)))).when(low > 1e-12, 100.0).otherwise(0.0)
-    return got.withColumn("yaw_psd_ratio", ratio)
+    rows, ddl = _signals(df, keys, signal)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, x in _by_length(batches):
+            d, width = densities(x, fs, most), fs / min(x.shape[1], most)
+            last = d.shape[1] - 1
+            two, top = math.floor(2.0 / width + 1e-9), min(math.floor(5.0 / width + 1e-9), last)
+            area = lambda a, b, d=d, width=width: np.trapezoid(d[:, a : b + 1], dx=width, axis=1) if a < b else np.zeros(len(d))
+            low, high, whole = area(0, min(two, last)), area(two + 1, top), area(0, last)
+            ratio = np.where(high > 1e-12, np.clip(low / np.where(high > 1e-12, high, 1.0), 0.0, 100.0), np.where(low > 1e-12, 100.0, 0.0))
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keys))], *map(pa.array, (low, high, whole, ratio))], names=[*keys, "yaw_psd_0_2hz", "yaw_psd_2_5hz", "yaw_psd_total", "yaw_psd_ratio"])
+
+    return rows.mapInArrow(run, ddl + "yaw_psd_0_2hz double, yaw_psd_2_5hz double, yaw_psd_total double, yaw_psd_ratio double")
 
 
 def extract_features(df: DataFrame, keys: Sequence[str], fs: float = FS) -> DataFrame:

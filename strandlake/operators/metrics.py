@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clipped
 from ..functions.running import RANGE, running_totals
+from ..session import saved
 
 NAN = float("nan")
 
@@ -89,7 +90,8 @@ def _binned_scores(df: DataFrame, bins: int, groups: Sequence[str]) -> tuple[Dat
     size, extra = F.floor(F.col("_all") / bins), F.col("_all") % bins
     large = (size + 1) * extra
     number = lambda place: (F.when(place < large, F.floor(place / (size + 1))).otherwise(extra + F.floor(F.try_divide(place - large, size))) + 1).cast("bigint")
-    return placed.withColumn("_cut", number(F.col("_first")) != number(F.col("_first") + F.col("_n") - 1)), number
+    placed = placed.withColumn("_cut", number(F.col("_first")) != number(F.col("_first") + F.col("_n") - 1))
+    return saved(placed, "scores"), number  # a row a score, read by both of what follows
 
 
 def _cut_rows(df: DataFrame, scores: DataFrame, groups: Sequence[str], row_id: str) -> DataFrame:
