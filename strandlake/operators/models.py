@@ -73,7 +73,7 @@ class Boosted:
         return trees.scored(rows, self.best, list(keep))
 
 
-#: As the reference fits them: trees, depth of about 31 leaves, rate, rows a leaf, shares of rows and features, patience, seed.
+#: Trees, depth of about 31 leaves, rate, rows a leaf, shares of rows and features, patience, seed.
 DEFAULTS = {"trees": 400, "depth": 5, "rate": 0.05, "least": 20, "rows": 0.9, "columns": 0.9, "patience": 50, "seed": 0}
 
 
@@ -144,7 +144,7 @@ def fold_assignment(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     name, and of folds by number.
 
     Groups of one size only differ in order, so it is enough to deal sizes: the driver gets how many groups have each size (with N
-    rows under sqrt(2 N) sizes) and finds who is dealt to whom as stretches of turns that repeat, at most one a fold and size."""
+    rows under sqrt(2 N) sizes) and finds who is dealt to whom as stretches of turns that repeat, a few a size."""
     sizes = df.groupBy(F.col(group).alias(group)).agg(F.count("*").alias("n"))
     loads, stretches = [0] * folds, []
     for n, groups in sorted(((r["n"], r["groups"]) for r in sizes.groupBy("n").agg(F.count("*").alias("groups")).collect()), reverse=True):
