@@ -5,8 +5,9 @@ line is the text of one block element, with character references decoded and whi
 that by their tag or role never hold article text (scripts, styles, menus, headers, footers, sidebars, dialogs, form fields)
 give no lines; of a header within an article the headings stay. Every other line has a trust between 0 and 1:
 
-* words of class and id that name adverts, notices or comments leave 0.05 (adverts and comments within an article, too),
-  vaguer ones 0.3, unless an article or main element stands in between;
+* words of class and id that name adverts, notices or comments leave 0.05 (adverts and comments within an article, too), as
+  do those that say who comments and what they give (reader-opinions, user_reactions); vaguer ones leave 0.3, unless an article or
+  main element stands in between;
 * outside article and main elements, the share of a line that isn't link text; headings keep a half;
 * outside article and main elements, the share of the page's text that is outside of them, so an article that holds nearly
   all text leaves little trust to what stands around it, and one that is a teaser leaves nearly all.
@@ -63,6 +64,10 @@ PERHAPS = frozenset(
 )
 EMPTY_NOUNS = frozenset("list section area box block wrapper wrap container bar links link item items content body buttons button group panel unit slot text".split())
 MODIFIERS = ("has", "no", "with", "without", "is")
+# Who comments, what they give, and nouns that are comments by themselves.
+AUDIENCE = frozenset("reader readers user users visitor visitors viewer viewers community audience your".split())
+SAID = frozenset("opinion opinions voice voices reaction reactions response responses reply replies discussion discussions remark remarks thought thoughts letter letters talk".split())
+COMMENTS = frozenset("feedback guestbook usercomments shoutbox talkback talkbacks livefyre".split())
 
 WINDOW, SHARE, TRUSTED = 3, 0.2, 0.5
 USUAL = 200  # length at which a line counts half in the usual length
@@ -160,7 +165,7 @@ def trust_of(attributes: dict[str, str], inside: bool) -> float:
             continue
         while len(parts) > 1 and (parts[-1] in EMPTY_NOUNS or parts[-1].isdigit()):
             parts.pop()
-        if parts[-1] in SURELY:
+        if parts[-1] in SURELY or parts[-1] in COMMENTS or parts[-1] in SAID and AUDIENCE.intersection(parts[:-1]):
             return 0.05
         if parts[-1] in PERHAPS and not inside:
             trust = 0.3

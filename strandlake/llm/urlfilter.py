@@ -4,8 +4,10 @@ The cascade covers the complete universe of keys (all host suffixes of the corpu
 the universe; level 2 the unlisted keys that pass level 1; level 3 the listed keys that pass level 2; and so on until no
 key is misjudged. A key is listed if the first level that it fails is an even one. Judging a row needs no join: each level is
 one array of words in the plan, which is sent to an executor once. The levels hold about
-1.44 * |listed| * (log2(|universe| / |listed|) + 3) bits, so the bound of 2^27 bits (16 MB) is enough for eight million listed
-hosts among a thousand million. Beyond it the levels are not sent, and the same keys are judged by an equi join.
+1.44 * |listed| * (log2(|universe| / |listed|) + 3) bits. A list of any size is judged so: keys are dealt by a hash into as many
+blocks as keep a block's levels near 2^25 bits (4 MB, about two million listed hosts among a thousand million), each block
+has a cascade of its own, and rows pass one block after another, written in between. So neither the driver nor an executor
+holds more than one block's levels, and a list that is ten times as long costs ten times as many passes.
 
 A host is judged by those of its suffixes that have no more parts than the longest listed key; longer ones can't be listed.
 Null or malformed urls have an empty host and path, fit no rule and are allowed. Urls may be of any length. Repeated rows are
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -96,22 +98,34 @@ def build_level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     return level
 
 
-#: Bits of all levels at most, 16 MB.
-MAX_BITS = 1 << 27
+#: About how many bits the levels of a block of keys have at most, 4 MB.
+MAX_BITS = 1 << 25
 
 
-def build_cascade(keys: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, max_levels: int = 64) -> list[Level] | None:
-    """Levels for ``keys`` (key string, listed boolean; the complete universe, distinct). None: over max_bits. The keys that
-    pass a level, about half of those before, are written, so that no level is gone through again for the next."""
-    total, listed = keys.agg(F.count("*"), F.count(F.when(F.col("listed"), 1))).first()
+def expected_bits(total: int, listed: int) -> int:
+    """Of all levels: the first one, and about three bits a listed key for those after it."""
+    return math.ceil(listed * (max(1.0, math.log2(max(1, total - listed) / max(1, listed)) + 0.5) + 3) / math.log(2))
+
+
+def block_of(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(blocks))
+
+
+def counts(keys: DataFrame) -> tuple[int, int]:
+    """How many keys, and how many of them listed."""
+    return tuple(keys.agg(F.count("*"), F.count(F.when(F.col("listed"), 1))).first())
+
+
+def build_cascade(keys: DataFrame, scratch: Scratch, max_levels: int = 64) -> list[Level]:
+    """Levels for ``keys`` (key string, listed boolean; the complete universe, distinct). The keys that pass a level, about half
+    of those before, are written, so that no level is gone through again for the next."""
+    total, listed = counts(keys)
     levels: list[Level] = []
     inside, outside = keys.filter("listed"), keys.filter("not listed")
     count, rate = listed, min(0.5, listed / (math.sqrt(2) * max(1, total - listed)))
     while count:
         if len(levels) == max_levels:
             raise RuntimeError("the cascade does not end: keys whose hashes agree under every seed")
-        if sum(x.bits for x in levels) + count * max(1, round(-math.log2(rate))) / math.log(2) > max_bits:
-            return None
         level = build_level(inside, count, rate, len(levels) + 1)
         levels.append(level)
         inside, outside = scratch.save(outside.filter(level.passes(F.col("key")))), inside
@@ -126,6 +140,11 @@ def is_member(levels: list[Level], key: Column) -> Column:
     return out
 
 
+def listed_in(levels: list[Level], block: int, blocks: int) -> Callable[[Column], Column]:
+    """Whether a key is in the block and listed."""
+    return lambda key: is_member(levels, key) if blocks == 1 else (block_of(key, blocks) == block) & is_member(levels, key)
+
+
 def url_filter(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict, method (``rule`` or ``list``). ``listed`` has a column key: blocked domains."""
     url = F.col("url")
@@ -137,14 +156,17 @@ def url_filter(spark: SparkSession, pages: DataFrame, rules: Sequence[Rule], lis
     seen = pages.select(host_of(url).alias("host")).distinct().select(F.explode(suffixes(host, most)).alias("key")).distinct()
     scratch = Scratch(spark, "urlfilter")
     keys = scratch.save(seen.join(marked, "key", "left").select("key", F.coalesce("hit", F.lit(False)).alias("listed")))
-    levels = build_cascade(keys, scratch, max_bits)
-    if levels is None:
-        blocked = rows.select("host").distinct().withColumn("key", F.explode(suffixes(host, most))).join(keys.filter("listed"), "key", "left_semi").select("host").distinct()
-        rows = rows.join(blocked.withColumn("bad", F.lit(True)), "host", "left")
-        bad = F.coalesce("bad", F.lit(False))
-    else:
-        scratch.clear()
-        bad = F.exists(suffixes(host, most), lambda k: is_member(levels, k))
+    blocks = max(1, math.ceil(expected_bits(*counts(keys)) / max_bits))
+    bad = F.lit(False)
+    for b in range(blocks):
+        levels = build_cascade(keys.filter(block_of(F.col("key"), blocks) == b) if blocks > 1 else keys, scratch)
+        bad = bad | F.exists(suffixes(host, most), listed_in(levels, b, blocks))
+        if b < blocks - 1:
+            before, rows = rows, scratch.save(rows.select("page_id", "host", "path", bad.alias("bad")))
+            if b:
+                scratch.drop(before)
+            bad = F.col("bad")
+    scratch.clear() if blocks == 1 else scratch.drop(keys)
     return rows.select(
         "page_id", "host", "path",
         first_fit(rules, host, path, lambda r: r.text).alias("rule"),

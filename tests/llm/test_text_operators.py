@@ -62,7 +62,7 @@ def test_url_rules_and_cascade_against_brute_force(spark):
     assert {r["verdict"] for r in got if r["method"] == "list"} == {"allow", "block"}
 
 
-def test_cascade_is_exact_and_join_beyond_the_bound_agrees(spark):
+def test_cascade_is_exact_and_blocks_of_keys_agree(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 37 == 0).alias("listed"))
     levels = urlfilter.build_cascade(keys, Scratch(spark, "test"))
     assert len(levels) > 1 and len(levels) < 30
@@ -70,9 +70,13 @@ def test_cascade_is_exact_and_join_beyond_the_bound_agrees(spark):
     assert wrong.count() == 0
     urls = pages(spark, [f"http://h{i}.a.net/x" for i in range(50)])
     listed = spark.createDataFrame([("h3.a.net",), ("h7.a.net",)], "key string")
-    a, b = (urlfilter.url_filter(spark, urls, queries.RULES, listed, max_bits=m).select("page_id", "verdict") for m in (1 << 23, 1))
-    assert sorted(a.collect()) == sorted(b.collect())
-    assert "Join" not in a._jdf.queryExecution().toString() and "Join" in b._jdf.queryExecution().toString()
+    for many in (listed, spark.createDataFrame([(f"h{i}.a.net",) for i in range(0, 50, 3)], "key string")):
+        one, *more = (urlfilter.url_filter(spark, urls, queries.RULES, many, max_bits=m).select("page_id", "verdict") for m in (1 << 23, 20, 8))
+        for other in more:
+            assert sorted(one.collect()) == sorted(other.collect())
+            assert "Join" not in other._jdf.queryExecution().toString()
+        assert one.filter("verdict = 'block'").count() == many.count()
+        assert "Join" not in one._jdf.queryExecution().toString()
     assert urlfilter.url_filter(spark, urls.limit(0), queries.RULES, listed).count() == 0
     assert {r["verdict"] for r in urlfilter.url_filter(spark, urls, queries.RULES, listed.limit(0)).collect()} == {"allow"}
     clash = urls.withColumns({"host": F.lit("x"), "listed": F.lit(1)}).union(spark.createDataFrame([(77, "http://" + "a." * 20_000 + "h3.a.net/" + "p" * 100_000, "x", "x", 1), (77, None, "x", "x", 1)], "a long, b string, c string, d string, e int"))
@@ -658,6 +662,17 @@ def test_blocks_of_an_article_stay_whatever_their_class():
     assert all(f"about {c}" in got for c in classes) and got.startswith("Head") and "nice" not in got and "by someone" not in got
 
 
+def test_comments_go_by_who_says_what_and_the_audience_alone_says_nothing():
+    text = "".join(f"<p>{b}</p>" for b in paragraphs(300, 400, 300))
+    want = "\n\n".join(paragraphs(300, 400, 300))
+    for name in ("reader-opinions", "opinions reader-opinions-list", "user_reactions", "your-thoughts", "visitor-feedback", "feedback", "talkback-box", "readerComments comments"):
+        said = f"<div class='{name}'><p>{LONG * 3}</p><p>I like it</p></div>"
+        for page in (f"<article>{text}{said}</article>", f"<article>{text}</article>{said}", f"<div>{text}{said}</div>"):
+            assert htmltext.main_text(page + TAIL) == want, (name, page[:40])
+    for name in ("reader-view", "guest-post", "opinion", "letters", "user-guide", "audience", "responses"):
+        assert htmltext.main_text(f"<div class='{name}'>{text}</div>{TAIL}") == want, name
+
+
 def test_tokenizer_follows_the_rules_in_linear_time():
     import time
 
