@@ -14,13 +14,17 @@ offset and all its tokens are compared. A pair is reported if
 
 Masks are chosen by the lengths of the items so that no pair of the first two kinds is lost: a set of masks has all ways to place its weight
 of ones within a span, and is taken for a length only if that many tokens in place can't be spread without that weight of
-them falling within the span. What lies in place is in the document, so short documents lose nothing either. Null or empty
-texts have no tokens and match nothing. Repeated rows are reported once per (doc_id, item_id).
+them falling within the span. That many tokens in place can't but give several hits at their offset, and the fewest they can
+give are worked out for each length (``hits_needed``); a document's text is compared only for pairs with so many hits at one
+offset, or with hits at two offsets to be joined. What lies in place is in the document, so short documents lose nothing either. Null or empty
+texts have no tokens and match nothing. Texts may be of any length, and empty tables give no rows. Repeated rows are reported
+once per (doc_id, item_id). Further columns of either table are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import cache
 from itertools import combinations
 from math import comb
 
@@ -59,6 +63,41 @@ def least_in_place(n: int, share: float) -> int:
     return next((m for m in range(1, n) if m >= share * n), n)
 
 
+#: The fewest hits are worked out within so many places at most; one of the equal stretches of a longer item has its share of them.
+PLACES, MOST_SPAN = 64, 12
+
+
+@cache
+def fewest_hits(n: int, least: int, weight: int, span: int) -> int:
+    """How often ``weight`` of any ``least`` of n places, however they are spread, fall within ``span``: a lower bound."""
+    if span > MOST_SPAN:
+        return int(surely_hit(n, least, weight, span))
+    if n > PLACES:
+        stretches = -(-n // PLACES)
+        return fewest_hits(-(-n // stretches), -(-least // stretches), weight, span)
+    # Place by place: which of the last span - 1 are taken, and for each number of places taken the fewest hits.
+    states = {0: {0: 0}}
+    for i in range(n):
+        after: dict[int, dict[int, int]] = {}
+        for taken, best in states.items():
+            more = comb(taken.bit_count(), weight - 1)
+            for k, hits in best.items():
+                for bit in (0, 1):
+                    if k + bit <= least <= k + bit + n - 1 - i:
+                        to = after.setdefault((taken << 1 | bit) & ((1 << span - 1) - 1), {})
+                        to[k + bit] = min(to.get(k + bit, hits + bit * more), hits + bit * more)
+        states = after
+    return min(best[least] for best in states.values())
+
+
+def hits_needed(n: int, share: float) -> int:
+    """Hits at one offset that an item of n tokens with ``share`` of them, or a stretch, in place has at least."""
+    masks = masks_for(n, share)
+    weight, span = masks[0].count("1"), max(map(len, masks))
+    wanted = [(n, least_in_place(n, share))] + [(STRETCH, STRETCH_LEAST)] * (n >= STRETCH)
+    return max(1, min(fewest_hits(k, m, weight, span) for k, m in wanted))
+
+
 def masks_for(n: int, share: float) -> list[str]:
     """Masks that hit any item of n tokens with ``share`` of them, or a stretch, in place: the greatest weight that few masks serve."""
     least = least_in_place(n, share)
@@ -125,7 +164,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) ->
         met = salted.join(keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "salt"])
     hits = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     scratch = Scratch(docs.sparkSession, "decontam")
-    hits = scratch.save(hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("shift")).alias("shifts")))
+    hits = hits.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n"))  # a repeated row only adds to the hits
+    hits = hits.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts"), F.max("n").alias("most"))
+    needed = F.create_map(*[F.lit(x) for n in lengths for x in (n, hits_needed(n, share))]) if lengths else F.create_map(F.lit(0), F.lit(0))
+    needs = items.groupBy("item_id").agg(F.min(F.element_at(needed, F.size("tokens"))).alias("needed"))
+    near = F.exists(F.transform("shifts", lambda s, j: F.get("shifts", j + 1) - s), lambda gap: gap <= JOINED)
+    hits = scratch.save(hits.join(needs, "item_id").filter((F.col("most") >= F.col("needed")) | near).select("doc_id", "item_id", "shifts"))
     ids = hits.select(F.col("doc_id").alias("of")).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     found = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")

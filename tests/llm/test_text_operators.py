@@ -94,6 +94,20 @@ def test_a_cascade_of_over_a_megabyte_needs_no_join(spark):
 # Benchmark decontamination
 
 
+def test_fewest_hits_against_all_ways_to_place_tokens():
+    from itertools import combinations
+
+    for n, least, weight, span in ((8, 4, 2, 3), (10, 6, 3, 5), (13, 11, 3, 5), (12, 7, 3, 4), (9, 5, 2, 6), (13, 11, 4, 5), (6, 6, 3, 3), (7, 1, 1, 1), (4, 2, 2, 3)):
+        want = min(sum(c[-1] - c[0] < span for c in combinations(taken, weight)) for taken in combinations(range(n), least))
+        assert decontam.fewest_hits(n, least, weight, span) == want
+        masks = decontam.masks_within(weight, span)  # each way to place the weight within the span is one mask
+        laid = lambda taken: sum(all(c != "1" or at + i in taken for i, c in enumerate(m)) for m in masks for at in range(n - len(m) + 1))  # noqa: B023, E731
+        assert min(laid(set(taken)) for taken in combinations(range(n), least)) == want
+    for n in range(1, 400):
+        assert decontam.hits_needed(n, 0.5) >= 1
+    assert decontam.fewest_hits(20, 12, 3, 5) >= decontam.fewest_hits(20, 11, 3, 5)
+
+
 def test_leaks_against_brute_force(spark, docs, texts, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rng = random.Random(3)
