@@ -4,7 +4,8 @@ A text is made canonical: lower case, copyright lines dropped, equivalent spelli
 digits turned to one space. The MD5 digest of the entire canonical text is looked up by a hash join among the digests of
 known licence texts and notices. Three kinds of entire texts are looked up for a document: the document itself; its blocks,
 parted by blank lines, if they have several lines; and each of its lines. So a licence pasted into a longer document, whose
-paragraphs are known where one licence alone has them, and a notice on its own line are found within other prose.
+paragraphs are known where one licence alone has them, and a notice on its own line are found within other prose. Long licences
+are known by the digests of their entire texts, so they are found where they are the whole document.
 
 Only texts that hold one of the anchor words can equal a known text (``known_digests`` asserts it), so digests of blocks and
 lines are taken for those alone. A line ends with a line feed, a carriage return or both. Null and empty texts have the digest of
@@ -140,6 +141,48 @@ TEXTS = {
     "Zlib": (ZLIB_TEXT, ("zlib License",)),
 }
 
+# MD5 digests of the canonical entire texts of long licences, as their publishers give them (for the licences of 1991
+# to 1999 with the address of either of two offices), and of their terms alone, up to the line END OF TERMS AND CONDITIONS.
+LONG_TEXTS = {
+    "Apache-2.0": (
+        "3bf4dc73e128edc35de53a72210b1bc3",
+        "9cd57d68db752e9bff12a1bad5293c28",
+    ),
+    "Artistic-1.0-Perl": ("a8b0fb0c6e43a3b36bdc159e59dbfd1e",),
+    "CC0-1.0": ("93a180096f6cfcf2c0dd24f75c2eec48",),
+    "GFDL-1.2": ("6e3c2d0a3783812fe27c95f27944bacf",),
+    "GFDL-1.3": ("c8ca6943792d8c190d88dd07c2272037",),
+    "GPL-1.0": (
+        "e513b86acaafe4ee44051c6200fad91b",
+        "90db245cacd09dd7f9bddc2bf92c4d4d",
+    ),
+    "GPL-2.0": (
+        "c6e44c05da0bd121e39e1a00e8571ce4",
+        "757dba826af7b629dff02d967b72ab8a",
+        "91cb0ed6247e06c7b3ff3f1dcbf8aced",
+        "e0f9b820882c5a623705c42e5d0f089d",
+    ),
+    "GPL-3.0": (
+        "e4e09635b1d6f826dcf1e1ddb6682a27",
+        "6affd9584153e5f043862de9ddecba3a",
+    ),
+    "LGPL-2.0": (
+        "fd5c42bc693d3ad279cf7eb459c8d50b",
+        "edf4d5584ce31ab1548eedc5dedc1d75",
+        "563bc9311d80cd9a889d16e6baf1ecb6",
+        "123566cf93d72ac8a942c998bc2a42e4",
+    ),
+    "LGPL-2.1": (
+        "3f554d01f627f29bdce11767a44fd410",
+        "1d08da8cbd5642055d95d42626eae017",
+        "13f8d4f895b1fb439a062b2934777ed9",
+        "513fcc1fff9d1c426b5adba9149d1383",
+    ),
+    "LGPL-3.0": ("148b473852f0e3b14ba500ebbd2e8f9c",),
+    "MPL-1.1": ("6e365c275f8417ffb1970ee046fbde33",),
+    "MPL-2.0": ("14f2e59a3bb121c9ccc71e99691b31b1",),
+}
+
 
 def canonical(text: str) -> str:
     """As ``canonical_column``, for the known texts."""
@@ -169,8 +212,8 @@ def known_texts() -> list[tuple[str, str]]:
 
 
 def known_digests(texts: list[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
-    """(digest, licence), one licence a digest: the first in order of name."""
-    out: dict[str, str] = {}
+    """(digest, licence), one licence a digest: the first in order of name. Without ``texts``, long licences are among them."""
+    out = {d: name for name, digests in LONG_TEXTS.items() for d in digests} if texts is None else {}
     for name, text in sorted(known_texts() if texts is None else texts):
         if not re.search(ANCHOR, text):
             raise ValueError(f"a text of {name} holds no anchor word")
