@@ -17,8 +17,8 @@ linked if 100 * |A and B| >= percent * |A or B|; the result is the connected com
 4. What is left are pairs in different components of a list. For the classes of such lists the full sets are joined by an
    exact prefix filter: a pair that is alike enough shares an element among the rarest few of both, at places that leave
    room for the overlap it needs. An edited copy with too many words of its own meets nothing that way. These lists, too,
-   are first compared with a pivot each, and pairs are made only of what is in different components after that. So
-   components are exact without all pairs of a large group. Candidates are verified as above.
+   are first compared with a pivot each, and again with another, and pairs are made only of what is in different components
+   after that. So components are exact without all pairs of a large group. Candidates are verified as above.
 5. Components by alternating large-star and small-star steps, joins and minima of (node, node) rows. Links found later
    are taken between the components known by then.
 
@@ -44,8 +44,10 @@ from ._shared import Scratch, kept, rows_of, unused
 
 K = 32
 SHARED = 0.4
-#: A key with more than this share of the rows is joined apart from the others.
-LARGE = 10_000
+#: Turns in which lists of the prefix filter meet with a pivot each, before pairs are made of what is still apart.
+PIVOT_TURNS = 2
+#: A key with more than this share of the rows is joined apart from the others, or by so many parts.
+LARGE, HOT_PARTS = 10_000, 64
 EDGES_A_TASK = 1_000_000  # 16 bytes each: so the tables of a star step have as many files as they need
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))  # multipliers of a public 64-bit finaliser
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -136,15 +138,28 @@ def alike_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+def _with_ends(pairs: DataFrame, nodes: DataFrame, field: str, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) with ``field`` of both nodes as field_a and field_b. A pivot can stand in most pairs: an end of more than a
+    ``LARGE``-th of them is dealt by the pair's other end over ``HOT_PARTS`` parts, and its row of ``nodes`` goes to each."""
+    most = pairs.count() // LARGE
+    out = pairs
+    for c, other in (("a", "b"), ("b", "a")):
+        hot = scratch.save(pairs.groupBy(c).count().filter(F.col("count") > most + HOT_PARTS).select(c, F.lit(True).alias("hot")))  # fewer than LARGE rows
+        dealt = out.join(F.broadcast(hot), c, "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64(other), F.lit(HOT_PARTS))).otherwise(0)).drop("hot")
+        side = nodes.select(F.col("node").alias(c), F.col(field).alias(f"{field}_{c}")).join(F.broadcast(hot), c, "left")
+        parts = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("hot"), HOT_PARTS - 1).otherwise(0).cast("bigint"))
+        out = dealt.join(side.withColumn("part", F.explode(parts)).drop("hot"), [c, "part"]).drop("part")
+    return out
+
+
+def estimated(pairs: DataFrame, classes: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b), those whose union sketch has enough in common."""
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("sketch").alias(f"sketch_{c}"))
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, k)
     shared = F.size(F.array_intersect(union, F.array_intersect("sketch_a", "sketch_b")))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(shared >= F.ceil(SHARED * F.size(union))).select("a", "b")
+    return _with_ends(pairs, classes, "sketch", scratch).filter(shared >= F.ceil(SHARED * F.size(union))).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b), those linked on the full sets. ``texts``: node, text of a representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +175,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*keep, strict=True)], names=["a", "b"])
 
-    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    return _with_ends(pairs, texts, "text", scratch).select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -261,8 +275,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     reps = classes.join(members, "node").select("node", F.coalesce("doc_id", least_id).alias("rep"), "text_hash")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), least_id).alias("rep"), F.xxhash64("text").alias("text_hash"), "text")
     scope = scratch.save(texts.join(reps, ["rep", "text_hash"]).dropDuplicates(["rep", "text_hash"]).select("node", "text"))
-    tested = scratch.save(estimated(candidates, classes, k))  # what is dropped here may still come up below
-    links = scratch.save(verified(tested, scope, width, percent))
+    tested = scratch.save(estimated(candidates, classes, k, scratch))  # what is dropped here may still come up below
+    links = scratch.save(verified(tested, scope, width, percent, scratch))
     roots = scratch.save(components(links, scratch))
 
     # what lists hold of several components: the prefixes of their full sets, first with pivots, then all
@@ -271,11 +285,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     parts = scratch.save(placed.join(mixed, "value").select("node"))
     front = prefixes(parts, scope, width, percent, scratch)
     need = lambda n, m: F.ceil(F.lit(percent) * (n + m) / (100 + percent))
-    for turn in range(2):
+    for turn in range(PIVOT_TURNS + 1):
         known = scratch.save(front.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-        best = F.min(F.struct("place", F.xxhash64("node").alias("o"), "node", "n", "root"))
+        best = F.min(F.struct("place", F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n", "root"))
         heads = scratch.save(known.groupBy("hash").agg(best.alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 != r1").select("hash", "p"))
-        if turn == 0:
+        if turn < PIVOT_TURNS:
             p = lambda c: F.col(f"p.{c}")
             room = (F.col("place") <= F.col("n") - need(F.col("n"), p("n")) + 1) & (p("place") <= p("n") - need(F.col("n"), p("n")) + 1)
             met = known.join(heads, "hash").filter((F.col("root") != p("root")) & alike_sizes(F.col("n"), p("n"), percent) & room)
@@ -288,7 +302,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
             met = side("x").join(side("y"), "hash").filter((F.col("node_x") > F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & alike_sizes(F.col("n_x"), F.col("n_y"), percent) & room)
             pairs = pairs_of(met, "node_x", "node_y")
         fresh = scratch.save(pairs.join(tested, ["a", "b"], "left_anti"))
-        further = scratch.save(verified(fresh, scope, width, percent))
+        further = scratch.save(verified(fresh, scope, width, percent, scratch))
         links, tested = links.union(further), tested.union(fresh)
         roots = joined_up(roots, further, scratch)
     placed = scratch.save(classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")))

@@ -5,6 +5,9 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
+from pathlib import Path
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,6 +246,19 @@ def test_whole_licences_are_found_alone_and_within_other_text(spark):
     assert all(got[2 * k + i]["text_license"] is None for i in range(k))
 
 
+ENTIRE = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="the system has no licence texts")
+def test_long_licences_are_found_by_their_entire_texts(spark):
+    texts = {name: Path("/usr/share/common-licenses", file).read_text() for file, name in ENTIRE.items()}
+    ends = {n: t[: m.end()] for n, t in texts.items() if (m := re.search("END OF TERMS AND CONDITIONS", t))}
+    forms = [(n, f) for n, t in texts.items() for f in (t, t.replace("\n", "\r\n"), t.replace("License", "Licence").replace("\n\n", "\n \n\n"), t.upper().replace("HTTP:", "HTTPS:"))]
+    forms += list(ends.items()) + [(None, t.replace("You may", "You may not", 1) + " x") for t in texts.values()] + [(None, "Before.\n\n" + t) for t in texts.values()]
+    got = {r["doc_id"]: r["text_license"] for r in licenses.license_scan(spark, documents(spark, [f for _, f in forms])).collect()}
+    assert len(ends) >= 4 and [got[i] for i in range(len(forms))] == [n for n, _ in forms]
+
+
 def test_license_scan_against_sql(spark, docs, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     extra = [*AWKWARD, "a\rLicensed under MIT\rb", "x\u2028(c) y\u2028 Licensed under MIT", licenses.MIT_TEXT, "Intro\n \n" + wrapped(licenses.ZLIB_TEXT) + "\n\n\nend", "MIT License\n\n(c) me\n\n" + licenses.MIT_TEXT]
@@ -540,6 +556,34 @@ def test_components_of_chains_stars_and_later_links(spark):
     assert neardup.components(table(later).limit(0), scratch).count() == 0
 
 
+def test_pairs_of_a_hot_pivot_are_dealt_over_many_tasks(spark):
+    """30,000 of 31,000 pairs have one pivot, as either end."""
+    pairs = spark.range(1, 15001).selectExpr("id a", "0L b").unionAll(spark.range(1, 15001).selectExpr("0L a", "-id b")).unionAll(spark.range(1000).selectExpr("id + 20000 a", "id + 30000 b"))
+    nodes = spark.range(-15001, 32000).selectExpr("id node", "'t' || id text")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")  # nothing but the parts may split it
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = neardup._with_ends(pairs, nodes, "text", Scratch(spark, "test")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) == 31000 and all((r.text_a, r.text_b) == (f"t{r.a}", f"t{r.b}") for r in got)
+    sizes = Counter(r.task for r in got).values()
+    assert len(sizes) == 16 and max(sizes) < 5 * median(sizes)
+
+
+def test_components_where_unlinked_texts_share_most_of_their_words(spark):
+    """Each text has three quarters of a common passage, so all of them meet in the lists of the prefix filter, and few are linked."""
+    rng = random.Random(8)
+    shared = [f"s{j}" for j in range(75)]
+    own = [[f"o{k}x{j}" for j in range(25)] for k in range(60)]
+    source = [" ".join(shared[:c] + own[k] + shared[c:]) for k in range(60) for c in (0, rng.randrange(1, 75))] + near_copies(80, 4)
+    got = neardup.near_duplicates(spark, documents(spark, source)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == slow_components(dict(enumerate(source)), 5, 80)
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = spark.createDataFrame([(None, "a b c d e f"), (None, "A B C D E F"), (7, "a b c d e f"), (7, "other words of the same document id here"), (7, "a b c d e f"), (8, None)], "doc_id bigint, text string")
     got = neardup.near_duplicates(spark, rows).collect()
