@@ -613,7 +613,14 @@ def bca_interval(spark, sf_dir):
     return inference.bca_intervals(inference.bootstrap_auc(rows, "cluster", REPLICATES), inference.jackknife_auc(rows, "cluster"), metrics.auc_roc(rows))
 
 
-@query()
+ECE_BOOT_SQL = f"""{BOOT_SQL}, placed AS (SELECT b, p, pos, pos + neg AS w, sum(pos + neg) OVER (PARTITION BY b ORDER BY p) - pos - neg AS f, CAST(sum(pos + neg) OVER (PARTITION BY b) AS BIGINT) AS n FROM ps),
+ends AS (SELECT *, (n // 15) * k + least(k, n % 15) AS low, (n // 15) * (k + 1) + least(k + 1, n % 15) AS high FROM placed, (SELECT unnest(generate_series(0, 14)) AS k)),
+inside AS (SELECT b, k, p, pos / w AS fr, least(f + w, high) - greatest(f, low) AS m FROM ends),
+gaps AS (SELECT b, k, sum(m) AS m, abs(sum(m * p) - sum(m * fr)) AS gap FROM inside WHERE m > 0 GROUP BY b, k),
+eces AS (SELECT b, sum(gap) / sum(m) AS stat FROM gaps GROUP BY b)"""
+
+
+@query(f"WITH {ECE_BOOT_SQL} SELECT count(*) AS n, {q('quantile_cont(stat, 0.025)')} AS ci_low, {q('quantile_cont(stat, 0.975)')} AS ci_high FROM eces")
 def ece_interval(spark, sf_dir):
     boot = inference.bootstrap_ece(scored(spark, sf_dir), "cluster", 15, REPLICATES)
     return rounded(boot.agg(F.count("*").alias("n"), F.percentile("stat", 0.025).alias("ci_low"), F.percentile("stat", 0.975).alias("ci_high")))
