@@ -6,13 +6,14 @@ f >= ``least``. Cut after its first k words, its score is floor(10 ** 6 * f * f
 lowest counts. A candidate is dropped if a longer one, that holds its words contiguously, has at least ``inside`` percent of its f.
 
 1. Sketch: each task adds up the occurrences of all phrases of 1 to ``longest`` words in one row of 2 ** ``cells`` counters of a
-   byte, by a hash of language and words. Counters that aren't zero go out in blocks and are added up by block, up to 255. A
+   byte, by a hash of language and words. Counters that aren't zero go out in blocks and are added up by block, up to ``least``. A
    counter is an upper bound of f, so what is left of the sketch is a bit a counter: ``least`` or more. These bits (8 MB, whatever
    the data) are broadcast. Where a corpus fills the counters, the bound only keeps more phrases; counts stay exact.
 2. Each task goes through its texts in chunks of ``CHUNK`` bytes, a language at a time. The chunk's phrases whose bounds, and those
-   of their parts, reach ``least`` are compiled into an automaton as `` word word `` with a space at both ends, over the chunk's text with
-   ``!``, which no word holds, as a word of its own between pieces. All overlapping matches are counted, and summed up over chunks by
-   Spark. An automaton never holds more than the phrases of one chunk, and nothing grows with the corpus's vocabulary.
+   of their parts, reach ``least`` are found in it by automata over the words' numbers, with a number that no phrase holds between
+   pieces: one for each ``STRETCH`` words, of the phrases that begin there. All overlapping matches are counted, added up over the chunk,
+   and over chunks by Spark. So also where every phrase is kept, an automaton never holds more than the phrases of one stretch, rows
+   go out a few thousand at a time, and nothing grows with the corpus or its vocabulary.
 3. Exact sums replace the bounds: candidates, scores in decimals of 38 digits, containment and ranks are joins and aggregates.
 
 Rows with a null lang count as ``und``. Null and empty texts have no words. Repeated rows count again. A text longer than a chunk is cut between
@@ -24,12 +25,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
-from operator import itemgetter
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,15 +40,17 @@ from ._shared import Scratch, partitions, rows_of
 from .neardup import _STEP, _mixed
 
 CHUNK = 6 << 20
-BLOCK = 1 << 16
+STRETCH = 1 << 17  # words
+ROWS = 1 << 13  # at once to Spark
+BLOCK = 1 << 12  # so that a batch of many blocks stays small
 _TABLE = bytes(0x21 if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _WALL = b"!"
 _END = re.compile(r"[.,;:!?\n\x0b\x0c\r]")
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words, with ``!`` for what parts pieces."""
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).replace(_WALL, b" ! ").split()
+def pieces_of(text: str) -> bytes:
+    """The text's bytes in lower case, with ``!`` as a word for what parts pieces."""
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).replace(_WALL, b" ! ")
 
 
 def parts_of(text: str, most: int) -> Iterator[str]:
@@ -58,19 +62,24 @@ def parts_of(text: str, most: int) -> Iterator[str]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[str, list[bytes]]]:
-    """(lang, words) of about ``most`` bytes of text, from columns lang and text."""
+    """(lang, words) of about ``most`` bytes of text, from columns lang and text. Only one language's words are held at once."""
     held: dict[str, list[bytes]] = defaultdict(list)
     size = 0
+
+    def given() -> Iterator[tuple[str, list[bytes]]]:
+        while held:
+            lang, parts = held.popitem()
+            yield lang, b" ! ".join(parts).split()
+
     for langs, texts in rows_of(batches, 64):
         for lang, text in zip(langs, texts, strict=True):
             for part in parts_of(text, most):
-                held[lang] += words_of(part)
-                held[lang].append(_WALL)
-                size += len(part)
+                held[lang].append(pieces_of(part))
+                size += len(held[lang][-1])
                 if size >= most:
-                    yield from held.items()
-                    held, size = defaultdict(list), 0
-    yield from held.items()
+                    yield from given()
+                    size = 0
+    yield from given()
 
 
 class Phrases:
@@ -91,36 +100,72 @@ class Phrases:
             self.hashes.append(_mixed(self.hashes[-1][:-1] * _STEP + hashes[n:]))
             self.inside.append(self.inside[-1][:-1] & inside[n:])
 
-    def candidates(self, bits: np.ndarray, cells: int) -> list[str]:
-        """The distinct phrases whose bound, and those of the phrases within them, are high enough."""
-        out, good, codes = [], None, None
+    def candidates(self, bits: np.ndarray, cells: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length: the word numbers of the distinct phrases whose bound, and those of the phrases within them, are high
+        enough, a row a phrase; and at each place the row of the phrase that begins there, or -1."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        good = None
         for n, (hashes, inside) in enumerate(zip(self.hashes, self.inside, strict=True)):
             cell = (hashes >> np.uint64(64 - cells)).astype(np.int64)
             fits = inside & ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
             if n:
                 fits &= good[:-1] & good[1:]
             last = self.ids[n:]
-            pairs = last[fits] if codes is None else codes[:-1][fits] * len(self.words) + last[fits]
+            pairs = out[-1][1][:-1][fits].astype(np.int64) * len(self.words) + last[fits] if n else last[fits]
             found, first, number = np.unique(pairs, return_index=True, return_inverse=True)
             if not len(found):
                 break
-            codes = np.full(len(fits), -1)  # the phrase's number at each place
+            codes = np.full(len(fits), -1, np.int32)
             codes[fits] = number
             at = np.flatnonzero(fits)[first]
-            columns = [self.ids[at + k].tolist() for k in range(n + 1)]
-            out += [b" ".join([self.words[i] for i in row]).decode("utf-8", "surrogatepass") for row in zip(*columns, strict=True)]
+            out.append((self.ids[at[:, None] + np.arange(n + 1)].astype(np.int32), codes))
             good = fits
         return out
 
 
-def counted(words: list[bytes], phrases: list[str]) -> np.ndarray:
-    """How often each phrase occurs among the words, by one automaton of them all."""
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for i, phrase in enumerate(phrases):
-        machine.add_word(f" {phrase} ", i)
-    machine.make_automaton()
-    text = (b" " + b" ".join(words) + b" ").decode("utf-8", "surrogatepass")
-    return np.bincount(np.fromiter(map(itemgetter(1), machine.iter(text)), np.int64), minlength=len(phrases))
+def spelt(ids: np.ndarray, base: int, digits: int) -> str:
+    """Word numbers by ``digits`` characters each, of an alphabet of its own for each place, so that no match begins within a word."""
+    place = np.arange(digits)
+    return (ids[..., None] // base ** place[::-1] % base + base * place + 1).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def counted(ids: np.ndarray, words: int, found: Sequence[tuple[np.ndarray, np.ndarray]], stretch: int = STRETCH) -> list[np.ndarray]:
+    """How often each phrase occurs among the numbers of words (below ``words``), for each length: an automaton a stretch, of the
+    phrases that begin in it. It reads on for the rest of the last phrases, and leaves out matches that begin there."""
+    digits = 2 if words <= 1 << 16 else 3
+    base = int(np.ceil(words ** (1 / digits))) + 1
+    totals = [np.zeros(len(rows), np.int64) for rows, _ in found]
+    for start in range(0, len(ids), stretch):
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        here = [np.unique(codes[start : start + stretch]) for _, codes in found]
+        here = [numbers[numbers >= 0] for numbers in here]
+        ends = np.cumsum([0, *map(len, here)])
+        if not ends[-1]:
+            continue
+        for n, ((rows, _), numbers) in enumerate(zip(found, here, strict=True)):
+            text, width = spelt(rows[numbers], base, digits), (n + 1) * digits
+            for i in range(len(numbers)):
+                machine.add_word(text[i * width : (i + 1) * width], int(ends[n]) + i)
+        machine.make_automaton()
+        text = spelt(ids[start : start + stretch + len(found) - 1], base, digits)
+        at, hit = np.fromiter(chain.from_iterable(machine.iter(text)), np.int64).reshape(-1, 2).T
+        begin = at // digits - np.repeat(np.arange(len(here)), np.diff(ends))[hit]
+        f = np.bincount(hit[begin < stretch], minlength=ends[-1])
+        for n, numbers in enumerate(here):
+            totals[n][numbers] += f[ends[n] : ends[n + 1]]
+    return totals
+
+
+def phrase_rows(lang: str, p: Phrases, found: Sequence[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, f of a chunk, and under a null phrase all its words."""
+    names = ["lang", "phrase", "f"]
+    words = pa.array(p.words, pa.binary()).cast(pa.string())
+    for (rows, _), f in zip(found, counted(p.ids, len(p.words), found), strict=True):
+        for at in range(0, len(rows), ROWS):
+            some = rows[at : at + ROWS]
+            phrases = pc.binary_join_element_wise(*[words.take(pa.array(some[:, k])) for k in range(some.shape[1])], " ")
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), phrases, pa.array(f[at : at + ROWS])], names=names)
+    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.array([int(p.inside[0].sum())])], names=names)
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -128,7 +173,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def sketch(docs: DataFrame, least: int, longest: int, cells: int) -> bytes:
-    """A bit for each counter: the sum over the corpus is ``least`` or more (at most 255)."""
+    """A bit for each counter: the sum over the corpus is ``least`` or more (at most 255). Sums end there, so full counters pack well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << cells, np.uint8)
@@ -136,7 +181,7 @@ def sketch(docs: DataFrame, least: int, longest: int, cells: int) -> bytes:
             p = Phrases(lang, words, longest)
             for hashes, inside in zip(p.hashes, p.inside, strict=True):
                 cell, n = np.unique((hashes[inside] >> np.uint64(64 - cells)).astype(np.uint32), return_counts=True)
-                counters[cell] = np.minimum(counters[cell] + n, 255).astype(np.uint8)
+                counters[cell] = np.minimum(counters[cell] + n, least).astype(np.uint8)
         for block in range(max(1, len(counters) // BLOCK)):
             part = counters[block * BLOCK : (block + 1) * BLOCK]
             at = np.flatnonzero(part)
@@ -150,7 +195,7 @@ def sketch(docs: DataFrame, least: int, longest: int, cells: int) -> bytes:
             for block, g, n in zip(blocks, gaps, counts, strict=True):
                 at = np.cumsum(np.frombuffer(zlib.decompress(g), np.uint16), dtype=np.int64)
                 total = sums.setdefault(block, np.zeros(min(BLOCK, 1 << cells), np.uint8))
-                total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(zlib.decompress(n), np.uint8), 255)
+                total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(zlib.decompress(n), np.uint8), least)
         if sums:
             yield pa.RecordBatch.from_pylist([{"block": b, "bits": np.packbits(x >= least, bitorder="little").tobytes()} for b, x in sums.items()])
 
@@ -172,10 +217,7 @@ def counts(docs: DataFrame, least: int = 10, longest: int = 3, cells: int = 26)
         high = np.frombuffer(bits.value, np.uint8)
         for lang, words in chunks(batches):
             p = Phrases(lang, words, longest)
-            found = p.candidates(high, cells)
-            f = counted(words, found) if found else np.zeros(0, np.int64)
-            n = len(found) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([*found, None], pa.string()), pa.array([*f.tolist(), int(p.inside[0].sum())])], names=["lang", "phrase", "f"])
+            yield from phrase_rows(lang, p, p.candidates(high, cells))
 
     got = _source(docs).mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return got.filter((F.col("f") >= least) | F.col("phrase").isNull())

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -82,6 +84,45 @@ def test_collocations_when_the_sketch_is_full_or_saturated(spark):
     assert {k: got[k] for k in want} == want and not any(k[0].startswith("w") for k in got)
 
 
+def test_automata_hold_a_stretch_of_a_chunk_and_rows_go_out_in_parts(monkeypatch):
+    """As where a corpus fills the sketch, and every phrase is kept."""
+    made, real = [], collocations.ahocorasick.Automaton
+
+    def automaton(*args):
+        made.append(real(*args))
+        return made[-1]
+
+    monkeypatch.setattr(collocations.ahocorasick, "Automaton", automaton)
+    monkeypatch.setattr(collocations, "ROWS", 50)
+    rng = random.Random(4)
+    words = [rng.choice([b"!", b"a", b"a", b"ab", b"b", b"\xc3\xa9", *(b"w%d" % i for i in range(300))]) for _ in range(3000)]
+    want = Counter()
+    for piece in b" ".join(words).decode().split("!"):
+        w = piece.split()
+        want.update(" ".join(w[i : i + n]) for n in (1, 2, 3, 4) for i in range(len(w) - n + 1))
+    p = collocations.Phrases("en", words, 4)
+    found = p.candidates(np.full(1 << 13, 255, np.uint8), 16)
+    for stretch in (1, 2, 7, 500, 10**6):
+        made.clear()
+        f = collocations.counted(p.ids, len(p.words), found, stretch)
+        got = {b" ".join(p.words[i] for i in row).decode(): int(n) for (rows, _), many in zip(found, f, strict=True) for row, n in zip(rows, many, strict=True)}
+        assert got == want
+        assert max(map(len, made)) <= 4 * stretch
+    batches = list(collocations.phrase_rows("en", p, found))
+    assert max(b.num_rows for b in batches) == 50
+    assert {r["phrase"]: r["f"] for b in batches[:-1] for r in b.to_pylist()} == want
+    assert batches[-1].to_pylist() == [{"lang": "en", "phrase": None, "f": sum(w != b"!" for w in words)}]
+    assert list(collocations.phrase_rows("en", collocations.Phrases("en", [b"!"], 3), []))[0].to_pylist()[0]["f"] == 0
+
+
+def test_a_chunk_counts_bytes_and_holds_words_of_one_language():
+    batch = pa.RecordBatch.from_pylist([{"lang": "a", "text": "\u65e5\u672c. " * 100}, {"lang": "b", "text": "x y"}, {"lang": "a", "text": ""}, {"lang": "c", "text": " "}])
+    got = list(collocations.chunks(iter([batch]), 70))
+    assert max(sum(map(len, words)) for _, words in got) < 350  # a text is cut beyond 70 characters, here of three bytes
+    assert Counter(w for lang, words in got for w in words if lang == "a")["\u65e5\u672c".encode()] == 100
+    assert [words for lang, words in got if lang == "b"] == [[b"x", b"y"]]
+
+
 def test_collocations_score_beyond_64_bits_and_empty_tables(spark):
     big = 3 * 10**12
     found = spark.createDataFrame([("en", "a b", big), ("en", "a", big + 7), ("en", "b", big * 2), ("en", None, 9 * big)], "lang string, phrase string, f bigint")
