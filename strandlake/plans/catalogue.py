@@ -915,17 +915,26 @@ def _examples(spark, sf_dir):
     return saved(rows.select(F.concat_ws("_", "user_id", "window").alias("segment_id"), scene.alias("scene_id"), y.alias("y"), splits.split_of(scene).alias("split"), *schemas.FEATURES), "examples")
 
 
-_FITTED: dict[tuple[str, str], tuple[DataFrame, models.Boosted]] = {}
+_SHARED: dict[tuple[str, str], DataFrame] = {}
+_FITTED: dict[tuple[str, str], models.Boosted] = {}
+
+
+def _shared_examples(spark, sf_dir):
+    """The examples, which the queries of a session share."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SHARED:
+        _SHARED.clear()
+        _FITTED.clear()
+        _SHARED[key] = _examples(spark, sf_dir)
+    return _SHARED[key]
 
 
 def _boosted(spark, sf_dir):
     """The examples and the trees fitted on them, which the queries of a session share."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key, rows = (spark.sparkContext.applicationId, sf_dir), _shared_examples(spark, sf_dir)
     if key not in _FITTED:
-        _FITTED.clear()
-        rows = _examples(spark, sf_dir)
-        _FITTED[key] = rows, models.fit_boosted(rows, schemas.FEATURES)
-    return _FITTED[key]
+        _FITTED[key] = models.fit_boosted(rows, schemas.FEATURES)
+    return rows, _FITTED[key]
 
 
 @query()
@@ -958,7 +967,7 @@ def gbt_attributions(spark, sf_dir):
 @query()
 def fold_scores(spark, sf_dir):
     """The AUC of each of five folds, by trees fitted on the other four; 30 trees here, 400 by default."""
-    rows, _ = _boosted(spark, sf_dir)
+    rows = _shared_examples(spark, sf_dir)
     return models.fold_aucs(models.cross_fitted(rows, schemas.FEATURES, "scene_id", 5, trees=30))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandlake import schemas
 from strandlake.functions import running
 from strandlake.operators import evaluation, inference, labeling, metrics, models, replay, sampling, trees
+from strandlake.plans import catalogue
 from strandlake.sources import files
 from strandlake.sources.published import Published
 
@@ -222,6 +223,24 @@ def test_folds_keep_groups_together_and_balanced(spark, examples):
     assert set(aucs) == {0, 1, 2} and all(a > 0.7 for a in aucs.values())
 
 
+def test_fits_deal_rows_by_their_number_and_not_by_how_they_lay(spark, examples, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    df, names = examples
+    assert models.dealt_by_rows(df.coalesce(1)).rdd.getNumPartitions() == 6
+    few, many = (models.cross_fitted(d, names, "scene_id", 2, trees=2, depth=2) for d in (df.coalesce(1), df.repartition(7, "f0")))
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_fold_scores_fit_no_further_trees(spark, examples, monkeypatch):
+    df, names = examples
+    fits, real = [], models.fit_boosted
+    monkeypatch.setattr(models, "fit_boosted", lambda *args, **kept: fits.append(kept) or real(*args, **{**kept, "trees": 2}))
+    monkeypatch.setattr(catalogue, "_examples", lambda *_: df)
+    monkeypatch.setattr(catalogue.schemas, "FEATURES", names)
+    assert {r["fold"] for r in catalogue.fold_scores(spark, "nowhere").collect()} == set(range(5))
+    assert sorted(k["train"] for k in fits) == [f"fold != {k}" for k in range(5)]
+
+
 # Many runs
 
 
