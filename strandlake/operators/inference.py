@@ -50,11 +50,16 @@ def resampled_clusters(df: DataFrame, cluster: str, replicates: int, seed: int =
     return times.join(names, [*groups, "number"]).select(*groups, "b", "cluster", "times")
 
 
+#: Over so many tasks replicates multiply counts, whichever of the two is broadcast.
+TASKS = 128
+
+
 def _resampled(df: DataFrame, cluster: str, replicates: int, seed: int, groups: Sequence[str]) -> DataFrame:
     """groups, b, p, y, w: the weighted score counts of each replicate, and the ranges of scores, made once for all replicates."""
     drawn = resampled_clusters(df, cluster, replicates, seed, groups)
     sides = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.col("pos").alias("c")), F.struct(F.lit(0).alias("y"), F.col("neg").alias("c")))).alias("s")
     counts = with_ranges(cluster_counts(df, cluster, groups), "p")
+    drawn, counts = drawn.repartition(TASKS, "b"), counts.repartition(TASKS, RANGE)  # both are small, but not what they make together
     rows = drawn.join(counts, [*groups, "cluster"]).select(*groups, "b", "p", RANGE, "times", sides)
     return rows.filter("s.c > 0").groupBy(*groups, "b", "p", RANGE, F.col("s.y").alias("y")).agg(F.sum(F.col("times") * F.col("s.c")).alias("w"))
 

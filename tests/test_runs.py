@@ -223,6 +223,20 @@ def test_folds_keep_groups_together_and_balanced(spark, examples):
     assert set(aucs) == {0, 1, 2} and all(a > 0.7 for a in aucs.values())
 
 
+def test_replicates_multiply_counts_over_many_tasks(spark, monkeypatch):
+    """Few clusters make few draws, which alone would be one task with all replicates' scores."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(rng.randrange(2), rng.randrange(50) / 50, f"c{i % 3}") for i in range(300)], "y int, p double, cluster string").cache()
+    seen = {}
+    for tasks in (1, 5):
+        monkeypatch.setattr(inference, "TASKS", tasks)
+        rows = inference._resampled(df, "cluster", 40, 0, ())
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f", {tasks}), REPARTITION_BY_NUM") >= 2
+        seen[tasks] = sorted(map(tuple, rows.select("b", "p", "y", "w").collect()))
+    assert seen[1] == seen[5] and len({r[0] for r in seen[5]}) == 40
+
+
 def test_fits_deal_rows_by_their_number_and_not_by_how_they_lay(spark, examples, monkeypatch):
     monkeypatch.setattr(models, "TASK_ROWS", 100)
     df, names = examples
