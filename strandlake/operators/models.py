@@ -79,8 +79,8 @@ class Boosted:
 DEFAULTS = {"trees": 400, "depth": 5, "rate": 0.05, "least": 20, "rows": 0.9, "columns": 0.9, "patience": 50, "seed": 0}
 
 
-#: Training rows a task.
-TASK_ROWS = 4096
+#: Training rows a task. A fit has a job for each level of each tree, so what a task costs by itself counts as many times.
+TASK_ROWS = 1 << 15
 
 
 def dealt_by_rows(df: DataFrame, key: str = "segment_id") -> DataFrame:
@@ -94,6 +94,9 @@ def _fitted(rows: DataFrame, features: Sequence[str], n: int, c: Mapping[str, An
         featuresCol="_f", labelCol="_y", maxIter=n, maxDepth=c["depth"], stepSize=c["rate"], minInstancesPerNode=c["least"],
         subsamplingRate=c["rows"], featureSubsetStrategy=str(c["columns"]) if c["columns"] < 1 else "all", seed=c["seed"],
     )
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else each tree's jobs carry the lineage of all trees before it
+        context.setCheckpointDir(shared_path(rows.sparkSession, "checkpoints"))
     model = learner.fit(_vectors(dealt_by_rows(rows), features))
     path = shared_path(rows.sparkSession, "trees")
     model.write().save(path)

@@ -255,6 +255,17 @@ def test_fold_scores_fit_no_further_trees(spark, examples, monkeypatch):
     assert sorted(k["train"] for k in fits) == [f"fold != {k}" for k in range(5)]
 
 
+def test_fold_scores_fit_all_trees_and_cut_their_lineage(spark, examples, monkeypatch):
+    df, names = examples
+    asked, real = [], models._fitted
+    monkeypatch.setattr(models, "_fitted", lambda rows, features, n, c: asked.append(n) or real(rows, features, 2, c))
+    monkeypatch.setattr(catalogue, "_shared_examples", lambda *_: df)
+    monkeypatch.setattr(catalogue.schemas, "FEATURES", names)
+    assert {r["fold"] for r in catalogue.fold_scores(spark, "nowhere").collect()} == set(range(5))
+    assert asked == [models.DEFAULTS["trees"]] * 5 == [400] * 5
+    assert spark.sparkContext.getCheckpointDir() is not None
+
+
 # Many runs
 
 
